@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, repetition, simhash, tokens
+from . import chat, decontaminate, mixing, repetition, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,5 +31,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_tokens": op3_tokens, "op5_chat": op5_chat, "op6_quality": op6_quality}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates, _ = mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rates
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decontaminate.contamination(docs, decontaminate.searcher(docs, table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_tokens": op3_tokens, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination}
 SQL: dict[str, str] = {}

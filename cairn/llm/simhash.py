@@ -34,6 +34,7 @@ SEED = 42
 BLOCK_ROWS = 4096
 SMALL = 8  # larger buckets are searched, smaller ones compared all at once
 SKETCH_KEYS = 12
+NO_ID = (1 << 63) - 1
 CHUNK_WORDS = 1 << 17  # of one text in memory as shingles
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,15 +108,15 @@ def _mask_keys(prints: np.ndarray, chosen: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, sketch: bool = False) -> DataFrame:
-    """doc_id, fp (binary, ``8 * lanes`` bytes, least significant first), keys (of the sketch's buckets)."""
+    """doc_id, text_hash, fp (binary, ``8 * lanes`` bytes, least significant first), keys (of the sketch's buckets)."""
     has(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [fingerprint(t.as_py(), words, lanes, sketch) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            done = [fingerprint(t.as_py(), words, lanes, sketch) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary, keys array<long>")
 
 
 def _keyed(prints: DataFrame, blocks: int, radius: int, lanes: int) -> DataFrame:
@@ -182,21 +183,36 @@ def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, blocks: int = 6, sketch: bool = False) -> DataFrame:
-    """doc_id, fp, component_id: the smallest ``doc_id`` among the documents that links reach, itself included."""
+    """doc_id, fp, component_id: the smallest ``doc_id`` among the documents that links reach, itself included; stays: whether
+    the row is its component's first one by id (null last), then by a hash of the text."""
     made = written(fingerprints(docs, words, lanes, sketch), "fingerprints")
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")
     if sketch:  # the buckets' keys belong to the text: texts with the same print and keys collapse
-        alike = made.groupBy("fp", "keys").agg(F.min("doc_id").alias("first"))
+        alike = made.groupBy("fp", "keys").agg(F.min(row).alias("first"))
         keyed, reps = alike.select("fp", "keys"), alike.groupBy("fp").agg(F.min("first").alias("first"))
     else:
-        reps = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        reps = made.groupBy("fp").agg(F.min(row).alias("first"))
         keyed = _keyed(reps, blocks, radius, lanes)
     reached = components(links(keyed, lanes, radius))
     classes = reps.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = classes.join(least, "root").select("fp", "component_id")
-    return made.select("doc_id", "fp").join(of_print, "fp").select("doc_id", "fp", "component_id")
+    least = classes.groupBy("root").agg(F.min("first").alias("least"))
+    of_print = classes.join(least, "root").select("fp", "least")
+    return made.join(of_print, "fp").select("doc_id", "fp", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"), (row == F.col("least")).alias("stays"), "text_hash")
 
 
 def hex_of(fp):
     """A one-lane fingerprint column as 16 lower-case hex digits."""
     return F.concat(*[F.lower(F.hex(F.substring(fp, k, 1))) for k in range(8, 0, -1)])
+
+
+#: A similarity of 0.8 on five-word shingles: at most 51 of 256 bits differ.
+SIMILAR = {"words": 5, "lanes": 4, "radius": 51, "sketch": True}
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The documents, with all their columns, that come first in their group: smallest id (null last), then by a hash of the
+    text. Of rows with the same id and text one stays."""
+    first = written(near_duplicates(docs, **how).where("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "first-of-group")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(text_of())})
+    whole = F.struct(*docs.columns)
+    return keyed.join(first, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first(whole).alias("_row")).select("_row.*")
