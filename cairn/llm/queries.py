@@ -5,12 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, repetition, simhash, tokens, toxicity
+from . import chat, decontaminate, licenses, mixing, pii, repetition, secrets, simhash, tokens, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.findings(table(spark, sf_dir, "documents"))
+    counts = [pii.how_many(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, lanes=1, radius=3)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -20,6 +26,11 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -46,5 +57,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, decontaminate.searcher(docs, table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_tokens": op3_tokens, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_simhash": op2_simhash, "op3_tokens": op3_tokens, "op4_secrets": op4_secrets, "op5_chat": op5_chat, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination, "op10_licenses": op10_licenses}
 SQL: dict[str, str] = {}
