@@ -4,7 +4,7 @@ A naive Bayes classifier, counted on a bounded sample of the labelled documents,
 domains (language and quality of the labelled rows). With token counts n and posteriors p, document rates r should make the
 expected totals s_k = sum r n p_k equal to the targets T_k. Distributed projected gradient steps on the relative
 residuals do that: every step sums the K totals over all documents, and moves each rate by
--sum_k p_k (s_k - T_k) / m_k, kept at or above ``min_rate`` (m_k: the total at rate one). In the metric that divides by n, the
+-sum_k p_k (s_k - T_k) / m_k, kept between ``min_rate`` and ``max_rate`` (m_k: the total at rate one). In the metric that divides by n, the
 Hessian's rows sum to one, so that a step of one never overshoots. A rate depends on its document and the K residuals of
 each step alone: rates are replayed from those few numbers instead of being stored, and nothing is lost with an executor.
 
@@ -98,20 +98,20 @@ def _draw(doc_id, text: str) -> float:
     return xxhash.xxh64_intdigest(f"{doc_id}:{text}".encode("utf-8", "surrogatepass"), 11) / 2**64
 
 
-def replay(p: np.ndarray, history: list[np.ndarray], min_rate: float) -> np.ndarray:
+def replay(p: np.ndarray, history: list[np.ndarray], bounds: tuple[float, float]) -> np.ndarray:
     """The rates of documents with posteriors p after these steps."""
-    r = np.full(len(p), max(1.0, min_rate))
+    r = np.clip(np.ones(len(p)), *bounds)
     for g in history:
-        r = np.maximum(min_rate, r - p @ g)
+        r = np.clip(r - p @ g, *bounds)
     return r
 
 
-def _totals(narrow: DataFrame, k: int, history: list[np.ndarray], min_rate: float) -> np.ndarray:
+def _totals(narrow: DataFrame, k: int, history: list[np.ndarray], bounds: tuple[float, float]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k)
         for b in batches:
             p = b.column(1).flatten().to_numpy().reshape(-1, k)
-            total += (replay(p, history, min_rate) * b.column(0).to_numpy()) @ p
+            total += (replay(p, history, bounds) * b.column(0).to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(k)])
 
     row = narrow.select("n", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(k)]).first()
@@ -122,18 +122,18 @@ def _totals(narrow: DataFrame, k: int, history: list[np.ndarray], min_rate: floa
 class Mix:
     domains: Domains
     history: list[np.ndarray]
-    min_rate: float
+    bounds: tuple[float, float]
     target: dict[str, float]
     reached: dict[str, float]
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return replay(p, self.history, self.min_rate)
+        return replay(p, self.history, self.bounds)
 
 
-def fit_mix(narrow: DataFrame, domains: Domains, shares: dict[str, float] | None = None, smoothing: float = SMOOTHING, grow: bool = False, min_rate: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
+def fit_mix(narrow: DataFrame, domains: Domains, shares: dict[str, float] | None = None, smoothing: float = SMOOTHING, grow: bool = False, min_rate: float = 0.0, max_rate: float = float("inf"), steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
     """``narrow``: the rows of ``posteriors``, best from a written table, as each step reads them."""
-    k = len(domains.names)
-    mass = _totals(narrow, k, [], 0.0)
+    k, bounds = len(domains.names), (min_rate, max_rate)
+    mass = _totals(narrow, k, [], (1.0, 1.0))
     live = mass > 0
     want = np.array([shares.get(d, 0.0) for d in domains.names]) if shares else np.where(live, (mass / max(mass.sum(), 1e-300)) ** smoothing, 0.0)
     want = np.where(live, want, 0.0)
@@ -147,9 +147,11 @@ def fit_mix(narrow: DataFrame, domains: Domains, shares: dict[str, float] | None
         if np.abs(g).max(initial=0.0) < tolerance:
             break
         history.append(g)
-        s = _totals(narrow, k, history, min_rate)
+        s, before = _totals(narrow, k, history, bounds), s
+        if np.abs(s - before).max() <= tolerance**2 * mass.sum():
+            break  # the bounds allow no more
     name = lambda v: dict(zip(domains.names, v.tolist(), strict=True))
-    return Mix(domains, history, min_rate, name(target), name(s))
+    return Mix(domains, history, bounds, name(target), name(s))
 
 
 def mixed_rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, **how) -> tuple[DataFrame, Mix]:

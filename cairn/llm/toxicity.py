@@ -1,6 +1,8 @@
 """Toxicity by classifier chains: linear models for the categories in a fixed order, each fed with the earlier ones' probabilities.
 
-Fitting takes a bounded sample of the labelled rows: for each value of the first category at most ``max_per_class`` documents, the
+The last category decides; the ones before it are its finer kinds.
+
+Fitting takes a bounded sample of the labelled rows: for each value of the last category at most ``max_per_class`` documents, the
 first by a hash of their id, weighted back to the shares that the whole label table has. Features are a text's
 words and their first 3 to 7 letters, at least once, twice and four times; of those words and beginnings that tell the categories apart
 (z score of ``MIN_Z`` or more) at most ``max_features`` are kept. A later model is trained on
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bounded_rows, has, plain_words, text_of, written
 
-#: Categories in the chain's order, as conditions on the label table's columns.
-CATEGORIES = {"toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1", "toxic_junk": "toxic = 1 AND quality = 0"}
+#: Categories in the chain's order, as conditions on the label table's columns. The last one decides.
+CATEGORIES = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
 MAX_PER_CLASS = 6000
 MAX_FEATURES = 4000
 MIN_Z = 5.0
@@ -109,7 +111,7 @@ def _probability(x: _Rows, before: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(x: _Rows, before: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, l2: float = 1.0, rounds: int = 80) -> np.ndarray:
+def _fit(x: _Rows, before: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int, l2: float = 0.1, rounds: int = 150) -> np.ndarray:
     """Weighted logistic regression by accelerated gradient steps, each coordinate scaled by its curvature."""
     c = before.shape[1]
     curve = np.concatenate([x.back(weight, width), (before**2 * weight[:, None]).sum(0), [weight.sum()]]) / 4 + l2
@@ -147,10 +149,11 @@ def train_chain(rows: list[list[int]], labels: np.ndarray, weight: np.ndarray, f
 def _sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_per_class: int) -> tuple[DataFrame, list[float]]:
     """The sample's texts with their categories, and each class's weight."""
     names = list(categories)
+    last = f"y{len(names) - 1}"
     flags = labels.where("doc_id IS NOT NULL").select("doc_id", *[F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"y{i}") for i, e in enumerate(categories.values())])
     flags = flags.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
-    sizes = {r.y0: r.n for r in flags.groupBy("y0").agg(F.count("*").alias("n")).collect()}
-    picked = reduce(DataFrame.unionByName, [bounded_rows(flags.where(F.col("y0") == v), max_per_class, F.xxhash64("doc_id"), "doc_id") for v in (0, 1)])
+    sizes = {r[last]: r.n for r in flags.groupBy(last).agg(F.count("*").alias("n")).collect()}
+    picked = reduce(DataFrame.unionByName, [bounded_rows(flags.where(F.col(last) == v), max_per_class, F.xxhash64("doc_id"), "doc_id") for v in (0, 1)])
     taken = {v: min(max_per_class, sizes.get(v, 0)) for v in (0, 1)}
     scale = sum(taken.values()) / max(1, sum(sizes.values()))
     weight = [sizes.get(v, 0) / max(1, taken[v]) * scale for v in (0, 1)]
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     names, ys = list(categories), [f"y{i}" for i in range(len(categories))]
     sample, class_weight = _sampled(docs, labels, categories, max_per_class)
     total = sample.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
-    if not total.n or not total.y0:
+    if not total.n or not total[ys[-1]]:
         return Chain(names, {}, [np.zeros(0)] * len(names))
     # counts of words in the sample, then of the features that words share
     words = sample.select(*ys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0)))).alias("word"))
@@ -189,18 +192,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
 
     got = sample.select("text", "doc_id", "fold", *ys).mapInArrow(encode, "x array<int>, doc_id long, fold int, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by([("doc_id", "ascending")])
     labels_ = np.column_stack([got[y].to_numpy() for y in ys]).astype(float)
-    chain.weights = train_chain(got["x"].to_pylist(), labels_, np.array(class_weight)[labels_[:, 0].astype(int)], got["fold"].to_numpy(), len(TIMES) * len(known))
+    chain.weights = train_chain(got["x"].to_pylist(), labels_, np.array(class_weight)[labels_[:, -1].astype(int)], got["fold"].to_numpy(), len(TIMES) * len(known))
     return chain
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_<category> for each category, toxic: whether any category reaches the threshold."""
+    """doc_id, p_<category> for each category, toxic: whether the last category reaches the threshold."""
     cols = [f"p_{n}" for n in chain.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = chain.score([chain.features(t) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array((p >= threshold).any(1))], ["doc_id", *cols, "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], ["doc_id", *cols, "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in cols) + ", toxic boolean")
 
@@ -217,4 +220,4 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str]], np.ndarray]) -> DataF
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    return keep_rows(docs, lambda texts: ~(chain.score([chain.features(t) for t in texts]) >= threshold).any(1))
+    return keep_rows(docs, lambda texts: chain.score([chain.features(t) for t in texts])[:, -1] < threshold)

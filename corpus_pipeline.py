@@ -30,10 +30,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smoothed shares of the domains; no document is dropped, those of small domains are repeated."""
+    """Smoothed shares of the domains; no document is dropped, those of small domains stand up to four times."""
     domains = mixing.fit_domains(docs, table(spark, sf_dir, "labels"))
     narrow = written(mixing.posteriors(docs, domains), "posteriors")
-    return mixing.resampled(docs, mixing.fit_mix(narrow, domains, grow=True, min_rate=1.0))
+    return mixing.resampled(docs, mixing.fit_mix(narrow, domains, grow=True, min_rate=1.0, max_rate=4.0))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

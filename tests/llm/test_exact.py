@@ -113,7 +113,7 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
 def brute_tokens(docs):
     t = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
     at, out = 0, []
-    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1])):
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, np.uint64(xxhash.xxh64_intdigest(d[1], 42)).astype(np.int64))):
         ids = [*t.encode(text, add_special_tokens=False).ids, 2]
         out.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -139,7 +139,7 @@ def test_pieces_encode_like_whole_texts():
     alphabet = ["a", "B", "'s", "'", "9", " ", "  ", "\n", "\t", "\r\n", "é", "漢", "\U0001f600", " ", "\x1c", " ", "　", "​", "᠎", "\x85", "<|endoftext|>", "!", "-", "\x0b", "\x00"]
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(4000)]
     for text, ids in zip(texts, pieces.encode(texts), strict=True):
-        assert np.frombuffer(ids, pieces.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
