@@ -62,14 +62,15 @@ class _Buckets(dict):
 
 
 def idf(docs: DataFrame) -> np.ndarray:
-    """Weight of each bucket from the number of documents that have a word in it."""
+    """Weight of each bucket from the number of (document, different word) pairs that fall into it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, seen, n = _Buckets(), np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen[np.unique(buckets.many(list(set(words_of(t)))))] += 1
-                n += 1
+            for k in range(0, b.num_rows, 500):
+                words = [w for t in b.column(0).slice(k, 500).to_pylist() for w in set(words_of(t))]
+                seen += np.bincount(buckets.many(words), minlength=BUCKETS)
+            n += b.num_rows
         at = np.flatnonzero(seen)
         for k in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(seen[at[k : k + 50_000]])], ["bucket", "n"])
@@ -194,8 +195,16 @@ class Searcher:
     basis: Basis
     weight: np.ndarray
     cosine: float = COSINE
+    _lengths: np.ndarray | None = None
     buckets: _Buckets = field(default_factory=_Buckets, repr=False)
 
+    @property
+    def lengths(self) -> np.ndarray:
+        """Lengths of the basis' rows."""
+        if self._lengths is None:
+            self._lengths = np.linalg.norm(self.basis.rows, axis=1)
+        return self._lengths
+
     def __getstate__(self):
         return self.__dict__ | {"buckets": None}
 
@@ -216,23 +225,28 @@ class Searcher:
         n = int(blocks.sum())
         energy = np.bincount(block, weight.astype(float) ** 2, n)
         row = self.basis.at[bucket]
-        known = np.flatnonzero(row >= 0)
+        owner = np.repeat(np.arange(len(words)), blocks)
+        joined = np.zeros(n, bool)
+        joined[:-1] = owner[1:] == owner[:-1]
+        two = np.flatnonzero(joined)
+        whole_energy = energy.copy()
+        whole_energy[two] += energy[two + 1]
+        # a sum of vectors is no longer than the sum of their lengths: most passages end here, before any vector is added
+        bound = np.bincount(block, weight * np.where(row >= 0, self.lengths[row], 0.0), n)
+        bound[two] += bound[two + 1].copy()
+        may = bound**2 >= self.cosine**2 * whole_energy
+        needed = may.copy()
+        needed[1:] |= may[:-1] & joined[:-1]
+        known = np.flatnonzero((row >= 0) & needed[block])
         latent = np.zeros((n, self.basis.rows.shape[1]), np.float32)
         if len(known):
             begins = np.flatnonzero(np.concatenate([[True], block[known][1:] != block[known][:-1]]))
             latent[block[known][begins]] = np.add.reduceat(self.basis.rows[row[known]] * weight[known][:, None], begins, axis=0)
         # a passage is a block and the next one of the same document; the last block stands alone
-        joined = np.zeros(n, bool)
-        if n > 1:
-            owner = np.repeat(np.arange(len(words)), blocks)
-            joined[:-1] = owner[1:] == owner[:-1]
-            two = np.flatnonzero(joined)
-            whole, whole_energy = latent.copy(), energy.copy()
-            whole[two] += latent[two + 1]
-            whole_energy[two] += energy[two + 1]
-        else:
-            owner, whole, whole_energy = np.repeat(np.arange(len(words)), blocks), latent, energy
-        near = np.flatnonzero((whole**2).sum(1) >= self.cosine**2 * np.maximum(whole_energy, 1e-9))
+        whole = latent.copy()
+        whole[two] += latent[two + 1]
+        near = np.flatnonzero(may)
+        near = near[(whole[near] ** 2).sum(1) >= self.cosine**2 * np.maximum(whole_energy[near], 1e-9)]
         out = []
         for k in range(0, len(near), 4096):
             some = near[k : k + 4096]

@@ -131,8 +131,8 @@ def test_decontamination_odd_rows(spark, leaks):
 
 def test_mixing_reaches_its_targets(spark):
     docs, labels = made(spark)
-    shares = {"de/good": 0.24, "de/poor": 0.06, "en/good": 0.56, "en/poor": 0.14}
-    rates, mix = mixing.mixed_rates(docs, labels.where("doc_id < 400"), shares)
+    shares = {"de/good": 0.3, "en/good": 0.7}
+    rates, mix = mixing.mixed_rates(docs, labels.where("doc_id < 400").withColumn("quality", F.lit(1)), shares)
     for d, t in mix.target.items():
         assert abs(mix.reached[d] - t) <= 0.01 * sum(mix.target.values())
     rows = rates.collect()
