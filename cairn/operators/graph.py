@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import label
+from .scope import SIGNED_OFF
 
 FAN_OUT = 12
 LONGEST = 4  # edges of a chain
@@ -147,3 +148,48 @@ def kind_sweep(facts: DataFrame, predicates: DataFrame) -> DataFrame:
     fits = lambda a, b: F.array_contains("domain", a) & F.array_contains("range", b)
     df = facts.where("superseded_at IS NULL").join(F.broadcast(predicates), "predicate")
     return df.where(~(fits(s, o) | (F.col("symmetric") & fits(o, s)))).select(facts.columns)
+
+
+def unreviewed(facts: DataFrame, effects: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Findings of facts that nobody has signed off, at the seeds (node): to be shown, never a veto."""
+    waiting = facts.where(~F.col("review_state").isin(*SIGNED_OFF))
+    return findings(waiting, effects).join(seeds.select(F.col("node").alias("tainted")).distinct(), "tainted", "left_semi")
+
+
+def catalog_search(facts: DataFrame, questions: DataFrame, predicates=("HAS_TABLE", "HAS_COLUMN", "PARTITIONED_BY")) -> DataFrame:
+    """question_id, node, matched, confidence: the best match of each catalog node by its own words or those at its other end."""
+    rows = ends(facts.where(F.col("predicate").isin(*predicates)), "confidence")
+    hay = rows.withColumn("hay", F.lower(F.concat_ws(" ", label(F.regexp_replace("node", r"\.", " ")), label(F.regexp_replace("other", r"\.", " ")))))
+    hit = hay.crossJoin(F.broadcast(questions)).withColumn("matched", F.size(F.filter("terms", lambda t: F.contains("hay", t)))).where("matched > 0")
+    return hit.groupBy("question_id", "node").agg(F.max(F.struct("matched", "confidence")).alias("x")).select("question_id", "node", "x.*")
+
+
+def graph_first(facts: DataFrame, question: DataFrame, depth: int = 2, documents: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Facts found by words and by a walk from them (assertion_id, hop; matched ones have hop 0), and their source documents, sorted, at most ``documents``."""
+    hit = search(facts, question).select("assertion_id").distinct()
+    starts = facts.join(hit, "assertion_id", "left_semi").select(F.explode(F.array("subject_id", "object_id")).alias("node"))
+    walked = expand(facts, starts, depth).join(hit, "assertion_id", "left_anti")
+    found = hit.withColumn("hop", F.lit(0)).unionByName(walked)
+    docs = facts.join(found, "assertion_id", "left_semi").where("document_id IS NOT NULL").select("document_id").distinct().orderBy("document_id").limit(documents)
+    return found, docs
+
+
+def vector_first(facts: DataFrame, neighbours: DataFrame, depth: int = 1) -> DataFrame:
+    """The walk from what the nearest passages name: their document and matter, in both forms of the id. ``neighbours``: document_id, matter_id."""
+    ids = F.array("document_id", F.concat(F.lit("document:"), "document_id"), "matter_id", F.concat(F.lit("matter:"), "matter_id"))
+    seeds = neighbours.select(F.explode(ids).alias("node")).where("node IS NOT NULL")
+    return expand(facts, seeds, depth)
+
+
+def provenance(derived: DataFrame, facts: DataFrame, visible) -> DataFrame:
+    """assertion_id, premise, known, visible of each derived row's premises; withheld ones stay as gaps."""
+    seen = facts.withColumn("ok", visible).select(F.col("assertion_id").alias("premise"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    rows = derived.select("assertion_id", F.explode("premises").alias("premise")).join(seen, "premise", "left")
+    return rows.select("assertion_id", "premise", F.col("ok").isNotNull().alias("known"), F.coalesce("ok", F.lit(False)).alias("visible"))
+
+
+def overview(facts: DataFrame, governing: Column, cap: int) -> DataFrame:
+    """The first ``cap`` facts, governing ones and firm ones first, each with the total and whether there are more."""
+    total = facts.agg(F.count("*").alias("total"))
+    top = facts.orderBy(governing.desc(), F.desc("confidence"), "assertion_id").limit(cap).select("assertion_id")
+    return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > cap)

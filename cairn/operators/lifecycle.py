@@ -143,3 +143,33 @@ def duplicates(entities: DataFrame, keys: Column) -> DataFrame:
     """key and the sorted ids that share it, for keys with several ids."""
     rows = entities.select("entity_id", F.explode(keys).alias("key")).distinct()
     return rows.groupBy("key").agg(F.array_sort(F.collect_set("entity_id")).alias("ids")).where(F.size("ids") > 1)
+
+
+def retract_document(facts: DataFrame, document: Column) -> DataFrame:
+    """The cascade from a document's own current facts, derived ones aside. ``facts`` also has document_id."""
+    return cascade(facts, facts.where(document & F.col("superseded_at").isNull() & (F.size("premises") == 0)))
+
+
+def corrected(facts: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Declared facts at 0.98 in place of others, with ``corrects``, and the ids to close. ``corrections``: assertion_id, subject_id, predicate, object_id; one that changes nothing is dropped."""
+    old = facts.select("assertion_id", "tenant_id", F.col("subject_id").alias("s0"), F.col("predicate").alias("p0"), F.col("object_id").alias("o0"), "matter_id")
+    df = old.join(corrections, "assertion_id").where("NOT (s0 = subject_id AND p0 = predicate AND o0 = object_id)")
+    new = df.select("tenant_id", "subject_id", "predicate", "object_id", "matter_id", F.lit("DECLARED").alias("epistemic_class"), F.lit(0.98).alias("confidence"), F.col("assertion_id").alias("corrects"))
+    return new.withColumn("assertion_id", content_id(F.col("tenant_id"), F.col("subject_id"), F.col("predicate"), F.col("object_id"))), df.select("assertion_id")
+
+
+def refile_events(facts: DataFrame, documents: DataFrame, at: Column) -> DataFrame:
+    """Refile events for all facts of the documents (document_id, matter_id), with the matter before; ids stay."""
+    rows = facts.where("document_id IS NOT NULL").withColumnRenamed("matter_id", "previous").join(documents, "document_id")
+    return rows.where("NOT (previous <=> matter_id)").select("assertion_id", F.lit("refile").alias("event"), at.alias("at"), "matter_id", "previous")
+
+
+def resolved_filing(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """The matter of each request (document_id, matter_id): the one it names, else the newest that any filing named."""
+    prior = events.where("matter_id IS NOT NULL").groupBy("document_id").agg(F.max_by("matter_id", F.struct("at", "seq")).alias("prior"))
+    return requests.join(prior, "document_id", "left").select("document_id", F.coalesce("matter_id", "prior").alias("matter_id"))
+
+
+def reset(tables: dict[str, DataFrame], tenant: str, layers: set[str], authored: bool = False) -> dict[str, DataFrame]:
+    """The tables without a tenant's rows in the chosen layers; metrics, which people wrote, only with ``authored``."""
+    return {n: without(df, tenant) if n in layers and (n != "metrics" or authored) else df for n, df in tables.items()}

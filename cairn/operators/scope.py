@@ -85,3 +85,13 @@ def in_layer(edges: DataFrame, layers: DataFrame, layer: str) -> DataFrame:
 def source_status(scanned_at: Column, errors: Column, tables: Column) -> Column:
     """NOT_SCANNED, ERROR (errors and no tables), PARTIAL (errors and tables) or CONNECTED."""
     return F.when(scanned_at.isNull(), "NOT_SCANNED").when((errors > 0) & (tables == 0), "ERROR").when(errors > 0, "PARTIAL").otherwise("CONNECTED")
+
+
+def catalog_claim() -> Column:
+    """Facts about the catalog: descriptions and synonyms, and topics of tables."""
+    return F.col("predicate").isin("DESCRIBED_AS", "HAS_SYNONYM") | ((F.col("predicate") == "CONCERNS_TOPIC") & F.col("subject_id").startswith("table:"))
+
+
+def withheld(screens: DataFrame) -> DataFrame:
+    """The screens in force, by name, with reason and contact: shown beside results, never among them."""
+    return screens.where("lifted_at IS NULL").select("user_id", "matter_id", "reason", *[c for c in ("contact",) if c in screens.columns]).orderBy("user_id", "matter_id")

@@ -483,3 +483,97 @@ def r17_inverse_audit(spark, folder):
     rows = answers.select("answer_id", F.explode("used").alias("assertion_id"))
     return rows.groupBy("assertion_id").agg(F.array_join(F.array_sort(F.collect_list("answer_id")), ",").alias("answers"))
 
+
+
+@query(f"{WITH}, {_FOUND.replace('WHERE superseded_at IS NULL', chr(87) + 'HERE superseded_at IS NULL AND review_state NOT IN (' + chr(39) + 'AUTO_ASSERTED' + chr(39) + ', ' + chr(39) + 'APPROVED' + chr(39) + ')')}, seed AS ({_SEED}) SELECT * FROM found WHERE tainted IN (SELECT node FROM seed)")
+def g13_unreviewed_findings(spark, folder):
+    return G.unreviewed(facts(spark, folder), effects(spark), seeds(spark, folder))
+
+
+@query(
+    f"""{WITH}, good AS (SELECT * FROM facts WHERE superseded_at IS NULL), hit AS (SELECT assertion_id FROM good WHERE contains(lower(regexp_replace(split_part(subject_id, ':', 2), '[-_]', ' ', 'g') || ' ' || regexp_replace(split_part(object_id, ':', 2), '[-_]', ' ', 'g') || ' ' || replace(predicate, '_', ' ')), 'c 1 ')),
+n0 AS (SELECT subject_id AS node FROM good WHERE assertion_id IN (FROM hit) UNION SELECT object_id FROM good WHERE assertion_id IN (FROM hit)),
+doors AS (SELECT subject_id AS node, assertion_id FROM good UNION ALL SELECT object_id, assertion_id FROM good UNION ALL SELECT document_id, assertion_id FROM good WHERE document_id IS NOT NULL UNION ALL SELECT 'document:' || document_id, assertion_id FROM good WHERE document_id IS NOT NULL),
+h1 AS (SELECT DISTINCT assertion_id FROM doors WHERE node IN (FROM n0))
+SELECT assertion_id, 0 AS hop FROM hit UNION ALL SELECT assertion_id, 1 FROM h1 WHERE assertion_id NOT IN (FROM hit)"""
+)
+def g19_graph_first(spark, folder):
+    q = spark.createDataFrame([(1, ["c 1 "])], "question_id int, terms array<string>")
+    return G.graph_first(facts(spark, folder).where("superseded_at IS NULL"), q, depth=1)[0]
+
+
+@query(
+    f"""{WITH}, nb AS (SELECT DISTINCT 'doc-' || (vec_id % 40) AS document_id FROM embeddings WHERE label = 3), seed AS (SELECT document_id AS node FROM nb UNION SELECT 'document:' || document_id FROM nb),
+doors AS (SELECT subject_id AS node, assertion_id FROM facts UNION ALL SELECT object_id, assertion_id FROM facts UNION ALL SELECT document_id, assertion_id FROM facts WHERE document_id IS NOT NULL UNION ALL SELECT 'document:' || document_id, assertion_id FROM facts WHERE document_id IS NOT NULL)
+SELECT DISTINCT assertion_id, 1 AS hop FROM doors WHERE node IN (SELECT node FROM seed)"""
+)
+def g20_vector_first(spark, folder):
+    near = S.read(spark, folder, "embeddings").where("label = 3").select(F.concat(F.lit("doc-"), F.col("vec_id") % 40).alias("document_id"), F.lit(None).cast("string").alias("matter_id")).distinct()
+    return G.vector_first(facts(spark, folder), near)
+
+
+@query(f"WITH {_LADDER} SELECT d.k::VARCHAR AS assertion_id, d.up::VARCHAR AS premise, p.k IS NOT NULL AS known, coalesce(NOT p.closed, false) AS visible FROM d LEFT JOIN d p ON p.k = d.up WHERE d.up IS NOT NULL")
+def j13_provenance(spark, folder):
+    f = ladder(spark, folder)
+    return G.provenance(f, f, F.col("superseded_at").isNull())
+
+
+@query(f"{WITH} SELECT assertion_id, (SELECT count(*) FROM facts) AS total, (SELECT count(*) FROM facts) > 200 AS truncated FROM (SELECT assertion_id FROM facts ORDER BY predicate IN ('INVESTIGATES', 'CONTROLS') DESC, confidence DESC, assertion_id LIMIT 200)")
+def l7_overview(spark, folder):
+    return G.overview(facts(spark, folder), F.col("predicate").isin("INVESTIGATES", "CONTROLS"), 200)
+
+
+@query(f"{WITH} SELECT subject_id, predicate, 'customer:0' AS object_id, assertion_id AS corrects FROM facts WHERE predicate = 'INVESTIGATES' AND confidence < 0.8 AND object_id <> 'customer:0'")
+def r7_corrections(spark, folder):
+    f = facts(spark, folder)
+    fix = f.where("predicate = 'INVESTIGATES' AND confidence < 0.8").select("assertion_id", "subject_id", "predicate", F.lit("customer:0").alias("object_id"))
+    return L.corrected(f, fix)[0].select("subject_id", "predicate", "object_id", "corrects")
+
+
+@query(f"{WITH}, m AS (SELECT 'doc-' || doc_id AS document_id, 'M-' || (doc_id % 3) AS matter_id FROM documents WHERE doc_id % 4 = 0) SELECT assertion_id, m.matter_id, facts.matter_id AS previous FROM facts JOIN m USING (document_id) WHERE m.matter_id IS DISTINCT FROM facts.matter_id")
+def r10_refile(spark, folder):
+    d = S.read(spark, folder, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.concat(F.lit("M-"), F.col("doc_id") % 3).alias("matter_id"))
+    return L.refile_events(facts(spark, folder), d, F.current_timestamp()).select("assertion_id", "matter_id", "previous")
+
+
+@query("""WITH f AS (SELECT user_id AS document_id, ts, event_id, CASE WHEN event_id % 3 > 0 THEN 'M-' || (event_id % 7) END AS matter_id FROM events), p AS (SELECT document_id, matter_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS k FROM f WHERE matter_id IS NOT NULL) WHERE k = 1)
+SELECT c_custkey AS document_id, CASE WHEN c_custkey % 2 = 0 THEN 'M-x' ELSE p.matter_id END AS matter_id FROM customer LEFT JOIN p ON p.document_id = c_custkey""")
+def r11_resolved_filings(spark, folder):
+    e = S.read(spark, folder, "events")
+    events_ = e.select(F.col("user_id").alias("document_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("M-"), F.col("event_id") % 7)).alias("matter_id"))
+    asked = S.read(spark, folder, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 2 == 0, "M-x").alias("matter_id"))
+    return L.resolved_filing(asked, events_)
+
+
+@query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level FROM d WHERE up IS NULL AND k % 3 = 0 AND NOT closed UNION ALL SELECT d.k, level + 1 FROM w JOIN d ON d.up = w.k WHERE NOT closed) SELECT k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1")
+def r6_retract_document(spark, folder):
+    checkpoints(spark)
+    f = ladder(spark, folder)
+    return L.retract_document(f, F.col("assertion_id").cast("long") % 3 == 0)
+
+
+@query(SQL["g3_related_party_resale"])
+def r16_inference_converges(spark, folder):
+    """Inference over its own earlier conclusions adds nothing: the second run's new rows are appended to the first's."""
+    f = derived.facts(spark, folder, one_tenant=True)
+    first = R.infer([RULE["related_party_resale"]], f).withColumn("key", F.concat_ws("/", "rule_id", "subject_id", "object_id"))
+    return _shown(first.unionByName(L.append_once(first, first.unionByName(first), "key")))
+
+
+@query(f"{WITH} SELECT 'facts' AS layer, count(*) AS n FROM facts WHERE tenant_id <> 't-alpha' UNION ALL SELECT 'metrics', count(*) FROM facts WHERE predicate = 'CONTROLS'")
+def r18_scoped_reset(spark, folder):
+    f = facts(spark, folder)
+    left = L.reset({"facts": f, "metrics": f.where("predicate = 'CONTROLS'")}, "t-alpha", {"facts", "metrics"})
+    count = lambda n: left[n].agg(F.lit(n).alias("layer"), F.count("*").alias("n"))
+    return count("facts").unionByName(count("metrics"))
+
+
+@query(f"WITH {_ASSIGNED} SELECT user_id, matter_id, 'conflict' AS reason FROM s")
+def p15_withheld(spark, folder):
+    return P.withheld(people(spark, folder)[2])
+
+
+@query(f"{WITH} SELECT assertion_id FROM facts WHERE predicate IN ('CONTROLS', 'INVESTIGATES') EXCEPT SELECT assertion_id FROM facts WHERE predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'")
+def j9_walked_without_matched(spark, folder):
+    f = facts(spark, folder)
+    return f.where("predicate IN ('CONTROLS', 'INVESTIGATES')").join(f.where("predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'"), "assertion_id", "left_anti").select("assertion_id")

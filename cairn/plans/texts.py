@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import catalog as C, documents as D, lifecycle as L, scope as P, vectors as V
+from ..operators import catalog as C, documents as D, graph as G, lifecycle as L, scope as P, vectors as V
 from ..sources import derived, tables as S
 from ..sources.derived import FACT_SQL
 from . import warehouse
@@ -240,15 +240,18 @@ def v6_routing_index(spark, folder):
 
 
 def scanned(spark, folder) -> DataFrame:
-    """A scan's rows for the folder's tables, from their schemas."""
-    rows = [("wh", "main", n, k, c, t, False, f"column:wh:main.{n}.{c}") for n in warehouse.NAMES for k, (c, t) in enumerate(S.read(spark, folder, n).dtypes)]
-    return spark.createDataFrame(rows, "source_id string, database string, table string, position int, column string, type string, is_partition boolean, node_id string")
+    """A scan's rows, one for each part: sources, brands as databases, types as tables, names as columns."""
+    p = S.read(spark, folder, "part")
+    source = F.concat(F.lit("s"), F.col("p_partkey") % 5)
+    node = F.concat(F.lit("column:"), source, F.lit(":"), "p_brand", F.lit("."), "p_type", F.lit("."), "p_name")
+    return p.select(source.alias("source_id"), F.col("p_brand").alias("database"), F.col("p_type").alias("table"), F.col("p_size").alias("position"), F.col("p_name").alias("column"), F.lit("string").alias("type"), (F.col("p_size") > 40).alias("is_partition"), node.alias("node_id"))
 
 
-_COLUMNS = "cols AS (SELECT table_name AS t, column_name AS c, 'column:wh:main.' || table_name || '.' || column_name AS node_id FROM information_schema.columns WHERE table_name IN ('" + "', '".join(warehouse.NAMES) + "'))"
+_COLUMNS = """cols AS (SELECT 'source:s' || (p_partkey % 5) AS src, 'table:s' || (p_partkey % 5) || ':' || p_brand || '.' || p_type AS tab, 'column:s' || (p_partkey % 5) || ':' || p_brand || '.' || p_type || '.' || p_name AS col, p_size > 40 AS part FROM part),
+cf AS (SELECT DISTINCT src AS subject_id, 'HAS_TABLE' AS predicate, tab AS object_id FROM cols UNION ALL SELECT DISTINCT tab, 'HAS_COLUMN', col FROM cols UNION ALL SELECT DISTINCT tab, 'PARTITIONED_BY', col FROM cols WHERE part)"""
 
 
-@query(f"WITH {_COLUMNS} SELECT 'source:wh' AS subject_id, 'HAS_TABLE' AS predicate, 'table:wh:main.' || t AS object_id FROM cols GROUP BY t UNION ALL SELECT 'table:wh:main.' || t, 'HAS_COLUMN', node_id FROM cols")
+@query(f"WITH {_COLUMNS} SELECT * FROM cf")
 def s5_catalog_facts(spark, folder):
     return C.facts(scanned(spark, folder)).select("subject_id", "predicate", "object_id")
 
@@ -300,3 +303,43 @@ def s17_safe_names(spark, folder):
 def u5_distinct_by_content(spark, folder):
     d = documents(spark, folder)
     return d.withColumn("k", F.row_number().over(W.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))).where("k = 1").select("doc_id", "lang", "source")
+
+
+@query("SELECT database, count(DISTINCT t)::BIGINT AS tables, count(*) AS columns FROM (SELECT p_brand AS database, p_type AS t FROM part) GROUP BY 1")
+def s6_listing(spark, folder):
+    return C.listing(S.read(spark, folder, "part").select(F.col("p_brand").alias("database"), F.col("p_type").alias("table")))
+
+
+@query("""WITH q AS (SELECT user_id AS question_id, event_type AS metric_id, round((event_id % 97) / 97.0, 6) AS score FROM (SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, metric_id) AS n, lead(score) OVER (PARTITION BY question_id ORDER BY score DESC, metric_id) AS nxt FROM q)
+SELECT question_id, metric_id, score FROM r WHERE n = 1 AND score >= 0.45 AND (nxt IS NULL OR score - nxt >= 0.05)""")
+def v4_candidate_matching(spark, folder):
+    last = S.read(spark, folder, "events").groupBy(F.col("user_id").alias("question_id"), F.col("event_type").alias("metric_id")).agg(F.max("event_id").alias("e"))
+    return V.match_by_candidate(last.select("question_id", "metric_id", F.round((F.col("e") % 97) / 97.0, 6).alias("score")))
+
+
+@query(f"""WITH {_COLUMNS}, q(question_id, term) AS (VALUES (1, 'brand#1'), (2, 'copper')), e AS (SELECT subject_id AS node, object_id AS other FROM cf UNION ALL SELECT object_id, subject_id FROM cf)
+SELECT DISTINCT question_id, node, 1 AS matched, 1.0 AS confidence FROM e, q WHERE contains(lower(regexp_replace(regexp_replace(node, '^[^:]*:', ''), '[-_.]', ' ', 'g') || ' ' || regexp_replace(regexp_replace(other, '^[^:]*:', ''), '[-_.]', ' ', 'g')), term)""")
+def g16_catalog_search(spark, folder):
+    q = spark.createDataFrame([(1, ["brand#1"]), (2, ["copper"])], "question_id int, terms array<string>")
+    return G.catalog_search(C.facts(scanned(spark, folder)), q)
+
+
+@query("""WITH m AS (SELECT DISTINCT 'm' || (p_partkey % 500) AS metric_id, unnest([p_type, p_brand]) AS table_name FROM part WHERE p_partkey % 3 < 2) SELECT * FROM m WHERE table_name IN (SELECT p_type FROM part WHERE p_size > 25)""")
+def j12_metric_lineage(spark, folder):
+    p, k = S.read(spark, folder, "part"), F.col("p_partkey")
+    metrics = p.select(F.concat(F.lit("m"), k % 500).alias("metric_id"), F.array("p_type", "p_brand").alias("tables"), F.when(k % 3 == 0, "approved").when(k % 3 == 2, "draft").alias("status"))
+    return C.lineage(metrics, p.where("p_size > 25").select(F.col("p_type").alias("table_name")))
+
+
+@query("""WITH a AS (SELECT user_id AS who, ts AS "when", event_type AS kind, event_id AS audit_id, props FROM events) SELECT audit_id, who, kind, "when" FROM a ORDER BY "when" DESC, audit_id LIMIT 200""")
+def l9_newest_audit(spark, folder):
+    e = S.read(spark, folder, "events").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("who"), F.col("event_type").alias("kind"), F.col("ts").alias("when"))
+    seen = L.append_once(e.limit(0), e.unionByName(e), "audit_id")
+    return seen.orderBy(F.desc("when"), "audit_id").limit(200)
+
+
+@query("SELECT event_id, list_extract(['hour', 'day', 'week', 'month'], (event_id % 4 + 1)::INTEGER) AS asked, CASE WHEN event_id % 4 IN (1, 3) THEN list_extract(['hour', 'day', 'week', 'month'], (event_id % 4 + 1)::INTEGER) END AS grain FROM events")
+def f21_asked_grains(spark, folder):
+    word = F.array(F.lit("hour"), F.lit("day"), F.lit("week"), F.lit("month"))[(F.col("event_id") % 4).cast("int")]
+    return S.read(spark, folder, "events").select("event_id", word.alias("asked"), T.asked_grain(F.array(F.lit("total"), word), F.array(F.lit("day"), F.lit("month"))).alias("grain"))
