@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ BUCKETS = 1 << 18
 RANK = 128
 OVERSAMPLE = 16
 POWER_STEPS = 2
+BLOCK_ITEMS = 20_000
 BLOCK = 16  # words; a passage is two blocks
 COSINE = 0.3
 LEAK = 0.75  # of the item's words, in order
@@ -187,7 +189,7 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
 
 @dataclass
 class Searcher:
-    """Everything that a task needs to look for the items in texts: bounded by the benchmark's size and BUCKETS x rank."""
+    """Everything that a task needs to look for a block of items in texts: bounded by the block and BUCKETS x rank."""
 
     ids: list
     items: list[list[bytes]]
@@ -276,46 +278,60 @@ class Searcher:
         return found
 
 
-def searcher(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> Searcher:
+def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> list[Searcher]:
+    """One searcher for each block of at most about ``block_items`` items, dealt by a hash; a block is what a task holds at a time."""
     has(docs, "doc_id", "text")
     has(benchmark, "item_id", "text")
     weight = idf(docs)
     table = written(tfidf(benchmark, weight), "benchmark-tfidf")
     basis = randomised_svd(table, rank, min(shuffle_parts(docs.sparkSession), 64))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-    kept = [(i, w) for i, t in zip(items["item_id"].to_pylist(), items["text"].to_pylist(), strict=True) if (w := words_of(t))]
-    buckets, latent = _Buckets(), np.zeros((len(kept), basis.rows.shape[1]), np.float32)
-    for k, (_, w) in enumerate(kept):
-        b, n = np.unique(buckets.many(w), return_counts=True)
-        v = n * np.maximum(weight[b], 1e-6)
-        latent[k] = (v / np.linalg.norm(v)) @ basis.of(b)
-    return Searcher([i for i, _ in kept], [w for _, w in kept], latent, basis, weight, cosine)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
+    n = max(1, -(-items.count() // block_items))
+    out, buckets = [], _Buckets()
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        kept = [(i, w) for i, t in zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True) if (w := words_of(t))]
+        latent = np.zeros((len(kept), basis.rows.shape[1]), np.float32)
+        for j, (_, w) in enumerate(kept):
+            b, times = np.unique(buckets.many(w), return_counts=True)
+            v = times * np.maximum(weight[b], 1e-6)
+            latent[j] = (v / np.linalg.norm(v)) @ basis.of(b)
+        out.append(Searcher([i for i, _ in kept], [w for _, w in kept], latent, basis, weight, cosine))
+    return out
 
 
 TEXTS_AT_ONCE = 200
 
 
-def contamination(docs: DataFrame, found: Searcher) -> DataFrame:
-    """doc_id, contaminated, item_ids (ascending), share and cosine of the best item found."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+def contamination(docs: DataFrame, found: list[Searcher]) -> DataFrame:
+    """doc_id, contaminated, item_ids (ascending), share and cosine of the best item found. The texts pass the blocks of items one after the other."""
+    none = F.lit(None).cast("double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.array().cast("array<long>").alias("item_ids"), none.alias("share"), none.alias("cosine"))
+    schema = "doc_id long, text string, item_ids array<long>, share double, cosine double"
+    for k, s in enumerate(found):
+        rows = rows.mapInArrow(partial(_add_hits, docs.sparkSession.sparkContext.broadcast(s), k + 1 < len(found)), schema)
+    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "share", "cosine")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
-        for b in batches:
-            for k in range(0, b.num_rows, TEXTS_AT_ONCE):
-                some = b.slice(k, TEXTS_AT_ONCE)
-                hits = s.search(some.column(1).to_pylist())
-                best = [max(h.values(), default=(None, None)) for h in hits]
-                ids = [sorted((s.ids[i] for i in h), key=lambda x: (x is not None, x)) for h in hits]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([bool(h) for h in hits]), pa.array(ids, pa.list_(pa.int64())), pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.float64())], ["doc_id", "contaminated", "item_ids", "share", "cosine"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, share double, cosine double")
+def _add_hits(shared, go_on: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    s = shared.value
+    for b in batches:
+        for k in range(0, b.num_rows, TEXTS_AT_ONCE):
+            some = b.slice(k, TEXTS_AT_ONCE)
+            hits = s.search(some.column(1).to_pylist())
+            best, ids = [], []
+            for h, *had in zip(hits, *(some.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+                ids.append(sorted([*had[0], *(s.ids[i] for i in h)], key=lambda x: (x is not None, x or 0)))
+                best.append(max([*h.values(), *([(had[1], had[2])] if had[0] else [])], default=(None, None)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1) if go_on else pa.nulls(some.num_rows, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.float64())], ["doc_id", "text", "item_ids", "share", "cosine"])
 
 
-def without_leaks(docs: DataFrame, found: Searcher) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+def _clean(shared, texts: list[str]) -> np.ndarray:
+    return np.array([not h for k in range(0, len(texts), TEXTS_AT_ONCE) for h in shared.value.search(texts[k : k + TEXTS_AT_ONCE])], bool)
 
-    def keep(texts: list[str]) -> np.ndarray:
-        return np.array([not h for k in range(0, len(texts), TEXTS_AT_ONCE) for h in shared.value.search(texts[k : k + TEXTS_AT_ONCE])], bool)
 
-    return keep_rows(docs, keep)
+def without_leaks(docs: DataFrame, found: list[Searcher]) -> DataFrame:
+    for s in found:
+        docs = keep_rows(docs, partial(_clean, docs.sparkSession.sparkContext.broadcast(s)))
+    return docs

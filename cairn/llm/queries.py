@@ -54,7 +54,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return decontaminate.contamination(docs, decontaminate.searcher(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.contamination(docs, decontaminate.searchers(docs, table(spark, sf_dir, "benchmark")))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

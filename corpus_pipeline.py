@@ -26,7 +26,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.without_leaks(docs, decontaminate.searcher(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.without_leaks(docs, decontaminate.searchers(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

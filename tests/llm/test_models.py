@@ -65,7 +65,7 @@ def test_toxicity_odd_rows(spark):
 @pytest.fixture(scope="module")
 def leaks(spark, sf):
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return docs, items, decontaminate.searcher(docs, items)
+    return docs, items, decontaminate.searchers(docs, items)
 
 
 def test_decontamination_finds_what_the_text_holds(spark, leaks):
@@ -80,7 +80,7 @@ def test_decontamination_finds_what_the_text_holds(spark, leaks):
 
 
 def test_decontamination_paraphrases(spark, leaks):
-    _, items, found = leaks
+    _, items, (found,) = leaks
     texts, want = [], []
     for r in items.collect()[:12]:
         w = r.text.split()
@@ -97,7 +97,7 @@ def test_decontamination_paraphrases(spark, leaks):
 
 def test_latent_space_matches_exact_cosines(spark, leaks):
     """With the rank above the number of items nothing is lost: latent cosines are the TF-IDF cosines."""
-    docs, items, found = leaks
+    docs, items, (found,) = leaks
     assert found.basis.rows.shape[1] <= decontaminate.RANK
     q = found.basis.rows[np.unique(found.basis.at[found.basis.at >= 0])]
     assert np.allclose(q.T @ q, np.eye(q.shape[1]), atol=1e-3)
@@ -115,17 +115,26 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(a, b) == table_[-1, -1]
 
 
+def test_items_in_several_blocks(spark, leaks):
+    docs, items, found = leaks
+    split = decontaminate.searchers(docs, items, block_items=7)
+    assert len(split) > 3
+    rows = lambda f: sorted((r.doc_id, tuple(r.item_ids), r.contaminated) for r in decontaminate.contamination(docs, f).collect())
+    assert rows(split) == rows(found)
+    assert decontaminate.without_leaks(docs, split).count() == decontaminate.without_leaks(docs, found).count()
+
+
 def test_decontamination_odd_rows(spark, leaks):
     found = leaks[2]
     assert not any(r.contaminated for r in decontaminate.contamination(clashing(odd_docs(spark)), found).collect())
     assert decontaminate.contamination(empty_docs(spark), found).count() == 0
     items = "item_id long, text string"
-    nothing = decontaminate.searcher(odd_docs(spark), spark.createDataFrame([], items))
+    nothing = decontaminate.searchers(odd_docs(spark), spark.createDataFrame([], items))
     assert decontaminate.without_leaks(clashing(odd_docs(spark)), nothing).count() == 10
-    nulls = decontaminate.searcher(odd_docs(spark), spark.createDataFrame([(None, PROSE), (1, None), (2, PROSE)], items))
+    nulls = decontaminate.searchers(odd_docs(spark), spark.createDataFrame([(None, PROSE), (1, None), (2, PROSE)], items))
     rows = decontaminate.contamination(odd_docs(spark), nulls).collect()
     assert sorted(r.doc_id for r in rows if r.contaminated) == [5, 6, 6, 7] and all(r.item_ids == [None, 2] for r in rows if r.contaminated)
-    nobody = decontaminate.searcher(empty_docs(spark), spark.createDataFrame([(1, PROSE)], items))
+    nobody = decontaminate.searchers(empty_docs(spark), spark.createDataFrame([(1, PROSE)], items))
     assert decontaminate.contamination(empty_docs(spark), nobody).count() == 0
 
 
