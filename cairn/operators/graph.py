@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import label
 from .scope import SIGNED_OFF
+from .session import checkpoints
 
 FAN_OUT = 12
 LONGEST = 4  # edges of a chain
@@ -41,6 +42,7 @@ def expand(facts: DataFrame, seeds: DataFrame, depth: int, by_document: bool = T
             front = nodes.join(hit, "assertion_id", "left_semi").select("node").distinct().join(known, "node", "left_anti")
             known = known.unionByName(front)
             if hop % 3 == 0:  # long walks: the plan would double with every step
+                checkpoints(facts.sparkSession)
                 front, known, reached = front.checkpoint(), known.checkpoint(), reached.checkpoint()
     return reached
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import approved_confidence, content_id
+from .session import checkpoints
 
 # Document states on the way to being live, the failures on the way, and where a failure is taken up again.
 PATH = ("REGISTERED", "FETCHING", "PARSING", "CHUNKING", "EXTRACTING", "EMBEDDING", "GRAPH_STAGED", "PENDING_REVIEW", "APPROVED", "LIVE")
@@ -71,6 +72,7 @@ def decide(facts: DataFrame, ids: DataFrame, event: str, at: Column, reason: str
 
 def cascade(facts: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
     """assertion_id and level of the current roots and of everything current that rests on them; superseded facts stop a branch. ``facts``: assertion_id, premises, superseded_at."""
+    checkpoints(facts.sparkSession)
     live = facts.where("superseded_at IS NULL")
     rests = live.where(F.size("premises") > 0).select(F.col("assertion_id").alias("child"), F.explode("premises").alias("premise"))
     front = roots.select("assertion_id").distinct().join(live.select("assertion_id"), "assertion_id", "left_semi").withColumn("level", F.lit(0))

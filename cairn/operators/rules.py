@@ -70,8 +70,6 @@ def walk(facts: DataFrame, premise: Premise) -> DataFrame:
         step = edge.select(F.col("s").alias("o"), F.col("o").alias("next"), F.col("f"))
         level = level.join(step, "o").where(~F.array_contains("seen", F.col("next"))).select("s", F.col("next").alias("o"), F.concat("used", F.array("f")).alias("used"), F.concat("seen", F.array("next")).alias("seen"))
         levels.append(level)
-    if premise.hops == 1:
-        levels = [level.where("TRUE")]
     return reduce(DataFrame.unionByName, levels).where(_kind("o", premise.object_kind)).select("s", "o", "used")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import graph as G, lifecycle as L, rules as R, scope as P
-from ..operators.session import checkpoints
 from ..sources import derived, tables as S
 from ..sources.derived import FACT_SQL
 
@@ -395,7 +394,6 @@ def ladder(spark, folder) -> DataFrame:
 @query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level FROM d WHERE k % 16 = 1 AND NOT closed UNION ALL SELECT d.k, level + 1 FROM w JOIN d ON d.up = w.k WHERE NOT closed) SELECT k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1")
 def r5_cascade(spark, folder):
     f = ladder(spark, folder)
-    checkpoints(spark)
     return L.cascade(f, f.where("CAST(assertion_id AS BIGINT) % 16 = 1"))
 
 
@@ -547,7 +545,6 @@ def r11_resolved_filings(spark, folder):
 
 @query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level FROM d WHERE up IS NULL AND k % 3 = 0 AND NOT closed UNION ALL SELECT d.k, level + 1 FROM w JOIN d ON d.up = w.k WHERE NOT closed) SELECT k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1")
 def r6_retract_document(spark, folder):
-    checkpoints(spark)
     f = ladder(spark, folder)
     return L.retract_document(f, F.col("assertion_id").cast("long") % 3 == 0)
 
