@@ -116,3 +116,14 @@ def ordered_ends(subject: Column, object_: Column, symmetric: Column) -> tuple[C
 def described(*parts: Column) -> Column:
     """Routing text: the parts that say something, as sentences."""
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (F.length(F.trim(p)) > 0)), ". ")
+
+
+def layer_reason(layer: Column, hits: Column, selected: Column) -> Column:
+    """Why a layer was or wasn't chosen, as a sentence."""
+    many = F.when(hits == 1, "hit").otherwise("hits")
+    return F.concat(layer.cast("string"), F.lit(": "), hits.cast("string"), F.lit(" "), many, F.when(selected, ", near the best layer").otherwise(", behind the best layer"))
+
+
+def class_reason(cls: Column) -> Column:
+    """What stands behind a fact of a class."""
+    return F.when(cls == "DECLARED", "stated by a system of record or a person").when(cls == "EXTRACTED_DET", "found by a fixed rule").when(cls == "EXTRACTED_MODEL", "read by a model").when(cls == "INFERRED", "derived by a rule").when(cls == "PREDICTED", "a prediction").otherwise("unknown")

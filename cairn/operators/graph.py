@@ -195,3 +195,10 @@ def overview(facts: DataFrame, governing: Column, cap: int) -> DataFrame:
     total = facts.agg(F.count("*").alias("total"))
     top = facts.orderBy(governing.desc(), F.desc("confidence"), "assertion_id").limit(cap).select("assertion_id")
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > cap)
+
+
+def repaired(answers: DataFrame, surviving: DataFrame) -> DataFrame:
+    """Answers (answer_id, used) with only those of their citations that survive, sorted; an answer without any is kept, empty."""
+    kept = answers.select("answer_id", F.explode("used").alias("assertion_id")).join(surviving.select("assertion_id"), "assertion_id", "left_semi")
+    lists = kept.groupBy("answer_id").agg(F.array_sort(F.collect_set("assertion_id")).alias("kept"))
+    return answers.select("answer_id").join(lists, "answer_id", "left").select("answer_id", F.coalesce("kept", F.array().cast("array<string>")).alias("used"))

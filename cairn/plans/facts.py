@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import class_reason
 from ..operators import graph as G, lifecycle as L, rules as R, scope as P
 from ..sources import derived, tables as S
 from ..sources.derived import FACT_SQL
@@ -574,3 +575,21 @@ def p15_withheld(spark, folder):
 def j9_walked_without_matched(spark, folder):
     f = facts(spark, folder)
     return f.where("predicate IN ('CONTROLS', 'INVESTIGATES')").join(f.where("predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'"), "assertion_id", "left_anti").select("assertion_id")
+
+
+@query(f"{WITH}, ok AS (SELECT assertion_id FROM facts WHERE confidence >= 0.85 AND superseded_at IS NULL) SELECT 'doc-' || doc_id AS answer_id, coalesce((SELECT string_agg(assertion_id, ',' ORDER BY assertion_id) FROM facts WHERE document_id = 'doc-' || doc_id AND assertion_id IN (FROM ok)), '') AS used FROM documents WHERE 'doc-' || doc_id IN (SELECT document_id FROM facts WHERE document_id IS NOT NULL)")
+def j11_citation_repair(spark, folder):
+    f = facts(spark, folder)
+    answers = f.where("document_id IS NOT NULL").groupBy(F.col("document_id").alias("answer_id")).agg(F.collect_list("assertion_id").alias("used"))
+    return G.repaired(answers, f.where("confidence >= 0.85 AND superseded_at IS NULL")).select("answer_id", F.array_join("used", ",").alias("used"))
+
+
+@query(f"{WITH} SELECT assertion_id, CASE epistemic_class WHEN 'DECLARED' THEN 'stated by a system of record or a person' ELSE 'read by a model' END AS reason FROM facts")
+def f22_class_reasons(spark, folder):
+    return facts(spark, folder).select("assertion_id", class_reason(F.col("epistemic_class")).alias("reason"))
+
+
+@query(f"{WITH} SELECT assertion_id FROM facts WHERE predicate = 'CONTROLS' AND subject_id LIKE 'customer:%' OR predicate = 'SUPPLIED_BY'")
+def p11_catalog_claims(spark, folder):
+    f = facts(spark, folder).withColumn("predicate", F.expr("CASE predicate WHEN 'CONTROLS' THEN 'CONCERNS_TOPIC' WHEN 'SUPPLIED_BY' THEN 'DESCRIBED_AS' ELSE predicate END"))
+    return f.withColumn("subject_id", F.regexp_replace("subject_id", "^customer:", "table:")).where(P.catalog_claim()).select("assertion_id")

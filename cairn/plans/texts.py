@@ -343,3 +343,21 @@ def l9_newest_audit(spark, folder):
 def f21_asked_grains(spark, folder):
     word = F.array(F.lit("hour"), F.lit("day"), F.lit("week"), F.lit("month"))[(F.col("event_id") % 4).cast("int")]
     return S.read(spark, folder, "events").select("event_id", word.alias("asked"), T.asked_grain(F.array(F.lit("total"), word), F.array(F.lit("day"), F.lit("month"))).alias("grain"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 40 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def s12_vector_delete(spark, folder):
+    gone = documents(spark, folder).where("doc_id % 3 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"))
+    return V.deleted(vectors(spark, folder), gone).select("vec_id")
+
+
+@query("SELECT label || ': ' || count(*) || CASE WHEN count(*) = 1 THEN ' hit' ELSE ' hits' END || CASE WHEN count(*) > 50 THEN ', near the best layer' ELSE ', behind the best layer' END AS reason FROM embeddings GROUP BY label")
+def f22_layer_reasons(spark, folder):
+    n = vectors(spark, folder).groupBy("label").agg(F.count("*").alias("n"))
+    return n.select(T.layer_reason(F.col("label"), F.col("n"), F.col("n") > 50).alias("reason"))
+
+
+@query(r"""SELECT url, regexp_extract(url, '^([^:]*):', 1) AS scheme, lower(split_part(url, '/', 3)) AS host FROM pages""")
+def f14_page_parts(spark, folder):
+    p = S.read(spark, folder, "pages")
+    return p.select("url", T.kind(F.col("url")).alias("scheme"), F.lower(F.split("url", "/")[2]).alias("host"))
