@@ -23,8 +23,9 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, starts: np.
     squeeze = zstandard.ZstdCompressor(level=level)
     parts, zeros = {"docs": doc_ids.astype("<i8").tobytes(), "nulls": np.packbits(doc_null.astype(bool)).tobytes(), "starts": starts.astype("<u4").tobytes()}, []
     order = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    spare = np.empty_like(order)
     for k in range(bits):
-        bit = (order >> (bits - 1 - k) & 1).astype(bool)
+        bit = (order & order.dtype.type(1 << (bits - 1 - k))).astype(bool)
         packed = np.packbits(bit, bitorder="little")
         padded = np.zeros(-(-len(packed) // 64) * 64, np.uint8)
         padded[: len(packed)] = packed
@@ -33,7 +34,9 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, starts: np.
         np.cumsum(ones, out=rank[1:])
         parts[f"p{k}"], parts[f"r{k}"] = packed.tobytes(), rank.tobytes()
         zeros.append(int(len(order) - rank[-1]))
-        order = np.concatenate([order[~bit], order[bit]])
+        np.compress(~bit, order, out=spare[: zeros[-1]])
+        np.compress(bit, order, out=spare[zeros[-1] :])
+        order, spare = spare, order
     frames = {k: squeeze.compress(v) for k, v in parts.items()}
     where, at = {}, 0
     for k, v in frames.items():
