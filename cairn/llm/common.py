@@ -50,6 +50,17 @@ def bounded_rows(df: DataFrame, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
+BATCH_ROWS = 500
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts are long, and a batch is in memory on both sides."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import has, shuffle_parts, text_of, written
+from .common import has, in_arrow, shuffle_parts, text_of, written
 from .toxicity import keep_rows
 
 BUCKETS = 1 << 18
@@ -43,7 +43,7 @@ LEAK = 0.75  # of the item's words, in order
 PARAPHRASE = 0.5  # of them, when the answer is there too
 ANSWER_WORDS = 5
 ANSWER = 0.8  # of the answer's words, in order
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _PUNCTUATION = bytes(32 if (33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) else b for b in range(256))
 
 
@@ -78,7 +78,7 @@ def idf(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(seen[at[k : k + 50_000]])], ["bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n])], ["bucket", "n"])
 
-    got = docs.select(text_of().alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows
+    got = in_arrow(docs.select(text_of().alias("text")), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows
     at, n = got["bucket"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(BUCKETS)
     df[at[at >= 0]] = n[at >= 0]
@@ -101,7 +101,7 @@ def tfidf(items: DataFrame, weight: np.ndarray) -> DataFrame:
                     ws.append(w / np.linalg.norm(w))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bs, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float64()))], ["item_id", "b", "w"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).mapInArrow(run, "item_id long, b array<long>, w array<double>")
+    return in_arrow(items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")), run, "item_id long, b array<long>, w array<double>")
 
 
 def _signs(buckets: np.ndarray, k: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _back_product(table: DataFrame, right, parts: int) -> tuple[np.ndarray, np.n
         np.add.at(out, to, np.stack([np.frombuffer(v) for v in pdf["v"]]))
         return pd.DataFrame({"bucket": at, "v": [v.tobytes() for v in out]})
 
-    summed = table.select("b", "w").mapInArrow(run, "bucket long, v binary").groupBy((F.col("bucket") % parts).alias("group")).applyInPandas(add, "bucket long, v binary")
+    summed = in_arrow(table.select("b", "w"), run, "bucket long, v binary").groupBy((F.col("bucket") % parts).alias("group")).applyInPandas(add, "bucket long, v binary")
     got = summed.toArrow().sort_by([("bucket", "ascending")])
     return got["bucket"].to_numpy(), np.stack([np.frombuffer(v) for v in got["v"].to_pylist()]) if got.num_rows else np.zeros((0, 0))
 
@@ -310,7 +310,7 @@ def contamination(docs: DataFrame, found: list[Searcher]) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.array().cast("array<long>").alias("item_ids"), none.alias("share"), none.alias("cosine"))
     schema = "doc_id long, text string, item_ids array<long>, share double, cosine double"
     for k, s in enumerate(found):
-        rows = rows.mapInArrow(partial(_add_hits, docs.sparkSession.sparkContext.broadcast(s), k + 1 < len(found)), schema)
+        rows = in_arrow(rows, partial(_add_hits, docs.sparkSession.sparkContext.broadcast(s), k + 1 < len(found)), schema)
     return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "share", "cosine")
 
 

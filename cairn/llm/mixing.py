@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_rows, has, plain_words, text_of, written
+from .common import bounded_rows, has, in_arrow, plain_words, text_of, written
 
 MAX_LABELLED = 8000
 MAX_WORDS = 50_000
@@ -35,7 +35,7 @@ SMOOTHING = 0.7
 STEPS = 40
 TOLERANCE = 1e-3
 SHARPNESS = 12.0  # as many words as a text's mean log likelihood counts for, so that posteriors stay soft
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -91,7 +91,7 @@ def posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
             draw = [_draw(d, t) for d, t in zip(b.column(0).to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(draw, pa.float64()), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], ["doc_id", "draw", "n", "p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, draw double, n long, p array<double>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, draw double, n long, p array<double>")
 
 
 def _draw(doc_id, text: str) -> float:
@@ -114,7 +114,7 @@ def _totals(narrow: DataFrame, k: int, history: list[np.ndarray], bounds: tuple[
             total += (replay(p, history, bounds) * b.column(0).to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(k)])
 
-    row = narrow.select("n", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(k)]).first()
+    row = in_arrow(narrow.select("n", "p"), run, ", ".join(f"s{i} double" for i in range(k))).agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(k)]).first()
     return np.array(row)
 
 
@@ -168,7 +168,7 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, shares: dict[str, float] | N
             copies = np.floor(r + b.column(1).to_numpy()).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([domains.names[t] for t in top], pa.string()), pa.array(p[np.arange(len(p)), top]), pa.array(r), pa.array(copies)], ["doc_id", "n_tokens", "domain", "posterior", "rate", "copies"])
 
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior double, rate double, copies long"), mix
+    return in_arrow(narrow, run, "doc_id long, n_tokens long, domain string, posterior double, rate double, copies long"), mix
 
 
 def resampled(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -185,4 +185,4 @@ def resampled(docs: DataFrame, mix: Mix) -> DataFrame:
             for k in range(int(copies.max(initial=0))):  # one copy of each row at a time
                 yield b.filter(pa.array(copies > k))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import has, text_of
+from .common import has, in_arrow, text_of
 
 MIN_WORDS = 8  # words of the shortest repeat that counts
 MAX_COVERED = 0.3  # of the words
@@ -149,7 +149,7 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
                 rows = measures(some.column(1).to_pylist(), min_words)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(len(COLUMNS)))], ["doc_id", *COLUMNS])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
+    found = in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
     return found.withColumn("base_failed", base).withColumn("kept", ~base & good)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import bitslice
-from .common import has, shuffle_parts, text_of, written
+from .common import has, in_arrow, shuffle_parts, text_of, written
 from .components import components
 
 SEED = 42
@@ -116,7 +116,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, sketch: bool =
             done = [fingerprint(t.as_py(), words, lanes, sketch) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp binary, keys array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")), run, "doc_id long, text_hash long, fp binary, keys array<long>")
 
 
 def _keyed(prints: DataFrame, blocks: int, radius: int, lanes: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _keyed(prints: DataFrame, blocks: int, radius: int, lanes: int) -> DataFrame
             keys = _mask_keys(fp, chosen)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * len(chosen)), pa.array(keys.reshape(-1)))], ["fp", "keys"])
 
-    return prints.select("fp").mapInArrow(run, "fp binary, keys array<long>")
+    return in_arrow(prints.select("fp"), run, "fp binary, keys array<long>")
 
 
 def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
@@ -167,8 +167,8 @@ def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
             held_fp.append(fp)
             held_key.append(key)
             kept += len(fp)
-            if kept < 50_000 and (key[0] == key[-1]).all():
-                continue  # one group fills the batch; groups are bounded
+            if kept < 20_000:
+                continue  # more at once is faster; groups are bounded
             fp, key = np.concatenate(held_fp), np.concatenate(held_key)
             new = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
             last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
@@ -179,7 +179,7 @@ def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
             fp, key = np.concatenate(held_fp), np.concatenate(held_key)
             yield from solve(fp, np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])))
 
-    return dealt.select("fp", "key", "i", "j").mapInArrow(compare, "a binary, b binary").distinct()
+    return in_arrow(dealt.select("fp", "key", "i", "j"), compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, blocks: int = 6, sketch: bool = False) -> DataFrame:

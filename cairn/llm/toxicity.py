@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_rows, has, plain_words, text_of, written
+from .common import bounded_rows, has, in_arrow, plain_words, text_of, written
 
 #: Categories in the chain's order, as conditions on the label table's columns. The last one decides.
 CATEGORIES = {"toxic_junk": "toxic = 1 AND quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
@@ -36,7 +36,7 @@ TIMES = (1, 2, 4)  # occurrences at which a feature counts
 FOLDS = 5
 THRESHOLD = 0.5
 PREFIXES = (3, 4, 5, 6, 7)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([chain.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), *(b.column(k) for k in range(1, b.num_columns))], ["x", "doc_id", "fold", *ys])
 
-    got = sample.select("text", "doc_id", "fold", *ys).mapInArrow(encode, "x array<int>, doc_id long, fold int, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by([("doc_id", "ascending")])
+    got = in_arrow(sample.select("text", "doc_id", "fold", *ys), encode, "x array<int>, doc_id long, fold int, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by([("doc_id", "ascending")])
     labels_ = np.column_stack([got[y].to_numpy() for y in ys]).astype(float)
     chain.weights = train_chain(got["x"].to_pylist(), labels_, np.array(class_weight)[labels_[:, -1].astype(int)], got["fold"].to_numpy(), len(TIMES) * len(known))
     return chain
@@ -205,7 +205,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             p = chain.score([chain.features(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], ["doc_id", *cols, "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in cols) + ", toxic boolean")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, " + ", ".join(f"{c} double" for c in cols) + ", toxic boolean")
 
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
@@ -216,7 +216,7 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str]], np.ndarray]) -> DataF
         for b in batches:
             yield b.filter(pa.array(np.asarray(keep([t or "" for t in b.column(at).to_pylist()]), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def without_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
