@@ -1,17 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the weights (idf).
-2. The benchmark's passages form a TF-IDF table. A randomised SVD finds its leading right singular vectors: one product with a
-   random sign matrix, orthonormalised through a small Gram matrix, refined by power steps. Rows stay in DataFrames;
-   only rank x rank matrices and the bounded basis (hashed words x rank) reach the driver.
+2. The benchmark is dealt into blocks of about ``RANK`` TF-IDF rows: each item, and the passages of items of over ``LONG`` words. A
+   randomised SVD of each block (a product with a random sign matrix, orthonormalised, refined by power steps) finds its right
+   singular vectors. The rank is the block's number of rows, so that its rows lie in the latent space and lose nothing in it,
+   however many items the benchmark has.
 3. Every document is cut into overlapping passages of 32 words. A passage's latent vector is a sum of word vectors, so blocks of
    16 words are added once and pairs of neighbours make the passages. A passage whose part in the latent space is below
-   the cosine threshold is dropped before it is compared with any item.
+   the cosine threshold is dropped before it is compared with any item. A passage that holds most of an item's own weight is
+   compared too, as common words between rare ones have a small cosine.
 4. Candidates are checked in the text: the longest common subsequence of the item's words and the words around the passage. Most of the
    item in order is a leak; a paraphrase with less needs the item's answer (its last words) as well.
 
 The rank is spent on the benchmark's own passages, as the corpus' leading directions are its commonest words, which tell no
-item from another; the corpus decides the weights.
+item from another; the corpus decides the weights. A task holds ``GROUP`` blocks at a time and reads its texts' words once for them; further
+groups are passes of their own, put together by the texts' digests.
 
 Defined results: a null or empty text is clean; an item without words is never found; repeated items are reported by each id; null ids
 are reported as nulls; a null ``doc_id`` stays null; repeated rows stay rows; an empty benchmark leaves all clean; other columns are
@@ -23,22 +26,24 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import has, in_arrow, shuffle_parts, text_of, written
+from .common import has, in_arrow, text_of, written
 from .toxicity import keep_rows
 
 BUCKETS = 1 << 18
-RANK = 128
+RANK = 256  # rows of a block, about: the rank is their number
 OVERSAMPLE = 16
 POWER_STEPS = 2
-BLOCK_ITEMS = 20_000
+GROUP = 16  # blocks of items that a task holds
 BLOCK = 16  # words; a passage is two blocks
+LONG = 4 * BLOCK  # words; longer items are looked for by their passages too
 COSINE = 0.3
+HELD = 0.75  # of an item's weight inside a passage: found among any words, however rare those are
 LEAK = 0.75  # of the item's words, in order
 PARAPHRASE = 0.5  # of them, when the answer is there too
 ANSWER_WORDS = 5
@@ -85,23 +90,19 @@ def idf(docs: DataFrame) -> np.ndarray:
     return np.log((n[at < 0].sum() + 1) / (df + 1)).astype(np.float32)
 
 
-def tfidf(items: DataFrame, weight: np.ndarray) -> DataFrame:
-    """item_id, b (buckets), w (weights of unit length in all); one row per item with words."""
+def passages_of(item: list[bytes]) -> list[list[bytes]]:
+    """The item, and where it is long its even pieces of at most a passage."""
+    n = -(-len(item) // (2 * BLOCK)) if len(item) > LONG else 0
+    edges = [len(item) * k // n for k in range(n + 1)] if n else []
+    return [item, *(item[i:j] for i, j in zip(edges, edges[1:], strict=False))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets()
-        for batch in batches:
-            ids, bs, ws = [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b, n = np.unique(buckets.many(words_of(t)), return_counts=True)
-                w = n * np.maximum(weight[b], 1e-6)
-                if len(b):
-                    ids.append(i)
-                    bs.append(b)
-                    ws.append(w / np.linalg.norm(w))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bs, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.float64()))], ["item_id", "b", "w"])
 
-    return in_arrow(items.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")), run, "item_id long, b array<long>, w array<double>")
+def tfidf(words: list[bytes], weight: np.ndarray, buckets: _Buckets) -> tuple[np.ndarray, np.ndarray, float]:
+    """Buckets and their weights, of unit length in all; the length before."""
+    b, n = np.unique(buckets.many(words), return_counts=True)
+    w = n * np.maximum(weight[b], 1e-6)
+    size = float(np.linalg.norm(w))
+    return b, w / size, size
 
 
 def _signs(buckets: np.ndarray, k: int) -> np.ndarray:
@@ -126,51 +127,23 @@ class Basis:
         return out
 
 
-def _back_product(table: DataFrame, right, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets, and rows of A^T (A right): summed in tasks, then by bucket; at most BUCKETS rows of the rank come back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, w in zip(batch.column(0), batch.column(1), strict=True):
-                b, w = b.values.to_numpy(), w.values.to_numpy()
-                y = w @ right(b)
-                for one, weight in zip(b.tolist(), w, strict=True):
-                    total[one] = total[one] + weight * y if one in total else weight * y
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["bucket", "v"])
-
-    def add(pdf):
-        import pandas as pd
-
-        at, to = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
-        out = np.zeros((len(at), len(np.frombuffer(pdf["v"].iloc[0]))))
-        np.add.at(out, to, np.stack([np.frombuffer(v) for v in pdf["v"]]))
-        return pd.DataFrame({"bucket": at, "v": [v.tobytes() for v in out]})
-
-    summed = in_arrow(table.select("b", "w"), run, "bucket long, v binary").groupBy((F.col("bucket") % parts).alias("group")).applyInPandas(add, "bucket long, v binary")
-    got = summed.toArrow().sort_by([("bucket", "ascending")])
-    return got["bucket"].to_numpy(), np.stack([np.frombuffer(v) for v in got["v"].to_pylist()]) if got.num_rows else np.zeros((0, 0))
-
-
-def randomised_svd(table: DataFrame, rank: int = RANK, parts: int = 12) -> Basis:
-    """The leading right singular vectors of the TF-IDF table's rows."""
-    k = rank + OVERSAMPLE
-    right = lambda b: _signs(b, k)
-    basis = Basis(np.full(BUCKETS, -1), np.zeros((1, 0)))
-    for step in range(POWER_STEPS + 1):
-        buckets, z = _back_product(table, right, parts)
-        if not len(buckets):
-            return Basis(np.full(BUCKETS, -1), np.zeros((1, 1), np.float32))
-        size, turn = np.linalg.eigh(z.T @ z)
-        good = size > size[-1] * 1e-10
-        # Rows of an orthonormal basis, strongest directions first; after the last step only the rank that was asked for
-        q = (z @ turn[:, good] / np.sqrt(size[good]))[:, ::-1]
-        at = np.full(BUCKETS, -1)
-        at[buckets] = np.arange(len(buckets))
-        basis = Basis(at, np.ascontiguousarray(q[:, :rank] if step == POWER_STEPS else q))
-        right = basis.of
-    return Basis(basis.at, basis.rows.astype(np.float32))
+def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> Basis:
+    """The leading right singular vectors of a block's TF-IDF rows; with a rank of their number, all of them."""
+    at = np.full(BUCKETS, -1, np.int32)
+    if not rows:
+        return Basis(at, np.zeros((1, 1), np.float32))
+    seen = np.unique(np.concatenate([b for b, _ in rows]))
+    at[seen] = np.arange(len(seen))
+    table = np.zeros((len(rows), len(seen)))
+    for line, (b, w) in zip(table, rows, strict=True):
+        line[at[b]] = w
+    q = _signs(seen, rank + OVERSAMPLE)
+    for _ in range(POWER_STEPS + 1):
+        q = np.linalg.qr(table.T @ np.linalg.qr(table @ q)[0])[0]
+    _, size, turn = np.linalg.svd(table @ q, full_matrices=False)
+    # strongest directions first
+    q = q @ turn[size > size[0] * 1e-6].T
+    return Basis(at, np.ascontiguousarray(q[:, :rank]).astype(np.float32))
 
 
 def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
@@ -187,15 +160,39 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - row.bit_count()
 
 
+class Passages:
+    """The words of some texts in blocks: what does not depend on the items looked for."""
+
+    def __init__(self, words: list[list[bytes]], weight: np.ndarray, buckets: _Buckets):
+        size = np.array([len(w) for w in words], np.int64)
+        blocks = -(-size // BLOCK)
+        self.first = np.cumsum(blocks) - blocks
+        self.bucket = buckets.many([w for ws in words for w in ws])
+        doc = np.repeat(np.arange(len(words)), size)
+        pos = np.arange(len(self.bucket)) - np.repeat(np.cumsum(size) - size, size)
+        self.block = self.first[doc] + pos // BLOCK
+        self.weight = weight[self.bucket]
+        self.n = n = int(blocks.sum())
+        energy = np.bincount(self.block, self.weight.astype(float) ** 2, n)
+        self.owner = np.repeat(np.arange(len(words)), blocks)
+        self.joined = np.zeros(n, bool)
+        self.joined[:-1] = self.owner[1:] == self.owner[:-1]
+        self.two = np.flatnonzero(self.joined)
+        self.energy = energy.copy()  # of passages
+        self.energy[self.two] += energy[self.two + 1]
+
+
 @dataclass
 class Searcher:
-    """Everything that a task needs to look for a block of items in texts: bounded by the block and BUCKETS x rank."""
+    """Everything that a task needs to look for a block of items in texts: bounded by the block's rows and their words."""
 
     ids: list
     items: list[list[bytes]]
-    latent: np.ndarray  # items x rank, of the items' unit vectors
+    of: np.ndarray  # the item of each row
+    latent: np.ndarray  # rows x rank, of the unit vectors of items and passages
     basis: Basis
     weight: np.ndarray
+    sizes: np.ndarray  # of the rows' vectors before they were made unit vectors
     cosine: float = COSINE
     _lengths: np.ndarray | None = None
     buckets: _Buckets = field(default_factory=_Buckets, repr=False)
@@ -214,29 +211,17 @@ class Searcher:
         self.__dict__ |= state
         self.buckets = _Buckets()
 
-    def candidates(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, words: list[list[bytes]], read: Passages | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word, item and cosine of the passages within the threshold, best first."""
-        size = np.array([len(w) for w in words])
-        blocks = -(-size // BLOCK)
-        first = np.cumsum(blocks) - blocks
-        bucket = self.buckets.many([w for ws in words for w in ws])
-        doc = np.repeat(np.arange(len(words)), size)
-        pos = np.arange(len(bucket)) - np.repeat(np.cumsum(size) - size, size)
-        block = first[doc] + pos // BLOCK
-        weight = self.weight[bucket]
-        n = int(blocks.sum())
-        energy = np.bincount(block, weight.astype(float) ** 2, n)
+        read = read or Passages(words, self.weight, self.buckets)
+        first, bucket, block, weight, n = read.first, read.bucket, read.block, read.weight, read.n
+        owner, joined, two, whole_energy = read.owner, read.joined, read.two, read.energy
         row = self.basis.at[bucket]
-        owner = np.repeat(np.arange(len(words)), blocks)
-        joined = np.zeros(n, bool)
-        joined[:-1] = owner[1:] == owner[:-1]
-        two = np.flatnonzero(joined)
-        whole_energy = energy.copy()
-        whole_energy[two] += energy[two + 1]
         # a sum of vectors is no longer than the sum of their lengths: most passages end here, before any vector is added
         bound = np.bincount(block, weight * np.where(row >= 0, self.lengths[row], 0.0), n)
         bound[two] += bound[two + 1].copy()
-        may = bound**2 >= self.cosine**2 * whole_energy
+        least = np.minimum(self.cosine**2 * np.maximum(whole_energy, 1e-9), (HELD * self.sizes.min(initial=np.inf)) ** 2)
+        may = bound**2 >= least
         needed = may.copy()
         needed[1:] |= may[:-1] & joined[:-1]
         known = np.flatnonzero((row >= 0) & needed[block])
@@ -248,14 +233,15 @@ class Searcher:
         whole = latent.copy()
         whole[two] += latent[two + 1]
         near = np.flatnonzero(may)
-        near = near[(whole[near] ** 2).sum(1) >= self.cosine**2 * np.maximum(whole_energy[near], 1e-9)]
+        near = near[(whole[near] ** 2).sum(1) >= least[near]]
         out = []
         for k in range(0, len(near), 4096):
             some = near[k : k + 4096]
             for j in range(0, len(self.latent), 4096):
-                cos = whole[some] @ self.latent[j : j + 4096].T / np.sqrt(np.maximum(whole_energy[some], 1e-9))[:, None]
-                p, i = np.nonzero(cos >= self.cosine)
-                out.append((some[p], i + j, cos[p, i]))
+                part = whole[some] @ self.latent[j : j + 4096].T
+                cos = part / np.sqrt(np.maximum(whole_energy[some], 1e-9))[:, None]
+                p, i = np.nonzero((cos >= self.cosine) | (part >= HELD * self.sizes[j : j + 4096]))
+                out.append((some[p], self.of[i + j], cos[p, i]))
         if not out:
             return (np.zeros(0, int),) * 4
         p, i, c = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -265,9 +251,11 @@ class Searcher:
 
     def search(self, texts: list[str]) -> list[dict[int, tuple[float, float]]]:
         """For each text the items found: number -> (share of the item's words, cosine)."""
-        words = [words_of(t) for t in texts]
-        found: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-        for d, at, i, c in zip(*(x.tolist() for x in self.candidates(words)), strict=True):
+        return self.look([words_of(t) for t in texts])
+
+    def look(self, words: list[list[bytes]], read: Passages | None = None) -> list[dict[int, tuple[float, float]]]:
+        found: list[dict[int, tuple[float, float]]] = [{} for _ in words]
+        for d, at, i, c in zip(*(x.tolist() for x in self.candidates(words, read)), strict=True):
             if i in found[d]:
                 continue
             item = self.items[i]
@@ -278,60 +266,98 @@ class Searcher:
         return found
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = BLOCK_ITEMS) -> list[Searcher]:
-    """One searcher for each block of at most about ``block_items`` items, dealt by a hash; a block is what a task holds at a time."""
+def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = RANK) -> list[Searcher]:
+    """One searcher for each block of about ``rank`` rows and at most about ``block_items`` items, dealt by a hash."""
     has(docs, "doc_id", "text")
     has(benchmark, "item_id", "text")
     weight = idf(docs)
-    table = written(tfidf(benchmark, weight), "benchmark-tfidf")
-    basis = randomised_svd(table, rank, min(shuffle_parts(docs.sparkSession), 64))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
-    n = max(1, -(-items.count() // block_items))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"), F.xxhash64("item_id", "text").alias("hash"))
+    got = items.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])  # the benchmark's items, which the searchers hold
+    kept = [(i, w, h) for i, t, h in zip(*(got[c].to_pylist() for c in ("item_id", "text", "hash")), strict=True) if (w := words_of(t))]
+    lines = sum(len(passages_of(w)) for _, w, _ in kept)
+    n = max(1, -(-lines // rank), -(-len(kept) // block_items))
+    dealt: list[list[tuple]] = [[] for _ in range(n)]
+    for i, w, h in kept:
+        dealt[h % n].append((i, w))
     out, buckets = [], _Buckets()
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = part.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        kept = [(i, w) for i, t in zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True) if (w := words_of(t))]
-        latent = np.zeros((len(kept), basis.rows.shape[1]), np.float32)
-        for j, (_, w) in enumerate(kept):
-            b, times = np.unique(buckets.many(w), return_counts=True)
-            v = times * np.maximum(weight[b], 1e-6)
-            latent[j] = (v / np.linalg.norm(v)) @ basis.of(b)
-        out.append(Searcher([i for i, _ in kept], [w for _, w in kept], latent, basis, weight, cosine))
+    for some in dealt:
+        rows = [(j, tfidf(p, weight, buckets)) for j, (_, w) in enumerate(some) for p in passages_of(w)]
+        basis = randomised_svd([r[:2] for _, r in rows], len(rows))
+        latent = np.zeros((len(rows), basis.rows.shape[1]), np.float32)
+        for k, (_, (b, w, _)) in enumerate(rows):
+            latent[k] = w @ basis.of(b)
+        out.append(Searcher([i for i, _ in some], [w for _, w in some], np.array([j for j, _ in rows], np.int64), latent, basis, weight, np.array([r[2] for _, r in rows], np.float32), cosine))
     return out
 
 
 TEXTS_AT_ONCE = 200
+_HIT = "item_ids array<long>, share double, cosine double"
 
 
-def contamination(docs: DataFrame, found: list[Searcher]) -> DataFrame:
-    """doc_id, contaminated, item_ids (ascending), share and cosine of the best item found. The texts pass the blocks of items one after the other."""
-    none = F.lit(None).cast("double")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.array().cast("array<long>").alias("item_ids"), none.alias("share"), none.alias("cosine"))
-    schema = "doc_id long, text string, item_ids array<long>, share double, cosine double"
-    for k, s in enumerate(found):
-        rows = in_arrow(rows, partial(_add_hits, docs.sparkSession.sparkContext.broadcast(s), k + 1 < len(found)), schema)
-    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "share", "cosine")
+def _groups(spark, found: list[Searcher]) -> list:
+    return [spark.sparkContext.broadcast(found[k : k + GROUP]) for k in range(0, len(found), GROUP)]
+
 
+def _found_in(group: list[Searcher], texts: list[str]) -> Iterator[tuple[list, tuple]]:
+    """For each text the items' ids and the share and cosine of the best one."""
+    for k in range(0, len(texts), TEXTS_AT_ONCE):
+        words = [words_of(t) for t in texts[k : k + TEXTS_AT_ONCE]]
+        read = Passages(words, group[0].weight, group[0].buckets)
+        for hits in zip(*(s.look(words, read) for s in group), strict=True):
+            ids = [s.ids[i] for s, h in zip(group, hits, strict=True) for i in h]
+            yield ids, max((v for h in hits for v in h.values()), default=(None, None))
 
-def _add_hits(shared, go_on: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    s = shared.value
+
+def _ordered(ids: list) -> list:
+    return sorted(ids, key=lambda x: (x is not None, x or 0))
+
+
+def _hits(docs: DataFrame, shared) -> DataFrame:
+    """text_key, item_ids, share, cosine of the texts that hold an item of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(key, ids, *best) for key, (ids, best) in zip(b.column(0).to_pylist(), _found_in(shared.value, b.column(1).to_pylist()), strict=True) if ids]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.float64(), pa.float64()))], ["text_key", "item_ids", "share", "cosine"])
+
+    return in_arrow(docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text")), run, f"text_key string, {_HIT}")
+
+
+def _all_hits(docs: DataFrame, groups: list) -> DataFrame:
+    """text_key, item_ids, share, cosine over all groups; one pass over the texts for each."""
+    rows = reduce(DataFrame.unionByName, [written(_hits(docs, g), "leaks") for g in groups])
+    # copies of a text have the same hits
+    each = rows.groupBy("text_key", "item_ids", "share", "cosine").agg(F.lit(1).alias("one"))
+    best = F.max(F.struct("share", "cosine"))
+    return each.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("best")).select("text_key", "item_ids", "best.share", "best.cosine")
+
+
+def contamination(docs: DataFrame, found: list[Searcher]) -> DataFrame:
+    """doc_id, contaminated, item_ids (ascending, nulls first), share and cosine of the best item found."""
+    groups = _groups(docs.sparkSession, found)
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    if len(groups) == 1:
+        rows = in_arrow(docs.select(doc_id, text_of().alias("text")), partial(_add_hits, groups[0]), f"doc_id long, {_HIT}")
+    else:
+        rows = docs.select(doc_id, F.md5(text_of()).alias("text_key")).join(_all_hits(docs, groups), "text_key", "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<long>"))
+    nulls = F.filter(ids, lambda x: x.isNull())
+    return rows.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.concat(nulls, F.filter(ids, lambda x: x.isNotNull())).alias("item_ids"), "share", "cosine")
+
+
+def _add_hits(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k in range(0, b.num_rows, TEXTS_AT_ONCE):
-            some = b.slice(k, TEXTS_AT_ONCE)
-            hits = s.search(some.column(1).to_pylist())
-            best, ids = [], []
-            for h, *had in zip(hits, *(some.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                ids.append(sorted([*had[0], *(s.ids[i] for i in h)], key=lambda x: (x is not None, x or 0)))
-                best.append(max([*h.values(), *([(had[1], had[2])] if had[0] else [])], default=(None, None)))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1) if go_on else pa.nulls(some.num_rows, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array([x[0] for x in best], pa.float64()), pa.array([x[1] for x in best], pa.float64())], ["doc_id", "text", "item_ids", "share", "cosine"])
+        got = list(_found_in(shared.value, b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_ordered(ids) for ids, _ in got], pa.list_(pa.int64())), pa.array([best[0] for _, best in got], pa.float64()), pa.array([best[1] for _, best in got], pa.float64())], ["doc_id", "item_ids", "share", "cosine"])
 
 
 def _clean(shared, texts: list[str]) -> np.ndarray:
-    return np.array([not h for k in range(0, len(texts), TEXTS_AT_ONCE) for h in shared.value.search(texts[k : k + TEXTS_AT_ONCE])], bool)
+    return np.array([not ids for ids, _ in _found_in(shared.value, texts)], bool)
 
 
 def without_leaks(docs: DataFrame, found: list[Searcher]) -> DataFrame:
-    for s in found:
-        docs = keep_rows(docs, partial(_clean, docs.sparkSession.sparkContext.broadcast(s)))
-    return docs
+    groups = _groups(docs.sparkSession, found)
+    if len(groups) == 1:
+        return keep_rows(docs, partial(_clean, groups[0]))
+    key, leaks = F.md5(text_of()), _all_hits(docs, groups).select(F.col("text_key").alias("_leak"))
+    return docs.join(leaks, key == F.col("_leak"), "left_anti")

@@ -228,3 +228,23 @@ def test_licenses(spark):
 def test_registered_queries_run(spark, sf):
     for name in ("op4_secrets", "op7_mixing", "op8_toxicity", "op9_decontamination", "op10_licenses"):
         assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_decontamination_finds_verbatim_copies_of_many_items(spark, monkeypatch):
+    """Three thousand invented items, short and long, each planted whole inside another text: none is lost."""
+    rng = np.random.default_rng(12)
+    word = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(4))
+    prose = lambda n: " ".join(map(word, rng.zipf(1.12, n) % 200_000))
+    items = [prose(int(n)) for n in np.concatenate([rng.integers(15, 58, 2950), rng.integers(300, 900, 50)])]
+    texts = [prose(int(rng.integers(40, 90))) + " " + t + " " + prose(60) for t in items] + [prose(150) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    found = decontaminate.searchers(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    told = lambda df: {r.doc_id: r for r in decontaminate.contamination(df, found).drop("cosine").collect()}
+    one_pass = told(docs)
+    assert all(k in one_pass[k].item_ids for k in range(3000)) and len(one_pass) == 3100
+    assert not any(one_pass[3000 + k].contaminated for k in range(100))
+    monkeypatch.setattr(decontaminate, "GROUP", 5)  # several passes find the same
+    assert len(found) > 10
+    some = docs.where("doc_id % 10 = 0")
+    assert told(some) == {k: r for k, r in one_pass.items() if k % 10 == 0}
+    assert decontaminate.without_leaks(some, found).count() == 10
