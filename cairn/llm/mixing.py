@@ -129,6 +129,11 @@ class Mix:
     def rates(self, p: np.ndarray) -> np.ndarray:
         return replay(p, self.history, self.bounds)
 
+    def missed(self, share: float = 0.05) -> dict[str, float]:
+        """The domains whose totals are farther from their targets than this share of them, with the difference as a share."""
+        off = {d: (self.reached[d] - t) / t for d, t in self.target.items() if t > 0}
+        return {d: x for d, x in off.items() if abs(x) > share}
+
 
 def fit_mix(narrow: DataFrame, domains: Domains, shares: dict[str, float] | None = None, smoothing: float = SMOOTHING, grow: bool = False, min_rate: float = 0.0, max_rate: float = float("inf"), steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
     """``narrow``: the rows of ``posteriors``, best from a written table, as each step reads them."""

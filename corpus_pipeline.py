@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of d
 from __future__ import annotations
 
 import uuid
+import warnings
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,10 +31,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smoothed shares of the domains; no document is dropped, those of small domains stand up to four times."""
+    """Smoothed shares of the domains; no document is dropped, those of small domains stand up to four times; missed targets are a warning."""
     domains = mixing.fit_domains(docs, table(spark, sf_dir, "labels"))
     narrow = written(mixing.posteriors(docs, domains), "posteriors")
-    return mixing.resampled(docs, mixing.fit_mix(narrow, domains, grow=True, min_rate=1.0, max_rate=4.0))
+    mix = mixing.fit_mix(narrow, domains, grow=True, min_rate=1.0, max_rate=4.0)
+    if missed := mix.missed():
+        warnings.warn(f"domains off their target by this share of it: {missed}", stacklevel=2)
+    return mixing.resampled(docs, mix)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -248,3 +248,12 @@ def test_decontamination_finds_verbatim_copies_of_many_items(spark, monkeypatch)
     some = docs.where("doc_id % 10 = 0")
     assert told(some) == {k: r for k, r in one_pass.items() if k % 10 == 0}
     assert decontaminate.without_leaks(some, found).count() == 10
+
+
+def test_pipeline_mixing_tells_missed_targets(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    fit = mixing.fit_mix
+    monkeypatch.setattr(mixing, "fit_mix", lambda *a, **how: fit(*a, smoothing=0.1, **how))
+    with pytest.warns(UserWarning, match="off their target"):
+        corpus_pipeline.mix_domains(spark, table(spark, sf, "documents"), sf)
