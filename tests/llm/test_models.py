@@ -257,3 +257,17 @@ def test_pipeline_mixing_tells_missed_targets(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "fit_mix", lambda *a, **how: fit(*a, smoothing=0.1, **how))
     with pytest.warns(UserWarning, match="off their target"):
         corpus_pipeline.mix_domains(spark, table(spark, sf, "documents"), sf)
+
+
+def test_licenses_inside_prose_and_beside_each_other():
+    fixed = tuple(sorted(licenses.TEMPLATES.items()))
+    told = lambda text: [(r[2], text[r[0] : r[1]]) for r in licenses.scan(text, fixed)]
+    mit, nc = "Licensed under the MIT license.", "Licensed under CC BY-NC 4.0."
+    line = PROSE.strip().capitalize() + ". " + mit + " " + PROSE.strip().capitalize() + "."
+    assert len(line) < 2 * licenses.WIDE and told(line) == [("MIT", mit)]
+    assert told(nc + "\nReleased under the MIT License.") == [("CC-BY-NC-4.0", nc), ("MIT", "Released under the MIT License.")]
+    assert told("Copyright 2024 by the Society of Old Stone Bridges\n" + mit) == [("MIT", mit)]
+    for name in ("Apache-2.0", "GPL-3.0"):
+        both = licenses.TEMPLATES[name] + "\nReleased under the MIT License."
+        assert [n for n, _ in told(both)] == [name, "MIT"]
+    assert [n for n, _ in told(licenses.TEMPLATES["MIT"])] == ["MIT"]
