@@ -10,6 +10,7 @@ ids stay separate documents, ordered by a hash of their text; an empty table giv
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -27,12 +28,13 @@ from .common import has, in_arrow, shuffle_parts, text_of, written
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 SHARD_COLUMNS = "part int, seq int, n_docs long, n_tokens long, blob binary"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 TEXTS_AT_ONCE = 500
 #: Texts with white space that the pre-tokenizer's pattern and Python's ``re`` may not agree on are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: White space and a Latin word before punctuation, or white space and the run after it.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_WORD = re.compile(f" ?[{_LATIN}]+")
 _PIECE = re.compile(rf"""\s*+(?:[{_LATIN}]++(?=[.,;:!?|#$%&*"()<>/=+\s-]|$)|\S+)|\s+""", re.ASCII)
 
 
@@ -56,25 +58,39 @@ class PieceEncoder:
 
     A byte-level tokenizer's pre-tokens begin with a space or at a change between letters, digits, punctuation and white space, and
     none reaches over the cut from a visible character to white space or from a letter to ASCII punctuation.
-    So a text's ids are those of its pieces in a row.
+    So a text's ids are those of its pieces in a row. A piece that is one pre-token, letters with at most a space before
+    them, goes to the library's model at once. Tokenizers of other kinds encode whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._model = self.tokenizer.model
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self._code = "H" if self.bits <= 16 else "I"
-        self.pieces = _Known(self._whole)
+        self.pieces = _Known(self._piece)
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.by_pieces = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not made["normalizer"]
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+        other = (b for b in range(256) if b not in plain)
+        self._shown = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
 
     def _whole(self, text: str) -> bytes:
         return array(self._code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if not _WORD.fullmatch(piece):
+            return self._whole(piece)
+        shown = piece.encode().decode("latin-1").translate(self._shown)
+        return array(self._code, [t.id for t in self._model.tokenize(shown)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         get, cut, kind = self.pieces.__getitem__, _PIECE.findall, self.kind
-        return [np.frombuffer(self._whole(t) if _ODD.search(t) else b"".join(map(get, cut(t))), kind) for t in texts]
+        return [np.frombuffer(self._whole(t) if not self.by_pieces or _ODD.search(t) else b"".join(map(get, cut(t))), kind) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -144,7 +144,9 @@ class Shard:
         for k in reversed(range(self.bits)):
             bit = np.unpackbits(np.frombuffer(self._part(f"p{k}"), np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[k]]
-            up[bit] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
+            if self.zeros[k]:
+                np.place(up, ~bit, out[: self.zeros[k]])
+            if self.zeros[k] < self.n:
+                np.place(up, bit, out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k)))
             out = up
         return out

@@ -236,3 +236,14 @@ def test_quality_repeats_and_odd_rows(spark):
     got = repetition.quality(clashing(odd_docs(spark))).collect()
     assert len(got) == 10 and not any(r.kept for r in got)
     assert repetition.quality(empty_docs(spark)).count() == 0
+
+
+def test_pieces_encode_as_whole_texts_do():
+    """Texts mixed of white space, letters, marks, digits and control strings: the same ids as from the library on the whole text."""
+    rng = np.random.default_rng(5)
+    parts = [" ", "  ", "\n", " \n", "\t", "\r\n", "a", "word", "Été", "ß", "'s", "'ll", " 're", "12", ".", ",", "!!", "<|endoftext|>", "<|", "|>", "é", "\U0001f600", "中", " ", "\x1c", "_", "-", "=", '"', "Ⅷ", "\xd7"]
+    enc = tokens.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(0, 14))) for _ in range(4000)]
+    assert [i.tolist() for i in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    other = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.encode(["Two words"])[0].tolist() == other.tokenizer.encode("Two words", add_special_tokens=False).ids
