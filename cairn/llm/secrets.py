@@ -1,14 +1,17 @@
-"""Secret scans: a pattern finds candidates, a random forest tells secrets from look-alikes. DataFrame functions only.
+r"""Secret scans: patterns find candidates, a random forest tells secrets from look-alikes. DataFrame functions only.
 
-Candidates are runs of at least ``LEAST`` characters that keys and tokens are written with. The forest sees their length, their share of
-character classes and changes between classes, how much of them the corpus' own words cover (four-letter pieces of the ``DICTIONARY``
-commonest words, counted over all documents), path and address marks around them, and the neighbouring words. It is
-trained on labelled findings. Where none are given, those come from the corpus by rule: a value assigned in quotes to a name like token or
-password is a secret, a run of letters or of digits alone in prose is not; whatever the rule leaves open is for the forest.
+Candidates are runs of at least ``LEAST`` characters that keys and tokens are written with, and any value of ``SHORT`` visible characters or more
+that is assigned to a name like token or password. The forest sees a candidate's length, its shares of character classes, changes between classes, how much of
+it the corpus' own words cover (four-letter pieces of the words with a share of ``COMMON`` or more of all words), the path and address marks in and
+beside it, and the words around it: how many there are, how far the corpus knows them, and how much of the surroundings are marks.
+
+It is trained on labelled findings. Where none are given they come from the corpus by what stands directly beside a candidate: a value assigned in quotes to
+a name is a secret, one between two words of prose is none, and most are left open. None of the forest's features looks there: they
+are the value itself and words farther away, so that its verdict is a second opinion and may differ from the label.
 At most ``MAX_LABELLED`` findings of each kind, the first by a hash, are used.
 
-Defined results: a null or empty text has no candidates; a null ``doc_id`` stays null; repeated rows give repeated findings; an empty
-table gives no rows; other columns are ignored. Without findings of both kinds no forest can be fitted: the rule's labels
+Defined results: a null or empty text has no candidates; a null ``doc_id`` stays null; repeated rows give repeated findings; values and texts of any
+length count whole; an empty table gives no rows; other columns are ignored. Without findings of both kinds no forest can be fitted: the labels
 stand, as probabilities 1 and 0.
 """
 
@@ -24,100 +27,113 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import bounded_rows, has, text_of, written
 from .pii import spans_of
 
-LEAST = 16
+LEAST, SHORT = 16, 6
 CANDIDATE = rf"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{{{LEAST},}}+"
+#: Names that secrets are assigned to.
+NAMES = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|credential|private_?key|bearer)"
+_ASSIGNS = rf"(?i)\b\w{{0,24}}{NAMES}[\"'`\]]{{0,2}}\s{{0,3}}[=:]\s{{0,3}}"
+ASSIGNED = rf"(?<=(?i:{NAMES})[\"'`\]]{{0,2}}\s{{0,3}}[=:]\s{{0,3}}[\"'`]?)(?<![^\s=:\"'`])[^\s\"'`=:][^\s\"'`]{{{SHORT - 1},}}+"
 AROUND = 60
-DICTIONARY = 20_000
+BESIDE = 16  # characters next to a candidate that only the labels look at
+COMMON = 1e-6
+SALTS = 16
 MAX_LABELLED = 4000
 TREES, DEPTH = 24, 6
 THRESHOLD = 0.5
-#: Names that secrets are assigned to.
-NAMES = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|credential|private_?key|bearer)"
-FEATURES = ("length", "distinct", "digits", "uppers", "vowels", "changes", "hex", "covered", "slashes", "marks", "address", "named", "assigned", "quoted", "prose_before", "prose_after")
+FEATURES = ("length", "distinct", "digits", "uppers", "vowels", "changes", "hex", "covered", "slashes", "marks", "dots", "path", "words_around", "known_around", "marks_around")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, value, before, after; one row per candidate."""
+    """doc_id, start, end, value, before, after; one row per candidate. A run inside an assigned value is that value's."""
     has(docs, "doc_id", "text")
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    df = df.where(F.size("hits") > 0).withColumn("s", F.explode(spans_of(F.col("text"), F.lit(CANDIDATE), F.col("hits"), 0, "candidate")))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("told", F.when(F.col("text").rlike(_ASSIGNS), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(none))
+    df = df.where((F.size("hits") > 0) | (F.size("told") > 0))
+    df = df.withColumn("runs", spans_of(F.col("text"), F.lit(CANDIDATE), F.col("hits"), 0, "candidate")).withColumn("values", spans_of(F.col("text"), F.lit(ASSIGNED), F.col("told"), 0, "candidate"))
+    apart = F.filter("runs", lambda r: ~F.exists("values", lambda v: (v["start"] < r["end"]) & (r["start"] < v["end"])))
+    df = df.withColumn("s", F.explode(F.concat(apart, "values")))
     first = F.greatest(F.col("s.start") - AROUND, F.lit(0))
     return df.select("doc_id", "s.start", "s.end", "s.value", F.substring("text", first + 1, F.col("s.start") - first).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(AROUND)).alias("after"))
 
 
 def dictionary_pieces(docs: DataFrame) -> DataFrame:
-    """The four-letter pieces of the corpus' commonest words."""
+    """The four-letter pieces of the corpus' common words: at most 26^4, whatever the corpus."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of()), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    common = bounded_rows(words.where(F.length("word") < LEAST), DICTIONARY, F.desc("n"), "word")
-    return common.select(F.explode(F.regexp_extract_all("word", F.lit("(?=(.{4}))"), F.lit(1))).alias("piece")).distinct()
+    words = written(words.where(F.length("word") < LEAST), "secret-words")
+    total = words.agg(F.sum("n").alias("total"))
+    common = words.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2.0), COMMON * F.col("total")))  # one row
+    return common.select(F.explode(_pieces("word")).alias("piece")).distinct()
+
+
+def _pieces(column) -> Column:
+    return F.regexp_extract_all(column, F.lit("(?=([a-z]{4}))"), F.lit(1))
 
 
 def _share(value: Column, characters: str) -> Column:
-    return 1 - F.length(F.regexp_replace(value, f"[{characters}]", "")) / F.length(value)
+    return F.coalesce(1 - F.length(F.regexp_replace(value, f"[{characters}]", "")) / F.nullif(F.length(value), F.lit(0)), F.lit(0.0))
+
+
+def _farther(before: Column, after: Column) -> Column:
+    """The surroundings without what is next to the candidate, which the labels go by."""
+    left = F.substring(before, F.lit(1), F.greatest(F.length(before) - BESIDE, F.lit(0)))
+    return F.concat(left, F.lit(" "), F.substring(after, F.lit(BESIDE + 1), F.lit(AROUND)))
 
 
 def featured(found: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The candidates with the columns of ``FEATURES``."""
-    values = found.select("value").distinct()
-    parts = values.select("value", F.explode_outer(F.regexp_extract_all(F.lower("value"), F.lit("(?=(.{4}))"), F.lit(1))).alias("piece"))
-    known = pieces.withColumn("hit", F.lit(1.0))
-    # at most DICTIONARY words of under LEAST letters: a bounded broadcast
-    covered = parts.join(F.broadcast(known), "piece", "left").groupBy("value").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("covered"))
-    v, before, after = F.col("value"), F.col("before"), F.col("after")
+    """The candidates (value, before, after and any other columns) with the columns of ``FEATURES``."""
+    rows = found.withColumn("far", _farther(F.col("before"), F.col("after"))).withColumn("salt", F.pmod(F.xxhash64("before", "after"), F.lit(SALTS)))
+    known = F.broadcast(pieces.withColumn("hit", F.lit(1.0)))  # at most 26^4 rows
+
+    def cover(what: str, out: str) -> DataFrame:
+        """The share of the pieces of each different string that the dictionary has; one string of many rows is dealt to ``SALTS`` places."""
+        each = rows.select(what, "salt").distinct().select(what, "salt", F.explode_outer(_pieces(F.lower(what))).alias("piece"))
+        return each.join(known, "piece", "left").groupBy(what, "salt").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias(out))
+
+    rows = rows.join(cover("value", "covered"), ["value", "salt"]).join(cover("far", "known_around"), ["far", "salt"])
+    v, far = F.col("value"), F.col("far")
     changes = F.length(F.regexp_replace(v, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", "¦")) - F.length(v)
     as_number = lambda c: c.cast("double")
-    return found.join(covered, "value").select(
-        "doc_id",
-        "start",
-        "end",
-        "value",
-        "before",
-        "after",
-        as_number(F.least(F.length(v), F.lit(4096))).alias("length"),
-        (F.size(F.array_distinct(F.split(F.substring(v, 1, 512), ""))) / F.least(F.length(v), F.lit(64))).alias("distinct"),
-        _share(v, "0-9").alias("digits"),
-        _share(v, "A-Z").alias("uppers"),
-        _share(v, "aeiouAEIOU").alias("vowels"),
-        (changes / F.length(v)).alias("changes"),
-        as_number(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hex"),
-        "covered",
-        _share(v, "/").alias("slashes"),
-        _share(v, "_=+-").alias("marks"),
-        as_number(before.rlike(r"(?:://\S*|[\\/.@]|\.\w{1,4})$") | after.rlike(r"^[\\/.@]")).alias("address"),
-        as_number(before.rlike(NAMES + r"\W{0,12}$")).alias("named"),
-        as_number(before.rlike(r"[=:]\s*[\"'`]?$")).alias("assigned"),
-        as_number(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).alias("quoted"),
-        as_number(before.rlike(r"\p{L}{2,}[,.]?\s$")).alias("prose_before"),
-        as_number(after.rlike(r"^[,.]?\s\p{L}{2,}")).alias("prose_after"),
-    )
-
-
-def rule_labels(found: DataFrame) -> DataFrame:
-    """The candidates that the rule is sure of, with ``label``."""
-    secret = F.col("before").rlike(NAMES + r"\s*[=:]\s*[\"'`]$") & F.col("after").rlike("^[\"'`]") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    plain = F.col("value").rlike("^(?:[A-Za-z]+|[0-9]+|[-=_]+)$") & ~F.col("before").rlike(NAMES + r"\W{0,12}$")
-    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).where("label IS NOT NULL")
+    values = {
+        "length": as_number(F.length(v)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(F.length(v), F.lit(64)),
+        "digits": _share(v, "0-9"),
+        "uppers": _share(v, "A-Z"),
+        "vowels": _share(v, "aeiouAEIOU"),
+        "changes": changes / F.length(v),
+        "hex": as_number(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
+        "slashes": _share(v, "/"),
+        "marks": _share(v, "_=+-"),
+        "dots": _share(v, "."),
+        "path": as_number(F.col("before").rlike(r"(?:://\S*|[\\/.@])$") | F.col("after").rlike(r"^[\\/.@]\w")),
+        "words_around": as_number(F.size(F.regexp_extract_all(far, F.lit(r"\p{L}{2,}"), F.lit(0)))),
+        "marks_around": _share(far, r"^\p{L}\p{N}\s"),
+    }
+    return rows.withColumns(values)
+
+
+def labelled_by_context(found: DataFrame) -> DataFrame:
+    """``label`` by what is next to a candidate: 1 where it is assigned in quotes to a name, 0 between two words of prose, else null."""
+    secret = F.col("before").rlike(rf"(?i){NAMES}[\"'`\]]{{0,2}}\s*[=:]\s*[\"'`]$") & F.col("after").rlike("^[\"'`]")
+    plain = F.col("before").rlike(r"(?:^|\s)\p{L}+[,.;!?]?\s$") & F.col("after").rlike(r"^[,.;!?]?\s\p{L}") & ~F.col("before").rlike(rf"(?i){NAMES}\W*$")
+    return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
 
 
 def findings(docs: DataFrame, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, value, probability, is_secret of every candidate. ``labelled``: value, before, after and label (0 or 1)."""
     pieces = written(dictionary_pieces(docs), "secret-pieces")
-    found = written(featured(candidates(docs), pieces), "secret-candidates")
-    known = rule_labels(found)
+    found = written(labelled_by_context(candidates(docs)), "secret-candidates")
+    known = found.where("label IS NOT NULL")
     if labelled is not None:
-        blank = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "start", "end")]
-        rows = labelled.select(*blank, *[F.coalesce(c, F.lit("")).alias(c) for c in ("value", "before", "after")], F.col("label").cast("double").alias("label")).where(F.length("value") > 0)
-        known = featured(rows, pieces).join(rows.select("value", "before", "after", "label").distinct(), ["value", "before", "after"])
+        known = labelled.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("value", "before", "after")], F.col("label").cast("double").alias("label")).where("value <> '' AND label IS NOT NULL")
     order = F.xxhash64("value", "before", "after"), "value", "before", "after"
-    sample = reduce(DataFrame.unionByName, [bounded_rows(known.where(F.col("label") == y), max_labelled, *order) for y in (0.0, 1.0)])
-    sample = written(sample.select("label", *FEATURES), "secret-sample")
+    sample = reduce(DataFrame.unionByName, [bounded_rows(known.where(F.col("label") == y), max_labelled, *order) for y in (0.0, 1.0)]).select("value", "before", "after", "label")
+    sample = written(featured(sample, pieces).select("label", *FEATURES), "secret-sample")
     keep = ["doc_id", "start", "end", "value"]
     if sample.select("label").distinct().count() < 2:
-        secret = rule_labels(found).where("label = 1").select(*keep).distinct().withColumn("probability", F.lit(1.0))
-        rated = found.join(secret, (found["doc_id"].eqNullSafe(secret["doc_id"])) & (found["start"] == secret["start"]) & (found["value"] == secret["value"]), "left_semi").select(*keep, F.lit(1.0).alias("probability"))
-        rest = found.join(secret, (found["doc_id"].eqNullSafe(secret["doc_id"])) & (found["start"] == secret["start"]) & (found["value"] == secret["value"]), "left_anti").select(*keep, F.lit(0.0).alias("probability"))
-        return rated.unionByName(rest).withColumn("is_secret", F.col("probability") >= threshold)
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="features").fit(assemble.transform(sample))
-    rated = forest.transform(assemble.transform(found)).select(*keep, vector_to_array("probability")[1].alias("probability"))
+        rated = found.select(*keep, F.coalesce("label", F.lit(0.0)).alias("probability"))
+    else:
+        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="features").fit(assemble.transform(sample))
+        rated = forest.transform(assemble.transform(featured(found, pieces))).select(*keep, vector_to_array("probability")[1].alias("probability"))
     return rated.withColumn("is_secret", F.col("probability") >= threshold)

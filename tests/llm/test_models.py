@@ -271,3 +271,152 @@ def test_licenses_inside_prose_and_beside_each_other():
         both = licenses.TEMPLATES[name] + "\nReleased under the MIT License."
         assert [n for n, _ in told(both)] == [name, "MIT"]
     assert [n for n, _ in told(licenses.TEMPLATES["MIT"])] == ["MIT"]
+
+
+def test_version_numbers_and_names_decide():
+    fixed = tuple(sorted(licenses.TEMPLATES.items()))
+    told = lambda text: [r[2] for r in licenses.scan(text, fixed)]
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    want = {gnu.format("", "2"): ["GPL-2.0"], gnu.format("", "3"): ["GPL-3.0"], gnu.format("Lesser ", "2.1"): ["LGPL-2.1"], gnu.format("Lesser ", "3"): ["LGPL-3.0"], gnu.format("Affero ", "3"): ["AGPL-3.0"], gnu.format("", "4"): []}
+    want |= {"Licensed under CC BY 3.0.": [], "Licensed under CC BY 4.0.": ["CC-BY-4.0"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"], "Licensed under the Apache License, Version 1.1.": [], "Released under the ISC License.": ["ISC"], "Released under the BSD 2-Clause License.": ["BSD-2-Clause"], "Released under the BSD 3-Clause License.": ["BSD-3-Clause"]}
+    assert {t: told(t) for t in want} == want
+    assert all(told(t) == [n] for n, t in fixed)
+
+
+def test_license_ranking_by_single_compressions():
+    """Every template's saving on parts of every template, against compressions made one by one."""
+    import zstandard
+
+    fixed = tuple(sorted(licenses.TEMPLATES.items()))
+    how = zstandard.ZstdCompressionParameters.from_level(licenses.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False)
+    size = lambda part, **d: len(zstandard.ZstdCompressor(compression_params=how, **d).compress(part.lower().encode()))
+    for _, t in fixed:
+        for part in (t, t[: len(t) // 2], t[40:120]):
+            plain = size(part)
+            want = sorted((size(part, dict_data=zstandard.ZstdCompressionDict(u.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) / plain - 1, n) for n, u in fixed)
+            assert licenses.ranking(part, fixed) == [(-x, n) for x, n in want]
+
+
+def test_secret_features_by_plain_python(spark, sf):
+    import re
+
+    docs = table(spark, sf, "documents")
+    pieces = {r.piece for r in secrets.dictionary_pieces(docs).collect()}
+    counts = {}
+    for r in docs.collect():
+        for w in re.findall("[a-z]{4,}", (r.text or "").lower()):
+            if len(w) < 16:
+                counts[w] = counts.get(w, 0) + 1
+    common = [w for w, n in counts.items() if n >= max(2, secrets.COMMON * sum(counts.values()))]
+    assert pieces == {w[k : k + 4] for w in common for k in range(len(w) - 3)}
+    frame = spark.createDataFrame([(p,) for p in pieces], "piece string")
+    rows = secrets.featured(secrets.candidates(docs), frame).collect()
+    assert rows
+    cover = lambda s: (lambda ps: sum(p in pieces for p in ps) / len(ps) if ps else 0.0)(re.findall("(?=([a-z]{4}))", s.lower()))
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+    for r in rows:
+        v, far = r.value, r.before[: max(0, len(r.before) - secrets.BESIDE)] + " " + r.after[secrets.BESIDE :]
+        assert r.length == len(v) and r.distinct == len(set(v)) / min(len(v), 64)
+        assert abs(r.digits - sum(c in "0123456789" for c in v) / len(v)) < 1e-9 and abs(r.vowels - sum(c in "aeiouAEIOU" for c in v) / len(v)) < 1e-9
+        assert abs(r.changes - sum(kind(a) != kind(b) and kind(a) < 3 for a, b in zip(v, v[1:], strict=False)) / len(v)) < 1e-9
+        assert abs(r.covered - cover(v)) < 1e-9 and abs(r.known_around - cover(far)) < 1e-9
+
+
+def test_secrets_in_given_texts(spark, sf):
+    """Keys planted in the given texts: all found, nothing else is, and the same on documents without labels of their own."""
+    rng = np.random.default_rng(2)
+    rows, planted = [], set()
+    for r in table(spark, sf, "documents").select("doc_id", "text").collect():
+        lines = (r.text or "").split("\n")
+        middle = len(lines) // 2
+        if r.doc_id % 5 == 0:
+            key = "".join(rng.choice(list("0123456789abcdef"), 40))
+            planted.add((r.doc_id, key))
+            lines.insert(middle, f'some words token = "{key}" and more')
+        elif r.doc_id % 5 < 3:
+            lines.insert(middle, f"some words {rng.integers(10**15, 10**16)} and more")
+        rows.append((r.doc_id, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.value) for r in secrets.findings(docs).where("is_secret").collect()}
+    assert planted and got == planted
+    half = secrets.labelled_by_context(secrets.candidates(docs.where("doc_id % 2 = 0"))).where("label IS NOT NULL")
+    held = {(r.doc_id, r.value) for r in secrets.findings(docs, half).where("is_secret AND doc_id % 2 = 1").collect()}
+    assert held == {p for p in planted if p[0] % 2}
+
+
+def test_the_forest_does_not_see_what_labels_go_by(spark):
+    """What is next to a value changes its label and none of its features, and a bare key gets a verdict of its own."""
+    key, far = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "w" * 30
+    rows = [(1, f'{far} token  =  "{key}" and so on {far}'), (2, f"{far} the value was {key} and so on  {far}")]
+    found = secrets.labelled_by_context(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
+    same = {r.doc_id: r for r in secrets.featured(found, spark.createDataFrame([("wwww",)], "piece string")).where(F.col("value") == key).collect()}
+    assert [same[k].label for k in (1, 2)] == [1.0, 0.0]
+    assert all(same[1][f] == same[2][f] for f in secrets.FEATURES if f not in ("known_around", "words_around"))
+
+
+def test_secrets_of_any_shape(spark):
+    """Short and marked values count when they are assigned to a name; a run inside one is part of it; open cases get a verdict of their own."""
+    rows = [(1, 'password = "hunter2024"'), (2, "db_passwd: Tr0ub4dor&3!x#aaaaaaaaaaaaaaaaaaaa next"), (3, "the token is short"), (4, "secret = abc"), (5, "x" * 40_000)]
+    got = {(r.doc_id, r.value) for r in secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "hunter2024"), (2, "Tr0ub4dor&3!x#aaaaaaaaaaaaaaaaaaaa"), (5, "x" * 40_000)}
+    odd = secrets.findings(clashing(odd_docs(spark))).collect()
+    assert odd == []
+
+
+def test_mixing_query_in_one_array(spark, sf):
+    """The registered query against projected gradient steps over one array of all documents."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    domains = mixing.fit_domains(docs, labels)
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    n, p = domains.posterior([t for _, t in rows])
+    mass = n @ p
+    want = (mass / mass.sum()) ** mixing.SMOOTHING
+    target = want / want.sum() * mass.sum()
+    rate = np.ones(len(n))
+    for _ in range(mixing.STEPS):
+        g = ((n * rate) @ p - target) / mass
+        if np.abs(g).max() < mixing.TOLERANCE:
+            break
+        rate = np.maximum(0, rate - p @ g)
+    got = {r.doc_id: r for r in queries.op7_mixing(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for k, (d, _) in enumerate(rows):
+        assert abs(got[d].rate - rate[k]) < 1e-6 and got[d].n_tokens == n[k] and got[d].domain == domains.names[p[k].argmax()]
+    assert np.abs((n * rate) @ p - target).max() <= 0.01 * target.max()
+
+
+def test_toxicity_query_by_plain_sums(spark, sf):
+    """The registered query's probabilities from dictionaries and loops; its verdict on labelled rows."""
+    import math
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    chain = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    assert {r.doc_id: r.toxic for r in queries.op8_toxicity(spark, sf).collect()} == {d: r.toxic for d, r in got.items()}
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        times = {}
+        for w in toxicity.plain_words(r.text or ""):
+            for f in toxicity.word_features(w):
+                if f in chain.known:
+                    times[chain.known[f]] = times.get(chain.known[f], 0) + 1
+        before = []
+        for name, w in zip(chain.names, chain.weights, strict=True):
+            z = w[-1] + sum(w[3 * i + k] for i, n in times.items() for k, least in enumerate(toxicity.TIMES) if n >= least) + sum(a * b for a, b in zip(before, w[len(w) - 1 - len(before) : -1], strict=True)) if len(w) else None
+            before.append(1 / (1 + math.exp(-z)) if z is not None else 0.0)
+            assert abs(getattr(got[r.doc_id], f"p_{name}") - before[-1]) < 1e-9
+    told = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in got and r.toxic is not None}
+    assert sum(got[d].toxic != bool(t) for d, t in told.items()) <= 0.05 * len(told)
+
+
+def test_null_labels_are_no_labels(spark):
+    docs, labels = made(spark, 240)
+    nulls = labels.withColumn("toxic", F.when(F.col("doc_id") % 6 != 0, F.lit(None).cast("int")).otherwise(F.col("toxic")))
+    told = toxicity.fit(docs, nulls.unionByName(labels.where("doc_id IN (1, 2, 3, 4, 5, 7, 8)")))
+    assert sum(r.toxic != (r.doc_id % 6 == 0) for r in toxicity.score(docs, told).collect()) <= 12
+
+
+def test_searchers_are_loaded_from_their_table(spark, leaks):
+    docs, items, _ = leaks
+    split = decontaminate.searchers(docs, items, block_items=9)
+    assert [s.ids for s in split[1:3]] == [split[1].ids, split[2].ids]
+    assert sorted(i for s in split for i in s.ids) == sorted(r.item_id for r in items.collect())
