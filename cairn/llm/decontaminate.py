@@ -13,9 +13,10 @@
    item in order is a leak; a paraphrase with less needs the item's answer (its last words) as well.
 
 The rank is spent on the benchmark's own passages, as the corpus' leading directions are its commonest words, which tell no
-item from another; the corpus decides the weights. A task holds ``GROUP`` blocks at a time and reads its texts' words once for them; further
-groups are passes of their own, put together by the texts' digests.
+item from another; the corpus decides the weights. Blocks are made by tasks and kept in a table. The driver loads ``GROUP`` of them at a time
+and broadcasts them; a task reads its texts' words once for a group. Further groups are passes of their own, put together by the texts' digests.
 
+Texts and items of any length are read whole.
 Defined results: a null or empty text is clean; an item without words is never found; repeated items are reported by each id; null ids
 are reported as nulls; a null ``doc_id`` stays null; repeated rows stay rows; an empty benchmark leaves all clean; other columns are
 passed on or ignored.
@@ -23,8 +24,9 @@ passed on or ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
@@ -266,40 +268,75 @@ class Searcher:
         return found
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = RANK) -> list[Searcher]:
-    """One searcher for each block of about ``rank`` rows and at most about ``block_items`` items, dealt by a hash."""
+class Searchers(Sequence):
+    """The searchers of all blocks: rows of a written table, of which the driver holds those that are asked for."""
+
+    def __init__(self, stored: DataFrame, weight: np.ndarray, cosine: float):
+        self.stored, self.weight, self.cosine = stored, weight, cosine
+        self.blocks = sorted(r.block for r in stored.select("block").collect())  # a number for each of the blocks
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self[slice(at, at + 1)][0]
+        wanted = self.blocks[at]
+        rows = self.stored.where(F.col("block").isin(wanted)).orderBy("block").collect() if wanted else []
+        return [self._load(pickle.loads(r.made)) for r in rows]
+
+    def _load(self, made: dict) -> Searcher:
+        at = np.full(BUCKETS, -1, np.int32)
+        at[made["seen"]] = np.arange(len(made["seen"]))
+        return Searcher(made["ids"], made["items"], made["of"], made["latent"], Basis(at, made["rows"]), self.weight, made["sizes"], self.cosine)
+
+
+def _made(ids: list, items: list[list[bytes]], weight: np.ndarray) -> dict:
+    """What a searcher of these items is loaded from."""
+    buckets = _Buckets()
+    rows = [(j, tfidf(p, weight, buckets)) for j, w in enumerate(items) for p in passages_of(w)]
+    basis = randomised_svd([r[:2] for _, r in rows], len(rows))
+    latent = np.zeros((len(rows), basis.rows.shape[1]), np.float32)
+    for k, (_, (b, w, _)) in enumerate(rows):
+        latent[k] = w @ basis.of(b)
+    seen = np.flatnonzero(basis.at >= 0)
+    return {"ids": ids, "items": items, "of": np.array([j for j, _ in rows], np.int64), "latent": latent, "seen": seen[np.argsort(basis.at[seen])], "rows": basis.rows, "sizes": np.array([r[2] for _, r in rows], np.float32)}
+
+
+def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = RANK) -> Searchers:
+    """One searcher for each block of about ``rank`` rows and at most about ``block_items`` items, dealt by a hash and made by a task each."""
     has(docs, "doc_id", "text")
     has(benchmark, "item_id", "text")
     weight = idf(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [len(passages_of(w)) if (w := words_of(t)) else 0 for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lines, pa.int64())], [*b.schema.names, "lines"])
+
+    def make(key: tuple, items: pa.Table) -> pa.Table:
+        items = items.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        made = _made(items["item_id"].to_pylist(), [words_of(t) for t in items["text"].to_pylist()], shared.value)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "made": pa.array([pickle.dumps(made)], pa.binary())})
+
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"), F.xxhash64("item_id", "text").alias("hash"))
-    got = items.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])  # the benchmark's items, which the searchers hold
-    kept = [(i, w, h) for i, t, h in zip(*(got[c].to_pylist() for c in ("item_id", "text", "hash")), strict=True) if (w := words_of(t))]
-    lines = sum(len(passages_of(w)) for _, w, _ in kept)
-    n = max(1, -(-lines // rank), -(-len(kept) // block_items))
-    dealt: list[list[tuple]] = [[] for _ in range(n)]
-    for i, w, h in kept:
-        dealt[h % n].append((i, w))
-    out, buckets = [], _Buckets()
-    for some in dealt:
-        rows = [(j, tfidf(p, weight, buckets)) for j, (_, w) in enumerate(some) for p in passages_of(w)]
-        basis = randomised_svd([r[:2] for _, r in rows], len(rows))
-        latent = np.zeros((len(rows), basis.rows.shape[1]), np.float32)
-        for k, (_, (b, w, _)) in enumerate(rows):
-            latent[k] = w @ basis.of(b)
-        out.append(Searcher([i for i, _ in some], [w for _, w in some], np.array([j for j, _ in rows], np.int64), latent, basis, weight, np.array([r[2] for _, r in rows], np.float32), cosine))
-    return out
+    items = written(in_arrow(items, count, "item_id long, text string, hash long, lines long").where("lines > 0"), "benchmark-items")
+    size = items.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.count("*").alias("n")).first()
+    n = max(1, -(-size.lines // rank), -(-size.n // block_items))
+    dealt = items.select(F.pmod("hash", F.lit(n)).alias("block"), "item_id", "text")
+    return Searchers(written(dealt.groupBy("block").applyInArrow(make, "block long, made binary"), "searchers"), weight, cosine)
 
 
 TEXTS_AT_ONCE = 200
 _HIT = "item_ids array<long>, share double, cosine double"
 
 
-def _groups(spark, found: list[Searcher]) -> list:
-    return [spark.sparkContext.broadcast(found[k : k + GROUP]) for k in range(0, len(found), GROUP)]
-
-
 def _found_in(group: list[Searcher], texts: list[str]) -> Iterator[tuple[list, tuple]]:
     """For each text the items' ids and the share and cosine of the best one."""
+    if not group:
+        yield from (([], (None, None)) for _ in texts)
+        return
     for k in range(0, len(texts), TEXTS_AT_ONCE):
         words = [words_of(t) for t in texts[k : k + TEXTS_AT_ONCE]]
         read = Passages(words, group[0].weight, group[0].buckets)
@@ -323,23 +360,27 @@ def _hits(docs: DataFrame, shared) -> DataFrame:
     return in_arrow(docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text")), run, f"text_key string, {_HIT}")
 
 
-def _all_hits(docs: DataFrame, groups: list) -> DataFrame:
-    """text_key, item_ids, share, cosine over all groups; one pass over the texts for each."""
-    rows = reduce(DataFrame.unionByName, [written(_hits(docs, g), "leaks") for g in groups])
+def _all_hits(docs: DataFrame, found: Sequence) -> DataFrame:
+    """text_key, item_ids, share, cosine over all groups; one pass over the texts for each, and one group at a time on the driver."""
+    parts = []
+    for k in range(0, len(found), GROUP):
+        shared = docs.sparkSession.sparkContext.broadcast(found[k : k + GROUP])
+        parts.append(written(_hits(docs, shared), "leaks"))
+        shared.destroy()
     # copies of a text have the same hits
-    each = rows.groupBy("text_key", "item_ids", "share", "cosine").agg(F.lit(1).alias("one"))
+    each = reduce(DataFrame.unionByName, parts).groupBy("text_key", "item_ids", "share", "cosine").agg(F.lit(1).alias("one"))
     best = F.max(F.struct("share", "cosine"))
     return each.groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("best")).select("text_key", "item_ids", "best.share", "best.cosine")
 
 
-def contamination(docs: DataFrame, found: list[Searcher]) -> DataFrame:
+def contamination(docs: DataFrame, found: Sequence) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending, nulls first), share and cosine of the best item found."""
-    groups = _groups(docs.sparkSession, found)
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    if len(groups) == 1:
-        rows = in_arrow(docs.select(doc_id, text_of().alias("text")), partial(_add_hits, groups[0]), f"doc_id long, {_HIT}")
+    if len(found) <= GROUP:
+        shared = docs.sparkSession.sparkContext.broadcast(found[:])
+        rows = in_arrow(docs.select(doc_id, text_of().alias("text")), partial(_add_hits, shared), f"doc_id long, {_HIT}")
     else:
-        rows = docs.select(doc_id, F.md5(text_of()).alias("text_key")).join(_all_hits(docs, groups), "text_key", "left")
+        rows = docs.select(doc_id, F.md5(text_of()).alias("text_key")).join(_all_hits(docs, found), "text_key", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
     nulls = F.filter(ids, lambda x: x.isNull())
     return rows.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.concat(nulls, F.filter(ids, lambda x: x.isNotNull())).alias("item_ids"), "share", "cosine")
@@ -355,9 +396,8 @@ def _clean(shared, texts: list[str]) -> np.ndarray:
     return np.array([not ids for ids, _ in _found_in(shared.value, texts)], bool)
 
 
-def without_leaks(docs: DataFrame, found: list[Searcher]) -> DataFrame:
-    groups = _groups(docs.sparkSession, found)
-    if len(groups) == 1:
-        return keep_rows(docs, partial(_clean, groups[0]))
-    key, leaks = F.md5(text_of()), _all_hits(docs, groups).select(F.col("text_key").alias("_leak"))
+def without_leaks(docs: DataFrame, found: Sequence) -> DataFrame:
+    if len(found) <= GROUP:
+        return keep_rows(docs, partial(_clean, docs.sparkSession.sparkContext.broadcast(found[:])))
+    key, leaks = F.md5(text_of()), _all_hits(docs, found).select(F.col("text_key").alias("_leak"))
     return docs.join(leaks, key == F.col("_leak"), "left_anti")
