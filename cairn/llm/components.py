@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star steps over DataFrames.
 
 Both steps replace links by links to a smaller neighbour, so that each component ends as a star around its smallest
-node. A step needs only the smallest neighbour of each node (an aggregate with map-side combine), never a node's whole
-neighbourhood in one task. The links of each round are written to the shared folder.
+node. A step needs only the smallest neighbour of each node, an aggregate with map-side combine. It is written to the shared folder, as are the links
+of each round: joined from a table and not from an aggregate, the links of a node with many neighbours are a skewed partition that AQE deals to
+several tasks.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or to itself)."""
     both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them. Links come as (larger, smaller)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = written(_small(_large(edges)), "links")
+        edges = written(_small(written(_large(edges), "links")), "links")
         # a star's links are fixed points of both steps: equal sums of hashes twice in a row end the loop
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
