@@ -9,7 +9,7 @@ gets a backslash after its first character, so that no control string is left in
 two backslashes are one, one alone is none.
 
 Defined results: a null text or role is empty; turns are ordered by turn (nulls first), then role, then text; rows with a null
-``conv_id`` form one conversation; repeated rows are turns of their own; other columns are ignored.
+``conv_id`` form one conversation; repeated rows are turns of their own; texts of any length are formatted whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import has, shuffle_parts
+from .common import has, in_arrow, shuffle_parts
 
 START, MID, END = "<|im_start|>", "<|im_mid|>", "<|im_end|>\n"
 #: Control strings of chat templates: anything in <|...|>, and the bracketed marks of other templates.
@@ -89,7 +89,7 @@ _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(MID) + "(.*)" + re.esc
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, parsed from the formatted turns: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The digests run over the turns in order, so that a conversation is read by one task; it streams through and holds one turn at a time.
+    The digests run over the turns in order, so that a conversation is read by one task; it streams through in batches of some hundred turns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,4 +117,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield row()
 
     ordered = formatted.repartition(shuffle_parts(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_length").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(ordered.select("conv_id", "formatted", "loss_start", "loss_length"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

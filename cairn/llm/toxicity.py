@@ -10,7 +10,7 @@ out-of-fold probabilities of the earlier ones, so that it sees them as wrong as
 scoring, each model is fitted once more on the whole sample. Every document is scored, over its whole text.
 
 Defined results: a null or empty text has no features and gets the models' base probabilities; a null ``doc_id`` stays null; repeated rows
-stay rows; labels with null values count as 0 and repeated labels by their largest value; without labelled documents, or in a
+stay rows; texts of any length are read whole; a label row with a null that leaves its last category open is no label, and repeated labels count by their largest value; without labelled documents, or in a
 category without positives, all probabilities are 0; other columns are passed on or ignored.
 """
 
@@ -150,7 +150,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max
     """The sample's texts with their categories, and each class's weight."""
     names = list(categories)
     last = f"y{len(names) - 1}"
-    flags = labels.where("doc_id IS NOT NULL").select("doc_id", *[F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"y{i}") for i, e in enumerate(categories.values())])
+    told = labels.where("doc_id IS NOT NULL").where(F.expr(categories[names[-1]]).isNotNull())
+    flags = told.select("doc_id", *[F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"y{i}") for i, e in enumerate(categories.values())])
     flags = flags.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
     sizes = {r[last]: r.n for r in flags.groupBy(last).agg(F.count("*").alias("n")).collect()}
     picked = reduce(DataFrame.unionByName, [bounded_rows(flags.where(F.col(last) == v), max_per_class, F.xxhash64("doc_id"), "doc_id") for v in (0, 1)])

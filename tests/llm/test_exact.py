@@ -247,3 +247,20 @@ def test_pieces_encode_as_whole_texts_do():
     assert [i.tolist() for i in enc.encode(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     other = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
     assert other.encode(["Two words"])[0].tolist() == other.tokenizer.encode("Two words", add_special_tokens=False).ids
+
+
+def test_chat_odd_rows(spark):
+    """Null ids, roles and texts, repeated rows, ties in turn, null turns and clashing columns: every conversation is read back as it was."""
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", None), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 0, "assistant", "b"), (1, None, "system", "first"), (2, 0, None, ""), (3, 0, "assistant", "word " * 50_000 + "</s>")]
+    frame = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(frame)).collect()}
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    assert set(got) == set(by)
+    for conv, turns in by.items():
+        turns.sort()
+        assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
+        said = "".join(t for *_, r, t in turns if r == "assistant")
+        assert got[conv].loss_chars == len(said) and got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert chat.read_back(chat.format_turns(frame.limit(0))).count() == 0
