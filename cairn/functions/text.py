@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Words that carry no meaning in a question.
-NOISE = """a an and any are our all about by did do does for from give has have how in involve involved involves is it list many me
-much of on or show that their the to us was we what when where which who whom with you""".split()
+NOISE = [
+    "a", "an", "and", "any", "are", "our", "all", "about", "by", "did", "do", "does", "for", "from", "give", "has", "have", "how", "in",
+    "involve", "involved", "involves", "is", "it", "list", "many", "me", "much", "of", "on", "or", "show", "that", "their", "the", "to",
+    "us", "was", "we", "what", "when", "where", "which", "who", "whom", "with", "you",
+]
 # Time words and the grain they ask for.
 GRAIN_WORDS = {"daily": "day", "day": "day", "weekly": "week", "week": "week", "monthly": "month", "month": "month", "quarterly": "quarter", "quarter": "quarter", "yearly": "year", "annual": "year", "annually": "year", "year": "year"}
 COMPANY_FORMS = ("ltd", "limited", "gmbh", "ag")
@@ -36,14 +39,15 @@ def canonical(entity: Column, kinds, external=()) -> Column:
     return F.when(kind(entity).isin(*external), entity).when(kind(entity).isin(*kinds), made) if external else F.when(kind(entity).isin(*kinds), made)
 
 
-def blocking_keys(entity: Column, forms=COMPANY_FORMS) -> Column:
-    """Keys under which spellings meet: the squashed name, and the name without company forms at its end, dropped one by one; the last word stays."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(local(entity)), r"(?U)[\W_]+", " "), " "), lambda w: F.length(w) > 0)
-    is_form = lambda w: w.isin(*forms)
-    # a cut after k words is good if every word after it is a form
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: F.forall(F.slice(words, k + 1, F.size(words)), is_form))
-    keys = F.transform(cuts, lambda k: F.array_join(F.slice(words, 1, k), ""))
-    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.length(k) > 0)))
+def blocking_keys(entity: Column, kinds, external=(), forms=COMPANY_FORMS) -> Column:
+    """At most two keys under which spellings of an id meet: ``kind:`` and its canonical name without dashes, and the same without
+    company forms at the name's end; the last word stays. None for external and unknown kinds."""
+    id_ = canonical(entity, kinds)
+    words = F.filter(F.split(local(id_), "-"), lambda w: F.length(w) > 0)
+    bare = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: F.forall(F.slice(words, k + 1, F.size(words)), lambda w: w.isin(*forms)))
+    name = lambda n: F.concat(kind(id_), F.lit(":"), F.array_join(F.slice(words, F.lit(1), n), ""))
+    keys = F.array_sort(F.array_distinct(F.array(name(F.size(words)), name(bare[0]))))
+    return F.when(id_.isNull() | kind(entity).isin(*external) if external else id_.isNull(), F.array().cast("array<string>")).otherwise(keys)
 
 
 def terms(text: Column) -> Column:
@@ -77,13 +81,13 @@ def both_forms(entity: Column) -> Column:
 
 
 def locate(text: Column, quote: Column) -> Column:
-    """Start (from 0) and end of a quote, found as it is, else with any white space between its words; null if absent."""
+    """Start (from 0) and end of a quote, found as it is, else with any white space between its words; null if absent or blank."""
     exact = F.instr(text, quote)
     words = F.filter(F.split(F.trim(quote), r"\s+"), lambda w: F.length(w) > 0)
     pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), r"\s+")
     hit = F.regexp_substr(text, pattern)
     loose = F.instr(text, hit)
-    found = F.when(exact > 0, F.struct((exact - 1).alias("start"), (exact - 1 + F.length(quote)).alias("end")))
+    found = F.when(F.size(words) == 0, F.lit(None)).when(exact > 0, F.struct((exact - 1).alias("start"), (exact - 1 + F.length(quote)).alias("end")))
     return found.when(loose > 0, F.struct((loose - 1).alias("start"), (loose - 1 + F.length(hit)).alias("end")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,8 +12,9 @@ from ..functions import text as T
 
 MIN_CHARS = 200
 TARGET, OVERLAP = 2000, 200
-_BREAKS = [re.compile(p) for p in (r"\n\s*\n", r"(?<=[.!?;:])\s", r"\s")]  # paragraph, sentence, white space
 MODEL_CAP = 0.79
+# Predicates that a found quote is enough for.
+PRESENCE = ("MENTIONS",)
 
 
 def register(documents: DataFrame, tenant: str, text: str = "text") -> DataFrame:
@@ -22,26 +24,31 @@ def register(documents: DataFrame, tenant: str, text: str = "text") -> DataFrame
     return rows.dropDuplicates(["document_id"])
 
 
-def _cuts(page: str, target: int, overlap: int) -> list[tuple[int, int]]:
-    out, at, end = [], 0, len(page)
-    while True:
-        while at < end and page[at].isspace():
-            at += 1
-        if at >= end:
-            return out
-        stop = min(at + target, end)
-        if stop < end:
-            for pattern in _BREAKS:
-                last = None
-                for last in pattern.finditer(page, at, stop):
-                    pass
-                if last is not None and last.end() - at >= MIN_CHARS:
-                    stop = last.end()
-                    break
-        out.append((at, stop))
-        if stop >= end:
-            return out
-        at = max(stop - overlap, at + 1) if stop - overlap > at else stop
+def cut_points(page: str) -> tuple[list[int], list[int], list[int]]:
+    """Where a page may be cut: after the line feed that ends a blank line, after the white space behind a sentence, after any white space."""
+    spaces = [m.end() for m in re.finditer(r"\s", page)]
+    sentences = [k for k in spaces if k > 1 and page[k - 2] in ".!?;:"]
+    lines = [k for k in spaces if page[k - 1] == "\n"]
+    blanks = [b for a, b in zip(lines, lines[1:], strict=False) if not page[a:b].strip()]
+    return blanks, sentences, spaces
+
+
+def chunk_spans(page: str, target: int, overlap: int) -> list[tuple[int, int]]:
+    """Starts and ends of a page's chunks: each begins at a visible character and ends at the last good cut point within ``target``.
+
+    Paragraphs go before sentences and those before words; a cut must leave ``MIN_CHARS``, else the next kind is tried and at last the limit.
+    """
+    points, spans = cut_points(page), []
+    visible = re.compile(r"\S")
+    first = visible.search(page)
+    while first:
+        start, limit = first.start(), min(first.start() + target, len(page))
+        last = [p[k - 1] for p in points if (k := bisect_right(p, limit))] if limit < len(page) else []
+        stop = next((c for c in last if c - start >= MIN_CHARS), limit)
+        spans.append((start, stop))
+        back = stop - overlap if stop - overlap > start else stop
+        first = visible.search(page, back) if stop < len(page) else None
+    return spans
 
 
 def chunks(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -54,7 +61,7 @@ def chunks(pages: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> Da
 
     @F.pandas_udf("array<struct<s:int,e:int>>")
     def cut(page: pd.Series) -> pd.Series:
-        return page.map(lambda p: [{"s": a, "e": b} for a, b in _cuts(p or "", target, overlap)])
+        return page.map(lambda p: [{"s": a, "e": b} for a, b in chunk_spans(p or "", target, overlap)])
 
     rows = pages.select("*", F.posexplode(cut("page_text")).alias("ordinal", "c"))
     body = F.substring(F.col("page_text"), F.col("c.s") + 1, F.col("c.e") - F.col("c.s"))
@@ -66,36 +73,51 @@ def misplaced(chunked: DataFrame, text: str = "text") -> DataFrame:
     return chunked.where(F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("chunk_text"))
 
 
-def review_state(cls: Column, strict: Column) -> Column:
-    """Declared and deterministic rows sign themselves off, unless the tenant is stricter; all others wait for review."""
-    return F.when(cls == "DECLARED", "AUTO_ASSERTED").when((cls == "EXTRACTED_DET") & ~strict, "AUTO_ASSERTED").otherwise("PENDING")
+def review_state(cls: Column, strict: Column, predicate: Column | None = None, governing=()) -> Column:
+    """Declared and deterministic rows sign themselves off; a stricter tenant keeps deterministic ones, and governing predicates of any class, for review."""
+    own = (cls == "DECLARED") | ((cls == "EXTRACTED_DET") & ~strict)
+    held = predicate.isin(*governing) if predicate is not None and governing else F.lit(False)
+    return F.when(own & ~held, "AUTO_ASSERTED").otherwise("PENDING")
 
 
 def contract(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The rows with ``violations``, in a fixed order; no violation is an accepted row. ``vocabulary``: predicate, domain, range, symmetric."""
+    """The rows with ``violations``, in a fixed order; no violation is an accepted row. ``vocabulary``: predicate, domain, range, symmetric.
+
+    The columns premises, method, raw_confidence, quote and premise_confidences are checked where they are there.
+    """
     df = rows.join(F.broadcast(vocabulary), "predicate", "left")
     s, o = F.substring_index("subject_id", ":", 1), F.substring_index("object_id", ":", 1)
     admits = lambda a, b: F.array_contains("domain", a) & F.array_contains("range", b)
     bad_id = lambda c: c.isNull() | c.rlike(r"\s") | ~c.rlike(r"^[a-z][a-z0-9_]*:.+")
+    share = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
     premises = F.coalesce(F.col("premises"), F.array().cast("array<string>")) if "premises" in rows.columns else F.array().cast("array<string>")
+    det, blank = F.col("epistemic_class") == "EXTRACTED_DET", lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     checks = [
         ("tenant", F.col("tenant_id").isNull()),
         ("locator", F.col("document_id").isNull() & (F.col("epistemic_class") != "DECLARED")),
-        ("confidence", ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))),
+        ("confidence", ~share("confidence")),
         ("subject", bad_id(F.col("subject_id"))),
         ("object", bad_id(F.col("object_id"))),
         ("predicate", F.col("domain").isNull()),
         ("kinds", F.col("domain").isNotNull() & ~(admits(s, o) | (F.col("symmetric") & admits(o, s)))),
-        ("deterministic", (F.col("epistemic_class") == "EXTRACTED_DET") & (F.col("predicate") != "MENTIONS")),
+        ("deterministic", det & ~F.col("predicate").isin(*PRESENCE)),
         ("premises", (F.col("epistemic_class") == "INFERRED") != (F.size(premises) > 0)),
     ]
+    more = {
+        "method": lambda: blank(F.col("method")),
+        "raw_confidence": lambda: F.col("raw_confidence").isNotNull() & ~share("raw_confidence"),
+        "quote": lambda: det & blank(F.col("quote")),
+        "premise_confidences": lambda: (F.col("epistemic_class") == "INFERRED") & (F.col("confidence") > F.array_min("premise_confidences")),
+    }
+    checks += [(n, c()) for n, c in more.items() if n in rows.columns]
     return df.withColumn("violations", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda v: v.isNotNull())).drop("domain", "range", "symmetric")
 
 
 def validated(claims: DataFrame, vocabulary: DataFrame, kinds, conclusions=()) -> DataFrame:
     """Claims (chunk_text, quote, subject, predicate_said, object, confidence) with canonical ends, quote offsets and ``drop_reason``.
 
-    ``vocabulary``: predicate, label, symmetric, domain, range. The first failing check names the reason; null keeps the claim.
+    ``vocabulary``: predicate, label, symmetric, domain, range. The first failing check names the reason; null keeps the claim. A
+    presence claim rests on its quote and is deterministic, any other is a model's reading (``epistemic_class``).
     """
     said = F.upper(F.regexp_replace(F.trim("predicate_said"), r"\s+", "_"))
     by_id = vocabulary.select(F.col("predicate").alias("said"), F.col("predicate").alias("p1"))
@@ -111,7 +133,7 @@ def validated(claims: DataFrame, vocabulary: DataFrame, kinds, conclusions=()) -
         F.when(F.col("s").isNull() | F.col("o").isNull(), "unknown kind"),
         F.when(F.col("s") == F.col("o"), "self edge"),
     )
-    return df.select(*[c for c in claims.columns if c not in ("subject", "object")], "predicate", first.alias("subject_id"), second.alias("object_id"), "at", F.least("confidence", F.lit(MODEL_CAP)).alias("capped"), reason.alias("drop_reason"))
+    return df.select(*[c for c in claims.columns if c not in ("subject", "object")], "predicate", first.alias("subject_id"), second.alias("object_id"), "at", F.when(F.col("predicate").isin(*PRESENCE), "EXTRACTED_DET").otherwise("EXTRACTED_MODEL").alias("epistemic_class"), F.least("confidence", F.lit(MODEL_CAP)).alias("capped"), reason.alias("drop_reason"))
 
 
 def page_of(pages: Column, at: Column) -> Column:

@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import label
 from .scope import SIGNED_OFF
 from .session import checkpoints
+from .vectors import knn
 
 FAN_OUT = 12
 LONGEST = 4  # edges of a chain
 SKIPPED_KINDS = ("document", "source", "table", "column")
+# Kinds of the catalog's own nodes.
+CATALOG_KINDS = ("source", "table", "column")
+LOOP_QUESTIONS = 64  # that many are compared with every fact; more go through an index of word pieces
+TABLES = 6  # of a composed answer
 
 
 def ends(facts: DataFrame, *columns: str) -> DataFrame:
@@ -29,6 +34,7 @@ def expand(facts: DataFrame, seeds: DataFrame, depth: int, by_document: bool = T
     if by_document and "document_id" in facts.columns:
         by_doc = facts.where("document_id IS NOT NULL").select(F.explode(F.array("document_id", F.concat(F.lit("document:"), "document_id"))).alias("node"), "assertion_id")
         doors = doors.unionByName(by_doc)
+    checkpoints(facts.sparkSession)
     nodes = facts.select("assertion_id", F.explode(F.array("subject_id", "object_id")).alias("node"))
     front = seeds.select("node").distinct()
     known, reached = front, None
@@ -36,14 +42,12 @@ def expand(facts: DataFrame, seeds: DataFrame, depth: int, by_document: bool = T
         hit = doors.join(front, "node", "left_semi").select("assertion_id").distinct()
         if reached is not None:
             hit = hit.join(reached.select("assertion_id"), "assertion_id", "left_anti")
-        hit = hit.withColumn("hop", F.lit(hop))
+        # each step starts from stored rows: the plan would double with every one
+        hit = hit.withColumn("hop", F.lit(hop)).checkpoint()
         reached = hit if reached is None else reached.unionByName(hit)
         if hop < depth:
-            front = nodes.join(hit, "assertion_id", "left_semi").select("node").distinct().join(known, "node", "left_anti")
+            front = nodes.join(hit, "assertion_id", "left_semi").select("node").distinct().join(known, "node", "left_anti").checkpoint()
             known = known.unionByName(front)
-            if hop % 3 == 0:  # long walks: the plan would double with every step
-                checkpoints(facts.sparkSession)
-                front, known, reached = front.checkpoint(), known.checkpoint(), reached.checkpoint()
     return reached
 
 
@@ -68,26 +72,35 @@ def adjacency(facts: DataFrame, cap: int = FAN_OUT) -> DataFrame:
 
 
 def chains(facts: DataFrame, cap: int = FAN_OUT, longest: int = LONGEST, kept: int | None = 12) -> DataFrame:
-    """Simple paths of 2 to ``longest`` edges that are part of no longer one: nodes, assertion_ids, length, weakest.
+    """Simple paths of 2 to ``longest`` edges that are part of no longer one: nodes, assertion_ids, reversed, length, weakest.
 
-    A path and its reverse are one. Use it on the walked facts of a question: the number of paths grows with the power of the fan-out.
+    A path is its nodes, and its reverse is the same path; of parallel edges the firmest stands. It is shown from the end whose ids come first; ``reversed``
+    tells the steps that go against their fact. Longest first, then by the weakest step and the first step's id.
+    Use it on the walked facts of a question: the number of paths grows with the power of the fan-out.
     """
-    step = adjacency(facts, cap)
-    nxt = step.select(F.col("node").alias("end"), F.col("other").alias("to"), F.col("assertion_id").alias("edge"), F.col("confidence").alias("c"))
-    paths = step.select(F.array("node", "other").alias("nodes"), F.col("other").alias("end"), F.array("assertion_id").alias("ids"), F.col("confidence").alias("weakest"))
+    own = facts.select("assertion_id", "subject_id")
+    step = adjacency(facts, cap).join(own, "assertion_id")
+    firmest = F.min_by(F.struct("assertion_id", "confidence", (F.col("subject_id") != F.col("node")).alias("turned")), F.struct(-F.col("confidence"), "assertion_id"))
+    step = step.groupBy("node", "other").agg(firmest.alias("e")).select("node", "other", "e.*")
+    nxt = step.select(F.col("node").alias("end"), F.col("other").alias("to"), F.col("assertion_id").alias("edge"), F.col("confidence").alias("c"), F.col("turned").alias("t"))
+    paths = step.select(F.array("node", "other").alias("nodes"), F.col("other").alias("end"), F.array("assertion_id").alias("ids"), F.array("turned").alias("reversed"), F.col("confidence").alias("weakest"))
     found = []
     for _ in range(longest - 1):
-        paths = paths.join(nxt, "end").where(~F.array_contains("nodes", F.col("to"))).select(F.concat("nodes", F.array("to")).alias("nodes"), F.col("to").alias("end"), F.concat("ids", F.array("edge")).alias("ids"), F.least("weakest", "c").alias("weakest"))
+        paths = paths.join(nxt, "end").where(~F.array_contains("nodes", F.col("to")))
+        paths = paths.select(F.concat("nodes", F.array("to")).alias("nodes"), F.col("to").alias("end"), F.concat("ids", F.array("edge")).alias("ids"), F.concat("reversed", F.array("t")).alias("reversed"), F.least("weakest", "c").alias("weakest"))
         found.append(paths.drop("end"))
     every = reduce(DataFrame.unionByName, found)
-    turned = F.reverse("ids") < F.col("ids")
-    one = every.select(F.when(turned, F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"), F.least("ids", F.reverse("ids")).alias("ids"), "weakest").dropDuplicates(["ids"])
-    one = one.withColumn("length", F.size("ids"))
-    pieces = one.where("length > 2").select(F.col("length"), F.col("ids"), F.explode(F.sequence(F.lit(2), F.col("length") - 1)).alias("n"))
-    pieces = pieces.select("ids", "n", F.explode(F.sequence(F.lit(1), F.col("length") - F.col("n") + 1)).alias("k")).select(F.slice("ids", F.col("k"), F.col("n")).alias("ids"))
-    pieces = pieces.select(F.least("ids", F.reverse("ids")).alias("ids")).distinct()
-    whole = one.join(pieces, "ids", "left_anti").select("nodes", F.col("ids").alias("assertion_ids"), "length", "weakest")
-    return whole.orderBy(F.desc("length"), F.desc("weakest"), "assertion_ids").limit(kept) if kept else whole
+    # walked from its first end where both ways exist: a full neighbourhood may know a step from one side only
+    first = F.min_by(F.struct("nodes", "ids", "reversed", "weakest"), F.col("nodes")).alias("x")
+    one = every.groupBy(F.least("nodes", F.reverse("nodes")).alias("key")).agg(first).select("key", "x.*", (F.size("key") - 1).alias("length"))
+    pieces = one.where("length > 2").select(F.col("length"), F.col("key"), F.explode(F.sequence(F.lit(2), F.col("length") - 1)).alias("n"))
+    pieces = pieces.select("key", "n", F.explode(F.sequence(F.lit(1), F.col("length") - F.col("n") + 1)).alias("k")).select(F.slice("key", F.col("k"), F.col("n") + 1).alias("key"))
+    pieces = pieces.select(F.least("key", F.reverse("key")).alias("key")).distinct()
+    turn = F.reverse("ids") < F.col("ids")
+    shown = lambda c, back: F.when(turn, back).otherwise(F.col(c))
+    against = F.transform(F.reverse("reversed"), lambda r: ~r)
+    whole = one.join(pieces, "key", "left_anti").select(shown("nodes", F.reverse("nodes")).alias("nodes"), shown("ids", F.reverse("ids")).alias("assertion_ids"), shown("reversed", against).alias("reversed"), "length", "weakest")
+    return whole.orderBy(F.desc("length"), F.desc("weakest"), F.col("assertion_ids")[0], "assertion_ids").limit(kept) if kept else whole
 
 
 def findings(facts: DataFrame, effects: DataFrame) -> DataFrame:
@@ -95,7 +108,7 @@ def findings(facts: DataFrame, effects: DataFrame) -> DataFrame:
 
     ``effects``: predicate, blocks (subject, object or both), effect. Of several facts the furthest-reaching and then the firmest stands.
     """
-    df = facts.where("superseded_at IS NULL").join(F.broadcast(effects), "predicate")
+    df = facts.where("superseded_at IS NULL").join(effects, "predicate")
     tainted = F.when(F.col("blocks") == "subject", F.array(F.struct(F.col("subject_id").alias("tainted"), F.col("object_id").alias("other")))).when(F.col("blocks") == "object", F.array(F.struct(F.col("object_id").alias("tainted"), F.col("subject_id").alias("other"))))
     tainted = tainted.otherwise(F.array(F.struct(F.col("subject_id").alias("tainted"), F.col("object_id").alias("other")), F.struct(F.col("object_id").alias("tainted"), F.col("subject_id").alias("other"))))
     count = F.size("premises") if "premises" in facts.columns else F.lit(0)
@@ -104,6 +117,52 @@ def findings(facts: DataFrame, effects: DataFrame) -> DataFrame:
     return rows.groupBy("tainted", "predicate", "other").agg(best).select("tainted", "predicate", "other", "x.*")
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """Findings as a reader sees them: those that rest on most facts first, then the firmest, then by name."""
+    return found.orderBy(F.desc("premise_count"), F.desc("confidence"), "tainted", "predicate", "other")
+
+
+def touched(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The facts that a seed (node) names by an end, in either form of its id, by the document or by the matter."""
+    names = F.array("subject_id", F.regexp_extract("subject_id", "^[^:]*:(.*)$", 1), "object_id", F.regexp_extract("object_id", "^[^:]*:(.*)$", 1), "document_id", F.concat(F.lit("document:"), "document_id"), "matter_id", F.concat(F.lit("matter:"), "matter_id"))
+    named = facts.select("assertion_id", F.explode(F.array_distinct(names)).alias("node")).where("node IS NOT NULL AND node <> ''")
+    return facts.join(named.join(seeds.select("node").distinct(), "node", "left_semi").select("assertion_id").distinct(), "assertion_id", "left_semi")
+
+
+def blocks_for(seeds: DataFrame, found: DataFrame, screens: DataFrame) -> DataFrame:
+    """question_id, subject, reason, rule, matter_id, contact, premise_count, effect: what is in force for each question.
+
+    ``seeds``: question_id, node; ``found``: findings; ``screens`` (matter_id, reason, contact): the caller's, in force whatever is asked.
+    """
+    text = lambda v=None: F.lit(v).cast("string")
+    reason = F.coalesce("reason", F.lit("You are screened from this matter."))
+    walls = seeds.select("question_id").distinct().crossJoin(screens).select("question_id", F.col("matter_id").alias("subject"), reason.alias("reason"), text("ethical_screen").alias("rule"), "matter_id", "contact", F.lit(0).alias("premise_count"), text("withhold").alias("effect"))
+    rules = seeds.distinct().join(found.withColumnRenamed("tainted", "node"), "node")
+    rules = rules.select("question_id", F.col("node").alias("subject"), F.col("predicate").alias("reason"), F.col("predicate").alias("rule"), text().alias("matter_id"), text().alias("contact"), F.col("premise_count").cast("int").alias("premise_count"), "effect")
+    return walls.unionByName(rules.distinct())
+
+
+def kept_rows(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows (question_id and any of subject_id, object_id, document_id, matter_id) that no withholding block of their question names."""
+    hold = blocks.where("effect = 'withhold'")
+    out = rows
+    for key, name in (("subject_id", "subject"), ("object_id", "subject"), ("document_id", "subject"), ("matter_id", "matter_id")):
+        if key in rows.columns:
+            bad = hold.where(F.col(name).isNotNull()).select("question_id", F.col(name).alias(key)).distinct()
+            out = out.join(bad, ["question_id", key], "left_anti")
+    return out.select(rows.columns)
+
+
+def screen_report(seeds: DataFrame, rows: DataFrame, blocks: DataFrame, degraded: str | None = None) -> DataFrame:
+    """question_id, seeds_considered, cleared, flagged, items_withheld, degraded. A check that failed (``degraded``: why) has cleared nothing."""
+    named = blocks.where("subject IS NOT NULL").select("question_id", F.col("subject").alias("node")).distinct().withColumn("named", F.lit(True))
+    per = seeds.distinct().join(named, ["question_id", "node"], "left").groupBy("question_id").agg(F.count("*").alias("seeds_considered"), F.count_if(F.col("named").isNull()).alias("cleared"), F.count_if("named").alias("flagged"))
+    count = lambda df, n: df.groupBy("question_id").agg(F.count("*").alias(n))
+    df = per.join(count(rows, "all"), "question_id", "left").join(count(kept_rows(rows, blocks), "left"), "question_id", "left")
+    held = F.coalesce("all", F.lit(0)) - F.coalesce("left", F.lit(0))
+    return df.select("question_id", "seeds_considered", (F.lit(0).cast("long") if degraded else F.col("cleared")).alias("cleared"), "flagged", held.alias("items_withheld"), F.lit(degraded).cast("string").alias("degraded"))
+
+
 def veto(rows: DataFrame, blocked: DataFrame, keys: list[str]) -> DataFrame:
     """Rows none of whose keys is blocked (``blocked``: node)."""
     return reduce(lambda d, k: d.join(blocked.select(F.col("node").alias(k)).distinct(), k, "left_anti"), keys, rows)
@@ -119,12 +178,38 @@ def screened(facts: DataFrame, found: DataFrame) -> DataFrame:
     return df.agg(F.count_if(~held & ~flagged).alias("cleared"), F.count_if(flagged).alias("flagged"), F.count_if(held).alias("withheld"))
 
 
-def search(facts: DataFrame, questions: DataFrame, catalog_predicates=("HAS_TABLE", "HAS_COLUMN", "PARTITIONED_BY")) -> DataFrame:
-    """question_id, assertion_id, matched (terms found in the fact's words), confidence. ``questions``: question_id, terms; small, as questions are asked."""
+def _catalog(column: str) -> Column:
+    return F.substring_index(column, ":", 1).isin(*CATALOG_KINDS)
+
+
+def _matched(hay: DataFrame, key: list[str], questions: DataFrame) -> DataFrame:
+    """question_id, the key columns and matched: the question's terms, in their order, that the row's ``hay`` contains.
+
+    A few questions are compared with each row. More of them go through an equi join: a term without spaces is contained
+    where a word is that has the term's first three characters (two, for terms of two) somewhere; those pairs alone are compared.
+    """
+    if questions.limit(LOOP_QUESTIONS + 1).count() <= LOOP_QUESTIONS and not questions.where(F.size("terms") > 1000).count():
+        few = hay.crossJoin(F.broadcast(questions)).withColumn("matched", F.filter("terms", lambda t: F.contains("hay", t)))
+        return few.where(F.size("matched") > 0).select("question_id", *key, "matched")
+    asked = questions.select("question_id", F.posexplode("terms").alias("at", "term"))
+    if asked.where("term LIKE '% %' OR length(term) < 2").count():
+        raise ValueError("terms are words of two characters or more")
+    begins = F.substring("term", 1, 3)
+    terms = asked.select("term").distinct().select("term", begins.alias("gram"))
+    words = hay.select(F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).where("length(word) > 1").distinct()
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda k: F.substring(F.col("word"), k, F.lit(n)))
+    pieces = words.select("word", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("gram"))
+    pairs = pieces.join(terms, "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
+    hits = hay.select(*key, F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).join(pairs, "word").select(*key, "term").distinct().join(asked, "term")
+    lists = hits.groupBy("question_id", *key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x"))
+    return lists.select("question_id", *key, F.transform("x", lambda p: p["term"]).alias("matched"))
+
+
+def search(facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, assertion_id, matched (terms found in the fact's words), confidence; catalog nodes are schema, not evidence. ``questions``: question_id, terms."""
     words = F.lower(F.concat_ws(" ", label(F.col("subject_id")), label(F.col("object_id")), F.regexp_replace("predicate", "_", " ")))
-    hay = facts.where(~F.col("predicate").isin(*catalog_predicates)).withColumn("hay", words)
-    hit = hay.crossJoin(F.broadcast(questions)).withColumn("matched", F.filter("terms", lambda t: F.contains("hay", t))).where(F.size("matched") > 0)
-    return hit.select("question_id", "assertion_id", "matched", "confidence")
+    hay = facts.where(~_catalog("subject_id") & ~_catalog("object_id")).withColumn("hay", words)
+    return _matched(hay, ["assertion_id", "confidence"], questions).select("question_id", "assertion_id", "matched", "confidence")
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -133,15 +218,26 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", n).where(F.col("rank") <= k)
 
 
-def proof_tree(derived: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
-    """root, assertion_id, level of the premises under each root, down to ``depth``. ``derived``: assertion_id, premises."""
+def proof_tree(derived: DataFrame, roots: DataFrame, depth: int = 6, visible: DataFrame | None = None) -> DataFrame:
+    """root, assertion_id, level of the premises under each root, down to ``depth``. ``derived``: assertion_id, premises.
+
+    With ``visible`` (assertion_id) also visible: a withheld premise stays as a gap, and what is under it is not shown.
+    """
     edge = derived.select(F.col("assertion_id").alias("parent"), F.explode("premises").alias("child"))
+    if visible is not None:
+        edge = edge.join(visible.select(F.col("assertion_id").alias("parent")).distinct(), "parent", "left_semi")
+    checkpoints(derived.sparkSession)
     level = roots.select(F.col("assertion_id").alias("root"), "assertion_id").withColumn("level", F.lit(0))
     out = [level]
     for k in range(1, depth + 1):
         level = level.join(edge, level["assertion_id"] == edge["parent"]).select("root", F.col("child").alias("assertion_id")).distinct().withColumn("level", F.lit(k))
+        level = level.checkpoint() if k % 2 == 0 else level
         out.append(level)
-    return reduce(DataFrame.unionByName, out).groupBy("root", "assertion_id").agg(F.min("level").alias("level"))
+    rows = reduce(DataFrame.unionByName, out).groupBy("root", "assertion_id").agg(F.min("level").alias("level"))
+    if visible is None:
+        return rows
+    seen = visible.select("assertion_id").distinct().withColumn("seen", F.lit(True))
+    return rows.join(seen, "assertion_id", "left").select("root", "assertion_id", "level", F.col("seen").isNotNull().alias("visible"))
 
 
 def kind_sweep(facts: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -158,11 +254,12 @@ def unreviewed(facts: DataFrame, effects: DataFrame, seeds: DataFrame) -> DataFr
     return findings(waiting, effects).join(seeds.select(F.col("node").alias("tainted")).distinct(), "tainted", "left_semi")
 
 
-def catalog_search(facts: DataFrame, questions: DataFrame, predicates=("HAS_TABLE", "HAS_COLUMN", "PARTITIONED_BY")) -> DataFrame:
-    """question_id, node, matched, confidence: the best match of each catalog node by its own words or those at its other end."""
-    rows = ends(facts.where(F.col("predicate").isin(*predicates)), "confidence")
-    hay = rows.withColumn("hay", F.lower(F.concat_ws(" ", label(F.regexp_replace("node", r"\.", " ")), label(F.regexp_replace("other", r"\.", " ")))))
-    hit = hay.crossJoin(F.broadcast(questions)).withColumn("matched", F.size(F.filter("terms", lambda t: F.contains("hay", t)))).where("matched > 0")
+def catalog_search(facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, node, matched, confidence: the best match of each catalog node by its own words or those at its other end, so that a synonym or topic finds what it is of."""
+    words = lambda c: label(F.regexp_replace(c, r"\.", " "))
+    rows = ends(facts, "confidence").where(_catalog("node")).distinct()
+    hay = rows.withColumn("hay", F.lower(F.concat_ws(" ", words("node"), words("other"))))
+    hit = _matched(hay, ["node", "other", "confidence"], questions).withColumn("matched", F.size("matched"))
     return hit.groupBy("question_id", "node").agg(F.max(F.struct("matched", "confidence")).alias("x")).select("question_id", "node", "x.*")
 
 
@@ -170,12 +267,29 @@ def graph_first(facts: DataFrame, question: DataFrame, depth: int = 2, documents
     """Facts found by words and by a walk from them (assertion_id, hop; matched ones have hop 0), and their source documents, sorted, at most ``documents``."""
     hit = search(facts, question).select("assertion_id").distinct()
     starts = facts.join(hit, "assertion_id", "left_semi").select(F.explode(F.array("subject_id", "object_id")).alias("node"))
-    walked = expand(facts, starts, depth).join(hit, "assertion_id", "left_anti")
-    found = hit.withColumn("hop", F.lit(0)).unionByName(walked)
+    found = hit.withColumn("hop", F.lit(0)).unionByName(not_matched(expand(facts, starts, depth), hit))
     docs = facts.join(found, "assertion_id", "left_semi").where("document_id IS NOT NULL").select("document_id").distinct().orderBy("document_id").limit(documents)
     return found, docs
 
 
+def not_matched(walked: DataFrame, hit: DataFrame) -> DataFrame:
+    """Walked facts without those that a search has matched already."""
+    return walked.join(hit.select("assertion_id"), "assertion_id", "left_anti")
+
+
+def graph_first_answer(facts: DataFrame, question: DataFrame, passages: DataFrame, asked: DataFrame, catalog: DataFrame, k: int = 5, depth: int = 2, allowed=None) -> DataFrame:
+    """part (fact, passage or table), id, rank: facts by words and walk, the nearest passages inside their documents, and the best catalog tables.
+
+    ``question``: question_id, terms, one row; ``passages``: vec_id, embedding, document_id and what ``allowed`` asks; ``asked``: vec_id, embedding of the question.
+    """
+    found, docs = graph_first(facts, question, depth)
+    near = knn(asked, passages, k, allowed, docs)
+    tables = catalog_search(catalog, question).where("node LIKE 'table:%'").orderBy(F.desc("matched"), F.desc("confidence"), "node").limit(TABLES)
+    as_part = lambda df, part, id_, rank: df.select(F.lit(part).alias("part"), F.col(id_).cast("string").alias("id"), rank.cast("int").alias("rank"))
+    order = F.row_number().over(W.orderBy(F.desc("matched"), F.desc("confidence"), "node"))  # at most TABLES rows
+    return as_part(found, "fact", "assertion_id", F.col("hop")).unionByName(as_part(near, "passage", "vec_id", F.col("rank"))).unionByName(as_part(tables, "table", "node", order))
+
+
 def vector_first(facts: DataFrame, neighbours: DataFrame, depth: int = 1) -> DataFrame:
     """The walk from what the nearest passages name: their document and matter, in both forms of the id. ``neighbours``: document_id, matter_id."""
     ids = F.array("document_id", F.concat(F.lit("document:"), "document_id"), "matter_id", F.concat(F.lit("matter:"), "matter_id"))
@@ -183,6 +297,13 @@ def vector_first(facts: DataFrame, neighbours: DataFrame, depth: int = 1) -> Dat
     return expand(facts, seeds, depth)
 
 
+def vector_first_answer(facts: DataFrame, passages: DataFrame, asked: DataFrame, k: int = 5, depth: int = 1, allowed=None, kept: int | None = 12) -> tuple[DataFrame, DataFrame]:
+    """The walk (assertion_id, hop) from the k nearest passages of the asked vectors, and the chains in it."""
+    near = knn(asked, passages, k, allowed).select("vec_id").distinct()
+    walked = vector_first(facts, passages.join(near, "vec_id", "left_semi").select("document_id", "matter_id").distinct(), depth)
+    return walked, chains(facts.join(walked, "assertion_id", "left_semi"), kept=kept)
+
+
 def provenance(derived: DataFrame, facts: DataFrame, visible) -> DataFrame:
     """assertion_id, premise, known, visible of each derived row's premises; withheld ones stay as gaps."""
     seen = facts.withColumn("ok", visible).select(F.col("assertion_id").alias("premise"), F.coalesce("ok", F.lit(False)).alias("ok"))

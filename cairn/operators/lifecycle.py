@@ -11,12 +11,54 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import approved_confidence, content_id
 from .session import checkpoints
 
-# Document states on the way to being live, the failures on the way, and where a failure is taken up again.
-PATH = ("REGISTERED", "FETCHING", "PARSING", "CHUNKING", "EXTRACTING", "EMBEDDING", "GRAPH_STAGED", "PENDING_REVIEW", "APPROVED", "LIVE")
-FAILURES = {"FETCH_FAILED": ("FETCHING", "REGISTERED FETCHING"), "PARSE_FAILED": ("PARSING", "PARSING"), "CHUNK_FAILED": ("CHUNKING", "CHUNKING"), "EXTRACT_FAILED": ("EXTRACTING", "EXTRACTING"), "EMBED_FAILED": ("EMBEDDING", "EMBEDDING"), "STAGE_FAILED": ("EXTRACTING", "EMBEDDING GRAPH_STAGED"), "PROMOTE_FAILED": ("APPROVED", "APPROVED")}
-STATES = (*PATH, *FAILURES)
-PROGRESS = {s: 2 * k for k, s in enumerate(PATH)} | {f: max(2 * PATH.index(s) for s in seen.split()) - 1 for f, (_, seen) in FAILURES.items()}
-LEGAL = sorted({*zip(PATH, PATH[1:], strict=False), *((s, f) for f, (_, seen) in FAILURES.items() for s in seen.split()), *((f, back) for f, (back, _) in FAILURES.items())})
+# The moves that a document's job may make, and how far each state is (a failure is one below the state it ended).
+LEGAL = [
+    ("REGISTERED", "FETCHING"),
+    ("REGISTERED", "FETCH_FAILED"),
+    ("FETCHING", "PARSING"),
+    ("FETCHING", "FETCH_FAILED"),
+    ("PARSING", "CHUNKING"),
+    ("PARSING", "PARSE_FAILED"),
+    ("CHUNKING", "EXTRACTING"),
+    ("CHUNKING", "CHUNK_FAILED"),
+    ("EXTRACTING", "EMBEDDING"),
+    ("EXTRACTING", "EXTRACT_FAILED"),
+    ("EMBEDDING", "GRAPH_STAGED"),
+    ("EMBEDDING", "EMBED_FAILED"),
+    ("EMBEDDING", "STAGE_FAILED"),
+    ("GRAPH_STAGED", "PENDING_REVIEW"),
+    ("GRAPH_STAGED", "STAGE_FAILED"),
+    ("PENDING_REVIEW", "APPROVED"),
+    ("APPROVED", "LIVE"),
+    ("APPROVED", "PROMOTE_FAILED"),
+    ("FETCH_FAILED", "FETCHING"),
+    ("PARSE_FAILED", "PARSING"),
+    ("CHUNK_FAILED", "CHUNKING"),
+    ("EXTRACT_FAILED", "EXTRACTING"),
+    ("EMBED_FAILED", "EMBEDDING"),
+    ("STAGE_FAILED", "EXTRACTING"),
+    ("PROMOTE_FAILED", "APPROVED"),
+]
+PROGRESS = {
+    "REGISTERED": 0,
+    "FETCHING": 2,
+    "PARSING": 4,
+    "CHUNKING": 6,
+    "EXTRACTING": 8,
+    "EMBEDDING": 10,
+    "GRAPH_STAGED": 12,
+    "PENDING_REVIEW": 14,
+    "APPROVED": 16,
+    "LIVE": 18,
+    "FETCH_FAILED": 1,
+    "PARSE_FAILED": 3,
+    "CHUNK_FAILED": 5,
+    "EXTRACT_FAILED": 7,
+    "EMBED_FAILED": 9,
+    "STAGE_FAILED": 11,
+    "PROMOTE_FAILED": 15,
+}
+STATES = tuple(PROGRESS)
 
 
 def fold(facts: DataFrame, events: DataFrame, as_of: str | None = None) -> DataFrame:
@@ -71,26 +113,61 @@ def decide(facts: DataFrame, ids: DataFrame, event: str, at: Column, reason: str
 
 
 def cascade(facts: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """assertion_id and level of the current roots and of everything current that rests on them; superseded facts stop a branch. ``facts``: assertion_id, premises, superseded_at."""
+    """assertion_id, level and root (the first by name of those that reach it soonest) of the current roots and of everything current that rests on them.
+
+    Superseded facts stop a branch. ``facts``: assertion_id, premises, superseded_at.
+    """
     checkpoints(facts.sparkSession)
     live = facts.where("superseded_at IS NULL")
     rests = live.where(F.size("premises") > 0).select(F.col("assertion_id").alias("child"), F.explode("premises").alias("premise"))
-    front = roots.select("assertion_id").distinct().join(live.select("assertion_id"), "assertion_id", "left_semi").withColumn("level", F.lit(0))
+    front = roots.select("assertion_id").distinct().join(live.select("assertion_id"), "assertion_id", "left_semi").select("assertion_id", F.lit(0).alias("level"), F.col("assertion_id").alias("root"))
     reached = front
     for level in range(1, most + 1):
-        front = rests.join(front.select(F.col("assertion_id").alias("premise")), "premise", "left_semi").select(F.col("child").alias("assertion_id")).distinct()
-        front = front.join(reached.select("assertion_id"), "assertion_id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        front = rests.join(front.select(F.col("assertion_id").alias("premise"), "root"), "premise").groupBy(F.col("child").alias("assertion_id")).agg(F.min("root").alias("root"))
+        front = front.join(reached.select("assertion_id"), "assertion_id", "left_anti").select("assertion_id", F.lit(level).alias("level"), "root").checkpoint()
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
     raise RuntimeError(f"the cascade is deeper than {most}")
 
 
-def merged(facts: DataFrame, loser: str, winner: str) -> tuple[DataFrame, DataFrame]:
-    """Restated facts of the loser under the winner's name with new ids, and the ids to close. Refuses other kinds and the same id."""
-    if loser == winner or loser.split(":", 1)[0] != winner.split(":", 1)[0] or ":" not in winner:
+def retraction(facts: DataFrame, roots: DataFrame, reason: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The events of a retraction with its cascade, each with its own reason, and the rules (rule_id) that lose a conclusion by it.
+
+    Nothing is written: the events are the dry run's answer, and appended they are the retraction. A root that is closed already has no event.
+    """
+    if not reason.strip():
+        raise ValueError("a retraction needs a reason")
+    closed = cascade(facts, roots)
+    why = F.when(F.col("level") == 0, F.lit(reason)).otherwise(F.concat(F.lit("premise "), "root", F.lit(f" retracted: {reason}")))
+    events = closed.select("assertion_id", F.lit("retract").alias("event"), at.alias("at"), "level", why.alias("reason"))
+    orphaned = facts.where("rule_id IS NOT NULL").join(closed.where("level > 0").select("assertion_id"), "assertion_id", "left_semi").select("rule_id").distinct()
+    return events, orphaned
+
+
+def _named(facts: DataFrame, entity: str) -> DataFrame:
+    return facts.where(((F.col("subject_id") == entity) | (F.col("object_id") == entity)) & F.col("superseded_at").isNull())
+
+
+def merge_plan(facts: DataFrame, loser: str) -> DataFrame:
+    """assertion_id and part of what a merge touches: affected (names the loser) or cascaded (rests on those without naming it)."""
+    affected = _named(facts, loser).select("assertion_id")
+    cascaded = cascade(facts, affected).select("assertion_id").join(affected, "assertion_id", "left_anti")
+    return affected.withColumn("part", F.lit("affected")).unionByName(cascaded.withColumn("part", F.lit("cascaded")))
+
+
+def merged(facts: DataFrame, loser: str, winner: str, canonical=None) -> tuple[DataFrame, DataFrame]:
+    """Restated facts of the loser under the winner's name with new ids, and the ids to close.
+
+    Refuses other kinds, the same id and, with ``canonical`` (a function of a column), ids that are not in normal form.
+    """
+    if loser == winner or loser.lower().split(":", 1)[0] != winner.lower().split(":", 1)[0] or ":" not in winner:
         raise ValueError("only two ids of one kind can be merged")
-    old = facts.where(((F.col("subject_id") == loser) | (F.col("object_id") == loser)) & F.col("superseded_at").isNull())
+    if canonical is not None:
+        ids = facts.sparkSession.createDataFrame([(loser,), (winner,)], "id string")
+        if ids.where(~F.col("id").eqNullSafe(canonical(F.col("id")))).count():
+            raise ValueError("an id is not in normal form: the merge would make a fork")
+    old = _named(facts, loser)
     to = lambda c: F.when(F.col(c) == loser, winner).otherwise(F.col(c)).alias(c)
     new = old.select(*[to(c) if c in ("subject_id", "object_id") else F.col(c) for c in facts.columns if c != "assertion_id"]).where("subject_id <> object_id")
     return new.withColumn("assertion_id", content_id(F.col("tenant_id"), F.col("subject_id"), F.col("predicate"), F.col("object_id"))).select(facts.columns), old.select("assertion_id")
@@ -101,6 +178,15 @@ def wiped(facts: DataFrame, where: Column, at: Column) -> DataFrame:
     return facts.where(where & F.col("superseded_at").isNull()).select("assertion_id", F.lit("supersede").alias("event"), at.alias("at"))
 
 
+def wipe(facts: DataFrame, vectors: DataFrame, jobs: DataFrame, where: Column, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A wipe of documents or a matter (``where`` over document_id and matter_id): events, the vectors and jobs that stay, and an audit row of counts."""
+    gone = F.coalesce(where, F.lit(False))
+    events = wiped(facts, gone, at)
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    audit = count(events, "facts").crossJoin(count(vectors.where(gone), "vectors")).crossJoin(count(jobs.where(gone), "jobs"))  # one row each
+    return events, vectors.where(~gone), jobs.where(~gone), audit
+
+
 def filings(events: DataFrame) -> DataFrame:
     """Filing events (document_id, matter_id, at, seq) with the matter before: the last one that was named."""
     by = W.partitionBy("document_id").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
@@ -108,8 +194,11 @@ def filings(events: DataFrame) -> DataFrame:
 
 
 def settled(documents: DataFrame, staged: DataFrame) -> DataFrame:
-    """Documents in review none of whose own facts (document_id, review_state) is pending: they go live."""
-    open_ = staged.where("review_state = 'PENDING'").select("document_id").distinct()
+    """Documents in review none of whose own facts is pending: they go live. Own are those of their ``staged_ids`` (matched with assertion_id) or, without that column, of document_id."""
+    open_ = staged.where("review_state = 'PENDING'")
+    if "staged_ids" in documents.columns:
+        open_ = documents.select("document_id", F.explode("staged_ids").alias("assertion_id")).join(open_.select("assertion_id"), "assertion_id", "left_semi")
+    open_ = open_.select("document_id").distinct()
     return documents.where("state = 'PENDING_REVIEW'").join(open_, "document_id", "left_anti")
 
 
@@ -136,6 +225,12 @@ def without(df: DataFrame, tenant: str) -> DataFrame:
     return df.where(~F.col("tenant_id").eqNullSafe(F.lit(tenant)))
 
 
+def refused(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows that an insert-only table must refuse: their key is there already, or another row of the batch has it."""
+    again = new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    return new.join(old.select(key).unionByName(again).distinct(), key, "left_semi")
+
+
 def append_once(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows to append: new keys only, each once, so that a rerun converges."""
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")
@@ -166,6 +261,21 @@ def refile_events(facts: DataFrame, documents: DataFrame, at: Column) -> DataFra
     return rows.where("NOT (previous <=> matter_id)").select("assertion_id", F.lit("refile").alias("event"), at.alias("at"), "matter_id", "previous")
 
 
+def refile(facts: DataFrame, chunks: DataFrame, jobs: DataFrame, documents: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (document_id, matter_id) move to a matter: events for their facts, the chunks and jobs with their new matter, and an audit row of counts. Ids stay."""
+    events = refile_events(facts, documents, at)
+    to = documents.select("document_id", F.struct("matter_id").alias("_to"))
+
+    def moved(df: DataFrame) -> DataFrame:
+        rows = df.join(to, "document_id", "left")
+        return rows.withColumn("matter_id", F.when(F.col("_to").isNotNull(), F.col("_to.matter_id")).otherwise(F.col("matter_id"))).select(df.columns)
+
+    named = documents.select("document_id")
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    audit = count(events, "facts").crossJoin(count(chunks.join(named, "document_id", "left_semi"), "chunks")).crossJoin(count(jobs.join(named, "document_id", "left_semi"), "jobs"))  # one row each
+    return events, moved(chunks), moved(jobs), audit
+
+
 def resolved_filing(requests: DataFrame, events: DataFrame) -> DataFrame:
     """The matter of each request (document_id, matter_id): the one it names, else the newest that any filing named."""
     prior = events.where("matter_id IS NOT NULL").groupBy("document_id").agg(F.max_by("matter_id", F.struct("at", "seq")).alias("prior"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.session import checkpoints
 from .tables import read
 
 EDGE_SQL = """
@@ -23,7 +25,7 @@ FACT_SQL = (
     EDGE_SQL
     + """,
 numbered AS (SELECT *, a * 7 + b * 3 AS x, predicate = 'PLACED_ORDER' AS declared FROM edges),
-facts AS (
+facts AS MATERIALIZED (
   SELECT CASE WHEN a % 10 < 9 THEN 't-alpha' ELSE 't-beta' END AS tenant_id, subject_id, predicate, object_id,
     CASE WHEN x % 4 = 0 THEN NULL ELSE 'M-' || (a % 7) END AS matter_id,
     CASE WHEN declared THEN 'DECLARED' ELSE 'EXTRACTED_MODEL' END AS epistemic_class,
@@ -60,8 +62,22 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def facts(spark: SparkSession, folder: str, one_tenant: bool = False) -> DataFrame:
-    """The fact table: identity, trust, review and transaction time, and the locator's document."""
+    """The fact table, written once in a session, by tenant, to the folder of checkpoints: walks name it many times, and a tenant's queries read that tenant's files."""
+    key = (spark.sparkContext.applicationId, folder, one_tenant)
+    if key not in _STORED:
+        checkpoints(spark)
+        path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/facts-{uuid.uuid4().hex}"
+        made(spark, folder, one_tenant).write.partitionBy("tenant_id").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def made(spark: SparkSession, folder: str, one_tenant: bool = False) -> DataFrame:
+    """The rows of the fact table: identity, trust, review and transaction time, and the locator's document."""
     n_d = F.lit(read(spark, folder, "documents").count())
     df = edges(spark, folder).withColumn("x", F.col("a") * 7 + F.col("b") * 3).withColumn("declared", F.col("predicate") == "PLACED_ORDER")
     x, declared = F.col("x"), F.col("declared")

@@ -67,6 +67,45 @@ def test_merge_refuses_other_kinds(spark):
     for a, b in (("p:1", "q:1"), ("p:1", "p:1"), ("p:1", "p1")):
         with pytest.raises(ValueError):
             L.merged(f, a, b)
+    canonical = lambda c: T.canonical(c, ["p"])
+    assert L.merged(f, "p:1", "p:2", canonical)[1].count() == 2
+    with pytest.raises(ValueError, match="normal form"):
+        L.merged(f, "P:1", "p:2", canonical)
+
+
+def test_retraction_plan(spark):
+    rows = [("r", [], None, None), ("a", ["r"], None, "rule1"), ("b", ["a"], None, "rule2"), ("x", ["b"], "2024-01-01", "rule3"), ("y", ["x"], None, "rule4")]
+    f = spark.createDataFrame(rows, "assertion_id string, premises array<string>, superseded_at string, rule_id string").withColumn("superseded_at", F.to_timestamp("superseded_at"))
+    events, orphaned = L.retraction(f, f.where("assertion_id = 'r'"), "wrong source", F.current_timestamp())
+    assert {(r.assertion_id, r.reason) for r in events.collect()} == {("r", "wrong source"), ("a", "premise r retracted: wrong source"), ("b", "premise r retracted: wrong source")}
+    assert {r.rule_id for r in orphaned.collect()} == {"rule1", "rule2"}
+    assert L.retraction(f, f.where("assertion_id = 'x'"), "again", F.current_timestamp())[0].count() == 0
+    with pytest.raises(ValueError):
+        L.retraction(f, f, "  ", F.current_timestamp())
+
+
+def test_wipe_and_refile_move_every_view(spark):
+    f = table(spark, [fact("1", "a:1", "P", "b:1", doc="d1"), fact("2", "a:2", "P", "b:2", matter="M-1", doc="d1"), fact("3", "a:3", "P", "b:3", doc="d2")])
+    v = spark.createDataFrame([("v1", "d1", None), ("v2", "d2", None)], "vec_id string, document_id string, matter_id string")
+    jobs = spark.createDataFrame([("j1", "d1", None)], "job_id string, document_id string, matter_id string")
+    events, vectors, left, audit = L.wipe(f, v, jobs, F.col("document_id") == "d1", F.current_timestamp())
+    assert {r.assertion_id for r in events.collect()} == {"1", "2"} and [r.vec_id for r in vectors.collect()] == ["v2"] and left.count() == 0
+    assert tuple(audit.first()) == (2, 1, 1)
+    to = spark.createDataFrame([("d1", "M-2")], "document_id string, matter_id string")
+    events, chunks, moved, audit = L.refile(f, v, jobs, to, F.current_timestamp())
+    assert {(r.assertion_id, r.matter_id, r.previous) for r in events.collect()} == {("1", "M-2", None), ("2", "M-2", "M-1")}
+    assert {(r.vec_id, r.matter_id) for r in chunks.collect()} == {("v1", "M-2"), ("v2", None)} and moved.first().matter_id == "M-2" and tuple(audit.first()) == (2, 1, 1)
+
+
+def test_audit_refuses_existing_keys(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "audit_id int")
+    assert [r.audit_id for r in L.refused(rows(1, 2), rows(2, 3), "audit_id").collect()] == [2] and L.refused(rows(1), rows(4, 4), "audit_id").count() == 2
+
+
+def test_settled_by_staged_ids(spark):
+    docs = spark.createDataFrame([("d1", "PENDING_REVIEW", ["1", "2"]), ("d2", "PENDING_REVIEW", ["3"])], "document_id string, state string, staged_ids array<string>")
+    staged = spark.createDataFrame([("1", "APPROVED"), ("2", "PENDING"), ("3", "REJECTED")], "assertion_id string, review_state string")
+    assert [r.document_id for r in L.settled(docs, staged).collect()] == ["d2"]
 
 
 def test_progress_scale():
@@ -92,12 +131,15 @@ def test_scalar_functions(spark):
     lit = F.lit
     assert value(T.canonical(lit("Party:ACME  Ünïon_Ltd."), ["party"])) == "party:acme-ünïon-ltd" and value(T.canonical(lit("zz:a"), ["party"])) is None and value(T.canonical(lit("party:--"), ["party"])) is None
     assert value(T.canonical(lit("Table:A.b"), ["party"], ["table"])) == "Table:A.b"
-    assert value(T.blocking_keys(lit("party:Acme Union Limited GmbH"))) == ["acmeunion", "acmeunionlimited", "acmeunionlimitedgmbh"] and value(T.blocking_keys(lit("party:Ltd"))) == ["ltd"]
+    keys = lambda e, **how: value(T.blocking_keys(lit(e), ["party", "customer"], **how))
+    assert keys("Party:Acme Union Limited GmbH") == ["party:acmeunion", "party:acmeunionlimitedgmbh"] and keys("party:Ltd") == ["party:ltd"]
+    assert keys("customer:acme") == ["customer:acme"] and keys("court:acme") == [] and keys("party:acme", external=["party"]) == [] and keys("party:--") == []
     assert value(T.terms(lit("Which invoices are over-due for A & R&D's team?"))) == ["invoices", "over-due", "r&d's", "team"]
     assert value(T.singular(F.array(lit("invoices"), lit("gas")))) == ["invoices", "gas", "invoice"]
     assert tuple(value(T.node_parts(lit("column:a:b:db.t.c")))) == ("column", "a:b", "db.t", "c") and tuple(value(T.node_parts(lit("source:a:b")))) == ("source", "a:b", None, None)
     assert value(T.both_forms(lit("document:d"))) == ["document:d", "d"]
     assert tuple(value(T.locate(lit("\U0001f600 one  two (3)\nfour"), lit("two (3) four")))) == (7, 19) and value(T.locate(lit("abc"), lit("x y"))) is None
+    assert value(T.locate(lit("abc"), lit(""))) is None and value(T.locate(lit("ab    c"), lit("  "))) is None
     assert value(T.cosine(F.array(lit(1.0), lit(0.0)), F.array(lit(0.0), lit(0.0)))) == 0.0 and abs(value(T.cosine(F.array(lit(3.0)), F.array(lit(5.0)))) - 1) < 1e-12
     assert value(T.asked_grain(F.array(lit("total"), lit("weekly"), lit("year")), F.array(lit("year")))) == "year"
     assert [value(c) for c in T.ordered_ends(lit("b"), lit("a"), lit(True))] == ["a", "b"]
@@ -116,6 +158,9 @@ def test_contract(spark):
     v = spark.createDataFrame([("KNOWS", ["party"], ["party"], True)], "predicate string, domain array<string>, range array<string>, symmetric boolean")
     got = {r.assertion_id: r.violations for r in D.contract(rows, v).collect()}
     assert got == {"1": ["subject", "kinds"], "2": ["locator", "confidence"], "3": ["predicate", "deterministic"], "4": ["kinds"], "5": ["premises"], "6": []}
+    one = rows.where("assertion_id = '6'").withColumns({"method": F.lit(" "), "raw_confidence": F.lit(1.2), "quote": F.lit(None).cast("string"), "premises": F.array(F.lit("1")), "premise_confidences": F.array(F.lit(0.5))})
+    more = lambda cls: D.contract(one.withColumn("epistemic_class", F.lit(cls)), v).first().violations
+    assert more("INFERRED") == ["method", "raw_confidence", "premise_confidences"] and more("EXTRACTED_DET") == ["deterministic", "premises", "method", "raw_confidence", "quote"]
 
 
 def test_page_of(spark):

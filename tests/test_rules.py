@@ -89,3 +89,53 @@ def test_expand_goes_through_documents(spark):
     t = table(spark, rows)
     hops = lambda seed, depth: {r.assertion_id: r.hop for r in G.expand(t, spark.createDataFrame([(seed,)], "node string"), depth).collect()}
     assert hops("document:d1", 1) == {"1": 1} and hops("d1", 2) == {"1": 1, "2": 2} and hops("a:1", 4) == {"1": 1, "2": 2} and hops("nobody", 2) == {}
+
+
+def test_parallel_edges_are_one_path(spark):
+    rows = [fact("1", "a:1", "KNOWS", "b:1", conf=0.7), fact("2", "b:1", "OWNS", "a:1", conf=0.9), fact("3", "b:1", "KNOWS", "c:1", conf=0.8)]
+    got = G.chains(table(spark, rows)).collect()
+    assert [(r.nodes, r.assertion_ids, r.reversed, r.weakest) for r in got] == [(["a:1", "b:1", "c:1"], ["2", "3"], [True, False], 0.8)]
+
+
+def test_catalog_is_told_by_its_ends(spark):
+    rows = [fact("1", "table:s:db.orders", "DESCRIBED_AS", "description:order rows"), fact("2", "order:7", "PLACED_BY", "customer:orders-inc"), fact("3", "synonym:turnover", "NAMES", "column:s:db.orders.total")]
+    t = table(spark, rows)
+    q = spark.createDataFrame([(1, ["order"]), (2, ["turnover"])], "question_id int, terms array<string>")
+    assert {(r.question_id, r.assertion_id) for r in G.search(t, q).collect()} == {(1, "2")}
+    assert {(r.question_id, r.node) for r in G.catalog_search(t, q).collect()} == {(1, "table:s:db.orders"), (1, "column:s:db.orders.total"), (2, "column:s:db.orders.total")}
+
+
+def test_search_by_index_is_search_by_loop(spark, monkeypatch):
+    words = ["acme", "acme-union", "ion", "un", "or", "orders", "rder", "zz", "a1b2", "1b"]
+    rows = [fact(str(k), f"party:{words[k % 10]}", "PLACED_ORDER" if k % 2 else "KNOWS", f"order:{words[(k * 3 + 1) % 10]}") for k in range(40)]
+    q = spark.createDataFrame([(k, [w, words[(k + 3) % 10], w]) for k, w in enumerate(words)], "question_id int, terms array<string>")
+    found = lambda: sorted((r.question_id, r.assertion_id, tuple(r.matched), r.confidence) for r in G.search(table(spark, rows), q).collect())
+    loop = found()
+    monkeypatch.setattr(G, "LOOP_QUESTIONS", 0)
+    assert found() == loop and len(loop) > 40
+    with pytest.raises(ValueError):
+        G.search(table(spark, rows), spark.createDataFrame([(1, ["two words"])], "question_id int, terms array<string>"))
+
+
+def test_screen(spark):
+    """Seeds are cleared or flagged, rows withheld by any of their four keys, screens named with reason and contact, a failed check clears nothing."""
+    facts = table(spark, [fact("1", "case:1", "INVESTIGATES", "party:a"), fact("2", "memo:1", "WARNS_OF", "party:b", conf=0.6), fact("3", "memo:2", "WARNS_OF", "party:c", conf=0.9)])
+    effects = spark.createDataFrame([("INVESTIGATES", "object", "withhold"), ("WARNS_OF", "object", "notify")], "predicate string, blocks string, effect string")
+    found = G.findings(facts, effects)
+    assert [r.tainted for r in G.in_order(found).collect()] == ["party:a", "party:c", "party:b"]
+    seeds = spark.createDataFrame([(1, "party:a"), (1, "party:b"), (1, "party:z"), (2, "party:z")], "question_id int, node string")
+    screens = spark.createDataFrame([("M-9", None, "ann@x.org")], "matter_id string, reason string, contact string")
+    rows = spark.createDataFrame([(1, "r1", "party:a", "x:1", None), (1, "r2", "x:1", "party:a", None), (1, "r3", "x:1", "party:b", None), (1, "r4", "x:1", "x:2", "M-9"), (2, "r5", "party:a", "x:1", None), (2, "r6", "x:1", "x:2", "M-9")], "question_id int, row_id string, subject_id string, object_id string, matter_id string")
+    blocks = G.blocks_for(seeds, found, screens)
+    assert {(r.question_id, r.subject, r.rule, r.contact, r.effect) for r in blocks.collect()} == {(1, "M-9", "ethical_screen", "ann@x.org", "withhold"), (2, "M-9", "ethical_screen", "ann@x.org", "withhold"), (1, "party:a", "INVESTIGATES", None, "withhold"), (1, "party:b", "WARNS_OF", None, "notify")}
+    assert {r.row_id for r in G.kept_rows(rows, blocks).collect()} == {"r3", "r5"}
+    report = lambda why=None: {r.question_id: tuple(r)[1:] for r in G.screen_report(seeds, rows, blocks, why).collect()}
+    assert report() == {1: (3, 1, 2, 3, None), 2: (1, 1, 0, 1, None)} and report("no graph") == {1: (3, 0, 2, 3, "no graph"), 2: (1, 0, 0, 1, "no graph")}
+    assert {r.assertion_id for r in G.touched(facts, spark.createDataFrame([("a",), ("memo:2",)], "node string")).collect()} == {"1", "3"}
+
+
+def test_proof_tree_keeps_gaps(spark):
+    d = spark.createDataFrame([("r", ["a", "b"]), ("a", ["c"]), ("b", ["d"])], "assertion_id string, premises array<string>")
+    seen = spark.createDataFrame([("r",), ("a",), ("c",)], "assertion_id string")
+    got = {(r.assertion_id, r.level, r.visible) for r in G.proof_tree(d, d.where("assertion_id = 'r'"), visible=seen).collect()}
+    assert got == {("r", 0, True), ("a", 1, True), ("b", 1, False), ("c", 2, True)}
