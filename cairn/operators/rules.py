@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import content_id
 from .scope import SIGNED_OFF, STRENGTH, strength
 
 MAX_HOPS = 3
@@ -117,6 +118,29 @@ def infer(rules, facts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def infer_and_stage(rules, facts: DataFrame, stored: DataFrame) -> DataFrame:
+    """The conclusions that are not stored yet as facts of the tenants they rest on: INFERRED, PENDING, with premises, rule_id and an id from their content.
+
+    Pending conclusions are no premises, so that a second run over its own output adds nothing.
+    """
+    tenant = facts.select(F.col("assertion_id").alias("first"), "tenant_id")
+    rows = infer(rules, facts).withColumn("first", F.col("premises")[0]).join(tenant, "first").drop("first")
+    id_ = content_id(F.col("tenant_id"), F.col("subject_id"), F.col("predicate"), F.col("object_id"))
+    rows = rows.withColumns({"epistemic_class": F.lit("INFERRED"), "review_state": F.lit("PENDING"), "superseded_at": F.lit(None).cast("timestamp"), "assertion_id": id_})
+    return rows.dropDuplicates(["assertion_id"]).join(stored.select("assertion_id"), "assertion_id", "left_anti")
+
+
+def refusals(rules, predicates: dict[str, bool], declared: set[str]) -> list[tuple[str, str]]:
+    """rule_id and reason of the rules that are not run: skipped for a fault, or refused for a conclusion that the vocabulary doesn't declare."""
+    out = []
+    for r in rules:
+        if r.conclusion.predicate not in declared:
+            out.append((r.rule_id, f"refused: {r.conclusion.predicate} is not declared"))
+        elif found := faults(r, predicates):
+            out.append((r.rule_id, "skipped: " + "; ".join(found)))
+    return out
+
+
 def report(rules, facts: DataFrame) -> DataFrame:
     """Per rule and premise: how many facts could match it, and how many bindings are left after it. Zero bindings starve the rule there."""
     out = []
@@ -171,8 +195,3 @@ def vocabulary_faults(predicates: DataFrame, kinds: DataFrame) -> DataFrame:
     found = [predicates.where(c).select("predicate", F.lit(n).alias("reason")) for n, c in checks.items()]
     named = predicates.select("predicate", F.explode(F.array_union("domain", "range")).alias("kind")).join(kinds.select("kind"), "kind", "left_anti")
     return reduce(DataFrame.unionByName, [*found, named.select("predicate", F.concat(F.lit("unknown kind "), "kind").alias("reason")).distinct()])
-
-
-def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key by an order."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -119,25 +119,26 @@ def a12_unanimous_matter(spark, folder):
     return rows.groupBy("id").agg(F.min("confidence").alias("weakest"), F.when(one, F.min("matter_id")).alias("matter_id"))
 
 
-_ASSIGNED = "a AS (SELECT 'u-' || n AS user_id, 'M-' || ((n + j) % 7) AS matter_id FROM (SELECT c_custkey % 20 AS n FROM customer GROUP BY 1), range(3) r(j) WHERE n % 5 <> 0), s AS (SELECT 'u-' || n AS user_id, 'M-' || (n % 7) AS matter_id FROM (SELECT c_custkey % 20 AS n FROM customer GROUP BY 1) WHERE n % 3 = 0)"
+_ASSIGNED = "a AS (SELECT 'u-' || c_custkey AS user_id, 'M-' || ((c_custkey + j) % 7) AS matter_id FROM customer, range(3) r(j) WHERE c_acctbal >= 0), s AS (SELECT 'u-' || c_custkey AS user_id, 'M-' || (c_nationkey % 7) AS matter_id FROM customer WHERE c_mktsegment = 'BUILDING')"
 
 
 def people(spark, folder):
-    n = S.read(spark, folder, "customer").select((F.col("c_custkey") % 20).alias("n")).distinct()
+    """Every customer is a user; those in debt have lost their assignments, those of one segment are screened."""
+    c = S.read(spark, folder, "customer").withColumnRenamed("c_custkey", "n")
     user = F.concat(F.lit("u-"), "n").alias("user_id")
     ended = F.lit("2024-02-01").cast("timestamp")
-    a = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select(user, F.concat(F.lit("M-"), (F.col("n") + F.col("j")) % 7).alias("matter_id"), F.when(F.col("n") % 5 == 0, ended).alias("revoked_at"))
-    s = n.where("n % 3 = 0").select(user, F.concat(F.lit("M-"), F.col("n") % 7).alias("matter_id"), F.lit("conflict").alias("reason"), F.lit(None).cast("timestamp").alias("lifted_at"))
-    return n, a, s
+    a = c.select("n", "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select(user, F.concat(F.lit("M-"), (F.col("n") + F.col("j")) % 7).alias("matter_id"), F.when(F.col("c_acctbal") < 0, ended).alias("revoked_at"))
+    s = c.where("c_mktsegment = 'BUILDING'").select(user, F.concat(F.lit("M-"), F.col("c_nationkey") % 7).alias("matter_id"), F.lit("conflict").alias("reason"), F.lit(None).cast("timestamp").alias("lifted_at"))
+    return c, a, s
 
 
-@query(f"""WITH {_ASSIGNED}, r AS (SELECT 'u-' || n AS user_id, 'M-' || m AS matter_id, n = 7 AS is_admin FROM (SELECT c_custkey % 20 AS n FROM customer GROUP BY 1), range(7) t(m))
+@query(f"""WITH {_ASSIGNED}, r AS (SELECT 'u-' || c_custkey AS user_id, 'M-' || m AS matter_id, c_acctbal > 9900 AS is_admin FROM customer, range(7) t(m))
 SELECT r.user_id, r.matter_id, CASE WHEN s.user_id IS NOT NULL THEN 'SCREENED' WHEN is_admin THEN 'PLATFORM_ADMIN' WHEN a.user_id IS NOT NULL THEN 'ALLOWED' ELSE 'NOT_ASSIGNED' END AS decision,
 CASE WHEN s.user_id IS NOT NULL THEN 'screened from ' || r.matter_id || ': conflict' WHEN is_admin THEN 'a platform administrator' WHEN a.user_id IS NOT NULL THEN 'assigned to ' || r.matter_id ELSE 'not assigned to ' || r.matter_id END AS explanation
 FROM r LEFT JOIN a ON r.user_id = a.user_id AND r.matter_id = a.matter_id LEFT JOIN s ON r.user_id = s.user_id AND r.matter_id = s.matter_id""")
 def p8_access_decisions(spark, folder):
     n, a, s = people(spark, folder)
-    r = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("m")).select(F.concat(F.lit("u-"), "n").alias("user_id"), F.concat(F.lit("M-"), "m").alias("matter_id"), (F.col("n") == 7).alias("is_admin"))
+    r = n.select("n", "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("m")).select(F.concat(F.lit("u-"), "n").alias("user_id"), F.concat(F.lit("M-"), "m").alias("matter_id"), (F.col("c_acctbal") > 9900).alias("is_admin"))
     return P.access(r, a, s)
 
 
@@ -237,15 +238,33 @@ def g8_expand(spark, folder):
     return G.expand(good, seeds(spark, folder), 2)
 
 
-@query(
-    f"""{WITH}, good AS (SELECT * FROM facts WHERE superseded_at IS NULL), seed AS ({_SEED}),
-h1 AS (SELECT DISTINCT assertion_id, subject_id, object_id, confidence < 0.8 AS below_floor FROM good WHERE subject_id IN (SELECT node FROM seed) OR object_id IN (SELECT node FROM seed))
-SELECT assertion_id, below_floor, 1 AS hop FROM h1"""
-)
+def walk_sql(depth: int, by_document: bool = True) -> str:
+    """CTEs h1, n1, h2, ... and walked (assertion_id, hop) from ``good`` and ``seed`` (node)."""
+    doc = " UNION ALL SELECT document_id, assertion_id FROM good WHERE document_id IS NOT NULL UNION ALL SELECT 'document:' || document_id, assertion_id FROM good WHERE document_id IS NOT NULL" if by_document else ""
+    out = [f"doors AS MATERIALIZED (SELECT subject_id AS node, assertion_id FROM good UNION ALL SELECT object_id, assertion_id FROM good{doc})"]
+    for k in range(1, depth + 1):
+        before = "".join(f" AND assertion_id NOT IN (SELECT assertion_id FROM h{j})" for j in range(1, k))
+        out.append(f"h{k} AS MATERIALIZED (SELECT DISTINCT assertion_id FROM doors WHERE node IN (SELECT node FROM {'seed' if k == 1 else f'n{k - 1}'}){before})")
+        out.append(f"n{k} AS MATERIALIZED (SELECT subject_id AS node FROM good WHERE assertion_id IN (SELECT assertion_id FROM h{k}) UNION SELECT object_id FROM good WHERE assertion_id IN (SELECT assertion_id FROM h{k}))")
+    return ", ".join(out) + ", walked AS (" + " UNION ALL ".join(f"SELECT assertion_id, {k}::INTEGER AS hop FROM h{k}" for k in range(1, depth + 1)) + ")"
+
+
+_TRUSTED_NOW = f"good AS MATERIALIZED (SELECT * FROM facts WHERE tenant_id = 't-alpha' AND superseded_at IS NULL AND {TRUST})"
+_GOVERNING = "predicate IN ('INVESTIGATES', 'CONTROLS')"
+
+
+@query(f"{WITH}, {_TRUSTED_NOW}, seed AS ({_SEED}), {walk_sql(2)} SELECT assertion_id, hop FROM walked JOIN good USING (assertion_id) ORDER BY {_GOVERNING} DESC, confidence DESC, hop, assertion_id LIMIT 500")
+def l5_ranked_walk(spark, folder):
+    good = facts(spark, folder).where(P.in_scope("t-alpha") & P.current() & P.trusted(0.8))
+    walked = good.join(G.expand(good, seeds(spark, folder), 2), "assertion_id")
+    return G.ranked(walked, F.expr(_GOVERNING), 500).select("assertion_id", "hop")
+
+
+@query(f"{WITH}, good AS MATERIALIZED (SELECT * FROM facts WHERE superseded_at IS NULL), seed AS ({_SEED}), {walk_sql(3, by_document=False)} SELECT assertion_id, confidence < 0.8 AS below_floor, {_GOVERNING} AS governing, hop FROM walked JOIN good USING (assertion_id)")
 def g9_neighbourhood(spark, folder):
     now = facts(spark, folder).where(P.current())
-    hit = G.expand(now, seeds(spark, folder), 1, by_document=False)
-    return now.join(hit, "assertion_id").select("assertion_id", (F.col("confidence") < 0.8).alias("below_floor"), "hop")
+    hit = G.expand(now, seeds(spark, folder), 3, by_document=False)
+    return now.join(hit, "assertion_id").select("assertion_id", (F.col("confidence") < 0.8).alias("below_floor"), F.expr(_GOVERNING).alias("governing"), "hop")
 
 
 @query(
@@ -257,27 +276,32 @@ def g10_entity_status(spark, folder):
     return G.entity_status(ids, facts(spark, folder), P.trusted(0.8))
 
 
-@query(
-    f"""{WITH}, b AS (SELECT subject_id AS node, object_id AS other, assertion_id, confidence FROM facts WHERE predicate = 'CONTROLS' OR predicate = 'INVESTIGATES'
-UNION ALL SELECT object_id, subject_id, assertion_id, confidence FROM facts WHERE predicate = 'CONTROLS' OR predicate = 'INVESTIGATES'),
-r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, assertion_id) AS k FROM b) SELECT node, other, assertion_id, confidence FROM r WHERE k <= 2"""
-)
+_ADJACENT = """adj0 AS (SELECT subject_id AS node, object_id AS other, assertion_id AS id, confidence AS c, false AS t FROM f UNION ALL SELECT object_id, subject_id, assertion_id, confidence, true FROM f),
+adj1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, id) AS k FROM adj0 WHERE node <> other AND split_part(node, ':', 1) NOT IN ('document', 'source', 'table', 'column') AND split_part(other, ':', 1) NOT IN ('document', 'source', 'table', 'column')) WHERE k <= 12)"""
+
+
+@query(f"{WITH}, f AS (SELECT * FROM facts), {_ADJACENT} SELECT node, other, id AS assertion_id, c AS confidence FROM adj1")
 def w3_top_neighbours(spark, folder):
-    return G.adjacency(facts(spark, folder).where("predicate IN ('CONTROLS', 'INVESTIGATES')"), cap=2)
+    return G.adjacency(facts(spark, folder)).select("node", "other", "assertion_id", "confidence")
+
+
+def _flip(x: str) -> str:
+    return f"least({x}, list_reverse({x}))"
 
 
 @query(
-    f"""{WITH}, adj0 AS (SELECT subject_id AS node, object_id AS other, assertion_id AS id, confidence AS c FROM facts WHERE predicate IN ('CONTROLS', 'INVESTIGATES') UNION ALL SELECT object_id, subject_id, assertion_id, confidence FROM facts WHERE predicate IN ('CONTROLS', 'INVESTIGATES')),
-adj AS (SELECT node, other, id, c FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, id) AS k FROM adj0) WHERE k <= 12),
-p2 AS (SELECT [a.node, a.other, b.other] AS nodes, [a.id, b.id] AS ids, least(a.c, b.c) AS weakest FROM adj a JOIN adj b ON a.other = b.node WHERE b.other <> a.node AND b.other <> a.other),
-p3 AS (SELECT list_append(nodes, b.other) AS nodes, list_append(ids, b.id) AS ids, least(weakest, b.c) AS weakest FROM p2 JOIN adj b ON nodes[3] = b.node WHERE NOT list_contains(nodes, b.other)),
-every AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3),
-one AS (SELECT DISTINCT least(ids, list_reverse(ids)) AS ids, weakest FROM every),
-pieces AS (SELECT least(ids[1:2], list_reverse(ids[1:2])) AS ids FROM one WHERE len(ids) = 3 UNION SELECT least(ids[2:3], list_reverse(ids[2:3])) FROM one WHERE len(ids) = 3)
-SELECT array_to_string(ids, ',') AS assertion_ids, len(ids)::INTEGER AS length, weakest FROM one WHERE ids NOT IN (SELECT ids FROM pieces)"""
+    f"""{WITH}, f AS (SELECT * FROM facts WHERE predicate IN ('CONTROLS', 'INVESTIGATES')), {_ADJACENT},
+adj AS MATERIALIZED (SELECT node, other, id, c FROM (SELECT *, row_number() OVER (PARTITION BY node, other ORDER BY c DESC, id) AS r FROM adj1) WHERE r = 1),
+p2 AS MATERIALIZED (SELECT [a.node, a.other, b.other] AS nodes, [a.id, b.id] AS ids, least(a.c, b.c) AS weakest FROM adj a JOIN adj b ON a.other = b.node WHERE b.other <> a.node AND b.other <> a.other),
+p3 AS MATERIALIZED (SELECT list_append(nodes, b.other) AS nodes, list_append(ids, b.id) AS ids, least(weakest, b.c) AS weakest FROM p2 JOIN adj b ON nodes[3] = b.node WHERE NOT list_contains(nodes, b.other)),
+p4 AS (SELECT list_append(nodes, b.other) AS nodes, list_append(ids, b.id) AS ids, least(weakest, b.c) AS weakest FROM p3 JOIN adj b ON nodes[4] = b.node WHERE NOT list_contains(nodes, b.other)),
+every AS (SELECT *, {_flip('nodes')} AS key FROM (SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)),
+one AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY nodes) AS r FROM every) WHERE r = 1),
+pieces AS (SELECT DISTINCT {_flip('part')} AS key FROM (SELECT unnest(CASE len(key) WHEN 4 THEN [key[1:3], key[2:4]] WHEN 5 THEN [key[1:3], key[2:4], key[3:5], key[1:4], key[2:5]] END) AS part FROM one WHERE len(key) > 3))
+SELECT array_to_string({_flip('ids')}, ',') AS assertion_ids, len(ids)::INTEGER AS length, weakest FROM one WHERE key NOT IN (SELECT key FROM pieces)"""
 )
 def g11_chains(spark, folder):
-    found = G.chains(facts(spark, folder).where("predicate IN ('CONTROLS', 'INVESTIGATES')"), longest=3, kept=None)
+    found = G.chains(facts(spark, folder).where("predicate IN ('CONTROLS', 'INVESTIGATES')"), kept=None)
     return found.select(F.array_join("assertion_ids", ",").alias("assertion_ids"), "length", "weakest")
 
 
@@ -311,21 +335,39 @@ def g14_screen(spark, folder):
     return G.screened(f, G.findings(f, effects(spark)))
 
 
-@query(f"{WITH}, {_FOUND} SELECT assertion_id FROM facts WHERE subject_id NOT IN (SELECT tainted FROM found WHERE effect = 'withhold') AND object_id NOT IN (SELECT tainted FROM found WHERE effect = 'withhold')")
+@query(
+    f"{WITH}, {_FOUND}, bad AS MATERIALIZED (SELECT tainted AS node FROM found WHERE effect = 'withhold' UNION SELECT 'doc-' || doc_id FROM documents WHERE n_chars > 4000 UNION SELECT 'M-' || r_regionkey FROM region WHERE r_name = 'ASIA') "
+    "SELECT assertion_id FROM facts WHERE subject_id NOT IN (FROM bad) AND object_id NOT IN (FROM bad) AND coalesce(document_id, '') NOT IN (FROM bad) AND coalesce(matter_id, '') NOT IN (FROM bad)"
+)
 def j10_veto(spark, folder):
+    """Facts none of whose ends, document or matter is blocked: by a finding, as a long document, as a region's matter."""
     f = facts(spark, folder)
     blocked = G.findings(f, effects(spark)).where("effect = 'withhold'").select(F.col("tainted").alias("node"))
-    return G.veto(f, blocked, ["subject_id", "object_id"]).select("assertion_id")
+    blocked = blocked.unionByName(S.read(spark, folder, "documents").where("n_chars > 4000").select(F.concat(F.lit("doc-"), "doc_id").alias("node")))
+    blocked = blocked.unionByName(S.read(spark, folder, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("M-"), "r_regionkey").alias("node")))
+    return G.veto(f, blocked, ["subject_id", "object_id", "document_id", "matter_id"]).select("assertion_id")
 
 
-@query(
-    f"""{WITH}, q(question_id, terms) AS (VALUES (1, ['case', 'investigates']), (2, ['merchant', 'controls'])),
-h AS (SELECT question_id, assertion_id, list_filter(terms, lambda t: contains(lower(regexp_replace(split_part(subject_id, ':', 2), '[-_]', ' ', 'g') || ' ' || regexp_replace(split_part(object_id, ':', 2), '[-_]', ' ', 'g') || ' ' || replace(predicate, '_', ' ')), t)) AS matched, confidence FROM facts, q)
-SELECT question_id, assertion_id, array_to_string(matched, ',') AS matched, confidence FROM h WHERE len(matched) > 0"""
-)
+_HAY = "lower(regexp_replace(split_part(subject_id, ':', 2), '[-_]', ' ', 'g') || ' ' || regexp_replace(split_part(object_id, ':', 2), '[-_]', ' ', 'g') || ' ' || replace(predicate, '_', ' '))"
+_ASKED = f"""q AS (SELECT s_suppkey AS question_id, [(s_suppkey + 1000)::VARCHAR, CASE WHEN s_nationkey = 3 THEN 'investigates' ELSE 'c' || s_suppkey END, (s_suppkey * 7)::VARCHAR || '0'] AS terms FROM supplier),
+h AS (SELECT question_id, assertion_id, list_filter(terms, lambda t: contains({_HAY}, t)) AS matched, confidence FROM facts, q), hits AS (SELECT question_id, assertion_id, array_to_string(matched, ',') AS matched, len(matched) AS n, confidence FROM h WHERE len(matched) > 0)"""
+
+
+def asked(spark, folder) -> DataFrame:
+    """One question for each supplier, of three terms."""
+    k = F.col("s_suppkey")
+    second = F.when(F.col("s_nationkey") == 3, "investigates").otherwise(F.concat(F.lit("c"), k.cast("string")))
+    return S.read(spark, folder, "supplier").select(k.alias("question_id"), F.array((k + 1000).cast("string"), second, F.concat((k * 7).cast("string"), F.lit("0"))).alias("terms"))
+
+
+@query(f"{WITH}, {_ASKED} SELECT question_id, assertion_id, matched, confidence FROM hits")
 def g15_lexical_search(spark, folder):
-    q = spark.createDataFrame([(1, ["case", "investigates"]), (2, ["merchant", "controls"])], "question_id int, terms array<string>")
-    return G.search(facts(spark, folder), q).select("question_id", "assertion_id", F.array_join("matched", ",").alias("matched"), "confidence")
+    return G.search(facts(spark, folder), asked(spark, folder)).select("question_id", "assertion_id", F.array_join("matched", ",").alias("matched"), "confidence")
+
+
+@query(f"{WITH}, {_ASKED} SELECT question_id, assertion_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, confidence DESC, assertion_id)::INTEGER AS rank FROM hits) WHERE rank <= 25")
+def l4_top_hits(spark, folder):
+    return G.top_hits(G.search(facts(spark, folder), asked(spark, folder)), 25).select("question_id", "assertion_id", "rank")
 
 
 _VOCABULARY = [("PLACED_ORDER", ["customer"], ["order"]), ("SUPPLIED_BY", ["order"], ["merchant"]), ("CONTROLS", ["customer"], ["customer"]), ("INVESTIGATES", ["case"], ["customer"]), ("APPROVES_EXCEPTION_FOR", ["customer"], ["document"])]
@@ -395,7 +437,7 @@ def ladder(spark, folder) -> DataFrame:
 @query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level FROM d WHERE k % 16 = 1 AND NOT closed UNION ALL SELECT d.k, level + 1 FROM w JOIN d ON d.up = w.k WHERE NOT closed) SELECT k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1")
 def r5_cascade(spark, folder):
     f = ladder(spark, folder)
-    return L.cascade(f, f.where("CAST(assertion_id AS BIGINT) % 16 = 1"))
+    return L.cascade(f, f.where("CAST(assertion_id AS BIGINT) % 16 = 1")).select("assertion_id", "level")
 
 
 @query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k AS root, k, 0 AS level FROM d WHERE k % 8 = 5 UNION ALL SELECT root, d.up, level + 1 FROM w JOIN d ON d.k = w.k WHERE d.up IS NOT NULL AND level < 6) SELECT root::VARCHAR AS root, k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1, 2")
@@ -489,26 +531,52 @@ def g13_unreviewed_findings(spark, folder):
     return G.unreviewed(facts(spark, folder), effects(spark), seeds(spark, folder))
 
 
-@query(
-    f"""{WITH}, good AS (SELECT * FROM facts WHERE superseded_at IS NULL), hit AS (SELECT assertion_id FROM good WHERE contains(lower(regexp_replace(split_part(subject_id, ':', 2), '[-_]', ' ', 'g') || ' ' || regexp_replace(split_part(object_id, ':', 2), '[-_]', ' ', 'g') || ' ' || replace(predicate, '_', ' ')), 'c 1 ')),
-n0 AS (SELECT subject_id AS node FROM good WHERE assertion_id IN (FROM hit) UNION SELECT object_id FROM good WHERE assertion_id IN (FROM hit)),
-doors AS (SELECT subject_id AS node, assertion_id FROM good UNION ALL SELECT object_id, assertion_id FROM good UNION ALL SELECT document_id, assertion_id FROM good WHERE document_id IS NOT NULL UNION ALL SELECT 'document:' || document_id, assertion_id FROM good WHERE document_id IS NOT NULL),
-h1 AS (SELECT DISTINCT assertion_id FROM doors WHERE node IN (FROM n0))
-SELECT assertion_id, 0 AS hop FROM hit UNION ALL SELECT assertion_id, 1 FROM h1 WHERE assertion_id NOT IN (FROM hit)"""
-)
+_WORDS_FIRST = f"""good AS MATERIALIZED (SELECT * FROM facts WHERE superseded_at IS NULL), hit AS MATERIALIZED (SELECT assertion_id FROM good WHERE contains({_HAY}, 'c 1 ')),
+seed AS (SELECT subject_id AS node FROM good WHERE assertion_id IN (FROM hit) UNION SELECT object_id FROM good WHERE assertion_id IN (FROM hit)), {walk_sql(2)},
+found AS MATERIALIZED (SELECT assertion_id, 0 AS hop FROM hit UNION ALL SELECT assertion_id, hop FROM walked WHERE assertion_id NOT IN (FROM hit)),
+docs AS MATERIALIZED (SELECT DISTINCT document_id FROM good WHERE document_id IS NOT NULL AND assertion_id IN (SELECT assertion_id FROM found) ORDER BY document_id LIMIT 50)"""
+
+
+def _question(spark) -> DataFrame:
+    return spark.createDataFrame([(1, ["c 1 "])], "question_id int, terms array<string>")
+
+
+@query(f"{WITH}, {_WORDS_FIRST} SELECT assertion_id, hop FROM found")
 def g19_graph_first(spark, folder):
-    q = spark.createDataFrame([(1, ["c 1 "])], "question_id int, terms array<string>")
-    return G.graph_first(facts(spark, folder).where("superseded_at IS NULL"), q, depth=1)[0]
+    return G.graph_first(facts(spark, folder).where("superseded_at IS NULL"), _question(spark))[0]
 
 
-@query(
-    f"""{WITH}, nb AS (SELECT DISTINCT 'doc-' || (vec_id % 40) AS document_id FROM embeddings WHERE label = 3), seed AS (SELECT document_id AS node FROM nb UNION SELECT 'document:' || document_id FROM nb),
-doors AS (SELECT subject_id AS node, assertion_id FROM facts UNION ALL SELECT object_id, assertion_id FROM facts UNION ALL SELECT document_id, assertion_id FROM facts WHERE document_id IS NOT NULL UNION ALL SELECT 'document:' || document_id, assertion_id FROM facts WHERE document_id IS NOT NULL)
-SELECT DISTINCT assertion_id, 1 AS hop FROM doors WHERE node IN (SELECT node FROM seed)"""
-)
+@query(f"{WITH}, {_WORDS_FIRST} SELECT document_id FROM docs")
+def g19_source_documents(spark, folder):
+    return G.graph_first(facts(spark, folder).where("superseded_at IS NULL"), _question(spark))[1]
+
+
+_NEAREST = """u AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n, 'doc-' || (vec_id % (SELECT count(*) FROM documents)) AS document_id, CASE WHEN vec_id % 4 <> 0 THEN 'M-' || (vec_id % 7) END AS matter_id FROM embeddings),
+sims AS (SELECT v.vec_id, v.document_id, v.matter_id, round(list_dot_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM u q, u v WHERE q.vec_id = 0)"""
+
+
+def passages(spark, folder) -> DataFrame:
+    """The vectors as passages of the documents."""
+    n = S.read(spark, folder, "documents").count()
+    k = F.col("vec_id")
+    return S.read(spark, folder, "embeddings").select("vec_id", "embedding", F.concat(F.lit("doc-"), k % n).alias("document_id"), F.when(k % 4 != 0, F.concat(F.lit("M-"), k % 7)).alias("matter_id"))
+
+
+@query(f"{WITH}, {_WORDS_FIRST}, {_NEAREST} SELECT 'fact' AS part, assertion_id AS id, hop::INTEGER AS rank FROM found UNION ALL SELECT 'passage', vec_id::VARCHAR, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER FROM (SELECT * FROM sims WHERE document_id IN (FROM docs) ORDER BY score DESC, vec_id LIMIT 5)")
+def g19_answer(spark, folder):
+    """The whole composition; the catalog part is empty, as no table is named like the question."""
+    v = passages(spark, folder)
+    catalog = facts(spark, folder).where("predicate = 'HAS_TABLE'")
+    return G.graph_first_answer(facts(spark, folder).where("superseded_at IS NULL"), _question(spark), v, v.where("vec_id = 0"), catalog)
+
+
+_VECTOR_FIRST = f"{_NEAREST}, near AS (SELECT * FROM sims ORDER BY score DESC, vec_id LIMIT 5), seed AS (SELECT document_id AS node FROM near UNION SELECT 'document:' || document_id FROM near UNION SELECT matter_id FROM near WHERE matter_id IS NOT NULL UNION SELECT 'matter:' || matter_id FROM near WHERE matter_id IS NOT NULL), good AS MATERIALIZED (SELECT * FROM facts)"
+
+
+@query(f"{WITH}, {_VECTOR_FIRST}, {walk_sql(1)} SELECT assertion_id, hop FROM walked")
 def g20_vector_first(spark, folder):
-    near = S.read(spark, folder, "embeddings").where("label = 3").select(F.concat(F.lit("doc-"), F.col("vec_id") % 40).alias("document_id"), F.lit(None).cast("string").alias("matter_id")).distinct()
-    return G.vector_first(facts(spark, folder), near)
+    v = passages(spark, folder)
+    return G.vector_first_answer(facts(spark, folder), v, v.where("vec_id = 0"))[0]
 
 
 @query(f"WITH {_LADDER} SELECT d.k::VARCHAR AS assertion_id, d.up::VARCHAR AS premise, p.k IS NOT NULL AS known, coalesce(NOT p.closed, false) AS visible FROM d LEFT JOIN d p ON p.k = d.up WHERE d.up IS NOT NULL")
@@ -529,9 +597,9 @@ def r7_corrections(spark, folder):
     return L.corrected(f, fix)[0].select("subject_id", "predicate", "object_id", "corrects")
 
 
-@query(f"{WITH}, m AS (SELECT 'doc-' || doc_id AS document_id, 'M-' || (doc_id % 3) AS matter_id FROM documents WHERE doc_id % 4 = 0) SELECT assertion_id, m.matter_id, facts.matter_id AS previous FROM facts JOIN m USING (document_id) WHERE m.matter_id IS DISTINCT FROM facts.matter_id")
+@query(f"{WITH}, m AS (SELECT 'doc-' || doc_id AS document_id, CASE WHEN n_chars > 300 THEN 'M-' || (doc_id % 3) END AS matter_id FROM documents) SELECT assertion_id, m.matter_id, facts.matter_id AS previous FROM facts JOIN m USING (document_id) WHERE m.matter_id IS DISTINCT FROM facts.matter_id")
 def r10_refile(spark, folder):
-    d = S.read(spark, folder, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.concat(F.lit("M-"), F.col("doc_id") % 3).alias("matter_id"))
+    d = S.read(spark, folder, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"), F.when(F.col("n_chars") > 300, F.concat(F.lit("M-"), F.col("doc_id") % 3)).alias("matter_id"))
     return L.refile_events(facts(spark, folder), d, F.current_timestamp()).select("assertion_id", "matter_id", "previous")
 
 
@@ -547,15 +615,22 @@ def r11_resolved_filings(spark, folder):
 @query(f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level FROM d WHERE up IS NULL AND k % 3 = 0 AND NOT closed UNION ALL SELECT d.k, level + 1 FROM w JOIN d ON d.up = w.k WHERE NOT closed) SELECT k::VARCHAR AS assertion_id, min(level)::INTEGER AS level FROM w GROUP BY 1")
 def r6_retract_document(spark, folder):
     f = ladder(spark, folder)
-    return L.retract_document(f, F.col("assertion_id").cast("long") % 3 == 0)
+    return L.retract_document(f, F.col("assertion_id").cast("long") % 3 == 0).select("assertion_id", "level")
 
 
-@query(SQL["g3_related_party_resale"])
+@query(
+    SQL["g3_related_party_resale"].split("SELECT 'related_party_resale'")[0]
+    + "SELECT 1 AS run, subject_id, 'RELATED_PARTY_RESALE' AS predicate, object_id, 'INFERRED' AS epistemic_class, 'PENDING' AS review_state, array_to_string(used, ',') AS premises, sha256('t-alpha/' || subject_id || '/RELATED_PARTY_RESALE/' || object_id)[1:32] AS assertion_id FROM best WHERE k = 1"
+)
 def r16_inference_converges(spark, folder):
-    """Inference over its own earlier conclusions adds nothing: the second run's new rows are appended to the first's."""
+    """Conclusions are staged for review; a second run over the facts and what the first one staged adds none."""
     f = derived.facts(spark, folder, one_tenant=True)
-    first = R.infer([RULE["related_party_resale"]], f).withColumn("key", F.concat_ws("/", "rule_id", "subject_id", "object_id"))
-    return _shown(first.unionByName(L.append_once(first, first.unionByName(first), "key")))
+    rules = [RULE["related_party_resale"]]
+    first = R.infer_and_stage(rules, f, f)
+    both = f.unionByName(first, allowMissingColumns=True)
+    second = R.infer_and_stage(rules, both, both)
+    shown = ["subject_id", "predicate", "object_id", "epistemic_class", "review_state", F.array_join("premises", ",").alias("premises"), "assertion_id"]
+    return first.select(F.lit(1).alias("run"), *shown).unionByName(second.select(F.lit(2).alias("run"), *shown))
 
 
 @query(f"{WITH} SELECT 'facts' AS layer, count(*) AS n FROM facts WHERE tenant_id <> 't-alpha' UNION ALL SELECT 'metrics', count(*) FROM facts WHERE predicate = 'CONTROLS'")

@@ -45,17 +45,30 @@ def s4_pages(spark, folder):
     return paged(spark, folder).select("doc_id", "page", "char_start", "char_end")
 
 
-@query(None)
+def chunk_sql(target: int, overlap: int) -> str:
+    """CTEs up to ``c``: doc_id, page, ordinal, a and b (the chunk's place in its page), char_start, body. One step of the recursion is one cut."""
+    skip = "length({0}) - length(ltrim({0}, E' \\t\\n\\r\\f'))"
+    rest = "substring(body, {0} + 1)"
+    last = "length(regexp_extract(substring(body, a + 1, {t}), '(?s)^(.*{p})', 1))"
+    cut = " ".join(f"WHEN {last.format(t=target, p=p)} >= 200 THEN a + {last.format(t=target, p=p)}" for p in (r"\n\s*\n", r"[.!?;:]\s", r"\s"))
+    return f"""pg AS (SELECT doc_id, p AS page, (p - 1) * 5001 AS char_start, substring(text, (p - 1) * 5000 + 1, 5000) AS body FROM (SELECT doc_id, text, unnest(range(1, length(text) // 5000 + 2)) AS p FROM documents)),
+s0 AS (SELECT *, {skip.format("body")} AS a FROM pg),
+w AS (SELECT doc_id, page, char_start, body, 0 AS ordinal, a, CASE WHEN a + {target} >= length(body) THEN length(body) {cut} ELSE a + {target} END AS b FROM s0 WHERE a < length(body)
+UNION ALL SELECT doc_id, page, char_start, body, ordinal, a, CASE WHEN a + {target} >= length(body) THEN length(body) {cut} ELSE a + {target} END AS b FROM (SELECT doc_id, page, char_start, body, ordinal + 1 AS ordinal, n + {skip.format(rest.format("n"))} AS a FROM (SELECT *, CASE WHEN b - {overlap} > a THEN b - {overlap} ELSE b END AS n FROM w WHERE b < length(body))) WHERE a < length(body)),
+c AS (SELECT * FROM w)"""
+
+
+@query(f"WITH RECURSIVE {chunk_sql(1200, 150)} SELECT doc_id, page, ordinal::INTEGER AS ordinal, char_start + a AS start, char_start + b AS \"end\", sha256(substring(body, a + 1, b - a)) AS chunk_sha256 FROM c")
 def d1_chunks(spark, folder):
-    """The cut depends on each cut before, which SQL cannot say; offsets are verified by d2."""
     return D.chunks(paged(spark, folder), 1200, 150).select("doc_id", "page", "ordinal", "start", "end", "chunk_sha256")
 
 
-@query("SELECT 0 AS misplaced, count(*) > 0 AS some FROM documents")
+@query(f"WITH RECURSIVE {chunk_sql(2000, 200)} SELECT doc_id, page, ordinal::INTEGER AS ordinal FROM c WHERE ordinal = 1 AND substring(body, a + 2, b - a) <> substring(body, a + 1, b - a)")
 def d2_offsets_hold(spark, folder):
+    """Chunks that are not at their offsets: those that were moved by one character here, and no others."""
     c = D.chunks(paged(spark, folder), 2000, 200)
-    bad = D.misplaced(c).agg(F.count("*").cast("int").alias("misplaced"))
-    return bad.crossJoin(documents(spark, folder).agg((F.count("*") > 0).alias("some")))
+    by = F.when(F.col("ordinal") == 1, 1).otherwise(0)
+    return D.misplaced(c.withColumns({"start": F.col("start") + by, "end": F.col("end") + by})).select("doc_id", "page", "ordinal")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''&.-]*'), lambda t: lower(t)), lambda t: length(t) > 1 AND NOT list_contains(['"""
@@ -79,10 +92,10 @@ def f7_canonical_ids(spark, folder):
     return names(spark, folder).select("c_custkey", "entity_id", T.canonical(F.col("entity_id"), ["party"]).alias("canonical"))
 
 
-@query(f"""WITH {_NAMES}, k AS (SELECT entity_id, replace(regexp_replace(lower(regexp_replace(entity_id, '^[^:]*:', '')), '[^a-z0-9]+', ' ', 'g'), ' ', '') AS key FROM v UNION SELECT entity_id, regexp_replace(replace(regexp_replace(lower(regexp_replace(entity_id, '^[^:]*:', '')), '[^a-z0-9]+', ' ', 'g'), ' ', ''), '(ltd|limited)$', '') FROM v)
+@query(f"""WITH {_NAMES}, c AS (SELECT entity_id, trim(regexp_replace(lower(regexp_replace(entity_id, '^[^:]*:', '')), '[^a-z0-9]+', '-', 'g'), '-') AS name FROM v), k AS (SELECT entity_id, 'party:' || replace(name, '-', '') AS key FROM c UNION SELECT entity_id, 'party:' || replace(regexp_replace(name, '(-(ltd|limited|gmbh|ag))+$', ''), '-', '') FROM c)
 SELECT key, string_agg(DISTINCT entity_id, '|' ORDER BY entity_id) AS ids FROM k GROUP BY 1 HAVING count(DISTINCT entity_id) > 1""")
 def j16_blocking_keys(spark, folder):
-    return L.duplicates(names(spark, folder), T.blocking_keys(F.col("entity_id"))).select("key", F.array_join("ids", "|").alias("ids"))
+    return L.duplicates(names(spark, folder), T.blocking_keys(F.col("entity_id"), ["party"])).select("key", F.array_join("ids", "|").alias("ids"))
 
 
 @query(f"WITH {FACT_SQL} SELECT subject_id, split_part(subject_id, ':', 1) AS kind, regexp_replace(split_part(subject_id, ':', 2), '[-_]', ' ', 'g') AS label, split_part(subject_id, ':', 2) AS bare, sha256(subject_id || '/' || object_id)[1:16] AS content_id, assertion_id FROM facts")
@@ -181,14 +194,15 @@ def j8_knn_in_documents(spark, folder):
 
 
 @query(f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS question_id, v.vec_id, v.label AS layer, round(list_dot_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM u q, u v WHERE q.vec_id % 50 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s), h AS (SELECT * FROM k WHERE rank <= 20 AND score >= 0.3),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank FROM s), h AS (SELECT * FROM k WHERE rank <= 20),
 n AS (SELECT *, row_number() OVER (PARTITION BY question_id, layer ORDER BY score DESC, vec_id) AS k FROM h),
-p AS (SELECT question_id, layer, round(least(1.0, avg(score) FILTER (k <= 2) + 0.05 * least(count(*) - 1, 4)), 6) AS score, count(*) AS n FROM n GROUP BY 1, 2)
-SELECT question_id, layer, score, n, score >= max(score) OVER (PARTITION BY question_id) * (1 - 0.15) AS selected FROM p""")
+p AS (SELECT question_id, layer, avg(score) FILTER (k <= 2 AND score >= 0.3) AS raw, count(*) FILTER (score >= 0.3) AS n, CASE WHEN layer = 3 THEN 0.05 ELSE 0.0 END::DOUBLE AS boost FROM n GROUP BY 1, 2),
+z AS (SELECT *, CASE WHEN n > 0 THEN least(1.0, raw + boost) ELSE 0 END::DOUBLE AS sc FROM p), m AS (SELECT *, max(sc) OVER (PARTITION BY question_id) AS best FROM z)
+SELECT question_id, layer, round(sc, 4) AS score, round(coalesce(raw, 0), 4) AS raw_score, boost, n, round(CASE WHEN best > 0 THEN sc / best ELSE 0 END, 4) AS relative, sc > 0 AND sc >= best * (1 - 0.15) AS selected FROM m""")
 def v3_layer_routing(spark, folder):
     v = vectors(spark, folder)
     hits = V.knn(v.where("vec_id % 50 = 0"), v, 20).join(v.select("vec_id", F.col("label").alias("layer")), "vec_id")
-    return V.layer_scores(hits.withColumnRenamed("query_id", "question_id"))
+    return V.layer_scores(hits.withColumnRenamed("query_id", "question_id"), boosts={3: 0.05})
 
 
 @query("""WITH n AS (SELECT vec_id % 100 AS k, vec_id, label FROM embeddings) SELECT k, vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY vec_id DESC) AS r FROM n) WHERE r = 1""")
