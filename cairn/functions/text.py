@@ -66,14 +66,33 @@ def slug(text: Column, words: int = 40) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(cut), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def shortened(text: Column, words: int = 40) -> Column:
+    """The first words, single-spaced; an ellipsis tells that there were more."""
+    all_ = F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.length(w) > 0)
+    return F.concat(F.array_join(F.slice(all_, 1, words), " "), F.when(F.size(all_) > words, "…").otherwise(""))
+
+
+def deduped(values: Column, most: int) -> Column:
+    """The first values with different slugs, trimmed, at most ``most``; values without a slug are left out."""
+    zero = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, v: Column) -> Column:
+        s = slug(v, 1_000_000)
+        new = (s != "") & ~F.array_contains(acc["seen"], s)
+        return F.when(new, F.struct(F.concat(acc["seen"], F.array(s)).alias("seen"), F.concat(acc["out"], F.array(F.trim(v))).alias("out"))).otherwise(acc)
+
+    return F.slice(F.aggregate(F.filter(values, lambda v: v.isNotNull()), zero, add)["out"], 1, most)
+
+
 def node_parts(node: Column) -> Column:
-    """Type, source, table and column of a catalog node id; the source may hold colons."""
+    """Type, source, table and column of a catalog node id; the source may hold colons. Null where the name has not exactly the parts of its type."""
     head = F.substring_index(node, ":", 1)
     rest = local(node)
     source = F.when(head == "source", rest).otherwise(F.regexp_extract(rest, "^(.*):[^:]*$", 1))
-    name = F.when(head != "source", F.substring_index(rest, ":", -1))
-    dots = F.split(name, r"\.")
-    return F.struct(head.alias("type"), source.alias("source"), F.when(head != "source", F.concat_ws(".", dots[0], dots[1])).alias("table"), F.when(head == "column", F.element_at(dots, -1)).alias("column"))
+    dots = F.split(F.substring_index(rest, ":", -1), r"\.")
+    fits = (head == "source") & (F.length(rest) > 0) & F.contains(node, F.lit(":")) | F.contains(rest, F.lit(":")) & ((head == "table") & (F.size(dots) == 2) | (head == "column") & (F.size(dots) == 3))
+    parts = F.struct(head.alias("type"), source.alias("source"), F.when(head != "source", F.concat_ws(".", dots[0], F.get(dots, 1))).alias("table"), F.when(head == "column", F.get(dots, 2)).alias("column"))
+    return F.when(fits, parts)
 
 
 def both_forms(entity: Column) -> Column:

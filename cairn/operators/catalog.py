@@ -57,6 +57,12 @@ def hydrated(stored: DataFrame, graph: DataFrame) -> DataFrame:
     return stored.unionByName(graph.join(stored.select(*key).distinct(), key, "left_anti").select(stored.columns))
 
 
+def sources_of(tables: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_id, table_count, last_scanned_at of each source (source_id, last_scanned_at): its own time of scan, else its newest table's (``tables``: source_id, database, table, scanned_at)."""
+    per = tables.groupBy("source_id").agg(F.count_distinct("database", "table").alias("n"), F.max("scanned_at").alias("newest"))
+    return sources.join(per, "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("table_count"), F.coalesce("last_scanned_at", "newest").alias("last_scanned_at"))
+
+
 def grouped(columns: DataFrame) -> DataFrame:
     """One row per table with its columns in order."""
     return columns.groupBy("source_id", "database", "table").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "column", "type"))), lambda c: F.concat(c["column"], F.lit(":"), c["type"])).alias("columns"))
@@ -68,13 +74,13 @@ def newest_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def overlaid(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """The columns with the best description: human before catalog before model, then by confidence, then by text.
+    """The columns with the best description: human before catalog before model, then by confidence, then by method, then by text.
 
-    ``descriptions``: node_id, method, confidence, description, review_state; rejected ones don't count.
+    ``descriptions``: node_id, method (one of the ranks, or ``model:name@version``), confidence, description, review_state; rejected ones don't count.
     """
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in METHOD_RANK.items() for x in kv]), F.col("method"))
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in METHOD_RANK.items() for x in kv]), F.substring_index("method", ":", 1))
     best = descriptions.where("review_state IN ('APPROVED', 'AUTO_ASSERTED')").withColumn("rank", rank)
-    best = best.groupBy("node_id").agg(F.min_by(F.struct("description", "method"), F.struct("rank", -F.col("confidence"), "description")).alias("x")).select("node_id", "x.*")
+    best = best.groupBy("node_id").agg(F.min_by(F.struct("description", "method"), F.struct("rank", -F.col("confidence"), "method", "description")).alias("x")).select("node_id", "x.*")
     return columns.join(best, "node_id", "left")
 
 

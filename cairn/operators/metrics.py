@@ -245,11 +245,23 @@ def to_entities(result: DataFrame, column: str, kind: str) -> DataFrame:
     return result.withColumn("entity_id", F.when(F.col(column).isNotNull(), F.concat(F.lit(kind + ":"), F.col(column).cast("string"))))
 
 
-def versions(writes: DataFrame, keep: int = 10) -> DataFrame:
-    """Writes (metric_id, at, created_at, ...) with their version, the first ``created_at``, and only the newest ``keep`` of each metric."""
-    by = W.partitionBy("metric_id").orderBy("at", "body")
-    newest = W.partitionBy("metric_id").orderBy(F.desc("at"), F.desc("body"))
-    return writes.select("*", F.row_number().over(by).alias("version"), F.min("at").over(W.partitionBy("metric_id")).alias("first_at"), F.row_number().over(newest).alias("age")).where(F.col("age") <= keep).drop("age")
+def versions(writes: DataFrame, keep: int = 10, tie: tuple[str, ...] = ("body",)) -> DataFrame:
+    """Writes (metric_id, at, ...) with their version, the first write's time, and only the newest ``keep`` of each metric; ``tie`` orders writes of one moment."""
+    by = W.partitionBy("metric_id").orderBy("at", *tie)
+    count, first = F.count("*").over(W.partitionBy("metric_id")), F.min("at").over(W.partitionBy("metric_id"))
+    rows = writes.select("*", F.row_number().over(by).alias("version"), first.alias("first_at"), count.alias("_n"))
+    return rows.where(F.col("version") > F.col("_n") - keep).drop("_n")
+
+
+def restored(stored: DataFrame, wanted: DataFrame, at: Column) -> DataFrame:
+    """The writes that bring back versions (``wanted``: metric_id, version) that are still kept: the old values as a new write."""
+    return stored.join(wanted, ["metric_id", "version"], "left_semi").drop("version", "first_at").withColumn("at", at)
+
+
+def served(stored: DataFrame) -> DataFrame:
+    """The newest version of each metric, if it is approved; no status counts as approved."""
+    last = F.max_by(F.struct(*stored.columns), F.col("version")).alias("x")
+    return stored.groupBy("metric_id").agg(last).select("x.*").where("coalesce(status, 'approved') = 'approved'")
 
 
 def load_pack(pack: DataFrame) -> tuple[DataFrame, DataFrame]:

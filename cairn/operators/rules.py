@@ -185,7 +185,10 @@ def faults(rule: Rule, predicates: dict[str, bool]) -> list[str]:
 
 
 def vocabulary_faults(predicates: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Rows of ``predicates`` (predicate, domain[], range[], symmetric, transitive, blocks, effect) that break a rule, with the reason."""
+    """Rows of ``predicates`` (predicate, domain[], range[], symmetric, transitive, blocks, effect) that break a rule, with the reason.
+
+    ``kinds``: kind, and where they are there organising (at most one) and catalog, external (a catalog's kinds are external).
+    """
     checks = {
         "blocks": "blocks IS NOT NULL AND blocks NOT IN ('subject', 'object', 'both')",
         "effect": "effect IS NOT NULL AND effect NOT IN ('withhold', 'notify')",
@@ -193,5 +196,10 @@ def vocabulary_faults(predicates: DataFrame, kinds: DataFrame) -> DataFrame:
         "transitive ends": "transitive AND NOT arrays_overlap(domain, range)",
     }
     found = [predicates.where(c).select("predicate", F.lit(n).alias("reason")) for n, c in checks.items()]
+    if "organising" in kinds.columns:
+        many = kinds.where("organising").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(many.select(F.lit(None).cast("string").alias("predicate"), F.lit("several organising units").alias("reason")))
+    if "catalog" in kinds.columns:
+        found.append(kinds.where("catalog AND NOT coalesce(external, false)").select(F.lit(None).cast("string").alias("predicate"), F.concat(F.lit("catalog kind not external "), "kind").alias("reason")))
     named = predicates.select("predicate", F.explode(F.array_union("domain", "range")).alias("kind")).join(kinds.select("kind"), "kind", "left_anti")
     return reduce(DataFrame.unionByName, [*found, named.select("predicate", F.concat(F.lit("unknown kind "), "kind").alias("reason")).distinct()])

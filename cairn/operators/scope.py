@@ -95,3 +95,47 @@ def catalog_claim() -> Column:
 def withheld(screens: DataFrame) -> DataFrame:
     """The screens in force, by name, with reason and contact: shown beside results, never among them."""
     return screens.where("lifted_at IS NULL").select("user_id", "matter_id", "reason", *[c for c in ("contact",) if c in screens.columns]).orderBy("user_id", "matter_id")
+
+
+def access_rows(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assignments and screens as rows with an end, from events (user_id, matter_id, event, at, seq, reason, contact): assign, revoke, screen, lift.
+
+    Of each user and matter the last of assign and revoke stands, and the last of screen and lift.
+    """
+    when = F.struct("at", "seq")
+
+    def last(start: str, end: str, closed: str, *more: str) -> DataFrame:
+        rows = events.where(F.col("event").isin(start, end))
+        of = rows.groupBy("user_id", "matter_id").agg(F.max_by(F.struct("event", "at"), when).alias("x"), F.max_by(F.struct(*more), F.when(F.col("event") == start, when)).alias("first") if more else F.lit(None).alias("first"))
+        shown = [F.col(f"first.{c}").alias(c) for c in more]
+        return of.select("user_id", "matter_id", *shown, F.when(F.col("x.event") == end, F.col("x.at")).alias(closed))
+
+    return last("assign", "revoke", "revoked_at"), last("screen", "lift", "lifted_at", "reason", "contact")
+
+
+def listed(facts: DataFrame, review_state: str | None = None, cls: str | None = None, matter: str | None = None, limit: int = 100) -> DataFrame:
+    """The facts that are asked for, the least certain first, at most ``limit``, each with the total before the limit."""
+    asked = {"review_state": review_state, "epistemic_class": cls, "matter_id": matter}
+    for column, value in asked.items():
+        facts = facts.where(F.col(column) == value) if value is not None else facts
+    total = facts.agg(F.count("*").alias("total"))  # one row
+    return facts.orderBy("confidence", "assertion_id").limit(limit).crossJoin(F.broadcast(total))
+
+
+def dashboard(facts: DataFrame) -> DataFrame:
+    """measure, name, n: current facts by class and by review state, zero where there are none, and what waits, is retracted, and the matters named."""
+    now = F.col("superseded_at").isNull()
+    waits = now & (F.col("review_state") == "PENDING")
+    counts = {("class", c): now & (F.col("epistemic_class") == c) for c in STRENGTH} | {("state", s): now & (F.col("review_state") == s) for s in ("AUTO_ASSERTED", "PENDING", "APPROVED", "REJECTED")}
+    counts |= {("pending", "review"): waits & ~catalog_claim(), ("pending", "catalog"): waits & catalog_claim(), ("retracted", "facts"): ~now}
+    row = facts.agg(*[F.count_if(c).alias(f"{m}/{n}") for (m, n), c in counts.items()], F.count_distinct("matter_id").alias("named/matters"))  # one row
+    names = [f"{m}/{n}" for m, n in counts] + ["named/matters"]
+    pairs = F.array(*[F.struct(F.lit(x.split("/")[0]).alias("measure"), F.lit(x.split("/")[1]).alias("name"), F.col(f"`{x}`").alias("n")) for x in names])
+    return row.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def answer_roll_up(parts: DataFrame) -> DataFrame:
+    """Per answer (answer_id, assertion_ids, tier, deterministic, label): distinct ids sorted, the highest tier, whether all are deterministic, and the labels as ``a + b``."""
+    ids = parts.select("answer_id", F.explode_outer("assertion_ids").alias("id")).groupBy("answer_id").agg(F.array_sort(F.collect_set("id")).alias("assertion_ids"))
+    rest = parts.groupBy("answer_id").agg(F.max("tier").alias("tier"), F.bool_and("deterministic").alias("deterministic"), F.array_join(F.array_sort(F.collect_set("label")), " + ").alias("label"))
+    return ids.join(rest, "answer_id")

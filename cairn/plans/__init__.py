@@ -2,10 +2,10 @@
 
 
 def registered() -> tuple[dict, dict[str, str]]:
-    from . import facts, texts, warehouse
+    from . import facts, reviews, texts, warehouse
 
     queries, sql = {}, {}
-    for m in (warehouse, facts, texts):
+    for m in (warehouse, facts, texts, reviews):
         queries |= m.QUERIES
         sql |= m.SQL
     return queries, sql

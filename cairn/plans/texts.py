@@ -308,7 +308,7 @@ def s8_hydrate(spark, folder):
     return C.hydrated(r.where("p_size > 25"), r)
 
 
-@query("SELECT CASE WHEN c = '' THEN 'document' ELSE c END AS filename, url FROM (SELECT url, regexp_replace(regexp_replace(string_split(replace(url, '\\', '/'), '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') AS c FROM pages)")
+@query("SELECT CASE WHEN c = '' THEN 'document' ELSE c END AS filename, url FROM (SELECT url, regexp_replace(regexp_replace(string_split(replace(url, '\\', '/'), '/')[-1], '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:120] AS c FROM pages)")
 def s17_safe_names(spark, folder):
     return S.read(spark, folder, "pages").select(S.safe_name(F.col("url")).alias("filename"), "url")
 
@@ -359,9 +359,9 @@ def f21_asked_grains(spark, folder):
     return S.read(spark, folder, "events").select("event_id", word.alias("asked"), T.asked_grain(F.array(F.lit("total"), word), F.array(F.lit("day"), F.lit("month"))).alias("grain"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 40 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 40 NOT IN (SELECT doc_id FROM documents WHERE n_chars > 300)")
 def s12_vector_delete(spark, folder):
-    gone = documents(spark, folder).where("doc_id % 3 = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"))
+    gone = documents(spark, folder).where("n_chars > 300").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"))
     return V.deleted(vectors(spark, folder), gone).select("vec_id")
 
 

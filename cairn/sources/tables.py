@@ -25,12 +25,19 @@ def text_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def safe_name(name: Column) -> Column:
-    """The last part of a path in letters, digits, dots, dashes and underscores; nothing left gives ``document``."""
+    """The last part of a path in letters, digits, dots, dashes and underscores, at most 120; nothing left gives ``document``."""
     last = F.element_at(F.split(F.regexp_replace(name, r"\\", "/"), "/"), -1)
-    kept = F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
+    kept = F.substring(F.regexp_replace(F.regexp_replace(last, r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", ""), 1, 120)
     return F.when(F.length(kept) > 0, kept).otherwise("document")
 
 
+def key_parts(key: Column, prefix: str = "processed/") -> Column:
+    """tenant, content_sha256 and filename of a stored document's key ``prefix/tenant/hash/filename``; null for keys of other shapes or with unsafe parts."""
+    parts = F.split(F.substring(key, len(prefix) + 1, F.length(key)), "/")
+    safe = F.forall(parts, lambda p: (F.length(p) > 0) & (p == safe_name(p)))
+    return F.when(F.startswith(key, F.lit(prefix)) & (F.size(parts) == 3) & safe, F.struct(parts[0].alias("tenant"), F.get(parts, 1).alias("content_sha256"), F.get(parts, 2).alias("filename")))
+
+
 def pages(documents: DataFrame, text: str = "text") -> DataFrame:
     """A row per page of each document: page (from 1), page_text, char_start and char_end in the whole text."""
     parts = F.split(text, PAGE_MARK)

@@ -137,6 +137,10 @@ def test_scalar_functions(spark):
     assert value(T.terms(lit("Which invoices are over-due for A & R&D's team?"))) == ["invoices", "over-due", "r&d's", "team"]
     assert value(T.singular(F.array(lit("invoices"), lit("gas")))) == ["invoices", "gas", "invoice"]
     assert tuple(value(T.node_parts(lit("column:a:b:db.t.c")))) == ("column", "a:b", "db.t", "c") and tuple(value(T.node_parts(lit("source:a:b")))) == ("source", "a:b", None, None)
+    assert all(value(T.node_parts(lit(x))) is None for x in ("column:a:t.c", "table:a:b.c.d", "table:nothing", "party:a:b.c"))
+    assert value(T.deduped(F.array(lit(" Net Sales"), lit("net-sales!"), lit("--"), lit("Turnover"), lit("x")), 2)) == ["Net Sales", "Turnover"]
+    assert value(T.shortened(lit("  a  b c "), 2)) == "a b…" and value(T.shortened(lit("a b"), 2)) == "a b"
+    assert tuple(value(S.key_parts(lit("processed/t/abc/f.pdf")))) == ("t", "abc", "f.pdf") and all(value(S.key_parts(lit(x))) is None for x in ("raw/t/a/f", "processed/t/a", "processed/t/../f.pdf", "processed/t//f"))
     assert value(T.both_forms(lit("document:d"))) == ["document:d", "d"]
     assert tuple(value(T.locate(lit("\U0001f600 one  two (3)\nfour"), lit("two (3) four")))) == (7, 19) and value(T.locate(lit("abc"), lit("x y"))) is None
     assert value(T.locate(lit("abc"), lit(""))) is None and value(T.locate(lit("ab    c"), lit("  "))) is None
@@ -144,7 +148,7 @@ def test_scalar_functions(spark):
     assert value(T.asked_grain(F.array(lit("total"), lit("weekly"), lit("year")), F.array(lit("year")))) == "year"
     assert [value(c) for c in T.ordered_ends(lit("b"), lit("a"), lit(True))] == ["a", "b"]
     assert value(T.described(lit("a"), lit(" "), lit(None).cast("string"), lit("b"))) == "a. b"
-    assert value(S.safe_name(lit("c:\\x\\..my file?.pdf"))) == "my-file-.pdf" and value(S.safe_name(lit("///"))) == "document"
+    assert value(S.safe_name(lit("c:\\x\\..my file?.pdf"))) == "my_file_.pdf" and value(S.safe_name(lit("///"))) == "document"
 
 
 def test_trust_ignores_predictions(spark):
