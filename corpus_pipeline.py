@@ -1,6 +1,10 @@
 """A training corpus from ``documents``: toxic texts out, one of each near-duplicate group, no benchmark leaks, mixed, as token ids.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, whatever they are called, and their rows unchanged.
+
+Defined results: null and empty texts are not toxic and hold no leak; all texts without words are one group, of which the smallest id stays; rows with a null
+``doc_id`` are kept like others and come last in their group; of repeated rows one stays; very long texts are read whole by every stage; an
+empty table stays empty. Mixing repeats rows and drops none. The last stage returns doc_id, start, n_tokens, ids_crc32, part and seq of every row that is left.
 """
 
 from __future__ import annotations
