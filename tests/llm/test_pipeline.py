@@ -89,6 +89,42 @@ def test_stages_take_odd_rows(spark, sf):
             assert out.count() <= 4 * max(1, docs.count())
 
 
+def test_stages_on_odd_rows_exactly(spark, sf):
+    """Every stage returns rows that it was given, unchanged; which ones is defined."""
+    from test_exact import brute_tokens, docs_of
+
+    docs = clashing(odd_docs(spark))
+    given = sorted(map(tuple, docs.collect()), key=str)
+    stage = {n: f(spark, docs, sf) for n, f in P.STAGES}
+    rows = {n: sorted(map(tuple, df.collect()), key=str) for n, df in stage.items()}
+    assert all(stage[n].columns == docs.columns and set(rows[n]) <= set(given) for n in list(stage)[:-1])
+    assert rows["decontamination"] == given and {r for r in given if not (r[1] or "").strip()} <= set(rows["toxicity"])
+    # the texts without words, the two of one sentence and its repetition, and four others: five rows come of no group
+    assert sorted((r[0] for r in rows["near_duplicates"] if r[0] not in (5, 6)), key=str) == [1, 4, 8, None] and {5, 6} & {r[0] for r in rows["near_duplicates"]}
+    assert set(rows["mixing"]) == set(given) and all(given.count(r) <= rows["mixing"].count(r) <= 4 * given.count(r) for r in given)
+    assert sorted(map(tuple, stage["tokens"].select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=str) == brute_tokens(docs_of(docs))
+    assert all(f(spark, empty_docs(spark), sf).count() == 0 for _, f in P.STAGES)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of every similarity: all at a cosine of 0.9 or more, nearly all at 0.8, none at 0.5 or less."""
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    texts, pairs = [], []
+    for k in range(240):
+        base = rng.choice(vocabulary, 300)
+        near = base.copy()
+        near[rng.choice(300, 1 + k % 40, replace=False)] = rng.choice(vocabulary, 1 + k % 40)
+        texts += [" ".join(base), " ".join(near)]
+        a, b = shingles(texts[-2]), shingles(texts[-1])
+        pairs.append(len(a & b) / (len(a) * len(b)) ** 0.5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(240)]
+    share = lambda lo, hi: [f for f, c in zip(found, pairs, strict=True) if lo <= c < hi]
+    assert all(share(0.9, 2)) and np.mean(share(0.8, 0.9)) >= 0.95 and not any(share(0, 0.5))
+
+
 def test_registered(spark, sf):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
     assert PROSE and P.run(spark, sf).count() > 0
