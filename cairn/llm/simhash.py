@@ -35,15 +35,15 @@ BLOCK_ROWS = 4096
 SMALL = 8  # larger buckets are searched, smaller ones compared all at once
 SKETCH_KEYS = 12
 NO_ID = (1 << 63) - 1
-CHUNK_WORDS = 1 << 17  # of one text in memory as shingles
+CHUNK_WORDS = 1 << 16  # of one text in memory as shingles
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    """A fresh hash from a hash (the splitmix64 finaliser)."""
+def _mix(x: np.ndarray, salt) -> np.ndarray:
+    """A fresh hash from a hash (the splitmix64 finaliser); several salts in a column give a row each."""
     with np.errstate(over="ignore"):
-        x = x + _GOLD * np.uint64(salt)
+        x = x + _GOLD * np.asarray(salt, np.uint64)
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         return x ^ x >> np.uint64(31)
@@ -70,19 +70,28 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array(out, np.uint64)
 
 
+def _bit_counts(x: np.ndarray) -> np.ndarray:
+    """How many of the hashes in each row have each bit: rows x hashes to rows x 64. Eight bits are counted in the bytes of one word, 255 hashes at a time."""
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8), axis=2, bitorder="little").view(np.uint64)
+    part = np.add.reduceat(bits, np.arange(0, x.shape[1], 255), axis=1)
+    return part.view(np.uint8).sum(1, dtype=np.int64)
+
+
+_LANES = np.arange(1, 64)[:, None]
+_SKETCH = np.arange(100, 100 + 2 * SKETCH_KEYS)[:, None]
+
+
 def fingerprint(text: str, words: int, lanes: int, sketch: bool) -> tuple[bytes, list[int]]:
     """The fingerprint's bytes and, for a sketch, the keys of its buckets."""
-    total, ones = 0, np.zeros(64 * lanes, np.int64)
+    total, ones = 0, np.zeros((lanes, 64), np.int64)
     least = np.full(2 * SKETCH_KEYS, bitslice.ALL, np.uint64)
     for h in shingle_hashes(text, words):
         total += len(h)
-        for lane in range(lanes):
-            x = h if lane == 0 else _mix(h, lane)
-            ones[64 * lane : 64 * lane + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _bit_counts(np.concatenate([h[None], _mix(h, _LANES[: lanes - 1])]))
         if sketch:
-            least = np.minimum(least, [_mix(h, 100 + k).min() for k in range(2 * SKETCH_KEYS)])
+            least = np.minimum(least, _mix(h, _SKETCH).min(1))
     keys = (_mix(_mix(least[::2], 7) ^ least[1::2], 8) + np.arange(SKETCH_KEYS, dtype=np.uint64)).view(np.int64).tolist() if sketch else []
-    return np.packbits(ones * 2 > total, bitorder="little").tobytes(), keys
+    return np.packbits(ones.reshape(-1) * 2 > total, bitorder="little").tobytes(), keys
 
 
 def masks(bits: int, blocks: int, radius: int) -> list[np.ndarray]:
