@@ -9,7 +9,8 @@ A fingerprint has ``lanes`` words of 64 bits; a bit is 1 if it is set in over ha
   0.99999 at 0.8, and 0.999 at 2/3, where texts of one length have a cosine of 0.8.
 
 Equal fingerprints collapse before any comparison, and each bucket yields a spanning forest of its links instead of all
-pairs. Buckets beyond ``BLOCK_ROWS`` fingerprints are cut into blocks and each pair of blocks is a task's group of its own.
+pairs. In buckets beyond ``BLOCK_ROWS`` fingerprints those within the radius of one of them, the pivot, are linked with it and with each other by that;
+only the rest is compared with all, in blocks, so that a large group of near copies costs little more than one comparison each.
 
 Defined results: a null text is an empty one; a text without words has the fingerprint zero and is linked like any other
 (``sketch``: only with other empty ones); a null ``doc_id`` gets its group's class and never names one unless the whole group has
@@ -31,7 +32,7 @@ from .common import has, in_arrow, shuffle_parts, text_of, written
 from .components import components
 
 SEED = 42
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024
 SMALL = 8  # larger buckets are searched, smaller ones compared all at once
 SKETCH_KEYS = 12
 NO_ID = (1 << 63) - 1
@@ -140,15 +141,40 @@ def _keyed(prints: DataFrame, blocks: int, radius: int, lanes: int) -> DataFrame
     return in_arrow(prints.select("fp"), run, "fp binary, keys array<long>")
 
 
+def _around_pivots(rows: DataFrame, lanes: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """For large buckets (fp, key, n): the rows fp, key, i, j that are left to compare, and the links a, b of pivots with those near them.
+
+    Fingerprints near the pivot are one component by it. Any other link has an end that is far from it: the far ones, in blocks j, meet all, in blocks i.
+    """
+    pivots = written(rows.groupBy("key").agg(F.min("fp").alias("pivot")), "pivots")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (0, 3))
+            far = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) > radius
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far)], [*batch.schema.names, "far"])
+
+    told = written(in_arrow(rows.join(pivots, "key").select("fp", "key", "n", "pivot"), split, "fp binary, key long, n long, pivot binary, far boolean"), "around-pivots")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    counts = written(told.where("far").groupBy("key").agg(F.count("*").alias("r")), "far-counts")
+    left = told.join(counts, "key").select("fp", "key", "far", blocks("n").alias("ni"), blocks("r").alias("nj"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n)).cast("int")
+    every = left.select("fp", "key", block("ni", 1).alias("i"), each("nj").alias("j"))
+    far = left.where("far").select("fp", "key", each("ni").alias("i"), block("nj", 2).alias("j"))
+    return every.unionByName(far), told.where("NOT far AND fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
+
+
 def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Links a, b between distinct fingerprints: in each bucket a spanning forest of the pairs within the radius. ``keyed``: fp, keys."""
     rows = keyed.select("fp", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a bucket of several blocks: each row goes to the pairs of its own block with every block
-    dealt = rows.join(sizes, "key").select("fp", "key", own.alias("own"), F.explode(F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other"), "blocks")
-    several = F.col("blocks") > 2
-    dealt = dealt.select("fp", "key", F.when(several, F.least("own", "other")).otherwise(0).alias("i"), F.when(several, F.greatest("own", "other")).otherwise(0).alias("j"))
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    none = F.lit(0).alias("i"), F.lit(0).alias("j")
+    dealt = rows.join(sizes.where(F.col("n") <= BLOCK_ROWS).select("key"), "key").select("fp", "key", *none)
+    large, to_pivot = sizes.where(F.col("n") > BLOCK_ROWS), None
+    if not large.isEmpty():
+        apart, to_pivot = _around_pivots(rows.join(large, "key"), lanes, radius)
+        dealt = dealt.unionByName(apart)
     dealt = dealt.repartition(shuffle_parts(keyed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +214,8 @@ def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
             fp, key = np.concatenate(held_fp), np.concatenate(held_key)
             yield from solve(fp, np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])))
 
-    return in_arrow(dealt.select("fp", "key", "i", "j"), compare, "a binary, b binary").distinct()
+    found = in_arrow(dealt.select("fp", "key", "i", "j"), compare, "a binary, b binary")
+    return (found if to_pivot is None else found.unionByName(to_pivot)).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, radius: int = 3, blocks: int = 6, sketch: bool = False) -> DataFrame:

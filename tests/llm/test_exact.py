@@ -264,3 +264,37 @@ def test_chat_odd_rows(spark):
         said = "".join(t for *_, r, t in turns if r == "assistant")
         assert got[conv].loss_chars == len(said) and got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert chat.read_back(chat.format_turns(frame.limit(0))).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket with a ball around its pivot, a chain that leaves it, a second ball and strangers: the same components as from all pairs."""
+    rng = np.random.default_rng(14)
+    flip = lambda x, n: x ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False))
+    centre, other = int(rng.integers(1 << 62)), int(rng.integers(1 << 62))
+    prints = {centre, other} | {flip(centre, int(rng.integers(1, 3))) for _ in range(60)} | {flip(other, int(rng.integers(1, 4))) for _ in range(40)} | {int(x) for x in rng.integers(1 << 62, size=30)}
+    at = flip(centre, 3)
+    for _ in range(12):
+        prints.add(at)
+        at = flip(at, 2)
+    prints = sorted(prints)
+    frame = spark.createDataFrame([(x.to_bytes(8, "little"), [7]) for x in prints], "fp binary, keys array<long>")
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 20)
+    parent = list(range(len(prints)))
+
+    def find(parent, i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                parent[find(parent, i)] = find(parent, j)
+    got, number = list(range(len(prints))), {x.to_bytes(8, "little"): k for k, x in enumerate(prints)}
+    links = simhash.links(frame, 1, 3).collect()
+    for r in links:
+        a, b = number[bytes(r.a)], number[bytes(r.b)]
+        assert (prints[a] ^ prints[b]).bit_count() <= 3
+        got[find(got, a)] = find(got, b)
+    classes = lambda p: sorted(tuple(i for i in range(len(p)) if find(p, i) == r) for r in {find(p, i) for i in range(len(p))})
+    assert classes(got) == classes(parent) and len(classes(got)) > 10
