@@ -147,6 +147,13 @@ def layer_reason(layer: Column, hits: Column, selected: Column) -> Column:
     return F.concat(layer.cast("string"), F.lit(": "), hits.cast("string"), F.lit(" "), many, F.when(selected, ", near the best layer").otherwise(", behind the best layer"))
 
 
+def block_reason(predicate: Column, other: Column, said: Column | None = None) -> Column:
+    """A refusal as a sentence: the predicate's label, or its words, and the other end as it is written, so that it can be looked up."""
+    words = F.lower(F.regexp_replace(predicate, "_", " "))
+    words = F.coalesce(said, words) if said is not None else words
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)), F.lit(" involving "), other, F.lit("."))
+
+
 def class_reason(cls: Column) -> Column:
     """What stands behind a fact of a class."""
     return F.when(cls == "DECLARED", "stated by a system of record or a person").when(cls == "EXTRACTED_DET", "found by a fixed rule").when(cls == "EXTRACTED_MODEL", "read by a model").when(cls == "INFERRED", "derived by a rule").when(cls == "PREDICTED", "a prediction").otherwise("unknown")

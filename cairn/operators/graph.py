@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import label
+from ..functions.text import block_reason, label, node_parts
 from .scope import SIGNED_OFF
 from .session import checkpoints
 from .vectors import knn
@@ -138,7 +138,7 @@ def blocks_for(seeds: DataFrame, found: DataFrame, screens: DataFrame) -> DataFr
     reason = F.coalesce("reason", F.lit("You are screened from this matter."))
     walls = seeds.select("question_id").distinct().crossJoin(screens).select("question_id", F.col("matter_id").alias("subject"), reason.alias("reason"), text("ethical_screen").alias("rule"), "matter_id", "contact", F.lit(0).alias("premise_count"), text("withhold").alias("effect"))
     rules = seeds.distinct().join(found.withColumnRenamed("tainted", "node"), "node")
-    rules = rules.select("question_id", F.col("node").alias("subject"), F.col("predicate").alias("reason"), F.col("predicate").alias("rule"), text().alias("matter_id"), text().alias("contact"), F.col("premise_count").cast("int").alias("premise_count"), "effect")
+    rules = rules.select("question_id", F.col("node").alias("subject"), block_reason(F.col("predicate"), F.col("other")).alias("reason"), F.col("predicate").alias("rule"), text().alias("matter_id"), text().alias("contact"), F.col("premise_count").cast("int").alias("premise_count"), "effect")
     return walls.unionByName(rules.distinct())
 
 
@@ -244,7 +244,7 @@ def kind_sweep(facts: DataFrame, predicates: DataFrame) -> DataFrame:
     """Current facts whose ends break the predicate's declared kinds (``predicates``: predicate, domain[], range[], symmetric)."""
     s, o = F.substring_index("subject_id", ":", 1), F.substring_index("object_id", ":", 1)
     fits = lambda a, b: F.array_contains("domain", a) & F.array_contains("range", b)
-    df = facts.where("superseded_at IS NULL").join(F.broadcast(predicates), "predicate")
+    df = facts.where("superseded_at IS NULL").join(predicates, "predicate")
     return df.where(~(fits(s, o) | (F.col("symmetric") & fits(o, s)))).select(facts.columns)
 
 
@@ -311,10 +311,20 @@ def provenance(derived: DataFrame, facts: DataFrame, visible) -> DataFrame:
     return rows.select("assertion_id", "premise", F.col("ok").isNotNull().alias("known"), F.coalesce("ok", F.lit(False)).alias("visible"))
 
 
-def overview(facts: DataFrame, governing: Column, cap: int) -> DataFrame:
-    """The first ``cap`` facts, governing ones and firm ones first, each with the total and whether there are more."""
-    total = facts.agg(F.count("*").alias("total"))
-    top = facts.orderBy(governing.desc(), F.desc("confidence"), "assertion_id").limit(cap).select("assertion_id")
+def spine_depth(column: str) -> Column:
+    """How deep in the catalog an id is: source 0, table 1, column 2, and 3 for whatever hangs off it."""
+    deep = F.array_position(F.array(*[F.lit(k) for k in CATALOG_KINDS]), node_parts(F.col(column))["type"]) - 1
+    return F.coalesce(deep, F.lit(len(CATALOG_KINDS)).cast("long"))
+
+
+def overview(facts: DataFrame, governing: Column, cap: int, catalog: bool = False) -> DataFrame:
+    """The first ``cap`` facts, governing ones and firm ones first, each with the total and whether there are more.
+
+    In the ``catalog`` layer depth goes first, the deeper end deciding: its facts are all alike otherwise, and columns would crowd out tables.
+    """
+    total = facts.agg(F.count("*").alias("total"))  # one row
+    depth = [F.greatest(spine_depth("subject_id"), spine_depth("object_id"))] if catalog else []
+    top = facts.orderBy(*depth, governing.desc(), F.desc("confidence"), "assertion_id").limit(cap).select("assertion_id")
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > cap)
 
 

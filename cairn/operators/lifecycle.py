@@ -242,6 +242,19 @@ def duplicates(entities: DataFrame, keys: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.array_sort(F.collect_set("entity_id")).alias("ids")).where(F.size("ids") > 1)
 
 
+def near_duplicates(batch: DataFrame, stored: DataFrame, keys) -> DataFrame:
+    """assertion_id and the sorted stored ids that its ends may be other spellings of; rows without any are left out. ``keys``: blocking keys of an id column.
+
+    Ids that the batch itself names are no duplicates. The batch is staged all the same: a reviewer is asked.
+    """
+    both = lambda df, *more: df.select(F.explode(F.array("subject_id", "object_id")).alias("id"), *more).where("id IS NOT NULL")
+    own = both(batch, "assertion_id").distinct()
+    other = both(stored).distinct().join(own.select("id").distinct(), "id", "left_anti")
+    keyed = lambda df: df.select(*df.columns, F.explode(keys(F.col("id"))).alias("key"))
+    hits = keyed(own).select("assertion_id", "key").distinct().join(keyed(other), "key")
+    return hits.groupBy("assertion_id").agg(F.array_sort(F.collect_set("id")).alias("near_duplicates"))
+
+
 def retract_document(facts: DataFrame, document: Column) -> DataFrame:
     """The cascade from a document's own current facts, derived ones aside. ``facts`` also has document_id."""
     return cascade(facts, facts.where(document & F.col("superseded_at").isNull() & (F.size("premises") == 0)))

@@ -649,7 +649,7 @@ def p15_withheld(spark, folder):
 @query(f"{WITH} SELECT assertion_id FROM facts WHERE predicate IN ('CONTROLS', 'INVESTIGATES') EXCEPT SELECT assertion_id FROM facts WHERE predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'")
 def j9_walked_without_matched(spark, folder):
     f = facts(spark, folder)
-    return f.where("predicate IN ('CONTROLS', 'INVESTIGATES')").join(f.where("predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'"), "assertion_id", "left_anti").select("assertion_id")
+    return G.not_matched(f.where("predicate IN ('CONTROLS', 'INVESTIGATES')"), f.where("predicate = 'INVESTIGATES' AND object_id LIKE 'customer:1%'")).select("assertion_id")
 
 
 @query(f"{WITH}, ok AS (SELECT assertion_id FROM facts WHERE confidence >= 0.85 AND superseded_at IS NULL) SELECT 'doc-' || doc_id AS answer_id, coalesce((SELECT string_agg(assertion_id, ',' ORDER BY assertion_id) FROM facts WHERE document_id = 'doc-' || doc_id AND assertion_id IN (FROM ok)), '') AS used FROM documents WHERE 'doc-' || doc_id IN (SELECT document_id FROM facts WHERE document_id IS NOT NULL)")

@@ -163,6 +163,25 @@ def s14_refused_audit_rows(spark, folder):
     return L.refused(e.where(F.col("audit_id") < half), e, "audit_id")
 
 
+@query("""WITH b AS (SELECT o_orderkey AS id, 'party:' || c_name || ' Ltd' AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P') SELECT id::VARCHAR AS assertion_id, regexp_replace(s, ' Ltd$', '') AS near FROM b""")
+def r1_near_duplicates(spark, folder):
+    """Staged claims that name customers with a company form; the stored ones name them without."""
+    c = S.read(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("party:"), "c_name").alias("name"))
+    o = S.read(spark, folder, "orders")
+    stored = c.select(F.col("name").alias("subject_id"), F.lit(None).cast("string").alias("object_id"))
+    batch = o.where("o_orderstatus = 'P'").join(c, "o_custkey").select(F.col("o_orderkey").cast("string").alias("assertion_id"), F.concat("name", F.lit(" Ltd")).alias("subject_id"), F.concat(F.lit("order:"), "o_orderkey").alias("object_id"))
+    found = L.near_duplicates(batch, stored, lambda c: T.blocking_keys(c, ["party", "order"]))
+    return found.select("assertion_id", F.explode("near_duplicates").alias("near"))
+
+
+@query(f"{WITH}, own AS (SELECT document_id, list(assertion_id) AS ids, bool_or(review_state = 'PENDING') AS waits FROM facts WHERE document_id IS NOT NULL AND confidence >= 0.8 GROUP BY 1) SELECT document_id FROM own WHERE NOT waits")
+def r12_settled_by_staged_ids(spark, folder):
+    """Documents whose own staged rows, here their firm ones, are all decided; weaker rows of theirs don't count."""
+    f = facts(spark, folder).where("document_id IS NOT NULL")
+    d = f.where("confidence >= 0.8").groupBy("document_id").agg(F.collect_list("assertion_id").alias("staged_ids")).withColumn("state", F.lit("PENDING_REVIEW"))
+    return L.settled(d, f.select("assertion_id", "review_state")).select("document_id")
+
+
 # Retraction and merge
 
 _RETRACTED = f"WITH RECURSIVE {_LADDER}, w AS (SELECT k, 0 AS level, k AS root FROM d WHERE k % 16 = 1 AND NOT closed UNION ALL SELECT d.k, level + 1, root FROM w JOIN d ON d.up = w.k WHERE NOT closed)"
@@ -431,6 +450,38 @@ def s17_document_keys(spark, folder):
     return keys.withColumn("x", S.key_parts(F.col("key"))).select("key", "x.tenant", "x.filename")
 
 
+@query(f"WITH {TX._COLUMNS}, k AS (SELECT *, CASE WHEN predicate = 'HAS_TABLE' THEN 1 ELSE 2 END AS depth, sha256(subject_id || '/' || predicate || '/' || object_id)[1:32] AS assertion_id FROM cf) SELECT assertion_id, (SELECT count(*) FROM k) AS total, (SELECT count(*) FROM k) > 300 AS truncated FROM (SELECT assertion_id FROM k ORDER BY depth, predicate = 'PARTITIONED_BY' DESC, assertion_id LIMIT 300)")
+def l7_catalog_overview(spark, folder):
+    f = C.facts(TX.scanned(spark, folder))
+    f = f.withColumn("assertion_id", T.content_id(F.col("subject_id"), F.col("predicate"), F.col("object_id")))
+    return G.overview(f, F.col("predicate") == "PARTITIONED_BY", 300, catalog=True)
+
+
+@query(f"{WITH} SELECT assertion_id, upper(lower(replace(predicate, '_', ' '))[1]) || lower(replace(predicate, '_', ' '))[2:] || ' involving ' || object_id || '.' AS reason FROM facts WHERE predicate IN ('INVESTIGATES', 'APPROVES_EXCEPTION_FOR')")
+def f22_block_reasons(spark, folder):
+    f = facts(spark, folder).where("predicate IN ('INVESTIGATES', 'APPROVES_EXCEPTION_FOR')")
+    return f.select("assertion_id", T.block_reason(F.col("predicate"), F.col("object_id")).alias("reason"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'P-' || p_brand WHEN 1 THEN 'P-' || p_brand END AS predicate FROM part")
+def f10_grounding(spark, folder):
+    """Predicates said by id, by label in other case and spacing, and as neither."""
+    p, k = S.read(spark, folder, "part"), F.col("p_partkey")
+    v = p.select(F.concat(F.lit("P-"), "p_brand").alias("predicate"), F.concat(F.lit("made by "), "p_brand").alias("label")).distinct()
+    v = v.select("predicate", "label", F.lit(False).alias("symmetric"), F.array(F.lit("party")).alias("domain"), F.array(F.lit("party")).alias("range"))
+    said = F.when(k % 3 == 0, F.concat(F.lit("p-"), F.lower("p_brand"))).when(k % 3 == 1, F.concat(F.lit("Made  By "), "p_brand")).otherwise("nothing of the kind")
+    claims = p.select("p_partkey", F.col("p_name").alias("chunk_text"), F.col("p_name").alias("quote"), F.lit("party:a").alias("subject"), said.alias("predicate_said"), F.lit("party:b").alias("object"), F.lit(0.5).alias("confidence"))
+    upper = v.withColumn("id", F.upper("predicate"))
+    return D.validated(claims, upper.drop("predicate").withColumnRenamed("id", "predicate"), ["party"]).select("p_partkey", F.regexp_replace("predicate", "BRAND", "Brand").alias("predicate"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type || ' ' || (event_id % 9) AS v, event_id FROM events), s AS (SELECT user_id, regexp_replace(lower(v), '[^a-z0-9]+', '-', 'g') AS slug, arg_min(v, event_id) AS v, min(event_id) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS n FROM s) SELECT user_id, string_agg(v, '|' ORDER BY first) AS kept FROM r WHERE n <= 6 GROUP BY 1""")
+def f13_deduped_values(spark, folder):
+    e = S.read(spark, folder, "events").select("user_id", "event_id", F.concat("event_type", F.lit(" "), F.col("event_id") % 9).alias("v"))
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("values"))
+    return lists.select("user_id", F.array_join(T.deduped(F.col("values"), 6), "|").alias("kept"))
+
+
 # The write contract with all its columns
 
 _CONTRACT = [
