@@ -54,7 +54,10 @@ BATCH_ROWS = 500
 
 
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts are long, and a batch is in memory on both sides."""
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts are long, and a batch is in memory on both sides.
+
+    Spark takes the size from the session when the plan runs, so that it is lowered there and stays so: later Arrow plans of the session use it too.
+    """
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))

@@ -14,7 +14,7 @@ rest's probability, by a hash of its id and text.
 
 Defined results: a null or empty text has no tokens, the prior as posterior, and a rate like any other; a null ``doc_id`` stays null;
 repeated rows are documents of their own; null labels are no labels; without labels all documents are one domain; an
-empty table gives no rows; other columns are passed on or ignored.
+empty table gives no rows; texts of any length are read whole; other columns are passed on or ignored.
 """
 
 from __future__ import annotations

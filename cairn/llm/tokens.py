@@ -5,7 +5,7 @@ shards and never holds more than one of them. The shards are stored as rows of a
 whole tasks only, on any file system); ``Shard`` opens a row's ``blob``, which is a complete file by itself.
 
 Defined results: a null text is an empty one (only the end id); a null ``doc_id`` sorts first and stays null; repeated
-ids stay separate documents, ordered by a hash of their text; an empty table gives no shard; other columns are ignored.
+ids stay separate documents, ordered by a hash of their text; a text longer than a shard is a shard of its own; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
