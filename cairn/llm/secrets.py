@@ -31,7 +31,8 @@ LEAST, SHORT = 16, 6
 CANDIDATE = rf"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 #: Names that secrets are assigned to.
 NAMES = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|credential|private_?key|bearer)"
-_ASSIGNS = rf"(?i)\b\w{{0,24}}{NAMES}[\"'`\]]{{0,2}}\s{{0,3}}[=:]\s{{0,3}}"
+#: A text without any of these has no such name; looking for them first is cheap.
+_NEEDS = ("token", "secret", "passw", "pwd", "key", "auth", "credential", "bearer")
 ASSIGNED = rf"(?<=(?i:{NAMES})[\"'`\]]{{0,2}}\s{{0,3}}[=:]\s{{0,3}}[\"'`]?)(?<![^\s=:\"'`])[^\s\"'`=:][^\s\"'`]{{{SHORT - 1},}}+"
 AROUND = 60
 BESIDE = 16  # characters next to a candidate that only the labels look at
@@ -48,7 +49,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     has(docs, "doc_id", "text")
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     none = F.array().cast("array<string>")
-    df = df.withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("told", F.when(F.col("text").rlike(_ASSIGNS), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(none))
+    low = F.lower("text")
+    may = reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in _NEEDS])
+    df = df.withColumn("hits", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).withColumn("told", F.when(may, F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))).otherwise(none))
     df = df.where((F.size("hits") > 0) | (F.size("told") > 0))
     df = df.withColumn("runs", spans_of(F.col("text"), F.lit(CANDIDATE), F.col("hits"), 0, "candidate")).withColumn("values", spans_of(F.col("text"), F.lit(ASSIGNED), F.col("told"), 0, "candidate"))
     apart = F.filter("runs", lambda r: ~F.exists("values", lambda v: (v["start"] < r["end"]) & (r["start"] < v["end"])))
