@@ -212,10 +212,10 @@ def s11_vector_upsert(spark, folder):
     return V.upsert(v.where(F.col("vec_id") < half), v.where(F.col("vec_id") >= half), "k", "vec_id")
 
 
-@query("""WITH f AS (SELECT 'doc-' || (event_id % 40) AS document_id, 'M-' || (event_id % 6) AS matter_id, ts, event_id FROM events WHERE event_id % 40 < 20), l AS (SELECT document_id, matter_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS k FROM f) WHERE k = 1)
+@query("""WITH f AS (SELECT 'doc-' || (event_id % 40) AS document_id, 'M-' || (event_id % 6) AS matter_id, ts, event_id FROM events WHERE event_type <> 'view'), l AS (SELECT document_id, matter_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, event_id DESC) AS k FROM f) WHERE k = 1)
 SELECT vec_id, coalesce(l.matter_id, CASE WHEN vec_id % 4 <> 0 THEN 'M-' || (vec_id % 7) END) AS matter_id FROM embeddings LEFT JOIN l ON l.document_id = 'doc-' || (vec_id % 40)""")
 def v2_relabel(spark, folder):
-    e = S.read(spark, folder, "events").where("event_id % 40 < 20")
+    e = S.read(spark, folder, "events").where("event_type <> 'view'")
     filings = e.select(F.concat(F.lit("doc-"), F.col("event_id") % 40).alias("document_id"), F.concat(F.lit("M-"), F.col("event_id") % 6).alias("matter_id"), F.struct("ts", "event_id").alias("at"))
     return V.relabelled(vectors(spark, folder), filings).select("vec_id", "matter_id")
 
