@@ -409,10 +409,12 @@ def test_toxicity_query_by_plain_sums(spark, sf):
 
 
 def test_null_labels_are_no_labels(spark):
-    docs, labels = made(spark, 240)
-    nulls = labels.withColumn("toxic", F.when(F.col("doc_id") % 6 != 0, F.lit(None).cast("int")).otherwise(F.col("toxic")))
-    told = toxicity.fit(docs, nulls.unionByName(labels.where("doc_id IN (1, 2, 3, 4, 5, 7, 8)")))
-    assert sum(r.toxic != (r.doc_id % 6 == 0) for r in toxicity.score(docs, told).collect()) <= 12
+    docs, labels = made(spark, 600)
+    nulls = labels.withColumn("toxic", F.when(F.col("doc_id") % 6 < 5, F.col("toxic")))
+    sample, weight = toxicity._sampled(docs, nulls, toxicity.CATEGORIES, 6000)
+    assert sample.count() == 500 and sample.where("doc_id % 6 = 5").count() == 0 and weight == [1.0, 1.0]
+    got = toxicity.score(docs, toxicity.fit(docs, nulls)).collect()
+    assert sum(r.toxic != (r.doc_id % 6 == 0) for r in got) <= 6
 
 
 def test_searchers_are_loaded_from_their_table(spark, leaks):
