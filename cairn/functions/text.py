@@ -42,12 +42,19 @@ def canonical(entity: Column, kinds, external=()) -> Column:
 def blocking_keys(entity: Column, kinds, external=(), forms=COMPANY_FORMS) -> Column:
     """At most two keys under which spellings of an id meet: ``kind:`` and its canonical name without dashes, and the same without
     company forms at the name's end; the last word stays. None for external and unknown kinds."""
-    id_ = canonical(entity, kinds)
-    words = F.filter(F.split(local(id_), "-"), lambda w: F.length(w) > 0)
-    bare = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: F.forall(F.slice(words, k + 1, F.size(words)), lambda w: w.isin(*forms)))
-    name = lambda n: F.concat(kind(id_), F.lit(":"), F.array_join(F.slice(words, F.lit(1), n), ""))
-    keys = F.array_sort(F.array_distinct(F.array(name(F.size(words)), name(bare[0]))))
-    return F.when(id_.isNull() | kind(entity).isin(*external) if external else id_.isNull(), F.array().cast("array<string>")).otherwise(keys)
+
+    def of_words(head: Column, words: Column) -> Column:
+        name = lambda n: F.concat(head, F.lit(":"), F.array_join(F.slice(words, F.lit(1), n), ""))
+        # the shortest beginning after which only company forms follow
+        bare = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.forall(F.slice(words, k + 1, F.size(words)), lambda w: w.isin(*forms)))
+        return F.array_sort(F.array_distinct(F.array(name(F.size(words)), name(bare[0]))))
+
+    # a transform over one element names a value that is used several times: it is computed once
+    words = lambda id_: F.filter(F.split(local(id_), "-"), lambda w: F.length(w) > 0)
+    made = F.transform(F.array(canonical(entity, kinds)), lambda id_: F.transform(F.array(F.struct(kind(id_).alias("head"), words(id_).alias("words"))), lambda x: of_words(x["head"], x["words"]))[0])[0]
+    known = kind(entity).isin(*kinds) & ~kind(entity).isin(*external) if external else kind(entity).isin(*kinds)
+    named = F.length(F.regexp_replace(local(entity), r"(?U)[\W_]+", "")) > 0
+    return F.when(known & named, made).otherwise(F.array().cast("array<string>"))
 
 
 def terms(text: Column) -> Column:
