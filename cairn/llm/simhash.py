@@ -32,7 +32,7 @@ from .common import has, in_arrow, shuffle_parts, text_of, written
 from .components import components
 
 SEED = 42
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 SMALL = 8  # larger buckets are searched, smaller ones compared all at once
 SKETCH_KEYS = 12
 NO_ID = (1 << 63) - 1
@@ -167,7 +167,7 @@ def _around_pivots(rows: DataFrame, lanes: int, radius: int) -> tuple[DataFrame,
 
 def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
     """Links a, b between distinct fingerprints: in each bucket a spanning forest of the pairs within the radius. ``keyed``: fp, keys."""
-    rows = keyed.select("fp", F.explode(F.array_distinct("keys")).alias("key"))
+    rows = written(keyed.select("fp", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     none = F.lit(0).alias("i"), F.lit(0).alias("j")
     dealt = rows.join(sizes.where(F.col("n") <= BLOCK_ROWS).select("key"), "key").select("fp", "key", *none)
