@@ -3,6 +3,10 @@
 A premise binds two variables; a path premise walks 1 to ``hops`` edges of a transitive predicate. Bindings grow by one premise
 after the other, joined on the variables that are bound already. Used facts travel along as an array, so that no fact
 stands for two premises and no walk visits a node twice; those are residual conditions of equi joins.
+
+Conclusions ask for the best proof only: fewest facts, then the first by their ids. So a path premise walks from the ends that are bound, or that another
+premise can bind, and keeps one walk for each pair of ends and number of hops: a part of a best walk is a best walk itself. Where a premise could share facts with a
+path, as both are of one predicate, all walks are kept. New facts are joined from: one plan for each premise with the new facts there and all facts elsewhere.
 """
 
 from __future__ import annotations
@@ -94,16 +98,143 @@ def bindings(rule: Rule, facts: DataFrame) -> list[DataFrame]:
     return out
 
 
-def infer(rules, facts: DataFrame) -> DataFrame:
-    """rule_id, subject_id, predicate, object_id, premises, confidence, matter_id: of each conclusion the shortest proof, then the first by its premises."""
+def _edges(good: DataFrame, predicate: str) -> DataFrame:
+    return good.where(F.col("predicate") == predicate).select(F.col("subject_id").alias("s"), F.col("object_id").alias("o"), F.struct(F.col("assertion_id").alias("id"), F.col("confidence").alias("confidence"), F.col("matter_id").alias("matter")).alias("f"))
+
+
+def _first(rows: DataFrame, *more: str) -> DataFrame:
+    """Of each pair of ends the walk with the fewest facts, then the first by their ids; an aggregate with map-side combine."""
+    best = F.min(F.struct(F.size("used").alias("n"), "used", *more)).alias("x")
+    return rows.groupBy("s", "o").agg(best).select("s", "o", "x.used", *[f"x.{c}" for c in more])
+
+
+def reach(edges: DataFrame, starts: DataFrame | None, hops: int, best: bool = True, back: bool = False) -> list[DataFrame]:
+    """s, o, used, seen of the walks of 1, 2 ... ``hops`` edges (s, o, f) from the starts (s), or with ``back`` to them. ``best``: one walk a pair and level."""
+    step = edges.select(F.col("o").alias("s"), F.col("s").alias("o"), "f") if back else edges
+    level = (step if starts is None else step.join(starts, "s", "left_semi")).select("s", "o", F.array("f").alias("used"), F.array("s", "o").alias("seen"))
+    level = _first(level, "seen") if best else level
+    levels = [level]
+    nxt = step.select(F.col("s").alias("o"), F.col("o").alias("to"), "f")
+    for _ in range(hops - 1):
+        used = F.concat(F.array("f"), "used") if back else F.concat("used", F.array("f"))
+        level = level.join(nxt, "o").where(~F.array_contains("seen", F.col("to"))).select("s", F.col("to").alias("o"), used.alias("used"), F.concat("seen", F.array("to")).alias("seen"))
+        level = _first(level, "seen") if best else level
+        levels.append(level)
+    return [x.select(F.col("o").alias("s"), F.col("s").alias("o"), "used", "seen") for x in levels] if back else levels
+
+
+def directed_walk(good: DataFrame, premise: Premise, starts: DataFrame | None = None, stops: DataFrame | None = None, best: bool = True, back: bool = False) -> DataFrame:
+    """As ``walk``, from the ``starts`` (a column s) to the ``stops`` (a column o), either of them None for any; ``back`` walks from the stops."""
+    of_kind = lambda d, c, k: d if d is None or k is None else d.where(_kind(c, k))
+    starts, stops = of_kind(starts, "s", premise.subject_kind), of_kind(stops, "o", premise.object_kind)
+    edges, hops = _edges(good, premise.predicate), min(premise.hops, MAX_HOPS)
+    found = reduce(DataFrame.unionByName, reach(edges, stops.withColumnRenamed("o", "s") if back and stops is not None else None if back else starts, hops, best, back))
+    found = found.where(_kind("s", premise.subject_kind) & _kind("o", premise.object_kind))
+    for end, column in ((starts, "s"), (stops, "o")):
+        if end is not None and (column == "s") == back:
+            found = found.join(end, column, "left_semi")
+    return _first(found) if best else found.select("s", "o", "used")
+
+
+def walks_through(good: DataFrame, fresh: DataFrame, premise: Premise, best: bool = True) -> DataFrame:
+    """As ``walk``, but with a new edge in every walk: from the new edges backwards and forwards. With ``best`` it has the best walk of each pair that has a new edge in it."""
+    edges, new, hops = _edges(good, premise.predicate), _edges(fresh, premise.predicate), min(premise.hops, MAX_HOPS)
+    found = [new.select("s", "o", F.array("f").alias("used"))]
+    if hops > 1:
+        none = F.array().cast("array<struct<id:string,confidence:double,matter:string>>")
+        here = lambda c: new.select(F.col(c).alias("s"), F.col(c).alias("o"), none.alias("used"), F.array(c).alias("seen")).distinct()
+        before = reduce(DataFrame.unionByName, [here("s"), *reach(edges, new.select("s"), hops - 1, best, back=True)])
+        after = reduce(DataFrame.unionByName, [here("o"), *reach(edges, new.select(F.col("o").alias("s")), hops - 1, best)])
+        head = before.select(F.col("s").alias("first"), F.col("o").alias("s"), F.col("used").alias("u0"), F.col("seen").alias("seen0"))
+        tail = after.select(F.col("s").alias("o"), F.col("o").alias("last"), F.col("used").alias("u1"), F.col("seen").alias("seen1"))
+        rows = new.join(head, "s").where(F.size("u0") < hops).join(tail, "o").where((F.size("u0") + F.size("u1") < hops) & ~F.arrays_overlap("seen0", "seen1") & (F.size("u0") + F.size("u1") > 0))
+        found.append(rows.select(F.col("first").alias("s"), F.col("last").alias("o"), F.concat("u0", F.array("f"), "u1").alias("used")))
+    out = reduce(DataFrame.unionByName, found).where(_kind("s", premise.subject_kind) & _kind("o", premise.object_kind))
+    return _first(out) if best else out.distinct()
+
+
+def _by_connection(rule: Rule, at: int) -> list[int]:
+    """The premises from ``at`` on, each sharing a variable with one before it."""
+    out, bound = [at], {rule.premises[at].subject, rule.premises[at].object}
+    while len(out) < len(rule.premises):
+        k = next((k for k, p in enumerate(rule.premises) if k not in out and bound & {p.subject, p.object}), None)
+        if k is None:
+            raise ValueError(f"premises of {rule.rule_id} share no variable")
+        out.append(k)
+        bound |= {rule.premises[k].subject, rule.premises[k].object}
+    return out
+
+
+def _bindable(rule: Rule, k: int, variable: str, column: str, good: DataFrame) -> DataFrame | None:
+    """What the other premises of one edge leave of the variable, or None."""
+    out = None
+    for j, p in enumerate(rule.premises):
+        if j == k or p.hops > 1 or variable not in (p.subject, p.object):
+            continue
+        of_kinds = _edges(good, p.predicate).where(_kind("s", p.subject_kind) & _kind("o", p.object_kind))
+        some = of_kinds.select(F.col("s" if p.subject == variable else "o").alias(column))
+        out = some if out is None else out.join(some, column, "left_semi")
+    return out
+
+
+def _matches(rule: Rule, k: int, good: DataFrame, left: DataFrame | None, fresh: DataFrame | None) -> DataFrame:
+    """s, o, used of what the premise matches: of the new facts, or, for a path, from the ends that ``left`` or other premises bind."""
+    p = rule.premises[k]
+    alone = all(q.predicate != p.predicate for j, q in enumerate(rule.premises) if j != k)
+    if fresh is not None:
+        return walks_through(good, fresh, p, best=alone)
+    if p.hops == 1:
+        return walk(good, p)
+    bound = lambda v, c: left.select(F.col(v).alias(c)).distinct() if left is not None and v in left.columns else None
+    starts, stops = bound(p.subject, "s"), bound(p.object, "o")
+    back = starts is None and stops is not None
+    if starts is None and stops is None:
+        starts = _bindable(rule, k, p.subject, "s", good)
+    if stops is None:
+        stops = _bindable(rule, k, p.object, "o", good)
+        back = starts is None and stops is not None
+    return directed_walk(good, p, starts, stops, alone, back)
+
+
+def proofs(rule: Rule, facts: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """A column for each variable, and ``used``: for all bindings at least their best proof. With ``fresh`` (part of ``facts``) those that rest on one of these."""
+    good = acceptable(facts, rule.floor)
+    new = None if fresh is None else acceptable(fresh, rule.floor)
+    plans = []
+    for at in [0] if fresh is None else range(len(rule.premises)):
+        left = None
+        for k in _by_connection(rule, at):
+            p = rule.premises[k]
+            step = _matches(rule, k, good, left, new if k == at else None).select(F.col("s").alias("_s"), F.col("o").alias("_o"), F.col("used").alias(f"_u{k}"))
+            ends = {p.subject: "_s", p.object: "_o"}
+            if p.subject == p.object:
+                step, ends = step.where("_s = _o"), {p.subject: "_s"}
+            if left is None:
+                left = step.select(*[F.col(c).alias(v) for v, c in ends.items()], f"_u{k}")
+                continue
+            on = [left[v] == step[c] for v, c in ends.items() if v in left.columns]
+            spent = [c for c in left.columns if c.startswith("_u")]
+            ids = lambda *cs: F.transform(F.concat(*cs), lambda x: x["id"])
+            joined = left.join(step, reduce(lambda a, b: a & b, on)).where(~F.arrays_overlap(ids(*spent), ids(f"_u{k}")))
+            left = joined.select(*left.columns, *[F.col(c).alias(v) for v, c in ends.items() if v not in left.columns], f"_u{k}")
+        names = sorted(c for c in left.columns if not c.startswith("_u"))
+        plans.append(left.select(*names, F.concat(*[f"_u{k}" for k in range(len(rule.premises))]).alias("used")))
+    return reduce(DataFrame.unionByName, plans)
+
+
+def infer(rules, facts: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
+    """rule_id, subject_id, predicate, object_id, premises, confidence, matter_id: of each conclusion the shortest proof, then the first by its premises.
+
+    With ``fresh``, new facts that ``facts`` holds too: the conclusions of proofs that rest on one of them. The better of these and of what was inferred before (``best_proofs``) is
+    what all facts give.
+    """
     out = []
     for r in rules:
-        found = bindings(r, facts)[-1]
         n = len(r.premises)
         ids = F.transform("used", lambda x: x["id"])
         least = F.array_min(F.transform("used", lambda x: x["confidence"]))
         matters = F.array_distinct(F.transform("used", lambda x: x["matter"]))
-        rows = found.select(
+        rows = proofs(r, facts, fresh).select(
             F.lit(r.rule_id).alias("rule_id"),
             F.col(r.conclusion.subject).alias("subject_id"),
             F.lit(r.conclusion.predicate).alias("predicate"),
@@ -112,22 +243,33 @@ def infer(rules, facts: DataFrame) -> DataFrame:
             (least * F.pow(F.lit(DECAY), F.lit(1) + F.size("used") - n)).alias("confidence"),
             F.when(F.size(matters) == 1, matters[0]).alias("matter_id"),
         )
-        # the order's least row is an aggregate with map-side combine: no group of proofs meets in one task
-        best = F.min(F.struct(F.size("premises").alias("n"), "premises", "confidence", "matter_id")).alias("x")
-        out.append(rows.groupBy("rule_id", "subject_id", "predicate", "object_id").agg(best).select("rule_id", "subject_id", "predicate", "object_id", "x.premises", "x.confidence", "x.matter_id"))
+        out.append(best_proofs(rows))
     return reduce(DataFrame.unionByName, out)
 
 
+def best_proofs(found: DataFrame) -> DataFrame:
+    """One row for each rule and conclusion: the order's least row is an aggregate with map-side combine, so that no group of proofs meets in one task."""
+    best = F.min(F.struct(F.size("premises").alias("n"), "premises", "confidence", "matter_id")).alias("x")
+    return found.groupBy("rule_id", "subject_id", "predicate", "object_id").agg(best).select("rule_id", "subject_id", "predicate", "object_id", "x.premises", "x.confidence", "x.matter_id")
+
+
 def infer_and_stage(rules, facts: DataFrame, stored: DataFrame) -> DataFrame:
     """The conclusions that are not stored yet as facts of the tenants they rest on: INFERRED, PENDING, with premises, rule_id and an id from their content.
 
     Pending conclusions are no premises, so that a second run over its own output adds nothing.
     """
+    return as_staged(infer(rules, facts), facts).join(stored.select("assertion_id"), "assertion_id", "left_anti")
+
+
+def as_staged(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Conclusions as staged facts. Two rules with one conclusion give one fact: that of the fewest premises, then the first by premises and by rule."""
     tenant = facts.select(F.col("assertion_id").alias("first"), "tenant_id")
-    rows = infer(rules, facts).withColumn("first", F.col("premises")[0]).join(tenant, "first").drop("first")
+    rows = found.withColumn("first", F.col("premises")[0]).join(tenant, "first").drop("first")
     id_ = content_id(F.col("tenant_id"), F.col("subject_id"), F.col("predicate"), F.col("object_id"))
-    rows = rows.withColumns({"epistemic_class": F.lit("INFERRED"), "review_state": F.lit("PENDING"), "superseded_at": F.lit(None).cast("timestamp"), "assertion_id": id_})
-    return rows.dropDuplicates(["assertion_id"]).join(stored.select("assertion_id"), "assertion_id", "left_anti")
+    best = F.min(F.struct(F.size("premises").alias("n"), "premises", "rule_id", "confidence", "matter_id")).alias("x")
+    one = rows.groupBy("tenant_id", "subject_id", "predicate", "object_id").agg(best)
+    state = {"epistemic_class": F.lit("INFERRED"), "review_state": F.lit("PENDING"), "superseded_at": F.lit(None).cast("timestamp"), "assertion_id": id_}
+    return one.select("x.rule_id", "subject_id", "predicate", "object_id", "x.premises", "x.confidence", "x.matter_id", "tenant_id").withColumns(state)
 
 
 def refusals(rules, predicates: dict[str, bool], declared: set[str]) -> list[tuple[str, str]]:

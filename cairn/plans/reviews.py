@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -261,21 +262,30 @@ _PREDICATES = sorted({p for p, _, _ in _ROLES})
 _KINDS = {p: next((s, o) for q, s, o in _ROLES if q == p) for p in _PREDICATES}
 _KINDS["SUPERSEDES"] = ("policyclause", "policyclause")
 _CASES = lambda i: "CASE o_orderkey % {n} {w} END".format(n=len(_PREDICATES), w=" ".join(f"WHEN {k} THEN '{([p, _KINDS[p][0], _KINDS[p][1]])[i]}'" for k, p in enumerate(_PREDICATES)))
-_PLAYED = f"""n AS (SELECT count(*) AS n FROM customer), played AS MATERIALIZED (SELECT DISTINCT {_CASES(1)} || ':' || o_custkey AS s, {_CASES(0)} AS p, {_CASES(2)} || ':' || (o_orderkey * 31 % n) AS o, 0.6 + (o_orderkey % 40) / 100.0 AS c0, o_orderkey AS k FROM orders, n),
+_TURN = f"(o_orderkey // {len(_PREDICATES)})"
+# counterparties control each other in half of the turns; in the others customers control customers or merchants
+_CONTROL = [("counterparty", "counterparty"), ("customer", "customer"), ("counterparty", "counterparty"), ("customer", "merchant")]
+_CONTROLS = lambda i: "CASE WHEN o_orderkey % {n} = {k} THEN CASE {t} % 4 {w} END ELSE {rest} END".format(n=len(_PREDICATES), k=_PREDICATES.index("CONTROLS"), t=_TURN, w=" ".join(f"WHEN {j} THEN '{kinds[i - 1]}'" for j, kinds in enumerate(_CONTROL)), rest=_CASES(i))
+_PLAYED = f"""n AS (SELECT greatest(7, count(*) // {10 * len(_PREDICATES)}) AS n FROM orders), played AS MATERIALIZED (SELECT {_CONTROLS(1)} || ':' || (o_custkey % n) AS s, {_CASES(0)} AS p, {_CONTROLS(2)} || ':' || (({_TURN} * 7 + {_TURN} // n * (1 + o_orderkey % {len(_PREDICATES)})) % n) AS o, 0.6 + (o_orderkey % 40) / 100.0 AS c0, o_orderkey AS k FROM orders, n),
 good AS MATERIALIZED (SELECT s, p, o, k::VARCHAR AS id, round(c0, 2)::DOUBLE AS c, CASE WHEN k % 3 > 0 THEN 'M-' || (k % 3) END AS m FROM played)"""
 
 
 def roles(spark, folder) -> DataFrame:
-    """Every order is one fact: a predicate of the shipped rules between a customer's number and another one."""
-    n = S.read(spark, folder, "customer").count()
-    k = F.col("o_orderkey")
-    pick = lambda values: F.array(*[F.lit(v) for v in values])[(k % len(_PREDICATES)).cast("int")]
+    """Every order is one fact: a predicate of the shipped rules between two of a tenth as many players as facts. Customers and turns deal the two, so that premises meet."""
     o = S.read(spark, folder, "orders")
+    players = len(_PREDICATES)
+    n = max(7, o.count() // (10 * players))
+    k = F.col("o_orderkey")
+    turn = F.floor(k / players)
+    other = (turn * 7 + F.floor(turn / n) * (1 + k % players)) % n
+    pick = lambda values: F.array(*[F.lit(v) for v in values])[(k % players).cast("int")]
+    by_turn = lambda i: F.array(*[F.lit(kinds[i]) for kinds in _CONTROL])[(turn % 4).cast("int")]
+    kind = lambda i: F.when(k % players == _PREDICATES.index("CONTROLS"), by_turn(i)).otherwise(pick([_KINDS[p][i] for p in _PREDICATES]))
     return o.select(
         F.lit("t").alias("tenant_id"),
-        F.concat(pick([_KINDS[p][0] for p in _PREDICATES]), F.lit(":"), "o_custkey").alias("subject_id"),
+        F.concat(kind(0), F.lit(":"), (F.col("o_custkey") % n).cast("string")).alias("subject_id"),
         pick(_PREDICATES).alias("predicate"),
-        F.concat(pick([_KINDS[p][1] for p in _PREDICATES]), F.lit(":"), (k * 31 % n).cast("string")).alias("object_id"),
+        F.concat(kind(1), F.lit(":"), other.cast("string")).alias("object_id"),
         F.when(k % 3 > 0, F.concat(F.lit("M-"), k % 3)).alias("matter_id"),
         F.lit("EXTRACTED_MODEL").alias("epistemic_class"),
         F.round(0.6 + (k % 40) / 100.0, 2).alias("confidence"),
@@ -572,23 +582,46 @@ def t1_streamed_ingest(spark, folder):
 
 @query(f"WITH {FA._ATTEMPTS} SELECT document_id, arg_max(state, (progress, created_at)) AS state, max(created_at) AS last_at FROM att GROUP BY 1")
 def t2_streamed_states(spark, folder):
-    """Job events as a stream, in complete mode: the last output is the table."""
+    """Job events as a stream in update mode, in three deliveries by time; every ninth event is one delivery late, every seventh comes again with the last one."""
     work = _work(spark)
-    FA.attempts(spark, folder).write.parquet(f"{work}/in")
-    stream = spark.readStream.schema("document_id long, created_at timestamp, seq long, state string").parquet(f"{work}/in")
-    written = I.latest_states(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{work}/check")
-    written.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{work}/out")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{work}/out")
-
-
-@query(FA.SQL["r16_inference_converges"].replace("SELECT 1 AS run, ", "SELECT "))
+    events = FA.attempts(spark, folder)
+    day = F.dayofmonth("created_at")
+    turn = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
+    for k in range(3):
+        late = F.when((F.col("seq") % 9 == 0) & (turn < 2), turn + 1).otherwise(turn)
+        own = late == k
+        events.where(own | (F.col("seq") % 7 == 0) if k == 2 else own).write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema("document_id long, created_at timestamp, seq long, state string").parquet(f"{work}/in")
+        I.keep_states(stream, f"{work}/out", f"{work}/check", delay="30 days").awaitTermination()
+    return I.states(spark, f"{work}/out")
+
+
+_THREE = "(o_orderkey // 5) % 3"
+#: A path between premises, a path at the end, and a triangle.
+_STREAMED = [r for r in R.RULES if r.rule_id in ("conflict_via_affiliate", "related_party_resale", "related_party_lending")]
+
+
+def _arrived_sql() -> str:
+    """What the rules conclude after each of three arrivals: every rule's SQL over the facts that came so far."""
+    parts = []
+    for r in _STREAMED:
+        for after in range(3):
+            one = _rule_sql(r).replace("FROM orders, n)", f"FROM orders, n WHERE {_THREE} <= {after})")
+            parts.append(f"SELECT {after} AS after, * FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_arrived_sql())
 def t3_streamed_inference(spark, folder):
-    """Facts arrive as files, twice; after each arrival conclusions over all facts are staged, and none twice."""
+    """Facts arrive in three parts, the second one twice; after each arrival the conclusions are those of all facts so far, and only the new facts have been joined from."""
     work = _work(spark)
-    f = derived.facts(spark, folder, one_tenant=True)
-    for _ in range(2):
-        f.write.mode("append").parquet(f"{work}/in")
-        stream = spark.readStream.schema(f.schema).parquet(f"{work}/in")
-        I.on_arrival(stream, f"{work}/check", lambda df: R.infer_and_stage([RULE["related_party_resale"]], f, f), f"{work}/out").awaitTermination()
-    rows = spark.read.parquet(f"{work}/out/*")
-    return rows.select("subject_id", "predicate", "object_id", "epistemic_class", "review_state", F.array_join("premises", ",").alias("premises"), "assertion_id")
+    f = roles(spark, folder)
+    k = F.col("assertion_id").cast("long")
+    out = []
+    for part in range(3):
+        f.where(F.floor(k / 5) % 3 == part).write.mode("append").parquet(f"{work}/in")
+        if part == 2:
+            f.where(F.floor(k / 5) % 3 == 1).write.mode("append").parquet(f"{work}/in")
+        I.infer_on_arrival(spark.readStream.schema(f.schema).parquet(f"{work}/in"), _STREAMED, f"{work}/out", f"{work}/check").awaitTermination()
+        out.append(FA._shown(I.conclusions(spark, f"{work}/out", upto=part)).withColumn("after", F.lit(part)))
+    return reduce(DataFrame.unionByName, out)

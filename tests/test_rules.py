@@ -61,6 +61,133 @@ def test_report_names_the_starved_premise(spark):
     assert got == {1: (1, 1, False), 2: (1, 0, True)}
 
 
+P = R.Premise
+RANDOM = [
+    R.Rule("path_between", (P("c", "A", "q"), P("q", "B", "p", "n", "n", 3), P("m", "C", "p")), P("m", "Z", "q")),
+    R.Rule("path_back", (P("d", "A", "c"), P("x", "B", "c", None, "n", 3)), P("d", "Z", "x")),
+    R.Rule("path_first", (P("x", "B", "y", "n", "n", 2), P("y", "C", "z")), P("x", "Z", "z")),
+    R.Rule("shared", (P("x", "B", "y"), P("y", "B", "z", "n", None, 3)), P("x", "Z", "z")),
+    R.Rule("triangle", (P("f", "A", "b"), P("g", "B", "f"), P("g", "C", "b")), P("f", "Z", "b")),
+    R.Rule("loop", (P("f", "A", "b"), P("b", "C", "b")), P("f", "Z", "b")),
+]
+
+
+def random_facts(n=140, nodes=11, seed=4):
+    import random
+
+    r = random.Random(seed)
+    node = lambda: f"{r.choice('nnk')}:{r.randrange(nodes)}"
+    return [fact(f"{k * 37 % 1000:03d}", node(), r.choice("ABBC"), node(), r.choice([None, "M-1", "M-2"]), conf=round(r.uniform(0.5, 1), 2)) for k in range(n)]
+
+
+def proved(df):
+    return sorted((r.rule_id, r.subject_id, r.object_id, list(r.premises), round(r.confidence, 9), r.matter_id or "") for r in df.collect())
+
+
+def every_proof(rules, facts):
+    """The best of all proofs, from the bindings with every walk."""
+    out = []
+    for rule in rules:
+        best = {}
+        for r in R.bindings(rule, facts)[-1].collect():
+            key = (r[rule.conclusion.subject], r[rule.conclusion.object])
+            ids = [u.id for u in r.used]
+            matters = {u.matter for u in r.used}
+            row = (len(ids), ids, round(min(u.confidence for u in r.used) * 0.95 ** (1 + len(ids) - len(rule.premises)), 9), matters.pop() or "" if len(matters) == 1 else "")
+            best[key] = min(best.get(key, row), row)
+        out += [(rule.rule_id, s, o, ids, c, m) for (s, o), (_, ids, c, m) in best.items()]
+    return sorted(out)
+
+
+def test_directed_walks_find_the_best_proof(spark):
+    facts = table(spark, [*random_facts(), fact("998", "n:1", "A", "n:2"), fact("999", "n:2", "C", "n:2")])
+    want = every_proof(RANDOM, facts)
+    assert proved(R.infer(RANDOM, facts)) == want and {w[0] for w in want} == {r.rule_id for r in RANDOM}
+
+
+def test_new_facts_and_old_ones_prove_the_same(spark):
+    """In three arrivals: what new facts prove, beside what was proved before, is what all facts so far prove."""
+    rows, rules = random_facts(100, 9, 8), RANDOM[:5]
+    old, said = [], None
+    for k in range(3):
+        new = rows[k::3]
+        old += new
+        found = spark.createDataFrame(R.infer(rules, table(spark, old), table(spark, new)).collect(), "rule_id string, subject_id string, predicate string, object_id string, premises array<string>, confidence double, matter_id string")
+        said = found if said is None else R.best_proofs(said.unionByName(found))
+    assert proved(said) == every_proof(rules, table(spark, old))
+
+
+def test_a_dense_graph_is_walked_from_the_bound_ends(spark):
+    """Three hops at a fan-out of 50 from two cases: 37 million walks, and at most one row for a start and an end."""
+    rows = [fact(f"{a:03d}-{k:02d}", f"customer:{a}", "CONTROLS", f"{'merchant' if k == 7 else 'customer'}:{(a * 13 + k * 7 + 1) % 300}") for a in range(300) for k in range(50)]
+    facts = table(spark, rows + [fact("i1", "case:1", "INVESTIGATES", "customer:5"), fact("i2", "case:2", "INVESTIGATES", "customer:9")])
+    rule = RULE["related_party_resale"]
+    edges, starts = R._edges(facts, "CONTROLS"), spark.createDataFrame([("customer:5",), ("customer:9",)], "s string")
+    assert all(x.count() <= 2 * 600 for x in R.reach(edges, starts, 3))
+    assert R.infer([rule], facts).count() > 100
+
+
+def test_one_conclusion_of_two_rules_is_one_fact(spark):
+    """Whatever the order of the rules: the proof of fewest facts stands, then the first by premises."""
+    rows = [fact("5", "counsel:a", "REPRESENTS", "party:n"), fact("6", "matter:x", "ADVERSE_TO", "party:n"), fact("1", "party:n", "AFFILIATE_OF", "party:c"), fact("2", "matter:x", "ADVERSE_TO", "party:c")]
+    facts = table(spark, rows)
+    two = [RULE["conflict_check"], RULE["conflict_via_affiliate"]]
+    for rules in (two, two[::-1]):
+        got = R.infer_and_stage(rules, facts, facts.limit(0)).collect()
+        assert [(r.rule_id, r.premises) for r in got] == [("conflict_check", ["5", "6"])]
+
+
+def test_conclusions_of_a_stream(spark, tmp_path):
+    """Facts wait until they are signed off, count once, and meet facts of earlier arrivals; a batch that is run again adds nothing."""
+    from cairn.streaming import ingest as I
+
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parts = [[fact("1", "counsel:a", "REPRESENTS", "party:n", state="PENDING")], [fact("2", "matter:x", "ADVERSE_TO", "party:n")], [fact("1", "counsel:a", "REPRESENTS", "party:n"), fact("2", "matter:x", "ADVERSE_TO", "party:n")], [fact("3", "matter:y", "ADVERSE_TO", "party:n")]]
+    seen = []
+    for rows in parts:
+        table(spark, rows).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(FACT).parquet(inbox)
+        I.infer_on_arrival(stream, [RULE["conflict_check"]], out, str(tmp_path / "check")).awaitTermination()
+        folders = I._folders(spark, f"{out}/conclusions")
+        seen.append(sorted(r.subject_id for r in I.conclusions(spark, out).collect()) if folders else [])
+    assert seen == [[], [], ["matter:x"], ["matter:x", "matter:y"]]
+    # the new rows of the last batch hold nothing that was proved before
+    assert [r.subject_id for r in spark.read.parquet(f"{out}/conclusions/batch-3").collect()] == ["matter:y"]
+
+
+def test_keys_are_read_by_prefix(spark, tmp_path):
+    from cairn.streaming import ingest as I
+
+    keys = I.Keys(str(tmp_path / "keys"), "k")
+    rows = spark.createDataFrame([(f"key{i}",) for i in range(40)], "k string")
+    assert keys.without_known(rows, 0).count() == 40
+    keys.add(rows, 0)
+    keys.add(rows, 0)
+    assert keys.without_known(rows, 0).count() == 40 and keys.without_known(rows.limit(5).union(spark.createDataFrame([("new",)], "k string")), 1).collect()[0].k == "new"
+    one = rows.limit(1)
+    asked = [r.prefix for r in one.select(I._prefix("k")).collect()]
+    read = keys.of_prefixes(spark, asked, 1)
+    assert len(read.inputFiles()) == 1 and {r.prefix for r in read.collect()} == set(asked)
+
+
+def test_state_of_a_stream_is_bounded(spark, tmp_path):
+    """Windows that the watermark has passed leave the state; what was written of them stays."""
+    from cairn.streaming import ingest as I
+
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "document_id long, created_at timestamp, seq long, state string"
+    rows = []
+    for day in range(1, 9):
+        new = [(d, f"2024-01-{day:02d} 0{h}:00:00", day * 10 + d, s) for d, h, s in ((1, 1, "PARSING"), (2, 2, "LIVE" if day == 1 else "FETCHING"), (3, 3, "CHUNKING"))]
+        rows += new
+        spark.createDataFrame(new, "document_id long, created_at string, seq long, state string").selectExpr("document_id", "CAST(created_at AS timestamp) AS created_at", "seq", "state").coalesce(1).write.mode("append").parquet(inbox)
+        q = I.keep_states(spark.readStream.schema(schema).parquet(inbox), out, str(tmp_path / "check"), delay="1 day")
+        q.awaitTermination()
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert held <= 3 * 3
+    assert {(r.document_id, r.state) for r in I.states(spark, out).collect()} == {(1, "PARSING"), (2, "LIVE"), (3, "CHUNKING")}
+
+
 def test_rule_faults():
     declared = {p.predicate: p.hops > 1 for r in R.RULES for p in r.premises} | {r.conclusion.predicate: False for r in R.RULES}
     declared |= {p.predicate: True for r in R.RULES for p in r.premises if p.hops > 1}
