@@ -14,7 +14,8 @@ only the rest is compared with all, in blocks, so that a large group of near cop
 
 Defined results: a null text is an empty one; a text without words has the fingerprint zero and is linked like any other
 (``sketch``: only with other empty ones); a null ``doc_id`` gets its group's class and never names one unless the whole group has
-null ids; repeated rows stay rows; an empty table gives no rows; other columns are ignored.
+null ids; repeated rows stay rows; an empty table gives no rows; other columns are ignored; texts of any length are read whole, their shingles in pieces.
+A ``doc_id`` of 2^63 - 1 counts as null.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _keyed(prints: DataFrame, blocks: int, radius: int, lanes: int) -> DataFrame
     return in_arrow(prints.select("fp"), run, "fp binary, keys array<long>")
 
 
-def _around_pivots(rows: DataFrame, lanes: int, radius: int) -> tuple[DataFrame, DataFrame]:
+def _around_pivots(rows: DataFrame, lanes: int, radius: int, tail: int) -> tuple[DataFrame, DataFrame]:
     """For large buckets (fp, key, n): the rows fp, key, i, j that are left to compare, and the links a, b of pivots with those near them.
 
     Fingerprints near the pivot are one component by it. Any other link has an end that is far from it: the far ones, in blocks j, meet all, in blocks i.
@@ -150,7 +151,7 @@ def _around_pivots(rows: DataFrame, lanes: int, radius: int) -> tuple[DataFrame,
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, lanes) for k in (0, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, lanes + tail)[:, :lanes] for k in (0, 3))
             far = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) > radius
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far)], [*batch.schema.names, "far"])
 
@@ -165,21 +166,24 @@ def _around_pivots(rows: DataFrame, lanes: int, radius: int) -> tuple[DataFrame,
     return every.unionByName(far), told.where("NOT far AND fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
 
 
-def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Links a, b between distinct fingerprints: in each bucket a spanning forest of the pairs within the radius. ``keyed``: fp, keys."""
+def links(keyed: DataFrame, lanes: int, radius: int, tail: int = 0) -> DataFrame:
+    """Links a, b between distinct fingerprints: in each bucket a spanning forest of the pairs within the radius. ``keyed``: fp, keys.
+
+    ``tail``: words of 64 bits behind each fingerprint that belong to its name and aren't compared.
+    """
     rows = written(keyed.select("fp", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
     sizes = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     none = F.lit(0).alias("i"), F.lit(0).alias("j")
     dealt = rows.join(sizes.where(F.col("n") <= BLOCK_ROWS).select("key"), "key").select("fp", "key", *none)
     large, to_pivot = sizes.where(F.col("n") > BLOCK_ROWS), None
     if not large.isEmpty():
-        apart, to_pivot = _around_pivots(rows.join(large, "key"), lanes, radius)
+        apart, to_pivot = _around_pivots(rows.join(large, "key"), lanes, radius, tail)
         dealt = dealt.unionByName(apart)
     dealt = dealt.repartition(shuffle_parts(keyed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(fp, a, b):
-            size = 8 * lanes
+            size = 8 * (lanes + tail)
             raw = fp.tobytes()
             cut = lambda x: [raw[k * size : k * size + size] for k in x.tolist()]
             return pa.RecordBatch.from_arrays([pa.array(cut(a), pa.binary()), pa.array(cut(b), pa.binary())], ["a", "b"])
@@ -189,15 +193,15 @@ def links(keyed: DataFrame, lanes: int, radius: int) -> DataFrame:
             small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
             if small.any():
                 few = fp[small]
-                yield out(few, *bitslice.small_groups(few, sizes[(sizes > 1) & (sizes <= SMALL)], radius))
+                yield out(few, *bitslice.small_groups(np.ascontiguousarray(few[:, :lanes]), sizes[(sizes > 1) & (sizes <= SMALL)], radius))
             ends = np.cumsum(sizes)
             for g in np.flatnonzero(sizes > SMALL):
                 some = fp[ends[g] - sizes[g] : ends[g]]
-                yield out(some, *bitslice.forest(some, radius))
+                yield out(some, *bitslice.forest(np.ascontiguousarray(some[:, :lanes]), radius))
 
         held_fp, held_key, kept = [], [], 0
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, lanes)
+            fp = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, lanes + tail)
             key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)], 1)
             held_fp.append(fp)
             held_key.append(key)
@@ -242,15 +246,113 @@ def hex_of(fp):
     return F.concat(*[F.lower(F.hex(F.substring(fp, k, 1))) for k in range(8, 0, -1)])
 
 
-#: A cosine of 0.8 or more between the counts of five-word shingles. A bit differs with probability arccos(0.8) / pi = 0.205: 52 of 256 bits on
-#: average and 6.4 as the deviation. A radius of 63 finds 95 % of the pairs at 0.8 and nearly all above, a radius of 52 would lose half of them.
-SIMILAR = {"words": 5, "lanes": 4, "radius": 63, "sketch": True}
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """text_hash, shingles: the different hashes of each text's shingles, sorted. ``docs``: text_hash, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py(), words)])).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    return in_arrow(docs, run, "text_hash long, shingles array<long>")
+
+
+def _text_of_node(c: str):
+    """The last 16 hex digits of a node are its text's hash."""
+    return F.conv(F.right(F.hex(c), F.lit(16)), 16, -10).cast("long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b: nodes) whose texts' shingle sets have this Jaccard similarity or more; two empty sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    of = lambda c: sets.select(F.col("text_hash").alias(f"_{c}"), F.col("shingles").alias(f"set_{c}"))
+    hashed = pairs.withColumns({"_a": _text_of_node("a"), "_b": _text_of_node("b")})
+    return in_arrow(hashed.join(of("a"), "_a").join(of("b"), "_b").select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
+
+
+def _other_pairs(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Pairs a, b within the radius and of different roots in the buckets of ``rows`` (fp: nodes, key, root): all of them, as the forest's links between them have failed."""
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed-buckets")
+    # each pair of blocks i <= j meets once
+    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met.select("fp", "root", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, place = [], None
+
+        def solved():
+            names = [g[0] for g in group]
+            x = np.frombuffer(b"".join(names), np.uint64).reshape(-1, lanes + 1)[:, :lanes]
+            _, root = np.unique(np.array([g[1] for g in group], object), return_inverse=True)
+            a, b = [], []
+            for k in range(len(names)):
+                near = np.flatnonzero((np.bitwise_count(x[k + 1 :] ^ x[k]).sum(1, dtype=np.int64) <= radius) & (root[k + 1 :] != root[k])) + k + 1
+                a += [names[k]] * len(near)
+                b += [names[m] for m in near.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            for fp, root, *here in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if here != place and group:
+                    yield solved()
+                    group = []
+                place = here
+                group.append((fp, root))
+        if group:
+            yield solved()
+
+    return in_arrow(dealt, compare, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_texts(docs: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """As ``near_duplicates`` with sketch buckets, but a link needs the shingle sets' Jaccard similarity as well: the bit-sliced comparison finds candidates only.
+
+    Nodes are different texts (fingerprint and hash). Each bucket's forest of candidates is confirmed. Where one of its links fails, its sides may still be joined by
+    another pair: all candidates between different groups that are left in a bucket are then confirmed too, so that no link within the radius is lost.
+    """
+    made = written(fingerprints(docs, words, lanes, True), "fingerprints")
+    node = F.concat("fp", F.unhex(F.lpad(F.hex("text_hash"), 16, "0")))
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")
+    reps = written(made.groupBy(node.alias("fp")).agg(F.min(row).alias("first"), F.first("keys").alias("keys")), "texts")
+    found = written(links(reps.select("fp", "keys"), lanes, radius, 1), "candidates")
+    ends = written(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidate-texts")
+    wanted = ends.join(reps.select("fp", "first"), "fp").select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    once = texts.join(wanted, ["_id", "text_hash"], "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    sets = written(shingle_sets(once, words), "shingle-sets")
+    good = written(confirmed(found, sets, similarity), "confirmed")
+    if good.count() < found.count():
+        grouped = components(good)
+        rows = ends.join(reps.select("fp", "keys"), "fp").join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(F.array_distinct("keys")).alias("key"))
+        good = good.unionByName(written(confirmed(_other_pairs(written(rows, "mixed"), lanes, radius), sets, similarity), "confirmed-later"))
+    reached = components(good)
+    classes = written(reps.select("fp", "first").join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+    least = written(classes.groupBy("root").agg(F.min("first").alias("least")), "least")
+    of_text = classes.join(least, "root").select(F.col("fp").alias("node"), "least")
+    return made.withColumn("node", node).join(of_text, "node").select("doc_id", "fp", F.nullif("least.id", F.lit(NO_ID)).alias("component_id"), (row == F.col("least")).alias("stays"), "text_hash")
+
+
+#: A Jaccard similarity of 0.8 or more between the sets of five-word shingles. Texts of one length then have a cosine of 0.89: a bit of their fingerprints differs with
+#: probability 0.15, 39 of 256 on average and 6 as the deviation, more for texts of a few shingles; a radius of 63 loses none of them but the shortest's rare ones.
+SIMILAR = {"words": 5, "lanes": 4, "radius": 63, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents, with all their columns, that come first in their group: smallest id (null last), then by a hash of the
     text. Of rows with the same id and text one stays."""
-    first = written(near_duplicates(docs, **how).where("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "first-of-group")
+    groups = similar_texts(docs, **how) if "similarity" in how else near_duplicates(docs, **how)
+    first = written(groups.where("stays").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "first-of-group")
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(text_of())})
     whole = F.struct(*docs.columns)
     return keyed.join(first, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first(whole).alias("_row")).select("_row.*")

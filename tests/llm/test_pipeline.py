@@ -29,7 +29,7 @@ def test_groups_of_similar_texts(spark):
             texts.append(" ".join(w))
             origin.append(g)
     docs = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.SIMILAR).collect()}
     for i, j in combinations(range(len(texts)), 2):
         a, b = shingles(texts[i]), shingles(texts[j])
         if len(a & b) >= 0.8 * len(a | b):
@@ -107,7 +107,7 @@ def test_stages_on_odd_rows_exactly(spark, sf):
 
 
 def test_recall_by_similarity(spark):
-    """Pairs of every similarity: all at a cosine of 0.9 or more, nearly all at 0.8, none at 0.5 or less."""
+    """Pairs of every similarity: all that are alike in 0.8 of their shingles or more, and no others."""
     rng = np.random.default_rng(16)
     vocabulary = [f"w{i}" for i in range(6000)]
     texts, pairs = [], []
@@ -117,12 +117,37 @@ def test_recall_by_similarity(spark):
         near[rng.choice(300, 1 + k % 40, replace=False)] = rng.choice(vocabulary, 1 + k % 40)
         texts += [" ".join(base), " ".join(near)]
         a, b = shingles(texts[-2]), shingles(texts[-1])
-        pairs.append(len(a & b) / (len(a) * len(b)) ** 0.5)
+        pairs.append(len(a & b) / len(a | b))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.SIMILAR).collect()}
     found = [got[2 * k] == got[2 * k + 1] for k in range(240)]
-    share = lambda lo, hi: [f for f, c in zip(found, pairs, strict=True) if lo <= c < hi]
-    assert all(share(0.9, 2)) and np.mean(share(0.8, 0.9)) >= 0.95 and not any(share(0, 0.5))
+    assert found == [p >= 0.8 for p in pairs] and 30 < sum(found) < 200
+
+
+def test_links_are_confirmed(spark, monkeypatch):
+    """A group that hangs together by links of 0.8 only; texts just below it, which the bits alone would join, stay apart, in buckets cut to blocks as well."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = rng.choice(vocabulary, 120)
+    texts = []
+    for k in range(60):  # ever further from the first, each near the one before it
+        if k % 6 == 0:
+            base = rng.choice(vocabulary, 120)
+        base = base.copy()
+        base[rng.choice(120, 2 + k % 3, replace=False)] = rng.choice(vocabulary, 2 + k % 3)
+        texts.append(" ".join(base))
+    sets = [shingles(t) for t in texts]
+    label = list(range(60))
+    for i, j in combinations(range(60), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    want = [label.index(x) for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (4096, 8):
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+        got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.SIMILAR).collect()}
+        assert [got[k] for k in range(60)] == want
+    assert 10 < len(set(want)) < 60
 
 
 def test_registered(spark, sf):
