@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, fingerprints of 256 bits alike in at least 0.8 of them; the smallest id of a group stays."""
+    """Texts linked by sets of five-word shingles with a Jaccard similarity of 0.8 or more, found by fingerprints of 256 bits; the smallest id of a group stays."""
     return simhash.one_of_each(docs, **simhash.SIMILAR)
 
 
