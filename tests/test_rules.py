@@ -107,7 +107,7 @@ def test_directed_walks_find_the_best_proof(spark):
 
 def test_new_facts_and_old_ones_prove_the_same(spark):
     """In three arrivals: what new facts prove, beside what was proved before, is what all facts so far prove."""
-    rows, rules = random_facts(100, 9, 8), RANDOM[:5]
+    rows, rules = random_facts(100, 9, 8), [RANDOM[0], RANDOM[3]]
     old, said = [], None
     for k in range(3):
         new = rows[k::3]
