@@ -74,11 +74,11 @@ def newest_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def overlaid(columns: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """The columns with the best description: human before catalog before model, then by confidence, then by method, then by text.
+    """The columns with the best description: human before catalog before model, then by confidence, then by method, then by text. A method without a rank comes after all that have one.
 
     ``descriptions``: node_id, method (one of the ranks, or ``model:name@version``), confidence, description, review_state; rejected ones don't count.
     """
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in METHOD_RANK.items() for x in kv]), F.substring_index("method", ":", 1))
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in METHOD_RANK.items() for x in kv]), F.substring_index("method", ":", 1)), F.lit(len(METHOD_RANK)))
     best = descriptions.where("review_state IN ('APPROVED', 'AUTO_ASSERTED')").withColumn("rank", rank)
     best = best.groupBy("node_id").agg(F.min_by(F.struct("description", "method"), F.struct("rank", -F.col("confidence"), "method", "description")).alias("x")).select("node_id", "x.*")
     return columns.join(best, "node_id", "left")

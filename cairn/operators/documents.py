@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .session import with_vocabulary
 
 MIN_CHARS = 200
 TARGET, OVERLAP = 2000, 200
@@ -85,7 +86,7 @@ def contract(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     The columns premises, method, raw_confidence, quote and premise_confidences are checked where they are there.
     """
-    df = rows.join(vocabulary, "predicate", "left")
+    df = with_vocabulary(rows, vocabulary, how="left")
     s, o = F.substring_index("subject_id", ":", 1), F.substring_index("object_id", ":", 1)
     admits = lambda a, b: F.array_contains("domain", a) & F.array_contains("range", b)
     bad_id = lambda c: c.isNull() | c.rlike(r"\s") | ~c.rlike(r"^[a-z][a-z0-9_]*:.+")
@@ -122,8 +123,8 @@ def validated(claims: DataFrame, vocabulary: DataFrame, kinds, conclusions=()) -
     said = F.upper(F.regexp_replace(F.trim("predicate_said"), r"\s+", "_"))
     by_id = vocabulary.select(F.col("predicate").alias("said"), F.col("predicate").alias("p1"))
     by_label = vocabulary.select(F.upper(F.regexp_replace("label", r"\s+", "_")).alias("said"), F.col("predicate").alias("p2")).groupBy("said").agg(F.min("p2").alias("p2"))
-    df = claims.withColumn("said", said).join(by_id, "said", "left").join(by_label, "said", "left").withColumn("predicate", F.coalesce("p1", "p2")).drop("p1", "p2", "said")
-    df = df.join(vocabulary.drop("label"), "predicate", "left").withColumn("at", T.locate(F.col("chunk_text"), F.col("quote")))
+    df = with_vocabulary(with_vocabulary(claims.withColumn("said", said), by_id, "said", "left"), by_label, "said", "left").withColumn("predicate", F.coalesce("p1", "p2")).drop("p1", "p2", "said")
+    df = with_vocabulary(df, vocabulary.drop("label"), how="left").withColumn("at", T.locate(F.col("chunk_text"), F.col("quote")))
     df = df.withColumn("s", T.canonical(F.col("subject"), kinds)).withColumn("o", T.canonical(F.col("object"), kinds))
     first, second = T.ordered_ends(F.col("s"), F.col("o"), F.coalesce("symmetric", F.lit(False)))
     reason = F.coalesce(

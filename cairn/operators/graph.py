@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import block_reason, label, node_parts
 from .scope import SIGNED_OFF
-from .session import checkpoints
+from .session import checkpoints, stored, with_vocabulary
 from .vectors import knn
 
 FAN_OUT = 12
@@ -16,7 +16,8 @@ LONGEST = 4  # edges of a chain
 SKIPPED_KINDS = ("document", "source", "table", "column")
 # Kinds of the catalog's own nodes.
 CATALOG_KINDS = ("source", "table", "column")
-LOOP_QUESTIONS = 64  # that many are compared with every fact; more go through an index of word pieces
+GRAM = 3  # characters
+RAREST = 3  # grams of a term whose rows are intersected
 TABLES = 6  # of a composed answer
 
 
@@ -78,10 +79,7 @@ def chains(facts: DataFrame, cap: int = FAN_OUT, longest: int = LONGEST, kept: i
     tells the steps that go against their fact. Longest first, then by the weakest step and the first step's id.
     Use it on the walked facts of a question: the number of paths grows with the power of the fan-out.
     """
-    own = facts.select("assertion_id", "subject_id")
-    step = adjacency(facts, cap).join(own, "assertion_id")
-    firmest = F.min_by(F.struct("assertion_id", "confidence", (F.col("subject_id") != F.col("node")).alias("turned")), F.struct(-F.col("confidence"), "assertion_id"))
-    step = step.groupBy("node", "other").agg(firmest.alias("e")).select("node", "other", "e.*")
+    step = _steps(facts, cap).select("node", "other", F.col("id").alias("assertion_id"), F.col("c").alias("confidence"), "turned")
     nxt = step.select(F.col("node").alias("end"), F.col("other").alias("to"), F.col("assertion_id").alias("edge"), F.col("confidence").alias("c"), F.col("turned").alias("t"))
     paths = step.select(F.array("node", "other").alias("nodes"), F.col("other").alias("end"), F.array("assertion_id").alias("ids"), F.array("turned").alias("reversed"), F.col("confidence").alias("weakest"))
     found = []
@@ -103,12 +101,61 @@ def chains(facts: DataFrame, cap: int = FAN_OUT, longest: int = LONGEST, kept: i
     return whole.orderBy(F.desc("length"), F.desc("weakest"), F.col("assertion_ids")[0], "assertion_ids").limit(kept) if kept else whole
 
 
+def _steps(facts: DataFrame, cap: int) -> DataFrame:
+    """node, other, id, c, turned: a step each way where the neighbourhood knows it, by the firmest of parallel facts."""
+    step = adjacency(facts, cap).join(facts.select("assertion_id", "subject_id"), "assertion_id")
+    firmest = F.min_by(F.struct(F.col("assertion_id").alias("id"), F.col("confidence").alias("c"), (F.col("subject_id") != F.col("node")).alias("turned")), F.struct(-F.col("confidence"), "assertion_id"))
+    return step.groupBy("node", "other").agg(firmest.alias("e")).select("node", "other", "e.*")
+
+
+def top_chains(facts: DataFrame, cap: int = FAN_OUT, longest: int = LONGEST, kept: int = 12, first: int = 64) -> DataFrame:
+    """The first ``kept`` of ``chains`` without building all of them: nodes, assertion_ids, reversed, length, weakest, built (paths that were built).
+
+    For the longest length first: the firmest steps are admitted, ``first`` of them and then ever twice as many, until ``kept`` paths of that length stand. Any other path
+    has a weaker step, so that it comes after them. If all steps are admitted and fewer stand, the rest are paths of the next length that are no part of those.
+    """
+    steps = stored(_steps(facts, cap), "steps")
+    n = steps.count()
+    shares = [min(1.0, first * 2**k / max(n, 1)) for k in range(64)]
+    shares = shares[: next((k for k, x in enumerate(shares) if x == 1.0), 0)]
+    # the confidence that so many steps have, by one pass; the last round admits all
+    bounds = steps.agg(F.percentile_approx("c", [1 - x for x in shares], 1_000_000)).first()[0] if shares and n else []
+    rounds = [*sorted(set(bounds or []), reverse=True), None]
+    spark, found, built, missing = facts.sparkSession, None, 0, kept
+    for length in range(longest, 1, -1):
+        for bound in rounds:
+            some = steps if bound is None else steps.where(F.col("c") >= bound)
+            paths = some.select(F.array("node", "other").alias("nodes"), F.array("id").alias("ids"), F.array("turned").alias("reversed"), F.col("c").alias("weakest"), F.col("other").alias("end"))
+            nxt = some.select(F.col("node").alias("end"), F.col("other").alias("to"), F.col("id").alias("edge"), F.col("c").alias("firm"), F.col("turned").alias("t"))
+            for _ in range(length - 1):
+                paths = paths.join(nxt, "end").where(~F.array_contains("nodes", F.col("to"))).select(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("ids", F.array("edge")).alias("ids"), F.concat("reversed", F.array("t")).alias("reversed"), F.least("weakest", "firm").alias("weakest"), F.col("to").alias("end"))
+            one = paths.groupBy(F.least("nodes", F.reverse("nodes")).alias("key")).agg(F.min_by(F.struct("nodes", "ids", "reversed", "weakest"), F.col("nodes")).alias("x"), F.count("*").alias("ways"))
+            one = stored(one.select("key", "x.*", "ways"), "paths")
+            count = one.agg(F.count("*"), F.sum("ways")).first()
+            built += count[1] or 0
+            if found is not None:  # at most ``kept`` longer ones
+                pieces = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("nodes") - length), lambda k: F.slice("nodes", k, length + 1))).alias("p")).select(F.least("p", F.reverse("p")).alias("key"))
+                one = one.join(F.broadcast(pieces), "key", "left_anti")
+                count = [one.count()]
+            if count[0] >= missing or bound is None:
+                break
+        turn = F.reverse("ids") < F.col("ids")
+        shown = lambda c, back: F.when(turn, back).otherwise(F.col(c))
+        rows = one.select(shown("nodes", F.reverse("nodes")).alias("nodes"), shown("ids", F.reverse("ids")).alias("assertion_ids"), shown("reversed", F.transform(F.reverse("reversed"), lambda r: ~r)).alias("reversed"), F.lit(length).alias("length"), "weakest")
+        best = stored(rows.orderBy(F.desc("weakest"), F.col("assertion_ids")[0], "assertion_ids").limit(missing), "chains")
+        found = best if found is None else found.unionByName(best)
+        missing = kept - found.count()
+        if missing <= 0:
+            break
+    return found.withColumn("built", F.lit(built)).orderBy(F.desc("length"), F.desc("weakest"), F.col("assertion_ids")[0], "assertion_ids")
+
+
 def findings(facts: DataFrame, effects: DataFrame) -> DataFrame:
     """tainted, predicate, other, effect, premise_count, confidence: a row for each tainted end of a current blocking fact.
 
     ``effects``: predicate, blocks (subject, object or both), effect. Of several facts the furthest-reaching and then the firmest stands.
     """
-    df = facts.where("superseded_at IS NULL").join(effects, "predicate")
+    df = with_vocabulary(facts.where("superseded_at IS NULL"), effects)
     tainted = F.when(F.col("blocks") == "subject", F.array(F.struct(F.col("subject_id").alias("tainted"), F.col("object_id").alias("other")))).when(F.col("blocks") == "object", F.array(F.struct(F.col("object_id").alias("tainted"), F.col("subject_id").alias("other"))))
     tainted = tainted.otherwise(F.array(F.struct(F.col("subject_id").alias("tainted"), F.col("object_id").alias("other")), F.struct(F.col("object_id").alias("tainted"), F.col("subject_id").alias("other"))))
     count = F.size("premises") if "premises" in facts.columns else F.lit(0)
@@ -182,34 +229,54 @@ def _catalog(column: str) -> Column:
     return F.substring_index(column, ":", 1).isin(*CATALOG_KINDS)
 
 
-def _matched(hay: DataFrame, key: list[str], questions: DataFrame) -> DataFrame:
-    """question_id, the key columns and matched: the question's terms, in their order, that the row's ``hay`` contains.
-
-    A few questions are compared with each row. More of them go through an equi join: a term without spaces is contained
-    where a word is that has the term's first three characters (two, for terms of two) somewhere; those pairs alone are compared.
-    """
-    if questions.limit(LOOP_QUESTIONS + 1).count() <= LOOP_QUESTIONS and not questions.where(F.size("terms") > 1000).count():
-        few = hay.crossJoin(F.broadcast(questions)).withColumn("matched", F.filter("terms", lambda t: F.contains("hay", t)))
-        return few.where(F.size("matched") > 0).select("question_id", *key, "matched")
-    asked = questions.select("question_id", F.posexplode("terms").alias("at", "term"))
-    if asked.where("term LIKE '% %' OR length(term) < 2").count():
-        raise ValueError("terms are words of two characters or more")
-    begins = F.substring("term", 1, 3)
-    terms = asked.select("term").distinct().select("term", begins.alias("gram"))
-    words = hay.select(F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).where("length(word) > 1").distinct()
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda k: F.substring(F.col("word"), k, F.lit(n)))
-    pieces = words.select("word", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("gram"))
-    pairs = pieces.join(terms, "gram").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
-    hits = hay.select(*key, F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).join(pairs, "word").select(*key, "term").distinct().join(asked, "term")
-    lists = hits.groupBy("question_id", *key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x"))
-    return lists.select("question_id", *key, F.transform("x", lambda p: p["term"]).alias("matched"))
-
-
-def search(facts: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id, assertion_id, matched (terms found in the fact's words), confidence; catalog nodes are schema, not evidence. ``questions``: question_id, terms."""
+class GramIndex:
+    """Rows with a text ``hay``, by the grams that stand in it, spaces included: tables of the rows, of each gram's rows, and of the grams with their number of rows."""
+
+    def __init__(self, rows: DataFrame, key: list[str]):
+        self.key = key
+        self.rows = stored(rows.select(F.monotonically_increasing_id().alias("row"), *key, "hay"), "search-rows")
+        # blanks that no text holds fill up the last ones, so that every character begins a gram
+        padded = F.concat("hay", F.lit("\0" * (GRAM - 1)))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1))), lambda k: F.substring(padded, k, F.lit(GRAM))))
+        self.postings = stored(self.rows.select("row", F.explode(grams).alias("gram")), "search-postings")
+        self.grams = stored(self.postings.groupBy("gram").agg(F.count("*").alias("n")), "search-grams")
+
+    def terms(self, terms: DataFrame) -> DataFrame:
+        """row, term: where each of the terms (different ones) is contained.
+
+        A term of a gram's length or more stands in the rows that its rarest grams share; of a shorter one every gram that begins with it is looked up. The
+        rows are then compared.
+        """
+        long = terms.where(F.length("term") >= GRAM)
+        own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - (GRAM - 1), F.lit(1))), lambda k: F.substring("term", k, F.lit(GRAM))))
+        asked = long.select("term", F.explode(own).alias("gram")).join(self.grams, "gram", "left")
+        # a gram that no row has ends its term here; few rows a term, so that they can meet in one list
+        few = asked.groupBy("term").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, RAREST).alias("x")).where("x[0].n > 0")
+        rare = few.select("term", F.size("x").alias("need"), F.explode("x.gram").alias("gram"))
+        short = terms.where(F.length("term") < GRAM).select("term", F.length("term").alias("long"))
+        begun = self.grams.select("gram", F.explode(F.sequence(F.lit(0), F.lit(GRAM - 1))).alias("long")).withColumn("term", F.expr("substring(gram, 1, long)"))
+        wide = short.join(begun, ["term", "long"]).select("term", F.lit(1).alias("need"), "gram")
+        looked_up = rare.unionByName(wide).join(self.postings, "gram").groupBy("row", "term", "need").agg(F.count("*").alias("n")).where("n >= need").select("row", "term")
+        return looked_up.join(self.rows.select("row", "hay"), "row").where(F.contains("hay", F.col("term"))).select("row", "term")
+
+    def matched(self, questions: DataFrame) -> DataFrame:
+        """question_id, the key columns and matched: the question's terms, in their order, that the row contains. One plan for any number of questions and kind of terms."""
+        asked = questions.select("question_id", F.posexplode("terms").alias("at", "term")).where("term IS NOT NULL")
+        hits = self.terms(asked.select("term").distinct()).join(asked, "term")
+        lists = hits.groupBy("question_id", "row").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x"))
+        return lists.join(self.rows.drop("hay"), "row").select("question_id", *self.key, F.transform("x", lambda p: p["term"]).alias("matched"))
+
+
+def search_index(facts: DataFrame) -> GramIndex:
+    """The facts' words: both ends and the predicate. Catalog nodes are schema, not evidence."""
     words = F.lower(F.concat_ws(" ", label(F.col("subject_id")), label(F.col("object_id")), F.regexp_replace("predicate", "_", " ")))
-    hay = facts.where(~_catalog("subject_id") & ~_catalog("object_id")).withColumn("hay", words)
-    return _matched(hay, ["assertion_id", "confidence"], questions).select("question_id", "assertion_id", "matched", "confidence")
+    return GramIndex(facts.where(~_catalog("subject_id") & ~_catalog("object_id")).withColumn("hay", words), ["assertion_id", "confidence"])
+
+
+def search(facts: DataFrame | GramIndex, questions: DataFrame) -> DataFrame:
+    """question_id, assertion_id, matched (terms found in the fact's words), confidence. ``questions``: question_id, terms. An index serves many searches."""
+    index = facts if isinstance(facts, GramIndex) else search_index(facts)
+    return index.matched(questions).select("question_id", "assertion_id", "matched", "confidence")
 
 
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -244,7 +311,7 @@ def kind_sweep(facts: DataFrame, predicates: DataFrame) -> DataFrame:
     """Current facts whose ends break the predicate's declared kinds (``predicates``: predicate, domain[], range[], symmetric)."""
     s, o = F.substring_index("subject_id", ":", 1), F.substring_index("object_id", ":", 1)
     fits = lambda a, b: F.array_contains("domain", a) & F.array_contains("range", b)
-    df = facts.where("superseded_at IS NULL").join(predicates, "predicate")
+    df = with_vocabulary(facts.where("superseded_at IS NULL"), predicates)
     return df.where(~(fits(s, o) | (F.col("symmetric") & fits(o, s)))).select(facts.columns)
 
 
@@ -259,7 +326,7 @@ def catalog_search(facts: DataFrame, questions: DataFrame) -> DataFrame:
     words = lambda c: label(F.regexp_replace(c, r"\.", " "))
     rows = ends(facts, "confidence").where(_catalog("node")).distinct()
     hay = rows.withColumn("hay", F.lower(F.concat_ws(" ", words("node"), words("other"))))
-    hit = _matched(hay, ["node", "other", "confidence"], questions).withColumn("matched", F.size("matched"))
+    hit = GramIndex(hay, ["node", "other", "confidence"]).matched(questions).withColumn("matched", F.size("matched"))
     return hit.groupBy("question_id", "node").agg(F.max(F.struct("matched", "confidence")).alias("x")).select("question_id", "node", "x.*")
 
 

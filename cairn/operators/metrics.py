@@ -6,16 +6,16 @@ columns a caller may filter on) and additivity. ``tables`` maps table names to D
 
 from __future__ import annotations
 
-import re
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 GRAINS = ("hour", "day", "week", "month", "quarter", "year")  # from fine to coarse
 CALENDAR = {"day", "date", "week", "month", "quarter", "year", "hour"}
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "IN", "NOT IN", "LIKE", "BETWEEN")
-KEYWORDS = {"AND", "OR", "NOT", "NULL", "IS", "IN", "CASE", "WHEN", "THEN", "ELSE", "END", "AS", "DISTINCT", "BETWEEN", "LIKE", "TRUE", "FALSE", "DATE", "DAY", "MONTH", "YEAR", "HOUR", "DOUBLE", "BIGINT", "INT", "STRING", "DECIMAL"}
 JOINS = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full", "CROSS": "cross"}
 
 
@@ -129,14 +129,33 @@ def _check_filters(metric: Metric, filters: tuple[Filter, ...]) -> None:
         raise Refused(f"{metric.name} needs a filter on {', '.join(missing)}")
 
 
-def _is_sum(metric: Metric) -> bool:
-    return "sum(" in metric.expression.lower().replace(" ", "")
+def _names(tree: str) -> list[dict]:
+    return [{"class": n["class"].rpartition(".")[2]} | {k: n[k] for k in ("isDistinct", "nameParts") if k in n} for n in json.loads(tree)]
 
 
-def _fans_out(metric: Metric) -> list[str]:
-    text = metric.expression.lower().replace(" ", "")
-    counts = any(k in text for k in ("sum(", "avg(", "count(")) and "count(distinct" not in text
-    return [j.table for j in metric.joins if counts and j.table in metric.primary_keys and metric.primary_keys[j.table] != (j.target_column,)]
+def resolved(expression: str, df: DataFrame) -> list[dict]:
+    """The expression as Spark resolves it over the rows, from the outside in: class and, of aggregates, whether distinct. Empty if it can't be resolved."""
+    try:
+        plan = json.loads(df.agg(F.expr(expression).alias("value"))._jdf.queryExecution().analyzed().toJSON())
+    except (AnalysisException, ParseException):
+        return []
+    return _names(json.dumps(plan[0]["aggregateExpressions"][0]))[1:]
+
+
+def is_sum(expression: str, df: DataFrame) -> bool:
+    """Whether the whole expression is a sum."""
+    return [n["class"] for n in resolved(expression, df)[:2]] == ["AggregateExpression", "Sum"]
+
+
+def counts_rows(expression: str, df: DataFrame) -> bool:
+    """Whether any sum, average or count in it grows with repeated rows; a distinct count doesn't."""
+    nodes = resolved(expression, df)
+    return any(n["class"] == "AggregateExpression" and of["class"] in ("Sum", "Average", "Count") and not (of["class"] == "Count" and n["isDistinct"]) for n, of in zip(nodes, nodes[1:]))
+
+
+def _fans_out(metric: Metric, df: DataFrame) -> list[str]:
+    other_key = [j.table for j in metric.joins if j.table in metric.primary_keys and metric.primary_keys[j.table] != (j.target_column,)]
+    return other_key if other_key and counts_rows(metric.expression, df) else []
 
 
 def fan_out(target: DataFrame, key: str) -> DataFrame:
@@ -169,11 +188,11 @@ def simple_metric(metric: Metric, tables: dict[str, DataFrame], dimensions=None,
     grain = _grain(metric, time_grain) if axis in dims or time_grain else None
     if time_grain and not axis:
         raise Refused(f"{metric.name} has no time axis")
-    if metric.aggregation == "semi_additive" and _is_sum(metric) and (grain or set(dims) != set(metric.grain)):
+    if metric.aggregation == "semi_additive" and (grain or set(dims) != set(metric.grain)) and is_sum(metric.expression, df):
         raise Refused(f"{metric.name} is semi-additive: it is not summed over time or above its grain")
     if metric.aggregation == "non_additive":
         warnings.append(f"{metric.name} is non-additive: its values must not be added up")
-    warnings += [f"the join to {t} may repeat rows" for t in _fans_out(metric)]
+    warnings += [f"the join to {t} may repeat rows" for t in _fans_out(metric, df)]
     for f in filters:
         df = df.where(condition(f))
     keys = []
@@ -233,11 +252,37 @@ def derived_metric(metric: Metric, metrics: dict[str, Metric], tables: dict[str,
 
 
 def missing_columns(metric: Metric, tables: dict[str, DataFrame]) -> list[str]:
-    """Names in the expression that are no column of the metric's tables, by case-insensitive comparison."""
+    """Names in the expression that are no column of the metric's tables, by case-insensitive comparison. Spark's parser tells names from functions, texts and lambda variables."""
     df = source(metric, tables)
     known = {c.lower() for c in df.columns}
-    names = re.findall(r"(?<![\w.'])([A-Za-z_]\w*)(?![\w'(]|\s*\()", re.sub(r"'[^']*'", "''", metric.expression))
-    return sorted({n for n in names if n.lower() not in known and n.upper() not in KEYWORDS})
+    parsed = json.loads(df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(metric.expression).toJSON())
+    found: set[str] = set()
+
+    def walk(at: int, bound: frozenset) -> int:
+        """The place after the node at ``at`` and what is under it."""
+        node, kind = parsed[at], parsed[at]["class"].rpartition(".")[2]
+        names = node["nameParts"].strip("[]").split(", ") if "Unresolved" in kind and "Function" not in kind and "nameParts" in node else None
+        # a.b is a field of the column a, or a column b of a table a
+        if names and not {names[0].lower(), names[-1].lower()} & (known | bound):
+            found.add(".".join(names))
+        if kind == "LambdaFunction":  # its body, then its variables
+            ends = [at + 1]
+            for _ in range(node["num-children"]):
+                ends.append(after(ends[-1]))
+            bound |= {parsed[e]["nameParts"].strip("[]").lower() for e in ends[1:-1]}
+        to = at + 1
+        for _ in range(node["num-children"]):
+            to = walk(to, bound)
+        return to
+
+    def after(at: int) -> int:
+        to = at + 1
+        for _ in range(parsed[at]["num-children"]):
+            to = after(to)
+        return to
+
+    walk(0, frozenset())
+    return sorted(found)
 
 
 def to_entities(result: DataFrame, column: str, kind: str) -> DataFrame:

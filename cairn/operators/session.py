@@ -1,10 +1,14 @@
-"""Where checkpoints go: the folder that the cluster names, or a temporary one in local mode."""
+"""Where checkpoints go: the folder that the cluster names, or a temporary one in local mode. Tables beside them, and broadcasts with a checked bound."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Rows of a vocabulary that are sent to every task; larger ones are joined as any table.
+VOCABULARY = 1000
 
 
 def checkpoints(spark: SparkSession) -> None:
@@ -14,3 +18,25 @@ def checkpoints(spark: SparkSession) -> None:
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def stored(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """The rows as a table beside the checkpoints, in folders by some columns: it cuts the lineage and can be read more than once."""
+    spark = df.sparkSession
+    checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_vocabulary(rows: DataFrame, vocabulary: DataFrame, key: str = "predicate", how: str = "inner") -> DataFrame:
+    """The join by a key of few values with a vocabulary of at most ``VOCABULARY`` rows, which is counted: it is broadcast, and an inner join reads its keys' rows only.
+
+    By such a key the rows would be shuffled to as many tasks as there are words. A larger vocabulary is left to the optimizer.
+    """
+    words = vocabulary.select(key).limit(VOCABULARY + 1).collect()
+    if len(words) > VOCABULARY:
+        return rows.join(vocabulary, key, how)
+    if how == "inner":
+        rows = rows.where(F.col(key).isin(sorted({w[0] for w in words if w[0] is not None})))
+    return rows.join(F.broadcast(vocabulary), key, how)

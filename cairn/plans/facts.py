@@ -305,6 +305,21 @@ def g11_chains(spark, folder):
     return found.select(F.array_join("assertion_ids", ",").alias("assertion_ids"), "length", "weakest")
 
 
+_STEP = "adj AS MATERIALIZED (SELECT node, other, id, c FROM (SELECT *, row_number() OVER (PARTITION BY node, other ORDER BY c DESC, id) AS r FROM adj1) WHERE r = 1)"
+
+
+@query(
+    f"""{WITH}, f AS (SELECT * FROM facts), {_ADJACENT}, {_STEP},
+p2 AS MATERIALIZED (SELECT a.node AS n0, a.other AS n1, b.other AS n2, a.id AS i1, b.id AS i2, least(a.c, b.c) AS c FROM adj a JOIN adj b ON a.other = b.node WHERE b.other <> a.node),
+p4 AS (SELECT CASE WHEN b.i2 < a.i1 THEN b.i2 ELSE a.i1 END AS f1, CASE WHEN b.i2 < a.i1 THEN [b.i2, b.i1, a.i2, a.i1] ELSE [a.i1, a.i2, b.i1, b.i2] END AS ids, least(a.c, b.c) AS weakest FROM p2 a JOIN p2 b ON a.n2 = b.n0 WHERE a.n0 NOT IN (b.n1, b.n2) AND a.n1 NOT IN (b.n1, b.n2)),
+top AS (SELECT * FROM p4 ORDER BY weakest DESC, f1, ids LIMIT 24)
+SELECT array_to_string(ids, ',') AS assertion_ids, 4 AS length, weakest FROM (SELECT DISTINCT ids, weakest FROM top) ORDER BY weakest DESC, ids[1], ids LIMIT 12"""
+)
+def g11_top_chains(spark, folder):
+    """The twelve best chains over all facts, by threshold; each stands at most twice, once from either end, among the first 24 paths of the SQL."""
+    return G.top_chains(facts(spark, folder)).select(F.array_join("assertion_ids", ",").alias("assertion_ids"), "length", "weakest")
+
+
 _EFFECTS = "fx(predicate, blocks, effect) AS (VALUES ('INVESTIGATES', 'object', 'withhold'), ('APPROVES_EXCEPTION_FOR', 'both', 'notify'))"
 _FOUND = f"""{_EFFECTS}, tainted AS (SELECT object_id AS tainted, predicate, subject_id AS other, effect, 0 AS premise_count, confidence, assertion_id FROM facts JOIN fx USING (predicate) WHERE superseded_at IS NULL
 UNION ALL SELECT subject_id, predicate, object_id, effect, 0, confidence, assertion_id FROM facts JOIN fx USING (predicate) WHERE superseded_at IS NULL AND blocks = 'both'),
@@ -337,7 +352,7 @@ def g14_screen(spark, folder):
 
 @query(
     f"{WITH}, {_FOUND}, bad AS MATERIALIZED (SELECT tainted AS node FROM found WHERE effect = 'withhold' UNION SELECT 'doc-' || doc_id FROM documents WHERE n_chars > 4000 UNION SELECT 'M-' || r_regionkey FROM region WHERE r_name = 'ASIA') "
-    "SELECT assertion_id FROM facts WHERE subject_id NOT IN (FROM bad) AND object_id NOT IN (FROM bad) AND coalesce(document_id, '') NOT IN (FROM bad) AND coalesce(matter_id, '') NOT IN (FROM bad)"
+    "SELECT assertion_id FROM facts f LEFT JOIN bad a ON a.node = f.subject_id LEFT JOIN bad b ON b.node = f.object_id LEFT JOIN bad c ON c.node = f.document_id LEFT JOIN bad d ON d.node = f.matter_id WHERE a.node IS NULL AND b.node IS NULL AND c.node IS NULL AND d.node IS NULL"
 )
 def j10_veto(spark, folder):
     """Facts none of whose ends, document or matter is blocked: by a finding, as a long document, as a region's matter."""
@@ -365,6 +380,28 @@ def g15_lexical_search(spark, folder):
     return G.search(facts(spark, folder), asked(spark, folder)).select("question_id", "assertion_id", F.array_join("matched", ",").alias("matched"), "confidence")
 
 
+_PHRASES = f"""q AS MATERIALIZED (SELECT p_partkey AS question_id, [split_part(p_name, ' ', 1), p_partkey || ' supplied', 'by', CASE p_size % 4 WHEN 0 THEN p_partkey || ' placed o' WHEN 1 THEN ' ' ELSE 'r ' || p_size END, p_partkey || ' controls'] AS terms FROM part),
+t AS MATERIALIZED (SELECT DISTINCT unnest(terms) AS term FROM q), h AS MATERIALIZED (SELECT assertion_id, {_HAY} AS hay FROM facts WHERE predicate IN ('INVESTIGATES', 'CONTROLS', 'PLACED_ORDER')),
+m AS MATERIALIZED (SELECT assertion_id, term FROM t, h WHERE contains(hay, term))"""
+
+
+def phrases(spark, folder) -> DataFrame:
+    """A question for each part, of words, phrases with blanks and terms of one or two characters."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    fourth = F.when(size % 4 == 0, F.concat(k, F.lit(" placed o"))).when(size % 4 == 1, " ").otherwise(F.concat(F.lit("r "), size.cast("string")))
+    return S.read(spark, folder, "part").select(F.col("p_partkey").alias("question_id"), F.array(F.split("p_name", " ")[0], F.concat(k, F.lit(" supplied")), F.lit("by"), fourth, F.concat(k, F.lit(" controls"))).alias("terms"))
+
+
+@query(f"{WITH}, {_PHRASES} SELECT term, count(*) AS facts, min(assertion_id) AS first FROM m GROUP BY term")
+def g15_phrases(spark, folder):
+    """Every term of a question for each part, looked up at once in an index of the facts' words."""
+    f = facts(spark, folder).where("predicate IN ('INVESTIGATES', 'CONTROLS', 'PLACED_ORDER')")
+    index = G.search_index(f)
+    terms = phrases(spark, folder).select(F.explode("terms").alias("term")).distinct()
+    found = index.terms(terms).join(index.rows.select("row", "assertion_id"), "row")
+    return found.groupBy("term").agg(F.count("*").alias("facts"), F.min("assertion_id").alias("first"))
+
+
 @query(f"{WITH}, {_ASKED} SELECT question_id, assertion_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, confidence DESC, assertion_id)::INTEGER AS rank FROM hits) WHERE rank <= 25")
 def l4_top_hits(spark, folder):
     return G.top_hits(G.search(facts(spark, folder), asked(spark, folder)), 25).select("question_id", "assertion_id", "rank")
@@ -396,9 +433,9 @@ def events(f: DataFrame) -> DataFrame:
 
 
 def _folded(until: str) -> str:
-    return f"""{WITH}, {_EVENTS}, f AS (SELECT facts.assertion_id, CASE WHEN e.event = 'refile' THEN e.matter_id ELSE facts.matter_id END AS matter_id,
+    return f"""{WITH}, {_EVENTS}, late AS MATERIALIZED (SELECT * FROM ev WHERE happened <= TIMESTAMP '{until}'), f AS (SELECT facts.assertion_id, CASE WHEN e.event = 'refile' THEN e.matter_id ELSE facts.matter_id END AS matter_id,
 CASE WHEN review_state = 'PENDING' AND e.event = 'approve' THEN 'APPROVED' WHEN review_state = 'PENDING' AND e.event = 'reject' THEN 'REJECTED' ELSE review_state END AS review_state,
-CASE WHEN review_state = 'PENDING' AND e.event = 'approve' THEN 0.8 + confidence * 0.2 ELSE confidence END AS confidence FROM facts LEFT JOIN (SELECT * FROM ev WHERE happened <= TIMESTAMP '{until}') e ON facts.assertion_id = e.assertion_id)
+CASE WHEN review_state = 'PENDING' AND e.event = 'approve' THEN 0.8 + confidence * 0.2 ELSE confidence END AS confidence FROM facts LEFT JOIN late e ON facts.assertion_id = e.assertion_id)
 SELECT assertion_id, matter_id, review_state, round(confidence, 6) AS confidence, CASE review_state WHEN 'PENDING' THEN 'STAGED' WHEN 'REJECTED' THEN 'DISCARDED' ELSE 'LIVE' END AS lifecycle FROM f"""
 
 

@@ -126,7 +126,7 @@ def r14_access_events(spark, folder):
 _DECIDED = "SELECT assertion_id FROM facts WHERE review_state <> 'PENDING'"
 
 
-@query(f"{WITH} SELECT assertion_id, 'PENDING' AS review_state FROM facts WHERE tenant_id = 't-alpha' AND (matter_id IS NULL OR matter_id <> 'M-5') AND assertion_id NOT IN ({_DECIDED})")
+@query(f"{WITH} SELECT assertion_id, 'PENDING' AS review_state FROM facts WHERE tenant_id = 't-alpha' AND (matter_id IS NULL OR matter_id <> 'M-5') AND NOT EXISTS (SELECT 1 FROM ({_DECIDED}) d WHERE d.assertion_id = facts.assertion_id)")
 def r1_stage(spark, folder):
     """A batch of readable rows of one tenant, staged beside what is stored: decided rows are left alone."""
     f = facts(spark, folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import metrics as M
@@ -186,3 +188,33 @@ def p3_stored_filters(spark, folder):
     a = M.Metric("a", "round(sum(l_quantity), 2)", "lineitem", filters=("l_shipdate >= TIMESTAMP '1995-01-01'", "l_tax < 0.05"), grain=("l_linestatus", "l_returnflag"))
     b = M.Metric("unit_price", "round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 6)", "lineitem", filters=a.filters, grain=a.grain)
     return M.simple_metric(a, t, ordered=False).df.join(M.simple_metric(b, t, ordered=False).df, list(a.grain))
+
+
+#: Expressions over orders joined with their items, which repeat an order's row: whether the whole is a sum, and whether repeated rows distort it.
+_JUDGED = {
+    "sum(o_totalprice)": (True, True),
+    "sum(o_totalprice) / count(DISTINCT o_custkey)": (False, True),
+    "sum(o_totalprice) / count(*)": (False, True),
+    "count(DISTINCT o_custkey)": (False, False),
+    "max(o_totalprice) - min(o_totalprice)": (False, False),
+    "max(length(concat('sum(', o_orderpriority)))": (False, False),
+    "mean(o_totalprice)": (False, True),
+    "SUM ( o_totalprice )": (True, True),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{e.replace(chr(39), chr(39) * 2)}' AS expression, {str(a).lower()} AS refused, {str(b).lower()} AS warned, round({e}, 2)::DOUBLE AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey" for e, (a, b) in _JUDGED.items()))
+def m6_judged_expressions(spark, folder):
+    """Semi-additive and joined metrics: which are refused above their grain, which are warned of, and their values."""
+    t, out = tables(spark, folder), []
+    for e in _JUDGED:
+        semi = M.Metric("value", e, "orders", (M.Join("lineitem", "o_orderkey", "l_orderkey"),), grain=("o_orderstatus",), aggregation="semi_additive", primary_keys={"lineitem": ("l_orderkey", "l_linenumber")})
+        try:
+            M.simple_metric(semi, t, dimensions=[])
+            refused = False
+        except M.Refused:
+            refused = True
+        answer = M.simple_metric(M.Metric(semi.name, e, semi.source_table, semi.joins, primary_keys=semi.primary_keys), t)
+        warned = any("repeat rows" in w for w in answer.warnings)
+        out.append(answer.df.select(F.lit(e).alias("expression"), F.lit(refused).alias("refused"), F.lit(warned).alias("warned"), F.round(F.col("value").cast("double"), 2).alias("value")))
+    return reduce(DataFrame.unionByName, out)

@@ -53,3 +53,17 @@ def test_metric_pack(spark):
     kept, errors = M.load_pack(pack)
     assert sorted(r.metric_id for r in kept.collect()) == ["a", "d"]
     assert {tuple(r) for r in errors.collect()} == {("a", "duplicate"), ("e", "nested base"), ("f", "unknown base")}
+
+
+def test_unknown_names(t):
+    """Names are told from texts, functions, lambda variables and keywords by Spark's parser."""
+    of = lambda e: M.missing_columns(M.Metric("m", e, "orders"), t)
+    assert of("sum(CASE WHEN O_OrderStatus = 'nope' AND o_totalprice IS NOT NULL THEN `my col` END) / interval_days") == ["interval_days", "my col"]
+    assert of("max(aggregate(array(o_totalprice), 0D, (acc, x) -> acc + x + gone))") == ["gone"]
+    assert of("count(DISTINCT orders.o_custkey)") == [] and of("count(DISTINCT orders.nope)") == ["orders.nope"]
+
+
+def test_additivity_by_the_resolved_expression(t):
+    rows = t["orders"]
+    assert [M.is_sum(e, rows) for e in ("sum(o_totalprice)", "sum(o_totalprice) / count(*)", "max(length('sum('))", "sum(nope)")] == [True, False, False, False]
+    assert [M.counts_rows(e, rows) for e in ("count(DISTINCT o_custkey)", "sum(o_totalprice) / count(DISTINCT o_custkey)", "avg(o_totalprice)", "max(o_totalprice)", "count(*)")] == [False, True, True, False, True]

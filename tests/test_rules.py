@@ -232,16 +232,51 @@ def test_catalog_is_told_by_its_ends(spark):
     assert {(r.question_id, r.node) for r in G.catalog_search(t, q).collect()} == {(1, "table:s:db.orders"), (1, "column:s:db.orders.total"), (2, "column:s:db.orders.total")}
 
 
-def test_search_by_index_is_search_by_loop(spark, monkeypatch):
+def test_search_by_index(spark):
+    """Against plain containment: words, phrases, terms of any length, repeated, empty and null ones, one question or many."""
     words = ["acme", "acme-union", "ion", "un", "or", "orders", "rder", "zz", "a1b2", "1b"]
     rows = [fact(str(k), f"party:{words[k % 10]}", "PLACED_ORDER" if k % 2 else "KNOWS", f"order:{words[(k * 3 + 1) % 10]}") for k in range(40)]
-    q = spark.createDataFrame([(k, [w, words[(k + 3) % 10], w]) for k, w in enumerate(words)], "question_id int, terms array<string>")
-    found = lambda: sorted((r.question_id, r.assertion_id, tuple(r.matched), r.confidence) for r in G.search(table(spark, rows), q).collect())
-    loop = found()
-    monkeypatch.setattr(G, "LOOP_QUESTIONS", 0)
-    assert found() == loop and len(loop) > 40
-    with pytest.raises(ValueError):
-        G.search(table(spark, rows), spark.createDataFrame([(1, ["two words"])], "question_id int, terms array<string>"))
+    hay = {r[9]: f"{r[1][6:]} {r[3][6:]} {r[2]}".replace("-", " ").replace("_", " ").lower() for r in rows}
+    terms = [*words, "union ion", "n k", " ", "", "placed order", "e", "acme union or", "no such phrase", "ion un", None]
+    index = G.search_index(table(spark, rows))
+    for n in (1, 100):
+        q = [(k, [terms[k % 20], terms[(k * 7 + 3) % 20], terms[k % 20]]) for k in range(n)]
+        want = sorted((k, i, tuple(t for t in ts if t is not None and t in h)) for k, ts in q for i, h in hay.items() if any(t is not None and t in h for t in ts))
+        got = sorted((r.question_id, r.assertion_id, tuple(r.matched)) for r in G.search(index, spark.createDataFrame(q, "question_id int, terms array<string>")).collect())
+        assert got == want and got
+
+
+@pytest.mark.parametrize(("nodes", "edges", "first"), [(9, 30, 2), (40, 60, 4), (6, 5, 64), (30, 12, 64)])
+def test_top_chains_are_the_first_of_all(spark, nodes, edges, first):
+    import random
+
+    r = random.Random(nodes)
+    rows = [fact(f"{k * 7 % 1000:03d}", f"n:{r.randrange(nodes)}", "KNOWS", f"n:{r.randrange(nodes)}", conf=r.choice([0.5, 0.7, 0.9, 0.95])) for k in range(edges)]
+    facts = table(spark, rows)
+    every = [tuple(x) for x in G.chains(facts, kept=12).collect()]
+    got = [tuple(x)[:-1] for x in G.top_chains(facts, first=first).collect()]
+    assert got == every and (edges < 20 or got)
+
+
+def test_a_small_vocabulary_is_broadcast(spark, monkeypatch):
+    """Facts are not shuffled by predicate, and only the vocabulary's predicates are read; a larger vocabulary is left to the optimizer."""
+    from cairn.operators import session
+
+    facts = table(spark, [fact(str(k), f"a:{k}", "KNOWS" if k % 2 else "MET", f"b:{k}") for k in range(50)])
+    effects = spark.createDataFrame([("KNOWS", "object", "notify")], "predicate string, blocks string, effect string")
+    found = G.findings(facts, effects)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(predicate" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    monkeypatch.setattr(session, "VOCABULARY", 0)
+    assert sorted(map(tuple, G.findings(facts, effects).collect())) == sorted(map(tuple, found.collect())) and found.count() == 25
+
+
+def test_an_unknown_method_outranks_nobody(spark):
+    from cairn.operators import catalog as C
+
+    columns = spark.createDataFrame([("c",), ("d",)], "node_id string")
+    said = spark.createDataFrame([("c", "crowd:x", 0.1, "by a crowd", "APPROVED"), ("c", "human", 0.9, "by a person", "APPROVED"), ("d", "crowd:x", 0.1, "by a crowd", "APPROVED")], "node_id string, method string, confidence double, description string, review_state string")
+    assert {r.node_id: r.description for r in C.overlaid(columns, said).collect()} == {"c": "by a person", "d": "by a crowd"}
 
 
 def test_screen(spark):
