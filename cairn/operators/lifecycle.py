@@ -6,8 +6,11 @@ that review state and matter can be read as of any moment too.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from . import scans
 from ..functions.text import approved_confidence, content_id
 from .session import checkpoints
 
@@ -67,18 +70,31 @@ def fold(facts: DataFrame, events: DataFrame, as_of: str | None = None) -> DataF
     ``events``: assertion_id, event, at, seq, matter_id (of refile), descriptive. Decisions apply once: the first of approve and reject on a pending fact.
     """
     e = events if as_of is None else events.where(F.col("at") <= F.lit(as_of).cast("timestamp"))
-    when = F.struct("at", "seq")
+    return applied(facts, event_states(e))
+
+
+def event_states(events: DataFrame) -> DataFrame:
+    """assertion_id and what its events come to: the first decision, whether any approval was of a descriptive row, the first end, the last filing. States of two stretches of time can be merged."""
     is_ = lambda *names: F.col("event").isin(*names)
-    state = e.groupBy("assertion_id").agg(
-        F.min_by(F.when(is_("approve", "reject"), F.col("event")), F.when(is_("approve", "reject"), when)).alias("decided"),
+    return events.groupBy("assertion_id").agg(
+        F.min(F.when(is_("approve", "reject"), F.struct("at", "seq", "event"))).alias("decided"),
         F.max(F.when(is_("approve"), F.coalesce("descriptive", F.lit(False)))).alias("descriptive"),
         F.min(F.when(is_("supersede", "retract"), F.col("at"))).alias("closed_at"),
-        F.max_by(F.when(is_("refile"), F.struct(F.col("matter_id").alias("m"))), F.when(is_("refile"), when)).alias("refiled"),
+        F.max(F.when(is_("refile"), F.struct("at", "seq", F.col("matter_id").alias("m")))).alias("refiled"),
     )
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    every = reduce(DataFrame.unionByName, states)
+    return every.groupBy("assertion_id").agg(F.min("decided").alias("decided"), F.max("descriptive").alias("descriptive"), F.min("closed_at").alias("closed_at"), F.max("refiled").alias("refiled"))
+
+
+def applied(facts: DataFrame, state: DataFrame) -> DataFrame:
+    """The facts as the event states leave them."""
     df = facts.drop("raw_confidence", "lifecycle").join(state, "assertion_id", "left")
     pending = F.col("review_state") == "PENDING"
-    approved = pending & (F.coalesce("decided", F.lit("")) == "approve")
-    rejected = pending & (F.coalesce("decided", F.lit("")) == "reject")
+    approved = pending & (F.coalesce("decided.event", F.lit("")) == "approve")
+    rejected = pending & (F.coalesce("decided.event", F.lit("")) == "reject")
     review = F.when(approved, "APPROVED").when(rejected, "REJECTED").otherwise(F.col("review_state"))
     keep = [c for c in facts.columns if c not in ("review_state", "matter_id", "confidence", "superseded_at", "raw_confidence", "lifecycle")]
     out = df.select(
@@ -93,6 +109,42 @@ def fold(facts: DataFrame, events: DataFrame, as_of: str | None = None) -> DataF
     return out.withColumn("lifecycle", live)
 
 
+class EventLog:
+    """Events in folders by day, and snapshots of what they come to at some moments: a state at a later moment reads a snapshot and the days since."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def append(self, events: DataFrame) -> None:
+        # ranges by day and id: a large day is several files, a small one isn't many
+        events.withColumn("day", F.to_date("at")).repartitionByRange("day", "assertion_id").write.mode("append").partitionBy("day").parquet(f"{self.root}/events")
+
+    def _since(self, after: str | None, until: str) -> DataFrame:
+        t = lambda x: F.lit(x).cast("timestamp")
+        e = self.spark.read.parquet(f"{self.root}/events").where((F.col("day") <= t(until).cast("date")) & (F.col("at") <= t(until)))
+        return e if after is None else e.where((F.col("day") >= t(after).cast("date")) & (F.col("at") > t(after)))
+
+    def _snapshots(self) -> dict[str, str]:
+        """Moment to folder: as many as have been taken."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/snapshots")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [str(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+        return {n.replace("_", " ").replace(".", ":"): f"{self.root}/snapshots/{n}" for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/snapshots/{n}/_SUCCESS"))}
+
+    def states(self, until: str) -> DataFrame:
+        """What all events up to a moment (``2024-01-31 12:00:00``) come to."""
+        taken = max((m for m in self._snapshots() if m <= until), default=None)
+        later = event_states(self._since(taken, until))
+        return later if taken is None else merged_states(self.spark.read.parquet(self._snapshots()[taken]), later)
+
+    def snapshot(self, at: str) -> None:
+        """Writes the states at a moment, from the snapshot before it. Events up to it must not be appended any more: it would not hold them."""
+        self.states(at).write.mode("overwrite").parquet(f"{self.root}/snapshots/{at.replace(' ', '_').replace(':', '.')}")
+
+    def fold(self, facts: DataFrame, until: str) -> DataFrame:
+        return applied(facts, self.states(until))
+
+
 def stage(batch: DataFrame, stored: DataFrame, tenant: str, readable: Column) -> tuple[DataFrame, int]:
     """New rows to append, and how many rows of the batch are not admissible; with any of those nothing is staged.
 
@@ -189,8 +241,7 @@ def wipe(facts: DataFrame, vectors: DataFrame, jobs: DataFrame, where: Column, a
 
 def filings(events: DataFrame) -> DataFrame:
     """Filing events (document_id, matter_id, at, seq) with the matter before: the last one that was named."""
-    by = W.partitionBy("document_id").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("previous", F.last("matter_id", ignorenulls=True).over(by))
+    return scans.previous(events, "document_id", ["at", "seq"], "matter_id", "previous", skip_nulls=True)
 
 
 def settled(documents: DataFrame, staged: DataFrame) -> DataFrame:
@@ -204,7 +255,7 @@ def settled(documents: DataFrame, staged: DataFrame) -> DataFrame:
 
 def illegal_moves(attempts: DataFrame, key: str = "document_id") -> DataFrame:
     """State changes that the job's table of legal moves doesn't have."""
-    moves = attempts.withColumn("before", F.lag("state").over(W.partitionBy(key).orderBy("created_at", "seq"))).where("before IS NOT NULL")
+    moves = scans.previous(attempts, key, ["created_at", "seq"], "state", "before").where("before IS NOT NULL")
     legal = attempts.sparkSession.createDataFrame(LEGAL, "before string, state string")
     return moves.join(F.broadcast(legal), ["before", "state"], "left_anti")
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import scans
+
 GRAINS = ("hour", "day", "week", "month", "quarter", "year")  # from fine to coarse
 CALENDAR = {"day", "date", "week", "month", "quarter", "year", "hour"}
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "IN", "NOT IN", "LIKE", "BETWEEN")
@@ -292,10 +294,8 @@ def to_entities(result: DataFrame, column: str, kind: str) -> DataFrame:
 
 def versions(writes: DataFrame, keep: int = 10, tie: tuple[str, ...] = ("body",)) -> DataFrame:
     """Writes (metric_id, at, ...) with their version, the first write's time, and only the newest ``keep`` of each metric; ``tie`` orders writes of one moment."""
-    by = W.partitionBy("metric_id").orderBy("at", *tie)
-    count, first = F.count("*").over(W.partitionBy("metric_id")), F.min("at").over(W.partitionBy("metric_id"))
-    rows = writes.select("*", F.row_number().over(by).alias("version"), first.alias("first_at"), count.alias("_n"))
-    return rows.where(F.col("version") > F.col("_n") - keep).drop("_n")
+    rows = scans.numbered(writes, "metric_id", ["at", *tie])
+    return rows.where(F.col("_n") > F.col("_total") - keep).select(*writes.columns, F.col("_n").alias("version"), F.col("_first").alias("first_at"))
 
 
 def restored(stored: DataFrame, wanted: DataFrame, at: Column) -> DataFrame:

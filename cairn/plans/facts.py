@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import class_reason
@@ -439,6 +442,22 @@ CASE WHEN review_state = 'PENDING' AND e.event = 'approve' THEN 0.8 + confidence
 SELECT assertion_id, matter_id, review_state, round(confidence, 6) AS confidence, CASE review_state WHEN 'PENDING' THEN 'STAGED' WHEN 'REJECTED' THEN 'DISCARDED' ELSE 'LIVE' END AS lifecycle FROM f"""
 
 
+_MOMENTS = ("2024-06-01 00:00:00", "2024-11-20 00:00:00", "2024-12-10 12:00:00", "2025-12-31 00:00:00")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS moment, * FROM ({_folded(t)})" for t in _MOMENTS))
+def r2_from_snapshots(spark, folder):
+    """The states at four moments, each from a snapshot at the one before and the events since."""
+    f = facts(spark, folder)
+    log = L.EventLog(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/log-{uuid.uuid4().hex}")
+    log.append(events(f))
+    out = []
+    for t in _MOMENTS:
+        log.snapshot(t)
+        out.append(log.fold(f, t).select(F.lit(t).alias("moment"), "assertion_id", "matter_id", "review_state", F.round("confidence", 6).alias("confidence"), "lifecycle"))
+    return reduce(DataFrame.unionByName, out)
+
+
 for _t in ("2024-11-20", "2025-12-31"):
 
     def _state(spark, folder, t=_t):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C, documents as D, graph as G, lifecycle as L, metrics as M, rules as R, scope as P, vectors as V
+from ..operators.partitions import PartitionedTable, reset
 from ..operators.session import checkpoints
 from ..sources import derived, tables as S
 from ..streaming import ingest as I
@@ -625,3 +626,47 @@ def t3_streamed_inference(spark, folder):
         I.infer_on_arrival(spark.readStream.schema(f.schema).parquet(f"{work}/in"), _STREAMED, f"{work}/out", f"{work}/check").awaitTermination()
         out.append(FA._shown(I.conclusions(spark, f"{work}/out", upto=part)).withColumn("after", F.lit(part)))
     return reduce(DataFrame.unionByName, out)
+
+
+# Partitions that are replaced or removed
+
+
+@query(f"{WITH} SELECT tenant_id, predicate, assertion_id FROM facts WHERE tenant_id <> 't-beta'")
+def r15_removed_tenant(spark, folder):
+    """A tenant's folder is deleted; a second removal finds nothing."""
+    t = PartitionedTable(spark, f"{_work(spark)}/facts", "tenant_id").create(facts(spark, folder))
+    for _ in range(2):
+        t.remove("t-beta")
+    return t.read().select("tenant_id", "predicate", "assertion_id")
+
+
+@query(f"{WITH} SELECT predicate, assertion_id, confidence FROM facts WHERE predicate NOT IN ('CONTROLS', 'INVESTIGATES') OR confidence >= 0.8")
+def s7_replaced_sources(spark, folder):
+    """Facts by predicate as sources: a new scan of two of them replaces theirs, twice."""
+    f = facts(spark, folder).select("predicate", "assertion_id", "confidence")
+    t = PartitionedTable(spark, f"{_work(spark)}/scans", "predicate").create(f)
+    scan = f.where("predicate IN ('CONTROLS', 'INVESTIGATES') AND confidence >= 0.8")
+    for _ in range(2):
+        t.replace(scan, scan.count())
+    return t.read()
+
+
+@query(f"{WITH} SELECT 'facts' AS layer, tenant_id, count(*) AS n FROM facts WHERE tenant_id <> 't-alpha' GROUP BY 2 UNION ALL SELECT 'metrics', tenant_id, count(*) FROM facts WHERE predicate = 'CONTROLS' GROUP BY 2")
+def r18_reset_layers(spark, folder):
+    """Of two layers one is reset for a tenant."""
+    work, f = _work(spark), facts(spark, folder)
+    layers = {n: PartitionedTable(spark, f"{work}/{n}", "tenant_id").create(df) for n, df in (("facts", f), ("metrics", f.where("predicate = 'CONTROLS'")))}
+    reset(layers, "t-alpha", {"facts"})
+    count = lambda n: layers[n].read().groupBy("tenant_id").agg(F.count("*").alias("n")).select(F.lit(n).alias("layer"), "tenant_id", "n")
+    return count("facts").unionByName(count("metrics"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, 0 AS version FROM embeddings UNION ALL SELECT vec_id, label, 1 FROM embeddings WHERE label IN (3, 7) AND vec_id % 3 = 0 UNION ALL SELECT -1 - vec_id, label, 2 FROM embeddings WHERE label = 3 AND vec_id % 5 = 0) SELECT vec_id, label, max(version) AS version FROM v GROUP BY 1, 2""")
+def s11_upserted_partitions(spark, folder):
+    """Vectors by label: rows for two labels replace older ones with their id or are added, twice."""
+    v = S.read(spark, folder, "embeddings").select("vec_id", "embedding", "label", F.lit(0).alias("version"))
+    t = PartitionedTable(spark, f"{_work(spark)}/vectors", "label").create(v)
+    new = v.where("label IN (3, 7) AND vec_id % 3 = 0").withColumn("version", F.lit(1)).unionByName(v.where("label = 3 AND vec_id % 5 = 0").withColumns({"vec_id": -1 - F.col("vec_id"), "version": F.lit(2)}))
+    for _ in range(2):
+        t.upsert(new, "vec_id", "version")
+    return t.read().select("vec_id", "label", "version")

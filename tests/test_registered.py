@@ -13,6 +13,15 @@ def test_same_as_sql(spark, sf, name):
     assert compare(spark, name, QUERIES[name], SQL[name], sf) == ""
 
 
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 200 and set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
