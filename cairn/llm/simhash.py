@@ -279,47 +279,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return in_arrow(hashed.join(of("a"), "_a").join(of("b"), "_b").select("a", "b", "set_a", "set_b"), run, "a binary, b binary")
 
 
-def _other_pairs(rows: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """Pairs a, b within the radius and of different roots in the buckets of ``rows`` (fp: nodes, key, root): all of them, as the forest's links between them have failed."""
-    sizes = written(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed-buckets")
-    # each pair of blocks i <= j meets once
-    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int"))
+def _joined(prints: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels, within the radius and alike, that join all labels that any such link joins.
+
+    The most central text goes first: it is alike with most of a group of near copies, more than they are with each other. Then each text outside the largest group meets all
+    texts of other groups, so that every pair of groups is met from one side at least.
+    """
+    out, label = [], label.copy()
+    ends = np.cumsum([0, *map(len, sets)])
+    every = np.concatenate([np.empty(0, np.int64), *sets])
+
+    def meet(k: int, big: int) -> None:
+        others = np.flatnonzero((label != label[k]) & (np.bitwise_count(prints ^ prints[k]).sum(1, dtype=np.int64) <= radius))
+        if not len(others):
+            return
+        sizes = ends[others + 1] - ends[others]
+        of = np.repeat(np.arange(len(others)), sizes)
+        values = every[np.repeat(ends[others] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        own = sets[k]
+        hit = own[np.minimum(np.searchsorted(own, values), max(len(own) - 1, 0))] == values if len(own) else np.zeros(len(values), bool)
+        both = np.bincount(of, hit, len(others))
+        good = others[both >= similarity * (len(own) + sizes - both) - 1e-9]
+        named, first = np.unique(label[good], return_index=True)
+        out.extend((k, int(g)) for g in good[first])
+        to = big if big in named else label[k]
+        label[np.isin(label, named) | (label == label[k])] = to
+
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1)
+    count = bits.sum(0, dtype=np.int64)
+    far = np.where(bits, len(bits) - count, count).sum(1)
+    order = np.argsort(far, kind="stable").tolist()
+    meet(order[0], -1)
+    names, n = np.unique(label, return_counts=True)
+    big = int(names[n.argmax()])
+    for k in order:
+        if label[k] != big:
+            meet(k, big)
+    return out
+
+
+def _between_groups(rows: DataFrame, lanes: int, radius: int, similarity: float) -> DataFrame:
+    """Links a, b between texts of different groups (``root``) of a set that hangs together by candidates (``whole``). ``rows``: fp (node), whole, root, shingles.
+
+    Only sets with several groups are looked at, large ones in pairs of blocks; each gives at most a link for each group in it.
+    """
+    sizes = written(rows.groupBy("whole").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("whole", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
+    own = rows.join(sizes, "whole").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met.select("fp", "root", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = met.select("fp", "root", "shingles", "whole", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "whole", "i", "j").sortWithinPartitions("whole", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, place = [], None
+        names, roots, sets, place = [], [], [], None
 
         def solved():
-            names = [g[0] for g in group]
-            x = np.frombuffer(b"".join(names), np.uint64).reshape(-1, lanes + 1)[:, :lanes]
-            _, root = np.unique(np.array([g[1] for g in group], object), return_inverse=True)
-            a, b = [], []
-            for k in range(len(names)):
-                near = np.flatnonzero((np.bitwise_count(x[k + 1 :] ^ x[k]).sum(1, dtype=np.int64) <= radius) & (root[k + 1 :] != root[k])) + k + 1
-                a += [names[k]] * len(near)
-                b += [names[m] for m in near.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            prints = np.frombuffer(b"".join(names), np.uint64).reshape(-1, lanes + 1)[:, :lanes]
+            numbers: dict = {}
+            label = np.array([numbers.setdefault(r, len(numbers)) for r in roots])
+            found = _joined(np.ascontiguousarray(prints), label, sets, radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k, _ in found], pa.binary()), pa.array([names[m] for _, m in found], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for fp, root, *here in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if here != place and group:
-                    yield solved()
-                    group = []
-                place = here
-                group.append((fp, root))
-        if group:
+            for fp, root, whole, i, j, shingles in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), batch.column(2)):
+                if (whole, i, j) != place:
+                    if names:
+                        yield solved()
+                    names, roots, sets, place = [], [], [], (whole, i, j)
+                names.append(fp)
+                roots.append(root)
+                sets.append(shingles.values.to_numpy())
+        if names:
             yield solved()
 
-    return in_arrow(dealt, compare, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return in_arrow(dealt, compare, "a binary, b binary").distinct()
 
 
 def similar_texts(docs: DataFrame, words: int, lanes: int, radius: int, similarity: float) -> DataFrame:
     """As ``near_duplicates`` with sketch buckets, but a link needs the shingle sets' Jaccard similarity as well: the bit-sliced comparison finds candidates only.
 
-    Nodes are different texts (fingerprint and hash). Each bucket's forest of candidates is confirmed. Where one of its links fails, its sides may still be joined by
-    another pair: all candidates between different groups that are left in a bucket are then confirmed too, so that no link within the radius is lost.
+    Nodes are different texts (fingerprint and hash). Each bucket's forest of candidates is confirmed. Where some of its links fail, the sides may still be joined by
+    other pairs: in each set that candidates hold together the groups that are left meet once more, by their shingle sets, so that no link within the radius is lost.
     """
     made = written(fingerprints(docs, words, lanes, True), "fingerprints")
     node = F.concat("fp", F.unhex(F.lpad(F.hex("text_hash"), 16, "0")))
@@ -333,9 +372,10 @@ def similar_texts(docs: DataFrame, words: int, lanes: int, radius: int, similari
     sets = written(shingle_sets(once, words), "shingle-sets")
     good = written(confirmed(found, sets, similarity), "confirmed")
     if good.count() < found.count():
-        grouped = components(good)
-        rows = ends.join(reps.select("fp", "keys"), "fp").join(grouped.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode(F.array_distinct("keys")).alias("key"))
-        good = good.unionByName(written(confirmed(_other_pairs(written(rows, "mixed"), lanes, radius), sets, similarity), "confirmed-later"))
+        root_of = lambda links_, name: components(links_).select(F.col("node").alias("fp"), F.col("root").alias(name))
+        rows = written(ends.join(root_of(found, "whole"), "fp").join(root_of(good, "root"), "fp", "left").select("fp", "whole", F.coalesce("root", "fp").alias("root")), "groups")
+        rows = rows.withColumn("text_hash", _text_of_node("fp")).join(sets, "text_hash").select("fp", "whole", "root", "shingles")
+        good = good.unionByName(written(_between_groups(rows, lanes, radius, similarity), "confirmed-later"))
     reached = components(good)
     classes = written(reps.select("fp", "first").join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
     least = written(classes.groupBy("root").agg(F.min("first").alias("least")), "least")
