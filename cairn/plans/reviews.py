@@ -267,15 +267,15 @@ _TURN = f"(o_orderkey // {len(_PREDICATES)})"
 # counterparties control each other in half of the turns; in the others customers control customers or merchants
 _CONTROL = [("counterparty", "counterparty"), ("customer", "customer"), ("counterparty", "counterparty"), ("customer", "merchant")]
 _CONTROLS = lambda i: "CASE WHEN o_orderkey % {n} = {k} THEN CASE {t} % 4 {w} END ELSE {rest} END".format(n=len(_PREDICATES), k=_PREDICATES.index("CONTROLS"), t=_TURN, w=" ".join(f"WHEN {j} THEN '{kinds[i - 1]}'" for j, kinds in enumerate(_CONTROL)), rest=_CASES(i))
-_PLAYED = f"""n AS (SELECT greatest(7, count(*) // {10 * len(_PREDICATES)}) AS n FROM orders), played AS MATERIALIZED (SELECT {_CONTROLS(1)} || ':' || (o_custkey % n) AS s, {_CASES(0)} AS p, {_CONTROLS(2)} || ':' || (({_TURN} * 7 + {_TURN} // n * (1 + o_orderkey % {len(_PREDICATES)})) % n) AS o, 0.6 + (o_orderkey % 40) / 100.0 AS c0, o_orderkey AS k FROM orders, n),
+_PLAYED = f"""n AS (SELECT greatest(7, count(*) // {6 * len(_PREDICATES)}) AS n FROM orders), played AS MATERIALIZED (SELECT {_CONTROLS(1)} || ':' || (o_custkey % n) AS s, {_CASES(0)} AS p, {_CONTROLS(2)} || ':' || (({_TURN} * 7 + {_TURN} // n * (1 + o_orderkey % {len(_PREDICATES)})) % n) AS o, 0.6 + (o_orderkey % 40) / 100.0 AS c0, o_orderkey AS k FROM orders, n),
 good AS MATERIALIZED (SELECT s, p, o, k::VARCHAR AS id, round(c0, 2)::DOUBLE AS c, CASE WHEN k % 3 > 0 THEN 'M-' || (k % 3) END AS m FROM played)"""
 
 
 def roles(spark, folder) -> DataFrame:
-    """Every order is one fact: a predicate of the shipped rules between two of a tenth as many players as facts. Customers and turns deal the two, so that premises meet."""
+    """Every order is one fact: a predicate of the shipped rules between two of a sixth as many players as facts of a predicate. Customers and turns deal the two, so that premises meet."""
     o = S.read(spark, folder, "orders")
     players = len(_PREDICATES)
-    n = max(7, o.count() // (10 * players))
+    n = max(7, o.count() // (6 * players))
     k = F.col("o_orderkey")
     turn = F.floor(k / players)
     other = (turn * 7 + F.floor(turn / n) * (1 + k % players)) % n
