@@ -635,6 +635,17 @@ def g20_vector_first(spark, folder):
     return G.vector_first_answer(facts(spark, folder), v, v.where("vec_id = 0"))[0]
 
 
+_CHAINED = SQL["g11_chains"].partition(_ADJACENT)[2]
+
+
+@query(f"{WITH}, {_VECTOR_FIRST}, {walk_sql(1)}, f AS (SELECT facts.* FROM facts JOIN walked USING (assertion_id)), {_ADJACENT}{_CHAINED}")
+def g20_vector_first_chains(spark, folder):
+    """All chains in the walk from the nearest passages."""
+    v = passages(spark, folder)
+    found = G.vector_first_answer(facts(spark, folder), v, v.where("vec_id = 0"), kept=None)[1]
+    return found.select(F.array_join("assertion_ids", ",").alias("assertion_ids"), "length", "weakest")
+
+
 @query(f"WITH {_LADDER} SELECT d.k::VARCHAR AS assertion_id, d.up::VARCHAR AS premise, p.k IS NOT NULL AS known, coalesce(NOT p.closed, false) AS visible FROM d LEFT JOIN d p ON p.k = d.up WHERE d.up IS NOT NULL")
 def j13_provenance(spark, folder):
     f = ladder(spark, folder)

@@ -670,3 +670,14 @@ def s11_upserted_partitions(spark, folder):
     for _ in range(2):
         t.upsert(new, "vec_id", "version")
     return t.read().select("vec_id", "label", "version")
+
+
+@query(f"""{WITH}, {TX._COLUMNS}, {FA._WORDS_FIRST}, {FA._NEAREST}, e AS (SELECT subject_id AS node, object_id AS other FROM cf UNION ALL SELECT object_id, subject_id FROM cf),
+tables AS (SELECT DISTINCT node FROM e WHERE node LIKE 'table:%' AND contains(lower(regexp_replace(regexp_replace(node, '^[^:]*:', ''), '[-_.]', ' ', 'g') || ' ' || regexp_replace(regexp_replace(other, '^[^:]*:', ''), '[-_.]', ' ', 'g')), 'copper') ORDER BY node LIMIT 6)
+SELECT 'fact' AS part, assertion_id AS id, hop::INTEGER AS rank FROM found UNION ALL SELECT 'passage', vec_id::VARCHAR, row_number() OVER (ORDER BY score DESC, vec_id)::INTEGER FROM (SELECT * FROM sims WHERE document_id IN (FROM docs) ORDER BY score DESC, vec_id LIMIT 5)
+UNION ALL SELECT 'table', node, row_number() OVER (ORDER BY node)::INTEGER FROM tables""")
+def g19_answer_with_tables(spark, folder):
+    """The whole composition: one term finds facts, the other catalog tables."""
+    v = FA.passages(spark, folder)
+    question = spark.createDataFrame([(1, ["c 1 ", "copper"])], "question_id int, terms array<string>")
+    return G.graph_first_answer(facts(spark, folder).where("superseded_at IS NULL"), question, v, v.where("vec_id = 0"), C.facts(TX.scanned(spark, folder)))
