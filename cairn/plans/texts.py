@@ -185,6 +185,16 @@ def v1_knn(spark, folder):
     return V.knn(v.where("vec_id % 50 = 0"), v, 5, P.in_scope("t-alpha", None, ["M-5"]))
 
 
+@query(None)
+def v1_approximate(spark, folder):
+    """The same search by random projections, each hit with ``exact``: whether the exact search has it too."""
+    v = vectors(spark, folder)
+    queries, wall = v.where("vec_id % 50 = 0"), P.in_scope("t-alpha", None, ["M-5"])
+    near = V.ProjectionIndex(v).knn(queries, 5, wall)
+    exact = V.knn(queries, v, 5, wall).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    return near.join(exact, ["query_id", "vec_id"], "left").select("query_id", "vec_id", "score", "rank", F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 @query(f"""WITH {_UNIT}, s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (q.n * v.n), 6) AS score FROM u q, u v WHERE q.vec_id % 50 = 0 AND v.vec_id % 40 IN (1, 2, 3)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 3""")
 def j8_knn_in_documents(spark, folder):

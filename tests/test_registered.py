@@ -58,3 +58,24 @@ def test_loose_quotes(spark, sf):
 def test_relevant_tables(spark, sf):
     rows = QUERIES["v5_relevant_tables"](spark, sf).where("rank = 1").collect()
     assert {r.table_name for r in rows if r.question_id % 3 == 1} == {"orders"} and {r.table_name for r in rows if r.question_id % 3 == 0} == {"lineitem"}
+
+
+def test_approximate_neighbours(spark, sf):
+    """Recall of 0.9 or more against the exact search; ranks go by exact scores, inside the wall."""
+    rows = QUERIES["v1_approximate"](spark, sf).collect()
+    exact = {(r.query_id, r.vec_id): r.score for r in QUERIES["v1_knn"](spark, sf).collect()}
+    hits = [r for r in rows if r.exact]
+    assert len(hits) >= 0.9 * len(exact) and all(exact[r.query_id, r.vec_id] == r.score for r in hits) and {(r.query_id, r.vec_id) for r in hits} <= set(exact)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert all(x == sorted(x) and len(x) == 5 for x in by.values())
+
+
+def test_an_index_of_projections_takes_odd_vectors(spark):
+    from cairn.operators import vectors as V
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (None, [1.0, 0.0]), (5, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = V.ProjectionIndex(v.where("embedding IS NOT NULL")).knn(v.where("vec_id = 1"), 2).collect()
+    assert [(r.vec_id, r.rank) for r in sorted(found, key=lambda r: r.rank)][0] == (1, 1) and {r.vec_id for r in found} == {1, 2}
