@@ -91,8 +91,8 @@ def chains(facts: DataFrame, cap: int = FAN_OUT, longest: int = LONGEST, kept: i
     # walked from its first end where both ways exist: a full neighbourhood may know a step from one side only
     first = F.min_by(F.struct("nodes", "ids", "reversed", "weakest"), F.col("nodes")).alias("x")
     one = every.groupBy(F.least("nodes", F.reverse("nodes")).alias("key")).agg(first).select("key", "x.*", (F.size("key") - 1).alias("length"))
-    pieces = one.where("length > 2").select(F.col("length"), F.col("key"), F.explode(F.sequence(F.lit(2), F.col("length") - 1)).alias("n"))
-    pieces = pieces.select("key", "n", F.explode(F.sequence(F.lit(1), F.col("length") - F.col("n") + 1)).alias("k")).select(F.slice("key", F.col("k"), F.col("n") + 1).alias("key"))
+    # one step less at either end; shorter pieces are pieces of those, which are here as well
+    pieces = one.where("length > 2").select(F.explode(F.array(F.slice("key", F.lit(1), F.col("length")), F.slice("key", F.lit(2), F.col("length")))).alias("key"))
     pieces = pieces.select(F.least("key", F.reverse("key")).alias("key")).distinct()
     turn = F.reverse("ids") < F.col("ids")
     shown = lambda c, back: F.when(turn, back).otherwise(F.col(c))
