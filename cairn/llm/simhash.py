@@ -251,7 +251,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py(), words)])).view(np.int64) for t in batch.column(1)]
+            # sorted as the signed numbers that they travel as: they are searched in
+            sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t.as_py(), words)]).view(np.int64)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
     return in_arrow(docs, run, "text_hash long, shingles array<long>")

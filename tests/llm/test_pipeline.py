@@ -150,6 +150,36 @@ def test_links_are_confirmed(spark, monkeypatch):
     assert 10 < len(set(want)) < 60
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_meet_by_their_sets(seed):
+    """Against all pairs, on shingle hashes of both signs: whatever groups there were, those that a link joins are one."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 60)
+    sets, n = [np.empty(0, np.int64), np.empty(0, np.int64)], 40
+    for _ in range(n - 2):
+        x = base.copy()
+        k = rng.integers(1, 14)
+        x[rng.choice(60, k, replace=False)] = rng.integers(-(1 << 63), (1 << 63) - 1, k)
+        sets.append(np.unique(x))
+    label = rng.integers(0, 30, n)
+    prints = rng.integers(0, 1 << 10, (n, 4), dtype=np.uint64)
+
+    def joined(links):
+        out = label.copy()
+        for a, b in links:
+            out[out == out[b]] = out[a]
+        return [out.tolist().index(x) for x in out.tolist()]
+
+    alike = [(i, j) for i, j in combinations(range(n), 2) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))]
+    links = simhash._joined(prints, label, sets, 256, 0.8)
+    assert joined(links) == joined(alike) and set(map(frozenset, links)) <= set(map(frozenset, alike)) and len(links) < n
+
+
+def test_shingle_sets_are_sorted(spark):
+    rows = simhash.shingle_sets(spark.createDataFrame([(1, PROSE * 3), (2, "")], "text_hash long, text string"), 5).collect()
+    assert all(r.shingles == sorted(set(r.shingles)) for r in rows) and min(rows[0].shingles) < 0 < max(rows[0].shingles)
+
+
 def test_registered(spark, sf):
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "tokens"]
     assert PROSE and P.run(spark, sf).count() > 0
