@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the weights (idf).
-2. The benchmark is dealt into blocks of about ``RANK`` TF-IDF rows: each item, and the passages of items of over ``LONG`` words. A
-   randomised SVD of each block (a product with a random sign matrix, orthonormalised, refined by power steps) finds its right
-   singular vectors. The rank is the block's number of rows, so that its rows lie in the latent space and lose nothing in it,
-   however many items the benchmark has.
+2. The benchmark is dealt into blocks of about ``ROWS`` TF-IDF rows: each item, and the passages of items of over ``LONG`` words. A
+   randomised SVD of each block (a product with a random sign matrix, orthonormalised, refined by power steps) finds its leading right
+   singular vectors, half as many as it has rows: words that stand together in items fall together. A row of which they keep less than
+   ``KEEP`` adds the direction of what is left, so that no item is lost, however unlike the others it is.
 3. Every document is cut into overlapping passages of 32 words. A passage's latent vector is a sum of word vectors, so blocks of
-   16 words are added once and pairs of neighbours make the passages. A passage whose part in the latent space is below
-   the cosine threshold is dropped before it is compared with any item. A passage that holds most of an item's own weight is
+   16 words are added once and pairs of neighbours make the passages. A passage's length along an item's latent direction, over the
+   passage's whole length, is compared with what an exact copy has, as the space keeps less of some items than of others. A passage with too small a part in the latent
+   space is dropped before it is compared with any item. A passage that holds most of an item's own weight is
    compared too, as common words between rare ones have a small cosine.
 4. Candidates are checked in the text: the longest common subsequence of the item's words and the words around the passage. Most of the
    item in order is a leak; a paraphrase with less needs the item's answer (its last words) as well.
@@ -29,6 +30,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from .common import has, in_arrow, text_of, written
 from .toxicity import keep_rows
 
 BUCKETS = 1 << 18
-RANK = 256  # rows of a block, about: the rank is their number
+ROWS = 256  # of a block, about
+RANK = 0.5  # directions for each of its rows
+KEEP = 0.25  # of a row's squared length, at least, lies in the latent space
 OVERSAMPLE = 16
 POWER_STEPS = 2
 GROUP = 16  # blocks of items that a task holds
@@ -130,7 +134,7 @@ class Basis:
 
 
 def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> Basis:
-    """The leading right singular vectors of a block's TF-IDF rows; with a rank of their number, all of them."""
+    """The leading right singular vectors of a block's TF-IDF rows, then directions for the rows that these keep less than ``KEEP`` of."""
     at = np.full(BUCKETS, -1, np.int32)
     if not rows:
         return Basis(at, np.zeros((1, 1), np.float32))
@@ -144,8 +148,12 @@ def randomised_svd(rows: list[tuple[np.ndarray, np.ndarray]], rank: int) -> Basi
         q = np.linalg.qr(table.T @ np.linalg.qr(table @ q)[0])[0]
     _, size, turn = np.linalg.svd(table @ q, full_matrices=False)
     # strongest directions first
-    q = q @ turn[size > size[0] * 1e-6].T
-    return Basis(at, np.ascontiguousarray(q[:, :rank]).astype(np.float32))
+    q = (q @ turn[size > size[0] * 1e-6].T)[:, :rank]
+    poor = table[((table @ q) ** 2).sum(1) < KEEP]
+    if len(poor):
+        _, size, more = np.linalg.svd(poor - poor @ q @ q.T, full_matrices=False)
+        q = np.hstack([q, more[size > size[0] * 1e-6].T])
+    return Basis(at, np.ascontiguousarray(q).astype(np.float32))
 
 
 def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
@@ -191,7 +199,8 @@ class Searcher:
     ids: list
     items: list[list[bytes]]
     of: np.ndarray  # the item of each row
-    latent: np.ndarray  # rows x rank, of the unit vectors of items and passages
+    latent: np.ndarray  # rows x rank: directions of items and passages
+    kept: np.ndarray  # of the rows' unit vectors: their lengths in the latent space
     basis: Basis
     weight: np.ndarray
     sizes: np.ndarray  # of the rows' vectors before they were made unit vectors
@@ -214,7 +223,7 @@ class Searcher:
         self.buckets = _Buckets()
 
     def candidates(self, words: list[list[bytes]], read: Passages | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first word, item and cosine of the passages within the threshold, best first."""
+        """Document, first word, item and cosine (1 for a copy) of the passages within the threshold, best first."""
         read = read or Passages(words, self.weight, self.buckets)
         first, bucket, block, weight, n = read.first, read.bucket, read.block, read.weight, read.n
         owner, joined, two, whole_energy = read.owner, read.joined, read.two, read.energy
@@ -222,7 +231,8 @@ class Searcher:
         # a sum of vectors is no longer than the sum of their lengths: most passages end here, before any vector is added
         bound = np.bincount(block, weight * np.where(row >= 0, self.lengths[row], 0.0), n)
         bound[two] += bound[two + 1].copy()
-        least = np.minimum(self.cosine**2 * np.maximum(whole_energy, 1e-9), (HELD * self.sizes.min(initial=np.inf)) ** 2)
+        enough, held = self.cosine * self.kept, HELD * self.sizes * self.kept
+        least = np.minimum(enough.min(initial=1.0) ** 2 * np.maximum(whole_energy, 1e-9), held.min(initial=np.inf) ** 2)
         may = bound**2 >= least
         needed = may.copy()
         needed[1:] |= may[:-1] & joined[:-1]
@@ -242,8 +252,8 @@ class Searcher:
             for j in range(0, len(self.latent), 4096):
                 part = whole[some] @ self.latent[j : j + 4096].T
                 cos = part / np.sqrt(np.maximum(whole_energy[some], 1e-9))[:, None]
-                p, i = np.nonzero((cos >= self.cosine) | (part >= HELD * self.sizes[j : j + 4096]))
-                out.append((some[p], self.of[i + j], cos[p, i]))
+                p, i = np.nonzero((cos >= enough[j : j + 4096]) | (part >= held[j : j + 4096]))
+                out.append((some[p], self.of[i + j], np.minimum(cos[p, i] / self.kept[i + j], 1)))
         if not out:
             return (np.zeros(0, int),) * 4
         p, i, c = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -288,23 +298,24 @@ class Searchers(Sequence):
     def _load(self, made: dict) -> Searcher:
         at = np.full(BUCKETS, -1, np.int32)
         at[made["seen"]] = np.arange(len(made["seen"]))
-        return Searcher(made["ids"], made["items"], made["of"], made["latent"], Basis(at, made["rows"]), self.weight, made["sizes"], self.cosine)
+        return Searcher(made["ids"], made["items"], made["of"], made["latent"], made["kept"], Basis(at, made["rows"]), self.weight, made["sizes"], self.cosine)
 
 
 def _made(ids: list, items: list[list[bytes]], weight: np.ndarray) -> dict:
     """What a searcher of these items is loaded from."""
     buckets = _Buckets()
     rows = [(j, tfidf(p, weight, buckets)) for j, w in enumerate(items) for p in passages_of(w)]
-    basis = randomised_svd([r[:2] for _, r in rows], len(rows))
+    basis = randomised_svd([r[:2] for _, r in rows], ceil(RANK * len(rows)))
     latent = np.zeros((len(rows), basis.rows.shape[1]), np.float32)
     for k, (_, (b, w, _)) in enumerate(rows):
         latent[k] = w @ basis.of(b)
+    kept = np.linalg.norm(latent, axis=1)
     seen = np.flatnonzero(basis.at >= 0)
-    return {"ids": ids, "items": items, "of": np.array([j for j, _ in rows], np.int64), "latent": latent, "seen": seen[np.argsort(basis.at[seen])], "rows": basis.rows, "sizes": np.array([r[2] for _, r in rows], np.float32)}
+    return {"ids": ids, "items": items, "of": np.array([j for j, _ in rows], np.int64), "latent": latent / kept[:, None], "kept": kept, "seen": seen[np.argsort(basis.at[seen])], "rows": basis.rows, "sizes": np.array([r[2] for _, r in rows], np.float32)}
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE, block_items: int = RANK) -> Searchers:
-    """One searcher for each block of about ``rank`` rows and at most about ``block_items`` items, dealt by a hash and made by a task each."""
+def searchers(docs: DataFrame, benchmark: DataFrame, rows: int = ROWS, cosine: float = COSINE, block_items: int = ROWS) -> Searchers:
+    """One searcher for each block of about ``rows`` rows and at most about ``block_items`` items, dealt by a hash and made by a task each."""
     has(docs, "doc_id", "text")
     has(benchmark, "item_id", "text")
     weight = idf(docs)
@@ -323,7 +334,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: f
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"), F.xxhash64("item_id", "text").alias("hash"))
     items = written(in_arrow(items, count, "item_id long, text string, hash long, lines long").where("lines > 0"), "benchmark-items")
     size = items.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.count("*").alias("n")).first()
-    n = max(1, -(-size.lines // rank), -(-size.n // block_items))
+    n = max(1, -(-size.lines // rows), -(-size.n // block_items))
     dealt = items.select(F.pmod("hash", F.lit(n)).alias("block"), "item_id", "text")
     return Searchers(written(dealt.groupBy("block").applyInArrow(make, "block long, made binary"), "searchers"), weight, cosine)
 

@@ -95,13 +95,33 @@ def test_decontamination_paraphrases(spark, leaks):
     assert got == want
 
 
-def test_latent_space_matches_exact_cosines(spark, leaks):
-    """With the rank above the number of items nothing is lost: latent cosines are the TF-IDF cosines."""
-    docs, items, (found,) = leaks
-    assert found.basis.rows.shape[1] <= decontaminate.RANK
+def test_latent_space_has_half_the_rank_and_loses_no_item(spark, leaks):
+    found = leaks[2][0]
     q = found.basis.rows[np.unique(found.basis.at[found.basis.at >= 0])]
+    assert len(found.latent) / 2 <= q.shape[1] < len(found.latent)
     assert np.allclose(q.T @ q, np.eye(q.shape[1]), atol=1e-3)
     assert np.allclose(np.linalg.norm(found.latent, axis=1), 1, atol=1e-2)
+    assert found.kept.min() ** 2 >= decontaminate.KEEP - 1e-3 and np.median(found.kept) < 0.99
+
+
+def test_an_item_unlike_all_others_stays_in_the_latent_space():
+    weight = np.ones(decontaminate.BUCKETS, np.float32)
+    alike = [[b"a", b"b", b"c%d" % k] for k in range(9)]
+    made = decontaminate._made(list(range(10)), [*alike, [b"x", b"y", b"z"]], weight)
+    assert made["rows"].shape[1] < 10 and made["kept"].min() ** 2 >= decontaminate.KEEP - 1e-3
+    found = decontaminate.Searchers._load(type("Loaded", (), {"weight": weight, "cosine": decontaminate.COSINE})(), made)
+    assert [set(h) for h in found.search(["x y z", "lorem ipsum " * 6 + "X, y z. " + "dolor sit " * 6, "lorem ipsum"])] == [{9}, {9}, set()]
+
+
+def test_latent_cosine_joins_words_that_no_item_shares():
+    """``lorry`` and ``truck`` stand beside the same words: an item with one is near to a text with the other, which TF-IDF calls unlike."""
+    weight = np.ones(decontaminate.BUCKETS, np.float32)
+    items = [[b"lorry", b"road"], [b"truck", b"road"], [b"bread", b"oven"], [b"roll", b"oven"]]
+    made = decontaminate._made(list(range(4)), items, weight)
+    found = decontaminate.Searchers._load(type("Loaded", (), {"weight": weight, "cosine": decontaminate.COSINE})(), made)
+    _, _, near, _ = found.candidates([[b"truck"]])
+    assert sorted(near.tolist()) == [0, 1]
+    assert made["rows"].shape[1] == 2
 
 
 def test_common_subsequence():
