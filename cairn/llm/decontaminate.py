@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -207,6 +208,7 @@ class Searcher:
     cosine: float = COSINE
     _lengths: np.ndarray | None = None
     buckets: _Buckets = field(default_factory=_Buckets, repr=False)
+    _counts: list[Counter] | None = None
 
     @property
     def lengths(self) -> np.ndarray:
@@ -215,8 +217,15 @@ class Searcher:
             self._lengths = np.linalg.norm(self.basis.rows, axis=1)
         return self._lengths
 
+    @property
+    def counts(self) -> list[Counter]:
+        """How often each item has each of its words."""
+        if self._counts is None:
+            self._counts = [Counter(w) for w in self.items]
+        return self._counts
+
     def __getstate__(self):
-        return self.__dict__ | {"buckets": None}
+        return self.__dict__ | {"buckets": None, "_counts": None}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -272,6 +281,10 @@ class Searcher:
                 continue
             item = self.items[i]
             around = words[d][max(0, at - len(item)) : at + 2 * BLOCK + len(item)]
+            # no subsequence is longer than what both have in any order
+            count = self.counts[i]
+            if sum(count[w] for w in count.keys() & around) < PARAPHRASE * len(item):
+                continue
             share = common_subsequence(item, around) / len(item)
             if share >= LEAK or share >= PARAPHRASE and common_subsequence(item[-ANSWER_WORDS:], around) >= ANSWER * len(item[-ANSWER_WORDS:]):
                 found[d][i] = (share, c)
