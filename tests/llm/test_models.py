@@ -303,6 +303,18 @@ def test_version_numbers_and_names_decide():
     assert all(told(t) == [n] for n, t in fixed)
 
 
+def test_licenses_in_clauses_and_identifier_lines():
+    fixed = tuple(sorted(licenses.TEMPLATES.items()))
+    told = lambda text: [(r[2], text[r[0] : r[1]]) for r in licenses.scan(text, fixed)]
+    long = "Our tool, which many people in many countries use at home, {} and hosted online with a forum of its own for everybody."
+    for name, wording in (("MIT", "is released under the MIT License"), ("GPL-3.0", "is licensed under the GNU General Public License, version 3"), ("CC-BY-NC-4.0", "is licensed under CC BY-NC 4.0")):
+        assert told(long.format(wording)) == [(name, wording.removeprefix("is "))]
+    for name in licenses.TEMPLATES:
+        assert [n for n, _ in told(f"# SPDX-License-Identifier: {name}\nimport os\n")] == [name]
+    for text in ("The license, as they said, and the library of the town, gave permission.", "Without a license, he said, it is no good and the Apache tribe has no license.", "The MIT, where many study, has a license to sell beer."):
+        assert told(text) == [], text
+
+
 def test_license_ranking_by_single_compressions():
     """Every template's saving on parts of every template, against compressions made one by one."""
     import zstandard
