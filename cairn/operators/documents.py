@@ -144,12 +144,15 @@ def page_of(pages: Column, at: Column) -> Column:
 
 
 def enrichment(proposals: DataFrame, columns: DataFrame, synonyms: int = 8, topics: int = 6) -> DataFrame:
-    """Proposed catalog claims (node, column_name, kind, value, position) for known columns, capped by kind: PENDING at 0.8, with a shared id per description."""
+    """Proposed catalog claims (node, column_name, kind, value, position) for known columns, capped by kind: PENDING at 0.8, with a shared id per description.
+
+    A value that is proposed more than once stands at its first position.
+    """
     from pyspark.sql import Window as W
 
     known = proposals.join(columns.select("node", "column_name"), ["node", "column_name"], "left_semi")
     n = F.row_number().over(W.partitionBy("node", "column_name", "kind").orderBy("position", "value"))
-    kept = known.dropDuplicates(["node", "column_name", "kind", "value"]).withColumn("n", n)
+    kept = known.groupBy("node", "column_name", "kind", "value").agg(F.min("position").alias("position")).withColumn("n", n)
     kept = kept.where((F.col("kind") == "description") | (F.col("kind") == "synonym") & (F.col("n") <= synonyms) | (F.col("kind") == "topic") & (F.col("n") <= topics))
     target = F.when(F.col("kind") == "description", F.concat(F.lit("description:"), F.substring(F.sha2("value", 256), 1, 16))).otherwise(F.concat("kind", F.lit(":"), T.slug(F.col("value"))))
     return kept.select("node", "column_name", "kind", target.alias("object_id"), F.lit("PENDING").alias("review_state"), F.lit(0.8).alias("confidence"))

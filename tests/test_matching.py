@@ -54,3 +54,11 @@ def test_cut_points_and_chunks():
     spans = D.chunk_spans(text, 600, 100)
     assert spans[0] == (0, 506)
     assert all(b - a <= 600 and not text[a].isspace() for a, b in spans) and spans[-1][1] == len(text)
+
+
+def test_a_value_proposed_twice_stands_at_its_first_position(spark):
+    """Eight synonyms are kept: of nine the one that comes last, not one whose later copy a task met first."""
+    cols = spark.createDataFrame([("t", "c")], "node string, column_name string")
+    rows = [("t", "c", "synonym", "a", 99)] + [("t", "c", "synonym", f"w{k}", k) for k in range(2, 10)] + [("t", "c", "synonym", "a", 1)]
+    said = spark.createDataFrame(rows, "node string, column_name string, kind string, value string, position int").coalesce(1)
+    assert {r.object_id for r in D.enrichment(said, cols).collect()} == {"synonym:a"} | {f"synonym:w{k}" for k in range(2, 9)}
