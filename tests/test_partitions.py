@@ -47,3 +47,17 @@ def test_upsert_reads_and_writes_its_partitions(spark, tmp_path):
     new = spark.createDataFrame([(0, "t0", 99), (3, "t0", 1), (300, "t0", 5)], "id long, tenant string, n long")
     assert t.upsert(new, "id", "n") == {"t0": 11} and others(t, "t0") == before
     assert {r.id: r.n for r in t.read("t0").collect()} == {k: 2 * k for k in range(0, 30, 3)} | {0: 99, 300: 5}
+
+
+def test_the_fact_table_is_written_without_a_sort(spark, sf, monkeypatch):
+    """A task holds a file for each tenant open; with Spark's default it sorts all its rows by tenant."""
+    from pyspark.sql import DataFrameWriter
+    from cairn.sources import derived
+
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    monkeypatch.setattr(derived, "_STORED", {})
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(int(spark.conf.get(name, "0"))), plain(self, *a, **k))[1])
+    before = spark.conf.get(name, "0")
+    assert derived.facts(spark, sf).select("tenant_id").distinct().count() == 2
+    assert seen and min(seen) >= 2 and spark.conf.get(name, "0") == before
