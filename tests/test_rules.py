@@ -246,6 +246,54 @@ def test_search_by_index(spark):
         assert got == want and got
 
 
+def test_search_reads_the_facts_in_place(spark, monkeypatch):
+    """Against plain containment, in one block of questions and in several; nothing is stored, and no fact is shuffled."""
+    words = ["acme", "acme-union", "ion", "un", "or", "orders", "rder", "zz", "a1b2", "1b"]
+    rows = [fact(str(k), f"party:{words[k % 10]}", "PLACED_ORDER" if k % 2 else "KNOWS", f"order:{words[(k * 3 + 1) % 10]}") for k in range(40)]
+    hay = {r[9]: f"{r[1][6:]} {r[3][6:]} {r[2]}".replace("-", " ").replace("_", " ").lower() for r in rows}
+    terms = [*words, "union ion", "n k", " ", "", "placed order", "e", "acme union or", "no such phrase", "ion un", None]
+    facts = table(spark, rows)
+    monkeypatch.setattr(G, "stored", None)
+    for n, block in ((1, 100), (60, 100), (60, 7)):
+        monkeypatch.setattr(G, "ASKED", block)
+        q = [(k, [terms[k % 20], terms[(k * 7 + 3) % 20], terms[k % 20]]) for k in range(n)]
+        found = G.search(facts, spark.createDataFrame(q, "question_id int, terms array<string>"))
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        want = sorted((k, i, tuple(t for t in ts if t is not None and t in h)) for k, ts in q for i, h in hay.items() if any(t is not None and t in h for t in ts))
+        assert sorted((r.question_id, r.assertion_id, tuple(r.matched)) for r in found.collect()) == want and want
+        each = spark.createDataFrame([(t,) for t in set(terms)], "term string")
+        got = sorted((r.assertion_id, r.term) for r in G.containing(G.worded(facts), each).collect())
+        assert got == sorted((i, t) for i, h in hay.items() for t in set(terms) if t is not None and t in h)
+    assert G.search(facts, spark.createDataFrame([(1, [None]), (2, [])], "question_id int, terms array<string>")).count() == 0
+
+
+def test_few_hits_are_ranked(spark):
+    """The k best of many hits, with ties, odd confidences and ids: a bound drops most hits before they are sorted."""
+    import random
+
+    r = random.Random(3)
+    rows = [(q, f"{r.choice(['', 'é', 'ab'])}{r.randrange(10**6):x}-{k}", ["t"] * r.choice([1, 1, 1, 2]), r.choice([1.0, 1.0, 0.5, 0.0, -1.0, 7.0, None])) for q in range(3) for k in range((9, 400, 3000)[q])]
+    hits = spark.createDataFrame(rows, "question_id int, assertion_id string, matched array<string>, confidence double")
+    first = lambda q: sorted((x for x in rows if x[0] == q), key=lambda x: (-len(x[2]), -(-99 if x[3] is None else x[3]), x[1].encode()))[:25]
+    got = G.top_hits(hits, 25)
+    assert {(x.question_id, x.assertion_id, x.rank) for x in got.collect()} == {(q, x[1], k + 1) for q in range(3) for k, x in enumerate(first(q))}
+    assert "coarse" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walks_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    """The same hops whether nodes are sent to every task or facts are shuffled by their ends."""
+    from cairn.operators import session
+
+    rows = [fact(str(k), f"n:{k * 5 % 23}", "P", f"n:{k * 7 % 31}", doc=f"d{k % 9}" if k % 3 else None) for k in range(60)]
+    seeds = spark.createDataFrame([("n:5",), ("document:d4",), ("d7",)], "node string")
+    got = []
+    for limit in (1000, 0):
+        monkeypatch.setattr(session, "SENT", limit)
+        for by_document in (True, False):
+            got.append(sorted((r.assertion_id, r.hop) for r in G.expand(table(spark, rows), seeds, 3, by_document).collect()))
+    assert got[:2] == got[2:] and len(set(got[0])) == len(got[0]) > 20
+
+
 @pytest.mark.parametrize(("nodes", "edges", "first"), [(9, 30, 2), (40, 60, 4), (6, 5, 64), (30, 12, 64)])
 def test_top_chains_are_the_first_of_all(spark, nodes, edges, first):
     import random
