@@ -349,3 +349,27 @@ def test_proof_tree_keeps_gaps(spark):
     seen = spark.createDataFrame([("r",), ("a",), ("c",)], "assertion_id string")
     got = {(r.assertion_id, r.level, r.visible) for r in G.proof_tree(d, d.where("assertion_id = 'r'"), visible=seen).collect()}
     assert got == {("r", 0, True), ("a", 1, True), ("b", 1, False), ("c", 2, True)}
+
+
+def test_facts_of_some_predicates_are_those_of_the_table(spark, sf):
+    """Tables that make no fact of the predicates are not read."""
+    from cairn.sources import derived
+
+    whole, some = derived.facts(spark, sf), derived.facts(spark, sf, predicates=("CONTROLS", "INVESTIGATES"))
+    want = sorted(map(tuple, whole.where("predicate IN ('CONTROLS', 'INVESTIGATES')").select(*some.columns).collect()), key=repr)
+    assert sorted(map(tuple, some.collect()), key=repr) == want and want
+    plan = derived.made(spark, sf).where("predicate IN ('CONTROLS', 'INVESTIGATES')")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "o_orderkey" not in plan
+
+
+def test_touched_facts_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    from cairn.operators import session
+
+    rows = [fact(str(k), f"n:{k % 11}", "P", f"n:{k % 7}", matter=f"M-{k % 5}" if k % 2 else None, doc=f"d{k % 9}" if k % 3 else None) for k in range(60)]
+    seeds, got = spark.createDataFrame([("3",), ("n:5",), ("document:d4",), ("matter:M-3",), ("",), ("3",)], "node string"), []
+    for limit in (1000, 0):
+        monkeypatch.setattr(session, "SENT", limit)
+        found = G.touched(table(spark, rows), seeds)
+        assert limit == 0 or "hashpartitioning(assertion_id" not in found._jdf.queryExecution().executedPlan().toString()
+        got.append(sorted(map(tuple, found.collect()), key=repr))
+    assert got[0] == got[1] and 20 < len(got[0]) < 60
