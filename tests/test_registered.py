@@ -79,3 +79,26 @@ def test_an_index_of_projections_takes_odd_vectors(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = V.ProjectionIndex(v.where("embedding IS NOT NULL")).knn(v.where("vec_id = 1"), 2).collect()
     assert [(r.vec_id, r.rank) for r in sorted(found, key=lambda r: r.rank)][0] == (1, 1) and {r.vec_id for r in found} == {1, 2}
+
+
+def test_search_multiplies_blocks_and_pairs_no_rows(spark):
+    """Copies, zero, null, broken and infinite vectors, other widths and several blocks of queries rank as by a fold over each pair; no join makes the pairs."""
+    import random
+
+    from pyspark.sql import Window as W, functions as F
+
+    from cairn.operators import vectors as V
+
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 360)]
+    rows += [(360, None), (361, [1.0, None] * 4), (362, [float("nan")] * 8), (363, [float("inf")] + [0.0] * 7), (364, [0.0] * 8), (365, [1.0, 2.0]), (366, [3.0, 1.0]), (367, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 5 = 0 OR vec_id > 355")
+    got = V.knn(asked, v, 4, F.col("vec_id") % 3 != 0, block=20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    pairs = V.unit(asked).select(F.col("vec_id").alias("query_id"), F.col("unit").alias("q")).crossJoin(V.unit(v.where("vec_id % 3 <> 0")).select("vec_id", "unit"))
+    pairs = pairs.withColumn("score", F.round(F.aggregate(F.zip_with("unit", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6))
+    want = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 4")
+    shown = lambda df: sorted((x.query_id, x["rank"], x.vec_id, str(x.score)) for x in df.collect())
+    assert shown(got) == shown(want)
