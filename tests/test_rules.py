@@ -373,3 +373,20 @@ def test_touched_facts_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
         assert limit == 0 or "hashpartitioning(assertion_id" not in found._jdf.queryExecution().executedPlan().toString()
         got.append(sorted(map(tuple, found.collect()), key=repr))
     assert got[0] == got[1] and 20 < len(got[0]) < 60
+
+
+def test_hits_are_counted_without_a_sort(spark):
+    """Ids that begin alike, short and missing ones: the least of each term is the true one, and no hit is sorted or shuffled as it is."""
+    rows = [(f"aaaaaaaaaa{k % 7}{k}" if k % 3 else f"é{k}", f"word {k % 5} x") for k in range(60)] + [("aa", "word 1 x"), ("", "word 2 x"), (None, "only here"), (None, "word 3 x")]
+    facts = spark.createDataFrame(rows, "assertion_id string, hay string")
+    terms = spark.createDataFrame([(w,) for w in ("word", "1", "d 2", "3 x", "only", "4", "none")], "term string")
+    hits = G.containing(facts, terms).collect()
+    want = {w: (sum(h.term == w for h in hits), min((h.assertion_id for h in hits if h.term == w and h.assertion_id is not None), default=None, key=lambda s: s.encode())) for w in {h.term for h in hits}}
+    ran, write = [], G.stored
+    G.stored = lambda df, what, *by: (ran.append(df._jdf.queryExecution().executedPlan().toString()), write(df, what, *by))[1]
+    try:
+        got = G.counted(facts, terms)
+    finally:
+        G.stored = write
+    assert {r.term: (r.facts, r["first"]) for r in got.collect()} == want and want["only"] == (1, None) and want["d 2"][1] == ""
+    assert "HashAggregate" in ran[0] and "SortAggregate" not in ran[0]
