@@ -390,3 +390,16 @@ def test_hits_are_counted_without_a_sort(spark):
         G.stored = write
     assert {r.term: (r.facts, r["first"]) for r in got.collect()} == want and want["only"] == (1, None) and want["d 2"][1] == ""
     assert "HashAggregate" in ran[0] and "SortAggregate" not in ran[0]
+
+
+def test_chains_of_an_answer_shuffle_no_fact_for_the_walk(spark):
+    facts = table(spark, [fact(str(k), f"n:{k}", "KNOWS", f"n:{k + 1}", doc="d0" if k < 4 else None) for k in range(9)])
+    v = spark.createDataFrame([(0, [1.0, 0.0], "d0", None), (1, [0.0, 1.0], "d1", None)], "vec_id long, embedding array<double>, document_id string, matter_id string")
+    walked, found = G.vector_first_answer(facts, v, v.where("vec_id = 0"), k=1)
+    assert {r.assertion_id for r in walked.collect()} == {"0", "1", "2", "3"} and [r.assertion_ids for r in found.collect()] == [["0", "1", "2", "3"]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.vector_first_answer(facts, v, v.where("vec_id = 0"), k=1)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [assertion_id" in plan and "LeftSemi, BuildRight" in plan
