@@ -56,3 +56,17 @@ def test_states_from_snapshots(spark, tmp_path):
     assert read and all("2024-01-20" <= f.split("day=")[1][:10] <= "2024-01-25" for f in read)
     for t in ("2024-01-05 00:00:00", "2024-01-10 12:00:00", "2024-01-15 06:00:00", "2024-01-31 00:00:00"):
         assert sorted(map(str, log.fold(facts, t).collect())) == sorted(map(str, L.fold(facts, events, t).collect()))
+
+
+def test_a_snapshot_answers_for_its_own_moment(spark, tmp_path):
+    """No event is read or merged again for the moment of a snapshot."""
+    from cairn.operators import lifecycle as L
+
+    log = L.EventLog(spark, str(tmp_path / "log"))
+    rows = [("a", "approve", 5), ("b", "reject", 7), ("a", "reject", 9)]
+    e = spark.createDataFrame(rows, "assertion_id string, event string, seq long")
+    log.append(e.selectExpr("assertion_id", "event", "timestamp_seconds(1704067200 + seq * 86400) AS at", "seq", "CAST(NULL AS STRING) AS matter_id", "false AS descriptive"))
+    log.snapshot("2024-01-09 00:00:00")
+    states = log.states("2024-01-09 00:00:00")
+    assert {(r.assertion_id, r.decided.event) for r in states.collect()} == {("a", "approve"), ("b", "reject")}
+    assert "Exchange" not in states._jdf.queryExecution().executedPlan().toString()
