@@ -306,6 +306,19 @@ def test_top_chains_are_the_first_of_all(spark, nodes, edges, first):
     assert got == every and (edges < 20 or got)
 
 
+def test_ties_of_top_chains_are_not_all_built(spark):
+    """A thousand stars joined in a ring, all steps equally firm: the first chains by id come without the rest, also beside few firmer ones."""
+    rows = [fact(f"{(k * 37) % 5003:05d}", f"hub:{k % 400}", "KNOWS", f"leaf:{k}") for k in range(1600)]
+    rows += [fact(f"{(k * 37) % 5003:05d}", f"hub:{k - 1600}", "KNOWS", f"hub:{(k - 1599) % 400}") for k in range(1600, 2000)]
+    firm = [fact(f"z{k}", f"far:{k}", "KNOWS", f"far:{k + 1}", conf=0.99) for k in range(6)]
+    for some in (rows, rows + firm):
+        every = G.chains(table(spark, some), kept=None)
+        want = [tuple(x) for x in G.chains(table(spark, some)).collect()]
+        got = G.top_chains(table(spark, some), first=16).collect()
+        assert [tuple(x)[:-1] for x in got] == want
+        assert got[0].built < every.count() / 4
+
+
 def test_a_small_vocabulary_is_broadcast(spark, monkeypatch):
     """Facts are not shuffled by predicate, and only the vocabulary's predicates are read; a larger vocabulary is left to the optimizer."""
     from cairn.operators import session
