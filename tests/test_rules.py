@@ -127,6 +127,16 @@ def test_a_dense_graph_is_walked_from_the_bound_ends(spark):
     assert R.infer([rule], facts).count() > 100
 
 
+def test_a_variable_of_one_premise_multiplies_no_proofs(spark):
+    """Forty counsels of each party: the affiliates are joined with one row a party, and the first counsel's fact is in the proof."""
+    rows = [fact(f"r{q}-{k:02d}", f"counsel:{k}", "REPRESENTS", f"party:{q}") for q in range(3) for k in range(40)]
+    rows += [fact(f"a{q}", f"party:{q}", "AFFILIATE_OF", f"party:{q + 1}") for q in range(3)] + [fact(f"v{k}", f"matter:{k}", "ADVERSE_TO", "party:3") for k in range(5)]
+    rule, facts = RULE["conflict_via_affiliate"], table(spark, rows)
+    assert R.proofs(rule, facts).count() == 3 * 5
+    assert R.proofs(rule, facts, facts.where("predicate = 'REPRESENTS'")).count() == 3 * 5
+    assert proved(R.infer([rule], facts)) == every_proof([rule], facts)
+
+
 def test_one_conclusion_of_two_rules_is_one_fact(spark):
     """Whatever the order of the rules: the proof of fewest facts stands, then the first by premises."""
     rows = [fact("5", "counsel:a", "REPRESENTS", "party:n"), fact("6", "matter:x", "ADVERSE_TO", "party:n"), fact("1", "party:n", "AFFILIATE_OF", "party:c"), fact("2", "matter:x", "ADVERSE_TO", "party:c")]
@@ -211,6 +221,34 @@ def test_chain_of_three(spark):
     assert [(r.length, r.assertion_ids) for r in got] == [(3, ["1", "2", "3"])]
 
 
+@pytest.mark.parametrize(("nodes", "edges", "cap"), [(9, 30, 2), (30, 45, 1), (14, 25, 12)])
+def test_chains_against_all_paths(spark, nodes, edges, cap):
+    """Also where a full neighbourhood knows a step from one side only. Paths aren't shuffled to be told apart."""
+    import random
+
+    r = random.Random(nodes)
+    facts = table(spark, [fact(f"{k * 7 % 1000:03d}", f"n:{r.randrange(nodes)}", "KNOWS", f"n:{r.randrange(nodes)}", conf=r.choice([0.5, 0.7, 0.9])) for k in range(edges)])
+    subject, step = {x.assertion_id: x.subject_id for x in facts.collect()}, {}
+    for x in sorted(G.adjacency(facts, cap).collect(), key=lambda x: (-x.confidence, x.assertion_id)):
+        step.setdefault((x.node, x.other), (x.assertion_id, x.confidence))
+    paths, every = [k for k in step if k[0] != k[1]], {}
+    for _ in range(3):
+        paths = [(*p, b) for p in paths for a, b in step if a == p[-1] and b not in p]
+        for p in sorted(paths):
+            every.setdefault(min(p, p[::-1]), p)
+    pieces = {min(q, q[::-1]) for p in every for n in range(3, len(p)) for k in range(len(p) - n + 1) for q in [p[k : k + n]]}
+    want = set()
+    for key, p in every.items():
+        if key not in pieces:
+            ids = tuple(step[x][0] for x in zip(p, p[1:], strict=False))
+            turned, weakest = tuple(subject[i] != n for i, n in zip(ids, p, strict=False)), min(step[x][1] for x in zip(p, p[1:], strict=False))
+            want.add((p[::-1], ids[::-1], tuple(not t for t in turned[::-1]), len(ids), weakest) if ids[::-1] < ids else (p, ids, turned, len(ids), weakest))
+    df = G.chains(facts, cap=cap, kept=None)
+    got = [(tuple(x.nodes), tuple(x.assertion_ids), tuple(x.reversed), x.length, x.weakest) for x in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
+    assert "hashpartitioning(key" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_expand_goes_through_documents(spark):
     rows = [fact("1", "a:1", "P", "b:1", doc="d1"), fact("2", "b:1", "P", "c:1"), fact("3", "x:1", "P", "y:1", doc="d9")]
     t = table(spark, rows)
