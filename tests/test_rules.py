@@ -256,6 +256,20 @@ def test_expand_goes_through_documents(spark):
     assert hops("document:d1", 1) == {"1": 1} and hops("d1", 2) == {"1": 1, "2": 2} and hops("a:1", 4) == {"1": 1, "2": 2} and hops("nobody", 2) == {}
 
 
+def test_a_walk_joins_no_facts_by_id(spark, monkeypatch):
+    """Each fact once by its nearest node, with its own columns; by broadcast no fact is shuffled, and never by its id."""
+    from cairn.operators import session
+
+    facts = table(spark, [fact(str(k), f"n:{k}", "KNOWS", f"n:{k + 1}", conf=k / 10) for k in range(8)] + [fact("x", "n:3", "KNOWS", "n:0", conf=0.1)])
+    seeds = spark.createDataFrame([("n:0",), (None,)], "node string")
+    for limit, shuffled in ((1000, False), (0, True)):
+        monkeypatch.setattr(session, "SENT", limit)
+        df = G.expand(facts, seeds, 3, False, more=("confidence",))
+        assert sorted(map(tuple, df.collect())) == [("0", 0.0, 1), ("1", 0.1, 2), ("2", 0.2, 2), ("3", 0.3, 2), ("4", 0.4, 3), ("x", 0.1, 1)]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(assertion_id" not in plan and (shuffled or "hashpartitioning(" not in plan)
+
+
 def test_parallel_edges_are_one_path(spark):
     rows = [fact("1", "a:1", "KNOWS", "b:1", conf=0.7), fact("2", "b:1", "OWNS", "a:1", conf=0.9), fact("3", "b:1", "KNOWS", "c:1", conf=0.8)]
     got = G.chains(table(spark, rows)).collect()
