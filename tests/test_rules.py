@@ -332,6 +332,12 @@ def test_few_hits_are_ranked(spark):
     assert "coarse" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pieces_that_end_like_no_term_are_not_made(spark):
+    rows = G.worded(table(spark, [fact("1", "customer:12345", "PLACED_ORDER", "order:1290")])).select("hay")
+    asked = spark.createDataFrame([("123",), ("1295",), ("345 1",)], "term string")
+    assert {r.term for r in G._pieces_of(rows, G._tried(asked)).collect()} == {"123", "345 1"}
+
+
 def test_walks_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     """The same hops whether nodes are sent to every task or facts are shuffled by their ends."""
     from cairn.operators import session
