@@ -338,6 +338,31 @@ def test_pieces_that_end_like_no_term_are_not_made(spark):
     assert {r.term for r in G._pieces_of(rows, G._tried(asked)).collect()} == {"123", "345 1"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_best_hits_without_all_hits(spark, monkeypatch, seed):
+    """Against all hits in order: terms that most questions share, repeated, empty and null ones, and questions that share several. Hits of all questions are not made."""
+    import random
+
+    r = random.Random(seed)
+    words = ["acme", "union", "ion", "un", "or", "placed", "12", "123", "23", "3", "", None, "none such"]
+    rows = [fact(f"{r.randrange(10**6):06x}-{k}", f"party:{r.choice(words[:6])}-{r.randrange(999)}", r.choice(["PLACED_ORDER", "KNOWS"]), f"order:{r.randrange(99999)}", conf=r.choice([0.7, 0.9, 1.0])) for k in range(300)]
+    hay = {x[9]: f"{x[1][6:]} {x[3][6:]} {x[2]}".replace("-", " ").replace("_", " ").lower() for x in rows}
+    conf = {x.assertion_id: x.confidence for x in table(spark, rows).collect()}
+    shared = (["acme"], ["placed", "or"], [])[seed]
+    asked = {n: shared + [r.choice(words) for _ in range(r.randrange(4))] for n in range(40)} | {40: [], 41: [None]}
+    questions = spark.createDataFrame(list(asked.items()), "question_id int, terms array<string>")
+    want = set()
+    for n, terms in asked.items():
+        hits = [(i, [t for t in terms if t is not None and t in h]) for i, h in hay.items()]
+        ordered = sorted(((i, m) for i, m in hits if m), key=lambda x: (-len(x[1]), -conf[x[0]], x[0]))
+        want |= {(n, i, tuple(m), k + 1) for k, (i, m) in enumerate(ordered[:5])}
+    monkeypatch.setattr(G, "search", None)
+    for block in (7, 1000):
+        monkeypatch.setattr(G, "ASKED", block)
+        got = G.best_hits(table(spark, rows), questions, 5)
+        assert {(x.question_id, x.assertion_id, tuple(x.matched), x.rank) for x in got.collect()} == want and want
+
+
 def test_walks_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     """The same hops whether nodes are sent to every task or facts are shuffled by their ends."""
     from cairn.operators import session
