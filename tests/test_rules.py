@@ -338,6 +338,14 @@ def test_pieces_that_end_like_no_term_are_not_made(spark):
     assert {r.term for r in G._pieces_of(rows, G._tried(asked)).collect()} == {"123", "345 1"}
 
 
+def test_rows_with_a_term_of_many_questions_are_dealt(spark):
+    """All of them in one file's partition: several tasks answer the questions."""
+    facts = table(spark, [fact(str(k), f"case:{k}", "INVESTIGATES", f"party:{k * 7}") for k in range(64)]).coalesce(1)
+    found = G.search(facts, spark.createDataFrame([(k, ["investigates", f"{k} "]) for k in range(G.SHARED + 1)], "question_id int, terms array<string>"))
+    assert found.count() == 64 * (G.SHARED + 1)
+    assert len({r.task for r in found.where("size(matched) = 1").selectExpr("spark_partition_id() AS task").distinct().collect()}) > 4
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_best_hits_without_all_hits(spark, monkeypatch, seed):
     """Against all hits in order: terms that most questions share, repeated, empty and null ones, and questions that share several. Hits of all questions are not made."""
