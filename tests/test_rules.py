@@ -137,6 +137,31 @@ def test_a_variable_of_one_premise_multiplies_no_proofs(spark):
     assert proved(R.infer([rule], facts)) == every_proof([rule], facts)
 
 
+@pytest.mark.parametrize("listed", [2, 64])
+def test_conclusions_are_compared_where_their_proofs_are_made(spark, monkeypatch, listed):
+    """Matters come to the parties' tasks as lists, and no conclusion is shuffled, from all facts and from new ones."""
+    monkeypatch.setattr(R, "LISTED", listed)
+    rows = [fact(f"r{q}-{k}", f"counsel:{k}", "REPRESENTS", f"party:{q}") for q in range(4) for k in range(3)]
+    rows += [fact(f"a{q}-{k}", f"party:{q}", "AFFILIATE_OF", f"party:{(q + k) % 9}") for q in range(9) for k in (1, 2, 4)]
+    rows += [fact(f"v{p}-{k}", f"matter:{(p * k) % 11}", "ADVERSE_TO", f"party:{p}", f"M-{k % 2}", conf=0.8 + k / 100) for p in range(9) for k in range(7)]
+    rule, facts = RULE["conflict_via_affiliate"], table(spark, rows)
+    late = facts.where("assertion_id LIKE 'v%3' OR assertion_id LIKE 'a3%' OR assertion_id LIKE 'r1%'")
+    found, more = R.infer([rule], facts), R.infer([rule], facts, late)
+    for df in (found, more):
+        assert "hashpartitioning(subject_id" not in df._jdf.queryExecution().executedPlan().toString()
+    assert proved(found) == every_proof([rule], facts)
+    before = R.infer([rule], R._others(facts, late))
+    assert proved(R.best_proofs(before.unionByName(more))) == proved(found)
+
+
+def test_a_new_counsel_who_is_not_the_first_repeats_no_conclusion(spark):
+    rows = [fact("1", "counsel:a", "REPRESENTS", "party:n"), fact("2", "party:n", "AFFILIATE_OF", "party:h"), fact("3", "matter:x", "ADVERSE_TO", "party:h"), fact("5", "counsel:b", "REPRESENTS", "party:n")]
+    rule, facts = RULE["conflict_via_affiliate"], table(spark, rows)
+    assert not conclusions(R.infer([rule], facts, facts.where("assertion_id = '5'")))
+    first = table(spark, [*rows, fact("0", "counsel:c", "REPRESENTS", "party:n")])
+    assert [r.premises for r in R.infer([rule], first, first.where("assertion_id = '0'")).collect()] == [["0", "2", "3"]]
+
+
 def test_one_conclusion_of_two_rules_is_one_fact(spark):
     """Whatever the order of the rules: the proof of fewest facts stands, then the first by premises."""
     rows = [fact("5", "counsel:a", "REPRESENTS", "party:n"), fact("6", "matter:x", "ADVERSE_TO", "party:n"), fact("1", "party:n", "AFFILIATE_OF", "party:c"), fact("2", "matter:x", "ADVERSE_TO", "party:c")]
