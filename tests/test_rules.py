@@ -521,6 +521,22 @@ def test_hits_are_counted_without_a_sort(spark):
     assert "HashAggregate" in ran[0] and "SortAggregate" not in ran[0]
 
 
+def test_many_terms_are_counted_in_one_pass(spark, monkeypatch):
+    """More terms than a broadcast takes: short, empty, repeated and missing ones, and rows that hold a term twice."""
+    rows = [(f"{k * 7919 % 1000:03d}", f"{k} {k % 7} supplied by {k * 3}") for k in range(80)] + [("5", ""), ("6", None), (None, "ab ab"), ("é", "é ab é")]
+    words = ["", " ", "b", "ab", "é", "7 s", "supplied by 12", "by", "zz", None, *[f"{k} s" for k in range(30)]]
+    facts, terms = spark.createDataFrame(rows, "assertion_id string, hay string"), spark.createDataFrame([(w,) for w in words], "term string")
+    want = {}
+    for w in words:
+        ids = [i for i, hay in rows if w is not None and hay is not None and w in hay]
+        if ids:
+            want[w] = (len(ids), min((i for i in ids if i is not None), default=None, key=lambda s: s.encode()))
+    few = {r.term: (r.facts, r["first"]) for r in G.counted(facts, terms).collect()}
+    monkeypatch.setattr(G, "ASKED", 3)
+    monkeypatch.setattr(G, "containing", None)  # no pass for each block
+    assert {r.term: (r.facts, r["first"]) for r in G.counted(facts, terms).collect()} == few == want and len(want) > 10
+
+
 def test_chains_of_an_answer_shuffle_no_fact_for_the_walk(spark):
     facts = table(spark, [fact(str(k), f"n:{k}", "KNOWS", f"n:{k + 1}", doc="d0" if k < 4 else None) for k in range(9)])
     v = spark.createDataFrame([(0, [1.0, 0.0], "d0", None), (1, [0.0, 1.0], "d1", None)], "vec_id long, embedding array<double>, document_id string, matter_id string")
