@@ -537,6 +537,21 @@ def test_many_terms_are_counted_in_one_pass(spark, monkeypatch):
     assert {r.term: (r.facts, r["first"]) for r in G.counted(facts, terms).collect()} == few == want and len(want) > 10
 
 
+def test_terms_are_passed_over_once_for_as_many_as_are_sent(spark, monkeypatch):
+    """The size of a block of questions makes no more passes for their terms; several blocks of terms find the same."""
+    facts, terms = spark.createDataFrame([(str(k), f"{k} {k % 7} by {k * 3}") for k in range(50)], "assertion_id string, hay string"), spark.createDataFrame([(f"{k} b",) for k in range(30)], "term string")
+    found, passes = G._found, []
+    monkeypatch.setattr(G, "_found", lambda rows, asked: (passes.append(1), found(rows, asked))[1])
+    monkeypatch.setattr(G, "ASKED", 3)
+    got = []
+    for sent, most in ((1000, 1), (9, 5)):
+        monkeypatch.setattr(G, "SENT", sent)
+        passes.clear()
+        got.append(sorted(tuple(r) for r in G.containing(facts, terms).select("assertion_id", "term").collect()))
+        assert 1 <= len(passes) <= most
+    assert got[0] == got[1] == sorted((str(k), f"{j} b") for k in range(50) for j in range(30) if f"{j} b" in f"{k} {k % 7} by {k * 3}")
+
+
 def test_chains_of_an_answer_shuffle_no_fact_for_the_walk(spark):
     facts = table(spark, [fact(str(k), f"n:{k}", "KNOWS", f"n:{k + 1}", doc="d0" if k < 4 else None) for k in range(9)])
     v = spark.createDataFrame([(0, [1.0, 0.0], "d0", None), (1, [0.0, 1.0], "d1", None)], "vec_id long, embedding array<double>, document_id string, matter_id string")
