@@ -70,3 +70,22 @@ def test_a_snapshot_answers_for_its_own_moment(spark, tmp_path):
     states = log.states("2024-01-09 00:00:00")
     assert {(r.assertion_id, r.decided.event) for r in states.collect()} == {("a", "approve"), ("b", "reject")}
     assert "Exchange" not in states._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_are_packed_and_events_shuffled_once(spark, tmp_path):
+    """Ids of hex digits take half their bytes in the log's files, others come back as they are; a state from a snapshot is one shuffle."""
+    ids = ["00ff" * 8, "0" * 32, "00" * 16, "ab", "abc", "AB", "", "a1\u00e9", "\x01ab", "\x00", "x" * 16, "f" * 31]
+    rows = [(i, ("approve", "reject", "refile")[k % 3], 3 + k % 5) for k, i in enumerate(ids) for _ in range(2)] + [(i, "approve", 20) for i in ids]
+    e = spark.createDataFrame(rows, "assertion_id string, event string, seq long").selectExpr("assertion_id", "event", "timestamp_seconds(1704067200 + seq * 86400) AS at", "seq", "'M-' || seq AS matter_id", "false AS descriptive")
+    facts = spark.createDataFrame([(i, "PENDING", "M-0", 0.5, None) for i in sorted({*ids, "none"})], "assertion_id string, review_state string, matter_id string, confidence double, superseded_at timestamp")
+    log = L.EventLog(spark, str(tmp_path / "log"))
+    log.append(e)
+    kept = {bytes(r.assertion_id) for r in spark.read.parquet(str(tmp_path / "log" / "events")).collect()}
+    assert len(kept) == len(set(ids)) and max(len(k) for k in kept if k[:1] == b"\1") == 17
+    log.snapshot("2024-01-10 00:00:00")
+    later = log.states("2024-02-01 00:00:00")
+    assert later._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.assertion_id for r in later.collect()} == set(ids)
+    for t in ("2024-01-10 00:00:00", "2024-02-01 00:00:00"):
+        got = sorted(map(str, log.fold(facts, t).collect()))
+        assert got == sorted(map(str, L.fold(facts, e, t).collect())) and len(got) == facts.count()
