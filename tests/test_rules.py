@@ -563,3 +563,21 @@ def test_chains_of_an_answer_shuffle_no_fact_for_the_walk(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin [assertion_id" in plan and "LeftSemi, BuildRight" in plan
+
+
+def test_chains_and_documents_without_a_cap(spark):
+    """A hub of twenty neighbours joins any two of them; an answer has all of its sixty source documents."""
+    facts = table(spark, [fact(f"{k:02d}", "n:hub", "KNOWS", f"n:{k}", doc="d0") for k in range(20)])
+    pairs = {(f"{a:02d}", f"{b:02d}") for a in range(20) for b in range(a + 1, 20)}
+    assert {tuple(r.assertion_ids) for r in G.chains(facts, cap=None, kept=None).collect()} == pairs and G.adjacency(facts, None).count() == 40
+    assert "Window" not in G.adjacency(facts, None)._jdf.queryExecution().executedPlan().toString()
+    v = spark.createDataFrame([(0, [1.0, 0.0], "d0", None)], "vec_id long, embedding array<double>, document_id string, matter_id string")
+    assert G.vector_first_answer(facts, v, v, k=1, kept=None, cap=None)[1].count() == len(pairs)
+    many = table(spark, [fact(f"{k:02d}", "n:hub", "KNOWS", f"n:{k}", doc=f"d{k:02d}") for k in range(60)])
+    question = spark.createDataFrame([(1, ["hub"])], "question_id int, terms array<string>")
+    assert G.graph_first(many, question)[1].count() == 50
+    assert {r.document_id for r in G.graph_first(many, question, documents=None)[1].collect()} == {f"d{k:02d}" for k in range(60)}
+    v = spark.createDataFrame([(k, [60.0 - k, float(k)], f"d{k:02d}", None) for k in range(60)], "vec_id long, embedding array<double>, document_id string, matter_id string")
+    asked, catalog = v.where("vec_id = 59"), facts.limit(0)
+    near = lambda **more: [r.id for r in G.graph_first_answer(many, question, v, asked, catalog, k=1, **more).where("part = 'passage'").collect()]
+    assert near() == ["49"] and near(documents=None) == ["59"]
